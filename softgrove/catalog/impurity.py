@@ -20,7 +20,7 @@ def _lines(spark, sf, *extra) -> DataFrame:
 
 
 def _mass():
-    return membership_mass(F.col("l_quantity"), set_map("l_quantity")["l_quantity"])
+    return membership_mass("l_quantity", set_map("l_quantity")["l_quantity"])
 
 
 def _test():

@@ -58,8 +58,8 @@ def split_candidates(spark: SparkSession, sf: str) -> DataFrame:
     names = F.array(*[F.lit(f) for f in LINE_FEATURES])
     return scored.select(
         F.get(names, F.col("fi")).alias("feature"), F.col("vmin").alias("value"),
-        (F.col("h_c0") + F.col("h_c1") + F.col("h_c2")).alias("n_true"),
-        (F.col("r_c0") + F.col("r_c1") + F.col("r_c2")).alias("n_false"), r("gain").alias("gain"))
+        F.col("h_n").cast("bigint").alias("n_true"),
+        F.col("r_n").cast("bigint").alias("n_false"), r("gain").alias("gain"))
 
 
 def best_split_gini(spark, sf):

@@ -1,4 +1,4 @@
-"""Upper bounds of the gain inside a range of split values.
+"""Upper bounds of the gain inside a range of split values, as SQL expressions.
 
 Count times impurity is concave in the sums of a side, so its minimum over a box
 of possible sums lies on a corner. That bounds the gain of every split value in
@@ -12,69 +12,59 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from softgrove.functions.criteria import CLASS_CRITERIA, CONCAVE, VALUE_CRITERIA, GainSpec, Side, impurity, total
+from softgrove.functions.criteria import CLASS_CRITERIA, CONCAVE, VALUE_CRITERIA, GainSpec, Side, impurity, plus
 
 # More classes than this would need too many corners; their buckets are all scanned.
 MAX_CORNER_CLASSES = 4
 
 
-def _greatest(cols: Sequence[Column]) -> Column:
-    return F.greatest(*cols) if len(cols) > 1 else cols[0]
+def _pick(fn: str, parts: Sequence[str]) -> str:
+    return f"{fn}({', '.join(parts)})" if len(parts) > 1 else parts[0]
 
 
-def _least(cols: Sequence[Column]) -> Column:
-    return F.least(*cols) if len(cols) > 1 else cols[0]
+def _class_bound(parent: str, whole: Sequence[str], n: str, lo: Sequence[str], hi: Sequence[str],
+                 criterion: str) -> str:
+    fn = CLASS_CRITERIA[criterion]
 
+    def mass_impurity(masses: list[str]) -> str:
+        return f"if({plus(masses)} > 0, {plus(masses)} * {fn(masses, plus(masses))}, 0D)"
 
-def _class_bound(parent: Column, whole: Sequence[Column], lo: Sequence[Column], hi: Sequence[Column],
-                 criterion: str) -> Column:
-    fn = CLASS_CRITERIA[criterion]
-    n = total(whole)
     corners = []
     for pick in product((0, 1), repeat=len(whole)):
         hit = [h if p else l for p, l, h in zip(pick, lo, hi)]
-        rest = [w - x for w, x in zip(whole, hit)]
-        corners.append(parent - total(hit) / n * fn(hit) - total(rest) / n * fn(rest))
-    return _greatest(corners)
+        rest = [f"({w} - {x})" for w, x in zip(whole, hit)]
+        corners.append(f"{mass_impurity(hit)} + {mass_impurity(rest)}")
+    return f"({parent} - {_pick('least', corners)} / {n})"
 
 
-def _variance_bound(node: Side, lo: Side, hi: Side) -> Column:
-    n = node.count
-    n_lo = F.greatest(lo.n, F.lit(1))
-    n_hi = F.least(hi.n, n - 1)
+def _variance_bound(node: Side, lo: Side, hi: Side) -> str:
+    n, n_lo, n_hi = node.n, f"greatest({lo.n}, 1D)", f"least({hi.n}, {node.n} - 1)"
     outputs = []
     for s, s_lo, s_hi in zip(node.sums, lo.sums, hi.sums):
-        corners = [
-            x * x / c + (s - x) * (s - x) / (n - c)
-            for c, x in product((n_lo, n_hi), (s_lo, s_hi))
-        ]
-        outputs.append((_greatest(corners) - s * s / n) / n)
-    return total(outputs)
+        corners = [f"{x} * {x} / {c} + ({s} - {x}) * ({s} - {x}) / ({n} - {c})"
+                   for c, x in product((n_lo, n_hi), (s_lo, s_hi))]
+        outputs.append(f"({_pick('greatest', corners)} - {s} * {s} / {n}) / {n}")
+    return plus(outputs)
 
 
-def _value_bound(node: Side, lo: Side, hi: Side, criterion: str, soft: bool) -> Column:
-    fn = VALUE_CRITERIA[criterion]
-    n = node.count
+def _value_bound(node: Side, lo: Side, hi: Side, criterion: str, soft: bool) -> str:
+    fn, n = VALUE_CRITERIA[criterion], node.n
 
-    def floor(count_lo: Column, count_hi: Column, corners: list[tuple[Column, Column, Column]],
-              mass_lo: Column, mass_whole: Column) -> Column:
-        least = _least([c * fn(c, s, q) for c, s, q in corners])
-        share = F.coalesce(F.try_divide(mass_lo, mass_whole), F.lit(0.0))
-        return share * least / count_hi
+    def floor(count_hi: str, corners: list[tuple[str, str, str]], mass_lo: str, mass: str) -> str:
+        least = _pick("least", [f"if({c} > 0, {c} * {fn(c, s, q)}, 0D)" for c, s, q in corners])
+        return f"if({count_hi} > 0, {mass_lo} / {mass} * {least} / {count_hi}, 0D)"
 
     outputs = []
-    for i, (s, q) in enumerate(zip(node.sums, node.squares)):
-        hit = list(product((lo.n, hi.n), (lo.sums[i], hi.sums[i]), (lo.squares[i], hi.squares[i])))
-        rest = [(n - c, s - x, q - y) for c, x, y in hit]
-        whole, hit_mass, rest_mass = (node.mass, lo.mass, node.mass - hi.mass) if soft else (n, lo.n, n - hi.n)
-        outputs.append(floor(lo.n, hi.n, hit, hit_mass, whole) + floor(n - hi.n, n - lo.n, rest, rest_mass, whole))
-    return impurity(node, criterion) - total(outputs)
+    for s, q, s_lo, s_hi, q_lo, q_hi in zip(node.sums, node.squares, lo.sums, hi.sums, lo.squares, hi.squares):
+        hit = list(product((lo.n, hi.n), (s_lo, s_hi), (q_lo, q_hi)))
+        rest = [(f"({n} - {c})", f"({s} - {x})", f"({q} - {y})") for c, x, y in hit]
+        mass, mass_lo, mass_hi = (node.g, lo.g, hi.g) if soft else (n, lo.n, hi.n)
+        outputs.append(floor(hi.n, hit, mass_lo, mass))
+        outputs.append(floor(f"({n} - {lo.n})", rest, f"({mass} - {mass_hi})", mass))
+    return f"({impurity(node, criterion)} - {plus(outputs)})"
 
 
-def gain_bound(node: Side, lo: Side, hi: Side, spec: GainSpec) -> Column | None:
+def gain_bound(node: Side, lo: Side, hi: Side, spec: GainSpec) -> str | None:
     """No split whose hit side lies between ``lo`` and ``hi`` gains more; None = no bound known."""
     if spec.gain is not None or spec.criterion not in CONCAVE:
         return None
@@ -82,16 +72,14 @@ def gain_bound(node: Side, lo: Side, hi: Side, spec: GainSpec) -> Column | None:
         if len(node.classes) > MAX_CORNER_CLASSES:
             return None
         parent = impurity(node, spec.criterion)
-        crisp = _class_bound(parent, node.classes, lo.classes, hi.classes, spec.criterion)
+        crisp = _class_bound(parent, node.classes, node.n, lo.classes, hi.classes, spec.criterion)
+        if not spec.soft:
+            return crisp
+        soft = _class_bound(parent, node.soft_classes, node.g, lo.soft_classes, hi.soft_classes, spec.criterion)
+    else:
+        crisp = (_variance_bound(node, lo, hi) if spec.criterion in ("variance", "mse")
+                 else _value_bound(node, lo, hi, spec.criterion, soft=False))
         if not spec.soft:
             return crisp
-        soft = _class_bound(parent, node.soft_classes, lo.soft_classes, hi.soft_classes, spec.criterion)
-        return F.when(node.soft_count > 0, soft).otherwise(crisp)
-    crisp = (
-        _variance_bound(node, lo, hi)
-        if spec.criterion in ("variance", "mse")
-        else _value_bound(node, lo, hi, spec.criterion, soft=False)
-    )
-    if not spec.soft:
-        return crisp
-    return F.when(node.mass > 0, _value_bound(node, lo, hi, spec.criterion, soft=True)).otherwise(crisp)
+        soft = _value_bound(node, lo, hi, spec.criterion, soft=True)
+    return f"if({node.g} > 0, {soft}, {crisp})"

@@ -1,4 +1,4 @@
-"""Soft memberships of one number in the fuzzy sets of its feature."""
+"""Soft memberships of one number in the fuzzy sets of its feature, as SQL expressions."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from softgrove.functions.sqltext import clean_number, num
+
 # Fixed value: a pairwise centroid distance of zero counts as this distance.
 ZERO_DISTANCE = 9999.0
 
@@ -17,25 +19,23 @@ def widths(centroids: Sequence[float]) -> list[float]:
     return [min(abs(c - o) or ZERO_DISTANCE for o in centroids) for c in centroids]
 
 
-def memberships(x: Column, sets: Sequence[tuple[float, float]], slope: float = 1.0) -> list[Column]:
-    """One column per ``(centroid, width)``: 1 at the centroid, 0 beyond the width."""
-    return [
-        F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(x - F.lit(float(c))) / F.lit(float(t)) * F.lit(slope))
-        for c, t in sets
-    ]
+def memberships(x: str, sets: Sequence[tuple[float, float]], slope: float = 1.0) -> list[str]:
+    """One expression per ``(centroid, width)``: 1 at the centroid, 0 beyond the width."""
+    steep = "" if slope == 1.0 else f" * {num(slope)}"
+    return [f"greatest(0D, 1D - abs({x} - {num(c)}) / {num(t)}{steep})" for c, t in sets]
 
 
-def membership_array(x: Column, sets: Sequence[tuple[float, float]], slope: float = 1.0) -> Column:
-    return F.array(*memberships(x, sets, slope))
+def membership_array(feature: str, sets: Sequence[tuple[float, float]], slope: float = 1.0) -> Column:
+    return F.expr(f"array({', '.join(memberships(clean_number(feature), sets, slope))})")
 
 
-def membership_mass(x: Column, sets: Sequence[tuple[float, float]], slope: float = 1.0) -> Column:
+def mass_sql(feature: str, sets: Sequence[tuple[float, float]], slope: float = 1.0) -> str:
     """Sum over the sets; the only thing a soft split needs. Missing values weigh 0."""
-    parts = memberships(x, sets, slope)
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return F.when(x.isNull() | F.isnan(x), F.lit(0.0)).otherwise(total)
+    return f"coalesce({' + '.join(memberships(clean_number(feature), sets, slope))}, 0D)"
+
+
+def membership_mass(feature: str, sets: Sequence[tuple[float, float]], slope: float = 1.0) -> Column:
+    return F.expr(mass_sql(feature, sets, slope))
 
 
 def logit_slope(reg: float) -> float:

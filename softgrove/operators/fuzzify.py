@@ -5,31 +5,28 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from softgrove.functions.membership import ZERO_DISTANCE, logit_slope, membership_array, membership_mass, widths
-from softgrove.plans.frame import clean_number
+from softgrove.functions.sqltext import clean_number, num
 
 SET_SCHEMA = "feature_idx int, feature string, set_id int, centroid double, theta double"
 
 
-def nearest_set(x: Column, centroids: Sequence[float]) -> Column:
+def nearest_set(x: str, centroids: Sequence[float]) -> str:
     """Index of the nearest of ascending centroids, the lower one on ties."""
-    out: Column | None = None
-    for j in range(len(centroids) - 1):
-        mid = F.lit((centroids[j] + centroids[j + 1]) / 2.0)
-        out = F.when(x <= mid, j) if out is None else out.when(x <= mid, j)
-    last = F.lit(len(centroids) - 1)
-    return last if out is None else out.otherwise(last)
+    last = len(centroids) - 1
+    steps = " ".join(f"WHEN {x} <= {num((a + b) / 2.0)} THEN {j}"
+                     for j, (a, b) in enumerate(zip(centroids, centroids[1:])))
+    return f"CASE {steps} ELSE {last} END" if steps else str(last)
 
 
 def start_centroids(df: DataFrame, features: Sequence[str], n_sets: int) -> dict[str, list[float]]:
     """``n_sets`` centroids evenly spaced over the value range of each feature."""
-    x = [clean_number(f) for f in features]
-    row = df.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(x)],
-                 *[F.max(c).alias(f"hi{i}") for i, c in enumerate(x)]).first()
+    row = df.selectExpr(*[f"{fn}({clean_number(f)}) AS {p}{i}" for i, f in enumerate(features)
+                          for fn, p in (("min", "lo"), ("max", "hi"))]).first()
     out = {}
     for i, f in enumerate(features):
         lo, hi = row[f"lo{i}"] or 0.0, row[f"hi{i}"] or 0.0
@@ -41,12 +38,10 @@ def lloyd_step(df: DataFrame, centroids: Mapping[str, Sequence[float]]) -> dict[
     """One k-means step of all features in one scan: the shuffle carries one row per
     (task, feature, set). An emptied set keeps its centroid."""
     feats = list(centroids)
-    pairs = F.array(*[
-        F.struct(F.lit(i).alias("fi"), clean_number(f).alias("v"),
-                 nearest_set(clean_number(f), centroids[f]).alias("set_id"))
-        for i, f in enumerate(feats)])
+    pairs = ", ".join(f"struct({i} AS fi, {clean_number(f)} AS v, {nearest_set(clean_number(f), centroids[f])} AS set_id)"
+                      for i, f in enumerate(feats))
     found = (
-        df.select(F.inline(pairs)).where("v is not null")
+        df.selectExpr(f"inline(array({pairs}))").where("v IS NOT NULL")
         .groupBy("fi", "set_id").agg(F.avg("v").alias("c")).collect()
     )
     moved = {f: list(c) for f, c in centroids.items()}
@@ -110,15 +105,14 @@ class FuzzySets:
         slope = logit_slope(reg) if logit else 1.0
         cols = {}
         for f, s in self.sets.items():
-            x = clean_number(f)
-            cols[f"dm_{f}"] = membership_array(x, s, slope)
-            cols[f"m_{f}"] = membership_mass(x, s, slope)
+            cols[f"dm_{f}"] = membership_array(f, s, slope)
+            cols[f"m_{f}"] = membership_mass(f, s, slope)
         return df.withColumns(cols)
 
     def flatten(self, df: DataFrame) -> DataFrame:
         """Add every single membership as an ordinary column ``dm_<feature>_<set>``."""
         return df.withColumns({
-            f"dm_{f}_{j}": membership_array(clean_number(f), [s[j]])[0]
+            f"dm_{f}_{j}": membership_array(f, [s[j]])[0]
             for f, s in self.sets.items() for j in range(len(s))})
 
     def flat_names(self) -> list[str]:

@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from softgrove.functions.criteria import gain_ratio
 
 
 def _xlogx(c: Column) -> Column:
@@ -70,7 +69,7 @@ def binary_gain_ratio(df: DataFrame, group: Sequence[str], label: str, feature:
     """Gain of a binary split over the impurity of the split feature's own values."""
     gain = binary_gain(df, group, label, test, criterion, out="__gain")
     own = class_impurity(df, group, feature, criterion, out="__own")
-    return gain.join(own, list(group)).select(*group, gain_ratio(F.col("__gain"), F.col("__own")).alias(out))
+    return gain.join(own, list(group)).select(*group, F.try_divide("__gain", "__own").alias(out))
 
 
 def value_reduction(df: DataFrame, group: Sequence[str], targets: Sequence[str], test: Column,

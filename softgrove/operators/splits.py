@@ -11,20 +11,21 @@ more than one bounded group.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from softgrove.functions.bounds import gain_bound
-from softgrove.functions.criteria import GainSpec, Side, clean_rest, impurity
+from softgrove.functions.criteria import GainSpec, Side, impurity, plus, rest_of
 
 # Distinct values per feature up to which every value is its own bucket.
 DIRECT_LIMIT = 65_536
 # Bucket keys up to which the list of buckets to scan is broadcast.
 BROADCAST_KEYS = 200_000
 TIE_DIGITS = 12
+KEYS = ("model", "node")
 
 
 @dataclass(frozen=True)
@@ -40,67 +41,72 @@ class Layout:
     gain: GainSpec
     categorical: frozenset[int] = frozenset()
     bucketed: frozenset[int] = frozenset()
-    keys: tuple[str, ...] = field(default=("model", "node"))
 
     @property
     def soft(self) -> bool:
         return self.gain.soft
 
+    def _named(self, stem: str, prefix: str = "") -> tuple[str, ...]:
+        return tuple(f"{prefix}{stem}{i}" for i in range(self.width))
+
     @property
-    def stats(self) -> list[str]:
-        k = range(self.width)
+    def crisp_stats(self) -> list[str]:
+        """``c0..`` class weights, or ``n, s0.., q0..``."""
         if self.task == "class":
-            names = [f"c{i}" for i in k]
-            return names + [f"g{i}" for i in k] if self.soft else names
-        names = ["n"] + [f"s{i}" for i in k] + [f"q{i}" for i in k]
-        return names + ["g"] if self.soft else names
+            return list(self._named("c"))
+        return ["n", *self._named("s"), *self._named("q")]
+
+    @property
+    def stats(self) -> list[str]:
+        """Crisp sums, then memberships: ``g0..`` per class, or ``g``."""
+        if not self.soft:
+            return self.crisp_stats
+        return self.crisp_stats + (list(self._named("g")) if self.task == "class" else ["g"])
 
     @property
     def targets(self) -> list[str]:
-        return ["yi"] if self.task == "class" else [f"t{i}" for i in range(self.width)]
+        return ["yi"] if self.task == "class" else list(self._named("t"))
 
-    def sums(self, negatives: bool = False) -> list[Column]:
-        w, k = F.col("w"), range(self.width)
+    def sums(self, soft: bool | None = None, negatives: bool = False) -> list:
+        """Aggregates that fill :attr:`stats`."""
+        soft = self.soft if soft is None else soft
         if self.task == "class":
-            out = [F.sum(F.when(F.col("yi") == i, w).otherwise(F.lit(0))).alias(f"c{i}") for i in k]
-            if self.soft:
-                wm = w * F.col("m")
-                out += [F.sum(F.when(F.col("yi") == i, wm).otherwise(F.lit(0.0))).alias(f"g{i}") for i in k]
-            return out
-        t = [F.col(f"t{i}") for i in k]
-        out = [F.sum(w).alias("n")]
-        out += [F.sum(w * t[i]).alias(f"s{i}") for i in k]
-        out += [F.sum(w * t[i] * t[i]).alias(f"q{i}") for i in k]
-        if self.soft:
-            out.append(F.sum(w * F.col("m")).alias("g"))
-        if negatives:
-            out += [F.sum(w * F.least(t[i], F.lit(0.0))).alias(f"d{i}") for i in k]
-        return out
-
-    def side(self, prefix: str) -> Side:
-        k = range(self.width)
-
-        def cols(stem: str) -> tuple[Column, ...]:
-            return tuple(F.col(f"{prefix}{stem}{i}") for i in k)
-
+            out = [f"sum(if(yi = {i}, w, 0D)) AS c{i}" for i in range(self.width)]
+            if soft:
+                out += [f"sum(if(yi = {i}, w * m, 0D)) AS g{i}" for i in range(self.width)]
+        else:
+            out = ["sum(w) AS n", *[f"sum(w * t{i}) AS s{i}" for i in range(self.width)],
+                   *[f"sum(w * t{i} * t{i}) AS q{i}" for i in range(self.width)]]
+            if soft:
+                out.append("sum(w * m) AS g")
+            if negatives:
+                out += [f"sum(w * least(t{i}, 0D)) AS d{i}" for i in range(self.width)]
+        return [F.expr(e) for e in out]
+
+    def side(self, p: str) -> Side:
         if self.task == "class":
-            return Side(classes=cols("c"), soft_classes=cols("g") if self.soft else ())
-        return Side(n=F.col(f"{prefix}n"), mass=F.col(f"{prefix}g") if self.soft else None,
-                    sums=cols("s"), squares=cols("q"))
+            return Side(n=f"{p}n", g=f"{p}g", classes=self._named("c", p),
+                        soft_classes=self._named("g", p) if self.soft else ())
+        return Side(n=f"{p}n", g=f"{p}g", sums=self._named("s", p), squares=self._named("q", p))
+
+    def totals(self, *prefixes: str) -> list[str]:
+        """Total weight and membership of class sides (regression has them already)."""
+        if self.task != "class":
+            return []
+        out = [f"{plus(self._named('c', p))} AS {p}n" for p in prefixes]
+        return out + ([f"{plus(self._named('g', p))} AS {p}g" for p in prefixes] if self.soft else [])
 
 
 def unroll(rows: DataFrame, layout: Layout) -> DataFrame:
     """One row per (row, feature of its model): ``fi, num, cat, bkt, m``."""
-    carried = [*layout.keys, "w", *layout.targets]
-    exploded = rows.select("*", F.explode("fs").alias("fi"))
-    picked = [F.get("x", F.col("fi")).alias("num")]
+    picked = ["get(x, fi) AS num"]
     if layout.categorical:
-        picked.append(F.get("xc", F.col("fi")).alias("cat"))
+        picked.append("get(xc, fi) AS cat")
     if layout.bucketed:
-        picked.append(F.get("xb", F.col("fi")).alias("bkt"))
+        picked.append("get(xb, fi) AS bkt")
     if layout.soft:
-        picked.append(F.coalesce(F.get("xm", F.col("fi")), F.lit(0.0)).alias("m"))
-    return exploded.select(*carried, "fi", *picked)
+        picked.append("coalesce(get(xm, fi), 0D) AS m")
+    return rows.selectExpr("*", "explode(fs) AS fi").selectExpr(*KEYS, "w", *layout.targets, "fi", *picked)
 
 
 def candidate_sums(long: DataFrame, layout: Layout) -> DataFrame:
@@ -108,23 +114,22 @@ def candidate_sums(long: DataFrame, layout: Layout) -> DataFrame:
 
     ``vmin``/``vmax`` span the values of the row; ``ord`` is their order.
     """
-    order = F.coalesce(F.col("bkt").cast("double"), F.col("num")) if layout.bucketed else F.col("num")
-    keyed = long.withColumn("ord", order)
+    order = "coalesce(cast(bkt AS double), num)" if layout.bucketed else "num"
     cats = ["cat"] if layout.categorical else []
     span = [F.min("num").alias("vmin"), F.max("num").alias("vmax")] if layout.bucketed else []
-    out = keyed.groupBy(*layout.keys, "fi", "ord", *cats).agg(
-        *span, *layout.sums(negatives=bool(layout.bucketed) and layout.task == "value"))
-    if not layout.bucketed:
-        out = out.withColumns({"vmin": F.col("ord"), "vmax": F.col("ord")})
-    return out if layout.categorical else out.withColumn("cat", F.lit(None).cast("string"))
+    negatives = bool(layout.bucketed) and layout.task == "value"
+    out = long.groupBy(*KEYS, "fi", F.expr(f"{order} AS ord"), *cats).agg(*span, *layout.sums(negatives=negatives))
+    extra = [] if layout.bucketed else ["ord AS vmin", "ord AS vmax"]
+    if not layout.categorical:
+        extra.append("cast(NULL AS string) AS cat")
+    return out.selectExpr("*", *extra)
 
 
 def _with_rest(df: DataFrame, layout: Layout) -> DataFrame:
-    rest = {}
-    for s in layout.stats:
-        hit, whole = F.col(f"h_{s}"), F.col(f"a_{s}")
-        rest[f"r_{s}"] = clean_rest(hit, whole) if s.startswith("g") else whole - hit
-    return df.withColumns(rest)
+    rest = [f"{rest_of(f'h_{s}', f'a_{s}', s.startswith('g'))} AS r_{s}" for s in layout.stats]
+    df = df.selectExpr("*", *rest)
+    totals = layout.totals("a_", "h_", "r_")
+    return df.selectExpr("*", *totals) if totals else df
 
 
 def prefix_sums(sums: DataFrame, layout: Layout) -> DataFrame:
@@ -133,47 +138,42 @@ def prefix_sums(sums: DataFrame, layout: Layout) -> DataFrame:
     Numeric features: all rows with a value >= the candidate; categorical ones:
     the rows equal to it. Missing values never pass.
     """
-    part = [*layout.keys, "fi"]
-    running = Window.partitionBy(*part).orderBy(F.col("ord").desc_nulls_last()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*part)
-    added = {}
+    part = f"PARTITION BY {', '.join(KEYS)}, fi"
+    added = []
     for s in layout.stats:
-        run = F.sum(s).over(running)
-        added[f"h_{s}"] = F.when(F.col("cat").isNotNull(), F.col(s)).otherwise(run) if layout.categorical else run
-        added[f"a_{s}"] = F.sum(s).over(whole)
-    return _with_rest(sums.withColumns(added), layout)
+        run = f"sum({s}) OVER ({part} ORDER BY ord DESC NULLS LAST ROWS UNBOUNDED PRECEDING)"
+        added.append((f"if(cat IS NOT NULL, {s}, {run})" if layout.categorical else run) + f" AS h_{s}")
+        added.append(f"sum({s}) OVER ({part}) AS a_{s}")
+    return _with_rest(sums.selectExpr("*", *added), layout)
 
 
 def score(prefixed: DataFrame, layout: Layout) -> DataFrame:
     """Add ``gain``; keep valid candidates (both sides non-empty, gain defined)."""
-    node, hit, rest = layout.side("a_"), layout.side("h_"), layout.side("r_")
+    gain = layout.gain.score(layout.side("a_"), layout.side("h_"), layout.side("r_"))
     return (
-        prefixed.filter((F.col("vmin").isNotNull() | F.col("cat").isNotNull()) & (rest.count > 0))
-        .withColumn("gain", layout.gain.score(node, hit, rest))
-        .filter(F.col("gain").isNotNull())
+        prefixed.filter("(vmin IS NOT NULL OR cat IS NOT NULL) AND r_n > 0")
+        .selectExpr("*", f"{gain} AS gain").filter("gain IS NOT NULL")
     )
 
 
-def rank_key(layout: Layout) -> Column:
+def rank_key(layout: Layout) -> str:
     """Orders candidates: higher gain, then lower feature, then lower value.
 
     Gains are compared after rounding, relative to the node impurity for
     regression, so that the order of float additions cannot decide.
     """
-    gain = F.col("gain")
+    gain = "gain"
     if layout.task == "value":
-        gain = F.coalesce(F.try_divide(gain, impurity(layout.side("a_"), layout.gain.criterion)), F.lit(0.0))
-    return F.struct((-F.round(gain, TIE_DIGITS)).alias("k"), F.col("fi"), F.col("vmin"), F.col("cat"))
+        gain = f"coalesce(try_divide(gain, {impurity(layout.side('a_'), layout.gain.criterion)}), 0D)"
+    return f"struct(-round({gain}, {TIE_DIGITS}) AS k, fi, vmin, cat)"
 
 
 def best_per_node(scored: DataFrame, layout: Layout) -> DataFrame:
-    kept = ["gain", "fi", "vmin", "cat", *[f"{p}_{s}" for s in layout.stats for p in ("h", "r")]]
+    kept = ["gain", "fi", "vmin", "cat", *[f"{p}_{s}" for s in layout.crisp_stats for p in ("h", "r")]]
     return (
-        scored.select(*layout.keys, F.struct(*kept).alias("b"), rank_key(layout).alias("k"))
-        .groupBy(*layout.keys)
-        .agg(F.min_by("b", "k").alias("b"), F.min("k").alias("k"))
-        .select(*layout.keys, "k", "b.*")
+        scored.selectExpr(*KEYS, f"struct({', '.join(kept)}) AS b", f"{rank_key(layout)} AS k")
+        .groupBy(*KEYS).agg(F.expr("min_by(b, k) AS b"), F.expr("min(k) AS k"))
+        .selectExpr(*KEYS, "k", "b.*")
     )
 
 
@@ -184,40 +184,29 @@ def _order_of(row) -> tuple:
 
 def alive_buckets(prefixed: DataFrame, found: DataFrame, layout: Layout) -> DataFrame:
     """Buckets with several values that may hold a better split than ``found``."""
-    inside = prefixed.filter(F.col("vmin") < F.col("vmax"))
-    k = range(layout.width)
-    if layout.task == "class":
-        stems = [f"c{i}" for i in k] + ([f"g{i}" for i in k] if layout.soft else [])
-    else:
-        stems = ["n"] + [f"q{i}" for i in k] + (["g"] if layout.soft else [])
-    box = {}
-    for s in stems:
-        box[f"lo_{s}"] = F.col(f"h_{s}") - F.col(s)
-        box[f"hi_{s}"] = F.col(f"h_{s}")
-    if layout.task == "value":
-        for i in k:
-            before = F.col(f"h_s{i}") - F.col(f"s{i}")
-            box[f"lo_s{i}"] = before + F.col(f"d{i}")
-            box[f"hi_s{i}"] = before + F.col(f"s{i}") - F.col(f"d{i}")
+    offsets = [f"a_{s}" for s in layout.stats] + [f"h_{s} - {s} AS o_{s}" for s in layout.stats]
+    keys = [*KEYS, "fi", "cast(ord AS int) AS bkt", *offsets]
+    inside = prefixed.filter("vmin < vmax")
     bound = gain_bound(layout.side("a_"), layout.side("lo_"), layout.side("hi_"), layout.gain)
-    offsets = [F.col(f"a_{s}") for s in layout.stats]
-    offsets += [(F.col(f"h_{s}") - F.col(s)).alias(f"o_{s}") for s in layout.stats]
-    keys = [*layout.keys, "fi", F.col("ord").cast("int").alias("bkt"), *offsets]
     if bound is None:
-        return inside.select(*keys)
-    slack = F.lit(1e-9) * (F.lit(1.0) + F.abs("floor_gain"))
+        return inside.selectExpr(*keys)
+    box = []
+    for s in layout.stats:
+        if s.startswith("s"):
+            box += [f"h_{s} - {s} + d{s[1:]} AS lo_{s}", f"h_{s} - d{s[1:]} AS hi_{s}"]
+        else:
+            box += [f"h_{s} - {s} AS lo_{s}", f"h_{s} AS hi_{s}"]
     return (
-        inside.withColumns(box)
-        .withColumn("bound", bound)
-        .join(F.broadcast(found), list(layout.keys), "left")
-        .filter(F.col("floor_gain").isNull() | F.col("bound").isNull() | (F.col("bound") >= F.col("floor_gain") - slack))
-        .select(*keys)
+        inside.selectExpr("*", *box).selectExpr("*", f"{bound} AS bound")
+        .join(F.broadcast(found), list(KEYS), "left")
+        .filter("floor_gain IS NULL OR bound IS NULL OR bound >= floor_gain - 1e-9D * (1 + abs(floor_gain))")
+        .selectExpr(*keys)
     )
 
 
 def scan_buckets(long: DataFrame, alive: DataFrame, n_alive: int, layout: Layout) -> DataFrame:
     """Every value inside the given buckets as a scored candidate."""
-    keys = [*layout.keys, "fi", "bkt"]
+    keys = [*KEYS, "fi", "bkt"]
     wanted = alive.select(*keys)
     if n_alive <= BROADCAST_KEYS:
         wanted = F.broadcast(wanted)
@@ -226,11 +215,11 @@ def scan_buckets(long: DataFrame, alive: DataFrame, n_alive: int, layout: Layout
         .groupBy(*keys, F.col("num").alias("vmin"))
         .agg(*layout.sums())
     )
-    running = Window.partitionBy(*keys).orderBy(F.col("vmin").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    inner = values.select(*keys, "vmin", *[F.sum(s).over(running).alias(f"i_{s}") for s in layout.stats])
-    hits = {f"h_{s}": F.col(f"o_{s}") + F.col(f"i_{s}") for s in layout.stats}
-    joined = inner.join(alive, keys).withColumns(hits).withColumn("cat", F.lit(None).cast("string"))
+    run = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY vmin DESC ROWS UNBOUNDED PRECEDING)"
+    inner = values.selectExpr(*keys, "vmin", *[f"sum({s}) {run} AS i_{s}" for s in layout.stats])
+    joined = inner.join(alive, keys).selectExpr(
+        *KEYS, "fi", "vmin", "cast(NULL AS string) AS cat", *[f"a_{s}" for s in layout.stats],
+        *[f"o_{s} + i_{s} AS h_{s}" for s in layout.stats])
     return score(_with_rest(joined, layout), layout)
 
 
@@ -242,20 +231,21 @@ def best_splits(rows: DataFrame, layout: Layout) -> list:
     if not layout.bucketed:
         return best_per_node(score(prefixed, layout), layout).collect()
     prefixed = prefixed.persist(StorageLevel.MEMORY_AND_DISK)
+    alive = None
     try:
-        best = {tuple(r[k] for k in layout.keys): r
-                for r in best_per_node(score(prefixed, layout), layout).collect()}
-        found = spark.createDataFrame(
-            [(*key, float(r["gain"])) for key, r in best.items()],
-            ", ".join(f"{k} bigint" for k in layout.keys) + ", floor_gain double")
-        alive = alive_buckets(prefixed, found, layout)
+        best = {tuple(r[k] for k in KEYS): r for r in best_per_node(score(prefixed, layout), layout).collect()}
+        found = spark.createDataFrame([(*key, float(r["gain"])) for key, r in best.items()],
+                                      "model int, node bigint, floor_gain double")
+        alive = alive_buckets(prefixed, found, layout).persist(StorageLevel.MEMORY_AND_DISK)
         n_alive = alive.count()
         if n_alive:
             inner = best_per_node(scan_buckets(long, alive, n_alive, layout), layout).collect()
             for r in inner:
-                key = tuple(r[k] for k in layout.keys)
+                key = tuple(r[k] for k in KEYS)
                 if key not in best or _order_of(r) < _order_of(best[key]):
                     best[key] = r
         return list(best.values())
     finally:
         prefixed.unpersist()
+        if alive is not None:
+            alive.unpersist()

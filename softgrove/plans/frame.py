@@ -9,7 +9,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from softgrove.functions.membership import membership_mass
+from softgrove.functions.membership import mass_sql
+from softgrove.functions.sqltext import clean_number, name, num
 from softgrove.operators.splits import DIRECT_LIMIT
 
 # feature -> [(centroid, width), ...]
@@ -31,26 +32,20 @@ class ModelSpec:
     features: tuple[int, ...] | None = None
 
 
-def clean_number(col: str) -> Column:
-    """Feature as DOUBLE with NaN as NULL: neither passes a split test."""
-    x = F.col(col).cast("double")
-    return F.when(~F.isnan(x), x)
-
-
 def feature_arrays(features: Sequence[str], categorical: Sequence[str]) -> dict[str, Column]:
     """``x`` (numbers) and, if needed, ``xc`` (texts), both by feature position."""
     cats = set(categorical)
-    out = {"x": F.array(*[F.lit(None).cast("double") if f in cats else clean_number(f) for f in features])}
+    numbers = ["cast(NULL AS double)" if f in cats else clean_number(f) for f in features]
+    out = {"x": F.expr(f"array({', '.join(numbers)})")}
     if cats:
-        out["xc"] = F.array(*[F.col(f).cast("string") if f in cats else F.lit(None).cast("string")
-                              for f in features])
+        texts = [f"cast({name(f)} AS string)" if f in cats else "cast(NULL AS string)" for f in features]
+        out["xc"] = F.expr(f"array({', '.join(texts)})")
     return out
 
 
-def mass_array(features: Sequence[str], sets: FuzzySetMap) -> Column:
+def mass_array(features: Sequence[str], sets: FuzzySetMap) -> str:
     """Membership mass per feature position; features without fuzzy sets weigh 0."""
-    return F.array(*[membership_mass(F.col(f).cast("double"), sets[f]) if f in sets else F.lit(0.0)
-                     for f in features])
+    return f"array({', '.join(mass_sql(f, sets[f]) if f in sets else '0D' for f in features)})"
 
 
 def value_edges(df: DataFrame, features: Sequence[str], categorical: Sequence[str],
@@ -63,14 +58,14 @@ def value_edges(df: DataFrame, features: Sequence[str], categorical: Sequence[st
     numeric = [f for f in features if f not in set(categorical)]
     if not numeric:
         return {}
-    clean = df.select(*[clean_number(f).alias(f"v{i}") for i, f in enumerate(numeric)])
+    clean = df.selectExpr(*[f"{clean_number(f)} AS v{i}" for i, f in enumerate(numeric)])
     seen = clean.agg(*[F.approx_count_distinct(f"v{i}").alias(f"v{i}") for i in range(len(numeric))]).first()
     many = {i: seen[f"v{i}"] for i in range(len(numeric)) if seen[f"v{i}"] > direct_limit}
     if not many:
         return {}
     n_buckets = {i: int(min(MAX_BUCKETS, max(MIN_BUCKETS, 4 * d // direct_limit))) for i, d in many.items()}
-    sketch = clean.agg(*[
-        F.percentile_approx(f"v{i}", [j / b for j in range(1, b)], 10 * b).alias(f"v{i}")
+    sketch = clean.selectExpr(*[
+        f"percentile_approx(v{i}, array({', '.join(num(j / b) for j in range(1, b))}), {10 * b}) AS v{i}"
         for i, b in n_buckets.items()]).first()
     inf = float("inf")
     return {numeric[i]: [-inf, *sorted(set(sketch[f"v{i}"])), inf] for i in many}
@@ -79,7 +74,7 @@ def value_edges(df: DataFrame, features: Sequence[str], categorical: Sequence[st
 def add_buckets(df: DataFrame, features: Sequence[str], edges: Mapping[str, list[float]]) -> DataFrame:
     """Array ``xb``: value bucket by feature position, NULL for unbucketed or missing values."""
     cols = {f: f"__b{i}" for i, f in enumerate(features) if f in edges}
-    staged = df.withColumns({f"__v{c}": F.coalesce(clean_number(f), F.lit(float("nan"))) for f, c in cols.items()})
+    staged = df.withColumns({f"__v{c}": F.expr(f"coalesce({clean_number(f)}, double('NaN'))") for f, c in cols.items()})
     staged = Bucketizer(splitsArray=[edges[f] for f in cols], inputCols=[f"__v{c}" for c in cols.values()],
                         outputCols=list(cols.values()), handleInvalid="keep").transform(staged)
     xb = F.array(*[
@@ -97,31 +92,33 @@ def training_rows(df: DataFrame, features: Sequence[str], categorical: Sequence[
     ``weights`` names an ``array<struct<model int, w bigint>>`` column giving the
     models each row takes part in; without it every row feeds model 0 once.
     """
+    # w is DOUBLE: class weights are squared later, which would overflow BIGINT on huge tables
     cols = {**feature_arrays(features, categorical), **targets}
     if variants:
-        cols["__xms"] = F.array(*[mass_array(features, v) for v in variants])
+        cols["__xms"] = F.expr(f"array({', '.join(mass_array(features, v) for v in variants)})")
     base = df
     if edges:
         base = add_buckets(base, features, edges)
     extra = (["xb"] if edges else []) + list(keep)
     picked = [c.alias(name) for name, c in cols.items()]
     if weights is None:
-        base = base.select(*extra, *picked, F.lit(models[0].model).alias("model"), F.lit(1).cast("bigint").alias("w"))
+        base = base.select(*extra, *picked, F.lit(models[0].model).alias("model"), F.lit(1.0).alias("w"))
     else:
-        base = base.select(*extra, *picked, F.inline(F.filter(weights, lambda s: s["w"] > 0)))
+        base = base.select(*extra, *picked, F.inline(F.filter(weights, lambda s: s["w"] > 0))) \
+            .withColumn("w", F.col("w").cast("double"))
     every = list(range(len(features)))
 
-    def per_model(value_of) -> Column:
+    def per_model(value_of) -> str:
         """Constant per model; a plain literal when all models share it."""
         values = {m.model: value_of(m) for m in models}
-        if len(set(map(str, values.values()))) == 1:
+        if len(set(values.values())) == 1:
             return next(iter(values.values()))
-        slots = [values.get(i) for i in range(max(values) + 1)]
-        return F.get(F.array(*[F.lit(None) if s is None else s for s in slots]), F.col("model"))
+        return f"get(array({', '.join(values.get(i, 'NULL') for i in range(max(values) + 1))}), model)"
 
-    base = base.withColumn("fs", per_model(lambda m: F.array(*[F.lit(i) for i in (m.features or every)])))
+    sets = per_model(lambda m: f"array({', '.join(map(str, m.features or every))})")
+    base = base.selectExpr("*", f"{sets} AS fs")
     if variants:
-        pick = per_model(lambda m: F.lit(-1 if m.variant is None else m.variant))
-        none = F.array(*[F.lit(0.0) for _ in every])
-        base = base.withColumn("xm", F.coalesce(F.get("__xms", F.when(pick >= 0, pick)), none)).drop("__xms")
+        pick = per_model(lambda m: "cast(NULL AS int)" if m.variant is None else str(m.variant))
+        none = f"array({', '.join('0D' for _ in every)})"
+        base = base.selectExpr("*", f"coalesce(get(__xms, {pick}), {none}) AS xm").drop("__xms")
     return base

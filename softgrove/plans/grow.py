@@ -41,9 +41,8 @@ def node_count(stats: list[float], layout: Layout) -> float:
 
 def root_stats(rows: DataFrame, layout: Layout) -> dict[int, list[float]]:
     """Sums of the whole training set of each model."""
-    sums = [c for c, s in zip(layout.sums(), layout.stats) if not s.startswith("g")]
-    found = rows.groupBy("model").agg(*sums).collect()
-    return {r["model"]: [r[s] for s in layout.stats if not s.startswith("g")] for r in found}
+    found = rows.groupBy("model").agg(*layout.sums(soft=False)).collect()
+    return {r["model"]: [r[s] for s in layout.crisp_stats] for r in found}
 
 
 def grow(rows: DataFrame, layout: Layout, rules: StopRules, roots: dict[int, list[float]],
@@ -53,8 +52,6 @@ def grow(rows: DataFrame, layout: Layout, rules: StopRules, roots: dict[int, lis
     Rows carry no state between levels; their node follows from the splits found
     so far, so a lost executor costs one re-read and the plan does not lengthen.
     """
-    plain = [s for s in layout.stats if not s.startswith("g")]
-
     def is_open(stats: list[float], depth: int) -> bool:
         return (depth <= rules.max_depth and node_count(stats, layout) >= max(rules.min_samples_split, 2)
                 and _is_mixed(stats, layout))
@@ -79,6 +76,6 @@ def grow(rows: DataFrame, layout: Layout, rules: StopRules, roots: dict[int, lis
             at = tree[r["node"]]
             at.fi, at.num, at.cat, at.gain = r["fi"], r["vmin"], r["cat"], r["gain"]
             for child, side in ((2 * at.node, "h"), (2 * at.node + 1, "r")):
-                stats = [r[f"{side}_{s}"] for s in plain]
+                stats = [r[f"{side}_{s}"] for s in layout.crisp_stats]
                 tree[child] = Node(at.model, child, at.depth + 1, stats, open=is_open(stats, at.depth + 1))
         depth += 1

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from softgrove.functions.sqltext import num, text
+
 # Nodes up to which a model becomes one nested condition (larger ones would not be compiled).
 INLINE_NODES = 256
 BROADCAST_NODES = 200_000
@@ -35,18 +37,18 @@ Tree = dict[int, Node]
 Forest = dict[int, Tree]
 
 
-def passes(fi: int, num: float | None, cat: str | None) -> Column:
+def passes(fi: int, number: float | None, cat: str | None) -> str:
     """Split test on the feature arrays; missing values fail."""
     if cat is not None:
-        return F.coalesce(F.get("xc", F.lit(fi)) == F.lit(cat), F.lit(False))
-    return F.coalesce(F.get("x", F.lit(fi)) >= F.lit(float(num)), F.lit(False))
+        return f"coalesce(get(xc, {fi}) = {text(cat)}, false)"
+    return f"coalesce(get(x, {fi}) >= {num(number)}, false)"
 
 
-def _open_node(tree: Tree, node: int) -> Column:
+def _open_node(tree: Tree, node: int) -> str:
     at = tree[node]
     if at.is_leaf:
-        return F.lit(node if at.open else None).cast("bigint")
-    return F.when(passes(at.fi, at.num, at.cat), _open_node(tree, 2 * node)).otherwise(_open_node(tree, 2 * node + 1))
+        return f"{node}L" if at.open else "cast(NULL AS bigint)"
+    return f"if({passes(at.fi, at.num, at.cat)}, {_open_node(tree, 2 * node)}, {_open_node(tree, 2 * node + 1)})"
 
 
 def size_of(forest: Forest) -> int:
@@ -57,14 +59,11 @@ def to_open_nodes(rows: DataFrame, forest: Forest) -> DataFrame:
     """Rows that sit in a node still to be split, with its id as ``node``."""
     if size_of(forest) <= INLINE_NODES:
         models = sorted(forest)
-        node: Column = F.lit(None).cast("bigint")
         if len(models) == 1:
             node = _open_node(forest[models[0]], 1)
         else:
-            for m in models:
-                found = _open_node(forest[m], 1)
-                node = F.when(F.col("model") == m, found) if m == models[0] else node.when(F.col("model") == m, found)
-        return rows.withColumn("node", node).filter(F.col("node").isNotNull())
+            node = f"CASE model {' '.join(f'WHEN {m} THEN {_open_node(forest[m], 1)}' for m in models)} END"
+        return rows.selectExpr("*", f"{node} AS node").filter("node IS NOT NULL")
     return _join_open_nodes(rows, forest)
 
 

@@ -14,24 +14,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from softgrove.plans.frame import clean_number, feature_arrays
+from softgrove.functions.sqltext import clean_number, name, num, text
+from softgrove.plans.frame import feature_arrays
 from softgrove.plans.route import INLINE_NODES, Node, Tree
 
 
-def split_test(feature: str, num: float | None, cat: str | None) -> Column:
+def test_sql(feature: str, number: float | None, cat: str | None) -> str:
     """Test of one split on a named column; missing values fail."""
     if cat is not None:
-        return F.coalesce(F.col(feature).cast("string") == F.lit(cat), F.lit(False))
-    return F.coalesce(clean_number(feature) >= F.lit(float(num)), F.lit(False))
+        return f"coalesce(cast({name(feature)} AS string) = {text(cat)}, false)"
+    return f"coalesce({clean_number(feature)} >= {num(number)}, false)"
 
 
-def tree_column(tree: Tree, features: Sequence[str], payload: Callable[[Node], Column], node: int = 1) -> Column:
+def split_test(feature: str, number: float | None, cat: str | None) -> Column:
+    return F.expr(test_sql(feature, number, cat))
+
+
+def tree_sql(tree: Tree, features: Sequence[str], payload: Callable[[Node], str], node: int = 1) -> str:
     """Leaf payload of a row as one nested condition."""
     at = tree[node]
     if at.is_leaf:
         return payload(at)
-    return F.when(split_test(features[at.fi], at.num, at.cat), tree_column(tree, features, payload, 2 * node)) \
-        .otherwise(tree_column(tree, features, payload, 2 * node + 1))
+    return (f"if({test_sql(features[at.fi], at.num, at.cat)}, {tree_sql(tree, features, payload, 2 * node)}, "
+            f"{tree_sql(tree, features, payload, 2 * node + 1)})")
+
+
+def tree_column(tree: Tree, features: Sequence[str], payload: Callable[[Node], str]) -> Column:
+    return F.expr(tree_sql(tree, features, payload))
 
 
 def is_small(trees: Sequence[Tree]) -> bool:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from softgrove.functions.criteria import GainSpec
+from softgrove.functions.sqltext import name, num, value
 from softgrove.operators.splits import DIRECT_LIMIT, Layout
 from softgrove.plans.frame import FuzzySetMap, ModelSpec, training_rows, value_edges
 from softgrove.plans.grow import StopRules, grow, root_stats
@@ -74,9 +75,10 @@ def value_coding(df: DataFrame, targets: Sequence[str]) -> Coding:
 
 def target_columns(coding: Coding, targets: Sequence[str]) -> dict[str, Column]:
     if coding.labels:
-        known = F.array(*[F.lit(v) for v in coding.labels])
-        return {"yi": (F.array_position(known, F.col(targets[0])) - 1).cast("int")}
-    return {f"t{i}": F.col(t).cast("double") - F.lit(c) for i, (t, c) in enumerate(zip(targets, coding.centres))}
+        known = f"array({', '.join(value(v) for v in coding.labels)})"
+        return {"yi": F.expr(f"cast(array_position({known}, {name(targets[0])}) - 1 AS int)")}
+    return {f"t{i}": F.expr(f"cast({name(t)} AS double) - {num(c)}")
+            for i, (t, c) in enumerate(zip(targets, coding.centres))}
 
 
 def leaf_mean(node: Node, coding: Coding) -> list[float]:
@@ -133,26 +135,26 @@ class TreeModel:
         """Class shares or output means of the leaf a row falls into."""
         if is_small([self.tree]):
             return tree_column(self.tree, self.spec.features,
-                               lambda n: F.array(*[F.lit(float(v)) for v in self._vector(n)]))
+                               lambda n: f"array({', '.join(map(num, self._vector(n)))})")
         return summed_leaves([self.tree], self.spec.features, self.spec.categorical, self._vector, self.coding.width)
 
     def leaf_id(self) -> Column:
         if is_small([self.tree]):
-            return tree_column(self.tree, self.spec.features, lambda n: F.lit(n.node).cast("bigint"))
+            return tree_column(self.tree, self.spec.features, lambda n: f"{n.node}L")
         return summed_leaves([self.tree], self.spec.features, self.spec.categorical,
                              lambda n: [float(n.node)], 1)[0].cast("bigint")
 
     def prediction(self) -> Column:
         if self.spec.task == "class":
             if is_small([self.tree]):
-                return tree_column(self.tree, self.spec.features, lambda n: F.lit(leaf_label(n, self.coding)))
+                return tree_column(self.tree, self.spec.features, lambda n: value(leaf_label(n, self.coding)))
             at = summed_leaves([self.tree], self.spec.features, self.spec.categorical,
                                lambda n: [float(self.coding.labels.index(leaf_label(n, self.coding)))], 1)[0]
             return F.get(F.array(*[F.lit(v) for v in self.coding.labels]), at.cast("int"))
         if len(self.spec.targets) > 1:
             return self.leaf_vector()
         if is_small([self.tree]):
-            return tree_column(self.tree, self.spec.features, lambda n: F.lit(leaf_mean(n, self.coding)[0]))
+            return tree_column(self.tree, self.spec.features, lambda n: num(leaf_mean(n, self.coding)[0]))
         return self.leaf_vector()[0]
 
     def transform(self, df: DataFrame, prediction: str = "prediction") -> DataFrame:
