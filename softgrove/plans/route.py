@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -67,39 +68,87 @@ def to_open_nodes(rows: DataFrame, forest: Forest) -> DataFrame:
     return _join_open_nodes(rows, forest)
 
 
+def _advance(rows: DataFrame, splits: list[tuple], how: str) -> DataFrame:
+    """One level down: join the splits of the level and move to the child.
+
+    Splits are model metadata of known number; they are broadcast up to
+    BROADCAST_NODES and otherwise joined by shuffle.
+    """
+    table = rows.sparkSession.createDataFrame(
+        splits, "model int, node bigint, __fi int, __num double, __cat string, __hit boolean, __rest boolean")
+    if len(splits) <= BROADCAST_NODES:
+        table = F.broadcast(table)
+    test = "get(x, __fi) >= __num"
+    if "xc" in rows.columns:
+        test = f"if(__cat IS NOT NULL, get(xc, __fi) = __cat, {test})"
+    moved = rows.join(table, ["model", "node"], how).selectExpr("*", f"coalesce({test}, false) AS __go")
+    if how == "inner":
+        moved = moved.filter("if(__go, __hit, __rest)")
+    return (
+        moved.withColumn("node", F.expr("if(__fi IS NULL, node, node * 2 + if(__go, 0, 1))"))
+        .drop("__fi", "__num", "__cat", "__hit", "__rest", "__go")
+    )
+
+
+def _level_splits(forest: Forest, depth: int) -> list[tuple]:
+    out = []
+    for m, tree in forest.items():
+        for n in tree.values():
+            if n.depth == depth and not n.is_leaf:
+                hit, rest = tree[2 * n.node], tree[2 * n.node + 1]
+                out.append((m, n.node, n.fi, None if n.num is None else float(n.num), n.cat,
+                            not hit.is_leaf or hit.open, not rest.is_leaf or rest.open))
+    return out
+
+
+def split_depth(forest: Forest) -> int:
+    """Number of split levels of the deepest tree."""
+    return max((n.depth + 1 for t in forest.values() for n in t.values() if not n.is_leaf), default=0)
+
+
 def _join_open_nodes(rows: DataFrame, forest: Forest) -> DataFrame:
-    spark = rows.sparkSession
+    """Rows of closed branches drop out on the way: all open nodes lie on the last level."""
     roots = [m for m, t in forest.items() if not t[1].is_leaf or t[1].open]
     out = rows.filter(F.col("model").isin(roots)).withColumn("node", F.lit(1).cast("bigint"))
-    depth = max((n.depth for t in forest.values() for n in t.values() if not n.is_leaf), default=-1)
-    categorical = "xc" in rows.columns
-    for d in range(depth + 1):
-        splits = []
-        for m, tree in forest.items():
-            for n in tree.values():
-                if n.depth != d:
-                    continue
-                if n.is_leaf:
-                    if n.open:  # stays where it is
-                        splits.append((m, n.node, None, None, None, True, True))
-                    continue
-                hit, rest = tree[2 * n.node], tree[2 * n.node + 1]
-                splits.append((m, n.node, n.fi, n.num, n.cat, not hit.is_leaf or hit.open,
-                               not rest.is_leaf or rest.open))
-        table = spark.createDataFrame(
-            splits, "model int, node bigint, __fi int, __num double, __cat string, __hit boolean, __rest boolean")
-        if len(splits) <= BROADCAST_NODES:
-            table = F.broadcast(table)
-        test = F.get("x", F.col("__fi")) >= F.col("__num")
-        if categorical:
-            test = F.when(F.col("__cat").isNotNull(), F.get("xc", F.col("__fi")) == F.col("__cat")).otherwise(test)
-        test = F.coalesce(test, F.lit(False))
-        out = (
-            out.join(table, ["model", "node"])
-            .withColumn("__go", test)
-            .filter(F.when(F.col("__go"), F.col("__hit")).otherwise(F.col("__rest")))
-            .withColumn("node", F.when(F.col("__fi").isNull(), F.col("node"))
-                        .otherwise(F.col("node") * 2 + F.when(F.col("__go"), 0).otherwise(1)))
-            .drop("__fi", "__num", "__cat", "__hit", "__rest", "__go")
-        )
+    for d in range(split_depth(forest)):
+        out = _advance(out, _level_splits(forest, d), "inner")
+    return out
+
+
+def to_leaves(rows: DataFrame, forest: Forest) -> DataFrame:
+    """Every row with the leaf of its model as ``node``."""
+    if size_of(forest) <= INLINE_NODES:
+        def leaf(tree: Tree, node: int) -> str:
+            at = tree[node]
+            if at.is_leaf:
+                return f"{node}L"
+            return f"if({passes(at.fi, at.num, at.cat)}, {leaf(tree, 2 * node)}, {leaf(tree, 2 * node + 1)})"
+
+        models = sorted(forest)
+        cases = " ".join(f"WHEN {m} THEN {leaf(forest[m], 1)}" for m in models)
+        node = leaf(forest[models[0]], 1) if len(models) == 1 else f"CASE model {cases} END"
+        return rows.selectExpr("*", f"{node} AS node")
+    out = rows.withColumn("node", F.lit(1).cast("bigint"))
+    for d in range(split_depth(forest)):
+        out = _advance(out, _level_splits(forest, d), "left")
     return out
+
+
+def leaf_values(rows: DataFrame, forest: Forest, values: Callable[[Node], Sequence[float]], out: str) -> DataFrame:
+    """Every row with an ``array<double>`` of values of the leaf it falls into."""
+    if size_of(forest) <= INLINE_NODES:
+        def leaf(tree: Tree, node: int) -> str:
+            at = tree[node]
+            if at.is_leaf:
+                return f"array({', '.join(num(v) for v in values(at))})"
+            return f"if({passes(at.fi, at.num, at.cat)}, {leaf(tree, 2 * node)}, {leaf(tree, 2 * node + 1)})"
+
+        models = sorted(forest)
+        cases = " ".join(f"WHEN {m} THEN {leaf(forest[m], 1)}" for m in models)
+        return rows.selectExpr("*", (leaf(forest[models[0]], 1) if len(models) == 1 else f"CASE model {cases} END")
+                               + f" AS {out}")
+    leaves = [(m, n.node, [float(v) for v in values(n)]) for m, t in forest.items() for n in t.values() if n.is_leaf]
+    table = rows.sparkSession.createDataFrame(leaves, f"model int, node bigint, {out} array<double>")
+    if len(leaves) <= BROADCAST_NODES:
+        table = F.broadcast(table)
+    return to_leaves(rows, forest).join(table, ["model", "node"], "left").drop("node")
