@@ -67,7 +67,7 @@ def bootstrap_array(df: DataFrame, key: Sequence[str], n_subsets: int, seed: int
         return df.withColumn(out, weights)
     drawn = bootstrap_weights(df, key, n_subsets, None, seed)
     per_row = drawn.groupBy(*key).agg(
-        F.collect_list(F.struct(F.col("subset").cast("int").alias("model"), F.col("w").cast("bigint"))).alias(out))
+        F.collect_list(F.struct(F.col("subset").cast("int").alias("model"), F.col("w").cast("bigint").alias("w"))).alias(out))
     return df.join(per_row, list(key))
 
 

@@ -169,7 +169,7 @@ def rank_key(layout: Layout) -> str:
 
 
 def best_per_node(scored: DataFrame, layout: Layout) -> DataFrame:
-    kept = ["gain", "fi", "vmin", "cat", *[f"{p}_{s}" for s in layout.crisp_stats for p in ("h", "r")]]
+    kept = ["gain", "fi", "vmin", "cat", *[f"{p}_{s}" for s in layout.crisp_stats for p in ("a", "h", "r")]]
     return (
         scored.selectExpr(*KEYS, f"struct({', '.join(kept)}) AS b", f"{rank_key(layout)} AS k")
         .groupBy(*KEYS).agg(F.expr("min_by(b, k) AS b"), F.expr("min(k) AS k"))

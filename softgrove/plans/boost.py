@@ -15,7 +15,7 @@ from softgrove.functions.losses import LOSSES
 from softgrove.functions.sqltext import name, num
 from softgrove.operators.splits import Layout
 from softgrove.plans.frame import FuzzySetMap, ModelSpec, training_rows, value_edges
-from softgrove.plans.grow import grow, root_stats
+from softgrove.plans.grow import grow
 from softgrove.plans.route import Forest, Node, Tree, leaf_values
 from softgrove.plans.score import is_small, summed_leaves, tree_sql
 from softgrove.plans.tree import Coding, TreeSpec, leaf_mean
@@ -96,7 +96,7 @@ def fit_boosted_models(df: DataFrame, spec: BoostSpec, models: Sequence[ModelSpe
                 coding = Coding(centres=(0.0,) * width)
                 scores = [F.col(f"f{k}") for k in range(width)]
                 train = train.withColumns({f"t{k}": g for k, g in enumerate(loss.gradient(ys, scores))})
-            forest = grow(train, layout, tree.rules, root_stats(train, layout))
+            forest = grow(train, layout, tree.rules, [m.model for m in models])
             rounds.append((forest, coding))
             if i + 1 == spec.n_estimators and not keep:
                 break

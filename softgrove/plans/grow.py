@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from softgrove.operators.splits import Layout, best_splits
 from softgrove.plans.route import Forest, Node, to_open_nodes
@@ -45,37 +46,47 @@ def root_stats(rows: DataFrame, layout: Layout) -> dict[int, list[float]]:
     return {r["model"]: [r[s] for s in layout.crisp_stats] for r in found}
 
 
-def grow(rows: DataFrame, layout: Layout, rules: StopRules, roots: dict[int, list[float]],
+def grow(rows: DataFrame, layout: Layout, rules: StopRules, models: Sequence[int],
          search: Callable[[DataFrame, Layout], list] = best_splits) -> Forest:
     """Level-wise growth: every job scores all open nodes of all models at once.
 
     Rows carry no state between levels; their node follows from the splits found
     so far, so a lost executor costs one re-read and the plan does not lengthen.
+    The sums of a node come with its parent's split, those of a root with its own.
     """
+
     def is_open(stats: list[float], depth: int) -> bool:
         return (depth <= rules.max_depth and node_count(stats, layout) >= max(rules.min_samples_split, 2)
                 and _is_mixed(stats, layout))
 
-    forest: Forest = {}
-    for model, stats in sorted(roots.items()):
-        forest[model] = {1: Node(model, 1, 0, list(stats), open=is_open(stats, 0))}
+    forest: Forest = {m: {1: Node(m, 1, 0, [], open=rules.max_depth >= 0)} for m in sorted(models)}
     depth = 0
     while True:
         waiting = [n for t in forest.values() for n in t.values() if n.open]
         if not waiting:
-            return forest
+            break
         if depth > MAX_HEAP_DEPTH - 1:
             raise ValueError(f"trees deeper than {MAX_HEAP_DEPTH} levels have no BIGINT node ids; set max_depth")
         found = search(to_open_nodes(rows, forest), layout)
         for n in waiting:
             n.open = False
         for r in found:
-            if not r["gain"] > max(rules.min_gain, 0.0):
-                continue
             tree = forest[r["model"]]
             at = tree[r["node"]]
+            if depth == 0:
+                at.stats = [r[f"a_{s}"] for s in layout.crisp_stats]
+                if not is_open(at.stats, 0):
+                    continue
+            if not r["gain"] > max(rules.min_gain, 0.0):
+                continue
             at.fi, at.num, at.cat, at.gain = r["fi"], r["vmin"], r["cat"], r["gain"]
             for child, side in ((2 * at.node, "h"), (2 * at.node + 1, "r")):
                 stats = [r[f"{side}_{s}"] for s in layout.crisp_stats]
                 tree[child] = Node(at.model, child, at.depth + 1, stats, open=is_open(stats, at.depth + 1))
         depth += 1
+    bare = [m for m, t in forest.items() if not t[1].stats]
+    if bare:  # roots without a single candidate
+        found = root_stats(rows.filter(F.col("model").isin(bare)), layout)
+        for m in bare:
+            forest[m][1].stats = found.get(m, [0.0] * len(layout.crisp_stats))
+    return forest

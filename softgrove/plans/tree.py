@@ -13,7 +13,7 @@ from softgrove.functions.criteria import GainSpec
 from softgrove.functions.sqltext import name, num, value
 from softgrove.operators.splits import DIRECT_LIMIT, Layout
 from softgrove.plans.frame import FuzzySetMap, ModelSpec, training_rows, value_edges
-from softgrove.plans.grow import StopRules, grow, root_stats
+from softgrove.plans.grow import StopRules, grow
 from softgrove.plans.route import Forest, Node, Tree
 from softgrove.plans.score import is_small, split_test, summed_leaves, tree_column
 
@@ -111,7 +111,7 @@ def fit_forest(df: DataFrame, spec: TreeSpec, models: Sequence[ModelSpec], varia
     if spec.cache:
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return grow(rows, layout, spec.rules, root_stats(rows, layout)), coding
+        return grow(rows, layout, spec.rules, [m.model for m in models]), coding
     finally:
         if spec.cache:
             rows.unpersist()
