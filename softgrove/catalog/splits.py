@@ -9,7 +9,7 @@ from softgrove.catalog.common import ORDERS_SQL, orders_tier, r, read, set_map,
 from softgrove.functions.criteria import GainSpec
 from softgrove.operators.fuzzify import FuzzySets
 from softgrove.operators.splits import Layout, best_per_node, candidate_sums, prefix_sums, score, unroll
-from softgrove.plans.frame import ModelSpec, add_buckets, training_rows, value_edges
+from softgrove.plans.frame import ModelSpec, masses_sql, training_rows
 from softgrove.plans.score import split_test
 from softgrove.plans.tree import TreeSpec, fit_tree, label_coding, target_columns, value_coding
 
@@ -20,9 +20,10 @@ def root_layout(df: DataFrame, features, target: str, task: str, criterion: str,
     """Unrolled root rows and their layout."""
     coding = label_coding(df, target) if task == "class" else value_coding(df, [target])
     cats = frozenset(i for i, f in enumerate(features) if f in categorical)
-    layout = Layout(tuple(features), task, coding.width, GainSpec(criterion, soft=sets is not None), cats)
-    rows = training_rows(df, features, categorical, target_columns(coding, [target]),
-                         [ModelSpec(0, 0 if sets else None)], [sets] if sets else ())
+    models = [ModelSpec(0, 0 if sets else None)]
+    layout = Layout(tuple(features), task, coding.width, GainSpec(criterion, soft=sets is not None), cats,
+                    masses=masses_sql(features, [sets], models) if sets else "0D")
+    rows = training_rows(df, features, categorical, target_columns(coding, [target]), models)
     return rows.withColumn("node", F.lit(1).cast("bigint")), layout
 
 
@@ -56,7 +57,7 @@ def split_candidates(spark: SparkSession, sf: str) -> DataFrame:
     rows, layout = root_layout(_lines(spark, sf), LINE_FEATURES, "l_returnflag", "class", "gini")
     scored = score(prefix_sums(candidate_sums(unroll(rows, layout), layout), layout), layout)
     names = F.array(*[F.lit(f) for f in LINE_FEATURES])
-    return scored.select(
+    return scored.filter("gain IS NOT NULL").select(
         F.get(names, F.col("fi")).alias("feature"), F.col("vmin").alias("value"),
         F.col("h_n").cast("bigint").alias("n_true"),
         F.col("r_n").cast("bigint").alias("n_false"), r("gain").alias("gain"))

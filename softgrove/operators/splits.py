@@ -22,8 +22,9 @@ from softgrove.functions.criteria import GainSpec, Side, impurity, plus, rest_of
 
 # Distinct values per feature up to which every value is its own bucket.
 DIRECT_LIMIT = 65_536
-# Bucket keys up to which the list of buckets to scan is broadcast.
-BROADCAST_KEYS = 200_000
+# Up to this many buckets to scan, their few sums are sent along with the next job;
+# more stay a distributed table that is joined by shuffle.
+LISTED_BUCKETS = 20_000
 TIE_DIGITS = 12
 KEYS = ("model", "node")
 
@@ -41,6 +42,7 @@ class Layout:
     gain: GainSpec
     categorical: frozenset[int] = frozenset()
     bucketed: frozenset[int] = frozenset()
+    masses: str = "0D"  # membership mass as SQL over ``model``, ``fi`` and ``num``
 
     @property
     def soft(self) -> bool:
@@ -98,15 +100,14 @@ class Layout:
 
 
 def unroll(rows: DataFrame, layout: Layout) -> DataFrame:
-    """One row per (row, feature of its model): ``fi, num, cat, bkt, m``."""
+    """One row per (row, feature of its model): ``fi, num [, cat, bkt, m]``."""
     picked = ["get(x, fi) AS num"]
     if layout.categorical:
         picked.append("get(xc, fi) AS cat")
     if layout.bucketed:
         picked.append("get(xb, fi) AS bkt")
-    if layout.soft:
-        picked.append("coalesce(get(xm, fi), 0D) AS m")
-    return rows.selectExpr("*", "explode(fs) AS fi").selectExpr(*KEYS, "w", *layout.targets, "fi", *picked)
+    long = rows.selectExpr("*", "explode(fs) AS fi").selectExpr(*KEYS, "w", *layout.targets, "fi", *picked)
+    return long.selectExpr("*", f"{layout.masses} AS m") if layout.soft and layout.bucketed else long
 
 
 def candidate_sums(long: DataFrame, layout: Layout) -> DataFrame:
@@ -118,11 +119,18 @@ def candidate_sums(long: DataFrame, layout: Layout) -> DataFrame:
     cats = ["cat"] if layout.categorical else []
     span = [F.min("num").alias("vmin"), F.max("num").alias("vmax")] if layout.bucketed else []
     negatives = bool(layout.bucketed) and layout.task == "value"
-    out = long.groupBy(*KEYS, "fi", F.expr(f"{order} AS ord"), *cats).agg(*span, *layout.sums(negatives=negatives))
+    per_row = layout.soft and bool(layout.bucketed)
+    out = long.groupBy(*KEYS, "fi", F.expr(f"{order} AS ord"), *cats).agg(
+        *span, *layout.sums(soft=per_row, negatives=negatives))
     extra = [] if layout.bucketed else ["ord AS vmin", "ord AS vmax"]
     if not layout.categorical:
         extra.append("cast(NULL AS string) AS cat")
-    return out.selectExpr("*", *extra)
+    out = out.selectExpr("*", *extra)
+    if layout.soft and not per_row:  # equal values have equal memberships: weigh the counts
+        counts = layout.crisp_stats if layout.task == "class" else ["n"]
+        out = out.withColumn("num", F.col("ord")).selectExpr("*", f"{layout.masses} AS m").selectExpr(
+            "*", *[f"{c} * m AS g{c[1:]}" for c in counts]).drop("m", "num")
+    return out
 
 
 def _with_rest(df: DataFrame, layout: Layout) -> DataFrame:
@@ -148,12 +156,13 @@ def prefix_sums(sums: DataFrame, layout: Layout) -> DataFrame:
 
 
 def score(prefixed: DataFrame, layout: Layout) -> DataFrame:
-    """Add ``gain``; keep valid candidates (both sides non-empty, gain defined)."""
+    """Add ``gain``, NULL where the candidate is not valid (a side is empty, gain undefined).
+
+    Invalid candidates are not filtered here: a filter would be pushed below the
+    projections and repeat their long expressions.
+    """
     gain = layout.gain.score(layout.side("a_"), layout.side("h_"), layout.side("r_"))
-    return (
-        prefixed.filter("(vmin IS NOT NULL OR cat IS NOT NULL) AND r_n > 0")
-        .selectExpr("*", f"{gain} AS gain").filter("gain IS NOT NULL")
-    )
+    return prefixed.selectExpr("*", f"if((vmin IS NOT NULL OR cat IS NOT NULL) AND r_n > 0, {gain}, NULL) AS gain")
 
 
 def rank_key(layout: Layout) -> str:
@@ -165,14 +174,14 @@ def rank_key(layout: Layout) -> str:
     gain = "gain"
     if layout.task == "value":
         gain = f"coalesce(try_divide(gain, {impurity(layout.side('a_'), layout.gain.criterion)}), 0D)"
-    return f"struct(-round({gain}, {TIE_DIGITS}) AS k, fi, vmin, cat)"
+    return f"if(gain IS NULL, NULL, struct(-round({gain}, {TIE_DIGITS}) AS k, fi, vmin, cat))"
 
 
 def best_per_node(scored: DataFrame, layout: Layout) -> DataFrame:
     kept = ["gain", "fi", "vmin", "cat", *[f"{p}_{s}" for s in layout.crisp_stats for p in ("a", "h", "r")]]
     return (
         scored.selectExpr(*KEYS, f"struct({', '.join(kept)}) AS b", f"{rank_key(layout)} AS k")
-        .groupBy(*KEYS).agg(F.expr("min_by(b, k) AS b"), F.expr("min(k) AS k"))
+        .groupBy(*KEYS).agg(F.expr("min_by(b, k) AS b"), F.expr("min(k) AS k")).filter("k IS NOT NULL")
         .selectExpr(*KEYS, "k", "b.*")
     )
 
@@ -204,12 +213,12 @@ def alive_buckets(prefixed: DataFrame, found: DataFrame, layout: Layout) -> Data
     )
 
 
-def scan_buckets(long: DataFrame, alive: DataFrame, n_alive: int, layout: Layout) -> DataFrame:
+def scan_buckets(long: DataFrame, alive: DataFrame, listed: bool, layout: Layout) -> DataFrame:
     """Every value inside the given buckets as a scored candidate."""
     keys = [*KEYS, "fi", "bkt"]
     wanted = alive.select(*keys)
-    if n_alive <= BROADCAST_KEYS:
-        wanted = F.broadcast(wanted)
+    if listed:
+        wanted, alive = F.broadcast(wanted), F.broadcast(alive)
     values = (
         long.join(wanted, keys, "left_semi")
         .groupBy(*keys, F.col("num").alias("vmin"))
@@ -231,21 +240,20 @@ def best_splits(rows: DataFrame, layout: Layout) -> list:
     if not layout.bucketed:
         return best_per_node(score(prefixed, layout), layout).collect()
     prefixed = prefixed.persist(StorageLevel.MEMORY_AND_DISK)
-    alive = None
     try:
         best = {tuple(r[k] for k in KEYS): r for r in best_per_node(score(prefixed, layout), layout).collect()}
         found = spark.createDataFrame([(*key, float(r["gain"])) for key, r in best.items()],
                                       "model int, node bigint, floor_gain double")
-        alive = alive_buckets(prefixed, found, layout).persist(StorageLevel.MEMORY_AND_DISK)
-        n_alive = alive.count()
-        if n_alive:
-            inner = best_per_node(scan_buckets(long, alive, n_alive, layout), layout).collect()
-            for r in inner:
+        alive = alive_buckets(prefixed, found, layout)
+        few = alive.limit(LISTED_BUCKETS + 1).collect()
+        if few:
+            listed = len(few) <= LISTED_BUCKETS
+            if listed:
+                alive = spark.createDataFrame(few, alive.schema)
+            for r in best_per_node(scan_buckets(long, alive, listed, layout), layout).collect():
                 key = tuple(r[k] for k in KEYS)
                 if key not in best or _order_of(r) < _order_of(best[key]):
                     best[key] = r
         return list(best.values())
     finally:
         prefixed.unpersist()
-        if alive is not None:
-            alive.unpersist()

@@ -14,7 +14,7 @@ from softgrove.functions.draws import draw_hash, draw_unit
 from softgrove.functions.losses import LOSSES
 from softgrove.functions.sqltext import name, num
 from softgrove.operators.splits import Layout
-from softgrove.plans.frame import FuzzySetMap, ModelSpec, training_rows, value_edges
+from softgrove.plans.frame import FuzzySetMap, ModelSpec, masses_sql, training_rows, value_edges
 from softgrove.plans.grow import grow
 from softgrove.plans.route import Forest, Node, Tree, leaf_values
 from softgrove.plans.score import is_small, summed_leaves, tree_sql
@@ -72,13 +72,14 @@ def fit_boosted_models(df: DataFrame, spec: BoostSpec, models: Sequence[ModelSpe
     edges = value_edges(df, tree.features, tree.categorical, tree.direct_limit)
     cats = frozenset(i for i, f in enumerate(tree.features) if f in set(tree.categorical))
     layout = Layout(tuple(tree.features), "value", width, gain, cats,
-                    frozenset(i for i, f in enumerate(tree.features) if f in edges))
+                    frozenset(i for i, f in enumerate(tree.features) if f in edges),
+                    masses_sql(tree.features, variants, models) if variants else "0D")
     source = df
     keep: list[str] = []
     if spec.n_iter_no_change is not None:
         source = source.withColumn("__held", draw_unit(draw_hash(spec.key, "validation", spec.seed)) < spec.validation_fraction)
         keep = ["__held"]
-    rows = training_rows(source, tree.features, tree.categorical, targets, models, variants, weights, edges, keep)
+    rows = training_rows(source, tree.features, tree.categorical, targets, models, weights, edges, keep)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     base = rows
     loss = LOSSES[spec.loss_name]

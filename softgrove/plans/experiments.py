@@ -94,7 +94,7 @@ def cross_validate(df: DataFrame, spec: TreeSpec, key: Sequence[str], configs: S
     todo = trials(len(configs), n_repeats, n_folds)
     models = [ModelSpec(t.model, configs[t.config].variant, configs[t.config].features) for t in todo]
     weighted = folded.withColumn("mw", F.expr(trial_weights(todo, n_repeats, n_folds, len(configs), False)))
-    forest, coding = fit_forest(weighted, spec, models, variants, "mw")
+    forest, coding = fit_forest(weighted, spec, models, variants, "mw", df)
     elapsed = (time.time() - started) / len(todo)
     if spec.task == "class":
         target = "yi"

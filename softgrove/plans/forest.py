@@ -75,5 +75,5 @@ def fit_bagged(df: DataFrame, spec: ForestSpec) -> ForestModel:
         weighted = df.withColumn("mw", F.expr(every))
     else:
         weighted = bootstrap_array(df, spec.key, spec.n_estimators, spec.seed, spec.bootstrap)
-    forest, coding = fit_forest(weighted, tree, models, variants, "mw")
+    forest, coding = fit_forest(weighted, tree, models, variants, "mw", df)
     return ForestModel(spec, [forest[t] for t in sorted(forest)], coding)

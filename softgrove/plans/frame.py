@@ -9,7 +9,6 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from softgrove.functions.membership import mass_sql
 from softgrove.functions.sqltext import clean_number, name, num
 from softgrove.operators.splits import DIRECT_LIMIT
 
@@ -43,9 +42,30 @@ def feature_arrays(features: Sequence[str], categorical: Sequence[str]) -> dict[
     return out
 
 
-def mass_array(features: Sequence[str], sets: FuzzySetMap) -> str:
-    """Membership mass per feature position; features without fuzzy sets weigh 0."""
-    return f"array({', '.join(mass_sql(f, sets[f]) if f in sets else '0D' for f in features)})"
+def per_model(models: Sequence[ModelSpec], value_of) -> str:
+    """SQL constant of a model; a plain literal when all models share it."""
+    values = {m.model: value_of(m) for m in models}
+    if len(set(values.values())) == 1:
+        return next(iter(values.values()))
+    return f"get(array({', '.join(values.get(i, 'NULL') for i in range(max(values) + 1))}), model)"
+
+
+def masses_sql(features: Sequence[str], variants: Sequence[FuzzySetMap], models: Sequence[ModelSpec]) -> str:
+    """Membership mass of value ``num`` of feature ``fi`` for ``model``, 0 without fuzzy sets.
+
+    Centroids and widths sit in array literals addressed by variant and feature,
+    so the expression is as short for many features as for one.
+    """
+    offset = per_model(models, lambda m: "cast(NULL AS int)" if m.variant is None else str(m.variant * len(features)))
+    size = max(len(s) for v in variants for s in v.values())
+
+    def table(part: int, j: int) -> str:
+        cells = [num(v[f][j][part]) if f in v and j < len(v[f]) else "cast(NULL AS double)"
+                 for v in variants for f in features]
+        return f"get(array({', '.join(cells)}), {offset} + fi)"
+
+    terms = [f"coalesce(greatest(0D, 1D - abs(num - {table(0, j)}) / {table(1, j)}), 0D)" for j in range(size)]
+    return f"if(num IS NULL OR {offset} IS NULL, 0D, {' + '.join(terms)})"
 
 
 def value_edges(df: DataFrame, features: Sequence[str], categorical: Sequence[str],
@@ -58,14 +78,15 @@ def value_edges(df: DataFrame, features: Sequence[str], categorical: Sequence[st
     numeric = [f for f in features if f not in set(categorical)]
     if not numeric:
         return {}
-    clean = df.selectExpr(*[f"{clean_number(f)} AS v{i}" for i, f in enumerate(numeric)])
-    seen = clean.agg(*[F.approx_count_distinct(f"v{i}").alias(f"v{i}") for i in range(len(numeric))]).first()
-    many = {i: seen[f"v{i}"] for i in range(len(numeric)) if seen[f"v{i}"] > direct_limit}
+    values = ", ".join(clean_number(f) for f in numeric)
+    seen = df.selectExpr(f"posexplode(array({values})) AS (fi, v)").groupBy("fi").agg(
+        F.approx_count_distinct("v").alias("d")).collect()
+    many = {r["fi"]: r["d"] for r in seen if r["d"] > direct_limit}
     if not many:
         return {}
     n_buckets = {i: int(min(MAX_BUCKETS, max(MIN_BUCKETS, 4 * d // direct_limit))) for i, d in many.items()}
-    sketch = clean.selectExpr(*[
-        f"percentile_approx(v{i}, array({', '.join(num(j / b) for j in range(1, b))}), {10 * b}) AS v{i}"
+    sketch = df.selectExpr(*[
+        f"percentile_approx({clean_number(numeric[i])}, array({', '.join(num(j / b) for j in range(1, b))}), {10 * b}) AS v{i}"
         for i, b in n_buckets.items()]).first()
     inf = float("inf")
     return {numeric[i]: [-inf, *sorted(set(sketch[f"v{i}"])), inf] for i in many}
@@ -84,18 +105,15 @@ def add_buckets(df: DataFrame, features: Sequence[str], edges: Mapping[str, list
 
 
 def training_rows(df: DataFrame, features: Sequence[str], categorical: Sequence[str], targets: Mapping[str, Column],
-                  models: Sequence[ModelSpec], variants: Sequence[FuzzySetMap] = (),
-                  weights: str | None = None, edges: Mapping[str, list[float]] | None = None,
+                  models: Sequence[ModelSpec], weights: str | None = None, edges: Mapping[str, list[float]] | None = None,
                   keep: Sequence[str] = ()) -> DataFrame:
-    """Rows with ``model, w, x [, xc, xb, xm], fs`` and the targets.
+    """Rows with ``model, w, x [, xc, xb], fs`` and the targets.
 
     ``weights`` names an ``array<struct<model int, w bigint>>`` column giving the
     models each row takes part in; without it every row feeds model 0 once.
     """
     # w is DOUBLE: class weights are squared later, which would overflow BIGINT on huge tables
     cols = {**feature_arrays(features, categorical), **targets}
-    if variants:
-        cols["__xms"] = F.expr(f"array({', '.join(mass_array(features, v) for v in variants)})")
     base = df
     if edges:
         base = add_buckets(base, features, edges)
@@ -107,18 +125,5 @@ def training_rows(df: DataFrame, features: Sequence[str], categorical: Sequence[
         base = base.select(*extra, *picked, F.inline(F.filter(weights, lambda s: s["w"] > 0))) \
             .withColumn("w", F.col("w").cast("double"))
     every = list(range(len(features)))
-
-    def per_model(value_of) -> str:
-        """Constant per model; a plain literal when all models share it."""
-        values = {m.model: value_of(m) for m in models}
-        if len(set(values.values())) == 1:
-            return next(iter(values.values()))
-        return f"get(array({', '.join(values.get(i, 'NULL') for i in range(max(values) + 1))}), model)"
-
-    sets = per_model(lambda m: f"array({', '.join(map(str, m.features or every))})")
-    base = base.selectExpr("*", f"{sets} AS fs")
-    if variants:
-        pick = per_model(lambda m: "cast(NULL AS int)" if m.variant is None else str(m.variant))
-        none = f"array({', '.join('0D' for _ in every)})"
-        base = base.selectExpr("*", f"coalesce(get(__xms, {pick}), {none}) AS xm").drop("__xms")
-    return base
+    sets = per_model(models, lambda m: f"array({', '.join(map(str, m.features or every))})")
+    return base.selectExpr("*", f"{sets} AS fs")

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from softgrove.operators.manyclass import applies, best_splits_many
 from softgrove.operators.splits import Layout, best_splits
 from softgrove.plans.route import Forest, Node, to_open_nodes
 
@@ -46,20 +47,34 @@ def root_stats(rows: DataFrame, layout: Layout) -> dict[int, list[float]]:
     return {r["model"]: [r[s] for s in layout.crisp_stats] for r in found}
 
 
+def class_counts(rows: DataFrame, layout: Layout) -> dict[tuple[int, int], list[float]]:
+    """Class weights of every (model, node); map-side combined, one row per node and class."""
+    out: dict[tuple[int, int], list[float]] = {}
+    for r in rows.groupBy("model", "node", "yi").agg(F.expr("sum(w) AS c")).collect():
+        out.setdefault((r["model"], r["node"]), [0.0] * layout.width)[r["yi"]] = r["c"]
+    return out
+
+
 def grow(rows: DataFrame, layout: Layout, rules: StopRules, models: Sequence[int],
-         search: Callable[[DataFrame, Layout], list] = best_splits) -> Forest:
+         search: Callable[[DataFrame, Layout], list] | None = None) -> Forest:
     """Level-wise growth: every job scores all open nodes of all models at once.
 
     Rows carry no state between levels; their node follows from the splits found
     so far, so a lost executor costs one re-read and the plan does not lengthen.
-    The sums of a node come with its parent's split, those of a root with its own.
+    The sums of a node come with its parent's split, those of a root with its own;
+    with many classes they are counted by one more (narrow) job per level.
     """
+    many = search is None and applies(layout)
+    search = search or (best_splits_many if many else best_splits)
 
     def is_open(stats: list[float], depth: int) -> bool:
         return (depth <= rules.max_depth and node_count(stats, layout) >= max(rules.min_samples_split, 2)
                 and _is_mixed(stats, layout))
 
     forest: Forest = {m: {1: Node(m, 1, 0, [], open=rules.max_depth >= 0)} for m in sorted(models)}
+    if many:
+        for m, stats in root_stats(rows, layout).items():
+            forest[m][1].stats, forest[m][1].open = stats, is_open(stats, 0)
     depth = 0
     while True:
         waiting = [n for t in forest.values() for n in t.values() if n.open]
@@ -70,10 +85,11 @@ def grow(rows: DataFrame, layout: Layout, rules: StopRules, models: Sequence[int
         found = search(to_open_nodes(rows, forest), layout)
         for n in waiting:
             n.open = False
+        born: list[Node] = []
         for r in found:
             tree = forest[r["model"]]
             at = tree[r["node"]]
-            if depth == 0:
+            if depth == 0 and not many:
                 at.stats = [r[f"a_{s}"] for s in layout.crisp_stats]
                 if not is_open(at.stats, 0):
                     continue
@@ -81,8 +97,15 @@ def grow(rows: DataFrame, layout: Layout, rules: StopRules, models: Sequence[int
                 continue
             at.fi, at.num, at.cat, at.gain = r["fi"], r["vmin"], r["cat"], r["gain"]
             for child, side in ((2 * at.node, "h"), (2 * at.node + 1, "r")):
-                stats = [r[f"{side}_{s}"] for s in layout.crisp_stats]
-                tree[child] = Node(at.model, child, at.depth + 1, stats, open=is_open(stats, at.depth + 1))
+                stats = [] if many else [r[f"{side}_{s}"] for s in layout.crisp_stats]
+                tree[child] = Node(at.model, child, at.depth + 1, stats,
+                                   open=many or is_open(stats, at.depth + 1))
+                born.append(tree[child])
+        if many and born:
+            counted = class_counts(to_open_nodes(rows, forest), layout)
+            for n in born:
+                n.stats = counted[(n.model, n.node)]
+                n.open = is_open(n.stats, n.depth)
         depth += 1
     bare = [m for m, t in forest.items() if not t[1].stats]
     if bare:  # roots without a single candidate

@@ -85,7 +85,7 @@ def _numeric_scores(rows: DataFrame, spec: MultiwaySpec, labels: Sequence) -> Da
 
     layout = Layout(spec.numeric, "class", len(labels), GainSpec("entropy", gain=ratio))
     scored = score(prefix_sums(candidate_sums(unroll(base, layout), layout), layout), layout)
-    return scored.selectExpr("node AS path", f"fi + {len(spec.features)} AS fi", "vmin AS threshold", "gain AS score")
+    return scored.filter("gain IS NOT NULL").selectExpr("node AS path", f"fi + {len(spec.features)} AS fi", "vmin AS threshold", "gain AS score")
 
 
 def fit_multiway(df: DataFrame, spec: MultiwaySpec) -> MultiwayModel:

@@ -12,7 +12,7 @@ from pyspark.storagelevel import StorageLevel
 from softgrove.functions.criteria import GainSpec
 from softgrove.functions.sqltext import name, num, value
 from softgrove.operators.splits import DIRECT_LIMIT, Layout
-from softgrove.plans.frame import FuzzySetMap, ModelSpec, training_rows, value_edges
+from softgrove.plans.frame import FuzzySetMap, ModelSpec, masses_sql, training_rows, value_edges
 from softgrove.plans.grow import StopRules, grow
 from softgrove.plans.route import Forest, Node, Tree
 from softgrove.plans.score import is_small, split_test, summed_leaves, tree_column
@@ -93,19 +93,24 @@ def leaf_label(node: Node, coding: Coding):
 
 
 def fit_forest(df: DataFrame, spec: TreeSpec, models: Sequence[ModelSpec], variants: Sequence[FuzzySetMap] = (),
-               weights: str | None = None, coding: Coding | None = None) -> tuple[Forest, Coding]:
-    """Train every model of ``models`` in the same level jobs."""
-    if coding is None:
-        coding = label_coding(df, spec.targets[0]) if spec.task == "class" else value_coding(df, spec.targets)
-    edges = value_edges(df, spec.features, spec.categorical, spec.direct_limit)
+               weights: str | None = None, source: DataFrame | None = None) -> tuple[Forest, Coding]:
+    """Train every model of ``models`` in the same level jobs.
+
+    ``source`` is the table without ``weights``, if weighting it is costly: labels and
+    value ranges are read from it.
+    """
+    source = df if source is None else source
+    coding = label_coding(source, spec.targets[0]) if spec.task == "class" else value_coding(source, spec.targets)
+    edges = value_edges(source, spec.features, spec.categorical, spec.direct_limit)
     gain = spec.gain_spec()
     if variants and not gain.soft:
         gain = replace(gain, soft=True)
     cats = frozenset(i for i, f in enumerate(spec.features) if f in set(spec.categorical))
     layout = Layout(tuple(spec.features), spec.task, coding.width, gain, cats,
-                    frozenset(i for i, f in enumerate(spec.features) if f in edges))
+                    frozenset(i for i, f in enumerate(spec.features) if f in edges),
+                    masses_sql(spec.features, variants, models) if variants and gain.soft else "0D")
     rows = training_rows(df, spec.features, spec.categorical, target_columns(coding, spec.targets), models,
-                         variants if gain.soft else (), weights, edges)
+                         weights, edges)
     if spec.task == "class":
         rows = rows.filter(F.col("yi") >= 0)
     if spec.cache:
