@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from softgrove.catalog.common import ORDERS_SQL, r, read, set_map
+from softgrove.catalog.common import ORDERS_SQL, orders_tier, r, read, set_map
 from softgrove.catalog.sampling import sql_bits
 from softgrove.catalog.sqlgen import TreeSql
 from softgrove.catalog.trees import _AMOUNT, FEATURES, _priced, orders_base
 from softgrove.functions import encode
 from softgrove.functions.membership import widths
 from softgrove.operators.fuzzify import FuzzySets
+from softgrove.plans.baselines import compare_baselines as run_baselines
 from softgrove.plans.boost import BoostSpec, fit_boosted
 from softgrove.plans.experiments import (Config, compare_modes as run_modes, cross_validate, cross_validate_boosted,
                                          grid_search)
@@ -165,8 +166,15 @@ def compare_boosting(spark, sf):
     return _score_view(out, ["acc_train", "acc_test"])
 
 
+def compare_baselines(spark, sf):
+    """Soft and crisp tree against Spark's own tree learners on a stratified sample of the orders."""
+    spec = TreeSpec(FEATURES, ("tier",), fuzzy_sets=set_map(*FEATURES), rules=TWO)
+    out = run_baselines(orders_tier(spark, sf), spec, ["o_orderkey"], "orders", 1000, n_folds=2, n_repeats=1, seed=7)
+    return out.select("model_name", "ds_name", "with_fuzzy_rules", "sn", "fold", r("acc_test").alias("acc_test"))
+
+
 QUERIES = {f.__name__: f for f in (
-    gbdt_regressor, gbdt_regressor_soft, gbdt_loss_curve, gbdt_classifier, gbdt_predict, forest_classifier,
+    compare_baselines, gbdt_regressor, gbdt_regressor_soft, gbdt_loss_curve, gbdt_classifier, gbdt_predict, forest_classifier,
     forest_regressor, forest_predict, forest_vote, forest_mean, cv_stump_accuracy, cv_regressor_mse, grid_mean_error,
     compare_modes, compare_boosting)}
 

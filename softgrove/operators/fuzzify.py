@@ -75,7 +75,7 @@ def lloyd_on_counts(df: DataFrame, starts: Mapping[str, Sequence[float]], varian
     first = [list(starts[f]) for f in feats]
     spread = [variances[f] for f in feats]
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("v")
         v, n = group["v"].to_numpy(), group["n"].to_numpy().astype(float)
         mass, weight = np.concatenate([[0.0], np.cumsum(v * n)]), np.concatenate([[0.0], np.cumsum(n)])

@@ -158,14 +158,28 @@ class BoostedModel:
         return scored.withColumn("probability", encode.softmax(F.col("__scores"))) \
             .withColumn(prediction, encode.argmax_decode(F.col("__scores"))).drop("__scores")
 
+    def steps(self) -> Column:
+        """``array<double>``: what each tree adds to the (first) score of a row."""
+        rates = [1.0] + [-self.spec.learning_rate] * (len(self.trees) - 1)
+        features = self.spec.tree.features
+        if is_small(self.trees):
+            parts = [tree_sql(t, features, lambda n, w=w: num(w * self._leaf(n)[0])) for w, t in zip(rates, self.trees)]
+            return F.expr(f"array({', '.join(parts)})")
+        place = {id(n): i for i, t in enumerate(self.trees) for n in t.values()}
+
+        def at_own_place(n: Node) -> list[float]:
+            return [self._leaf(n)[0] if i == place[id(n)] else 0.0 for i in range(len(self.trees))]
+
+        return summed_leaves(self.trees, features, self.spec.tree.categorical, at_own_place, len(self.trees), rates)
+
     def loss_curve(self, df: DataFrame) -> DataFrame:
         """Mean squared-error loss on a table after each round: ``round, loss``."""
-        y = F.expr(f"cast({name(self.spec.tree.targets[0])} AS double)")
-        f = [F.get(self.scores(i + 1), F.lit(0)) for i in range(len(self.trees))]
-        fn = LOSSES["least_squares"].value
-        sums = df.agg(*[F.avg(fn(y, c)).alias(f"r{i}") for i, c in enumerate(f)])
-        pairs = ", ".join(f"struct({i} AS round, r{i} AS loss)" for i in range(len(f)))
-        return sums.selectExpr(f"inline(array({pairs}))")
+        y = F.expr(f"cast({name(self.spec.tree.targets[0])} AS double)").alias("y")
+        scores = (f"inline(transform(sequence(0, {len(self.trees) - 1}), i -> struct(i AS round, "
+                  "aggregate(slice(steps, 1, i + 1), 0D, (a, b) -> a + b) AS f)))")
+        loss = LOSSES["least_squares"].value(F.col("y"), F.col("f"))
+        return df.select(y, self.steps().alias("steps")).selectExpr("y", scores).groupBy("round").agg(
+            F.avg(loss).alias("loss"))
 
 
 def fit_boosted(df: DataFrame, spec: BoostSpec) -> BoostedModel:
