@@ -12,8 +12,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Hex digits that form a hash bucket: 16**3 buckets of equal expected size per group.
-HASH_BUCKET_DIGITS = 3
+BUCKET_ROWS = 65_536
 ORDER_BUCKETS = 256
 SINGLE_WINDOW_ROWS = 65_536
 
@@ -27,14 +26,25 @@ def _number_in_buckets(df: DataFrame, keys: Sequence[str], bucket: str, order: S
     return numbered.drop("__before", bucket)
 
 
+def hash_digits(size: int) -> int:
+    """Hex digits of a hash that part ``size`` rows into buckets of about BUCKET_ROWS rows."""
+    digits = 2
+    while digits < 7 and size > BUCKET_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
 def hash_rank(df: DataFrame, hashed: str, keys: Sequence[str] = (), ties: Sequence[str] = (), out: str = "rank",
-              digits: int = HASH_BUCKET_DIGITS) -> DataFrame:
+              size: int = 0) -> DataFrame:
     """Position (1-based) of every row in the order of a hex hash, per group of ``keys``.
 
+    ``size`` is the number of rows of the largest group (or a bound); it sets how
+    many buckets are made, so that a bucket stays small however long the table is.
+
     A hash spreads its rows evenly over its own prefixes, so buckets stay equal
     even when one group holds most rows.
     """
-    bucketed = df.withColumn("__bucket", F.substring(hashed, 1, digits))
+    bucketed = df.withColumn("__bucket", F.substring(hashed, 1, hash_digits(size)))
     group = list(keys) or ["__all"]
     if not keys:
         bucketed = bucketed.withColumn("__all", F.lit(1))

@@ -26,7 +26,7 @@ def sample_without_replacement(df: DataFrame, key: Sequence[str], n_subsets: int
         raise ValueError(f"a sample of {n_rows} rows needs as many rows, the table has {size}")
     spread = df.withColumn("subset", F.explode(F.sequence(F.lit(0), F.lit(n_subsets - 1))))
     hashed = spread.withColumn("__h", draw_hash(key, F.col("subset"), seed))
-    ranked = hash_rank(hashed, "__h", ["subset"], key, "__rank")
+    ranked = hash_rank(hashed, "__h", ["subset"], key, "__rank", size)
     return ranked.filter(F.col("__rank") <= n_rows).drop("__h", "__rank")
 
 
@@ -42,7 +42,7 @@ def bootstrap_weights(df: DataFrame, key: Sequence[str], n_subsets: int, n_rows:
     n_rows = size if n_rows is None else n_rows
     if size == 0:
         return df.select(*key, F.lit(0).alias("subset"), F.lit(0).cast("bigint").alias("w"))
-    placed = hash_rank(df.select(*key).withColumn("__h", draw_hash(key, "row", seed)), "__h", (), key, "__pos")
+    placed = hash_rank(df.select(*key).withColumn("__h", draw_hash(key, "row", seed)), "__h", (), key, "__pos", size)
     draws = spark.range(n_rows * n_subsets).select(
         F.expr(f"cast(id div {n_rows} as int)").alias("subset"),
         (draw_int(draw_hash([F.expr(f"id % {n_rows}")], F.expr(f"cast(id div {n_rows} as int)"), seed), size) + 1)
@@ -83,7 +83,7 @@ def kfold(df: DataFrame, key: Sequence[str], n_folds: int, n_repeats: int = 1, s
     if not exact:
         return hashed.withColumn("fold", draw_int(F.col("__h"), n_folds).cast("int")).drop("__h")
     size = df.count()
-    ranked = hash_rank(hashed, "__h", ["repeat"], key, "__rank")
+    ranked = hash_rank(hashed, "__h", ["repeat"], key, "__rank", size)
     return ranked.withColumn("fold", tile(F.col("__rank"), size, n_folds)).drop("__h", "__rank")
 
 
@@ -106,9 +106,10 @@ def fold_array(df: DataFrame, key: Sequence[str], n_folds: int, n_repeats: int,
 
 def holdout(df: DataFrame, key: Sequence[str], test_fraction: float, seed: int = 0) -> DataFrame:
     """Add ``is_test``; exactly ceil(fraction * rows) rows are test rows."""
-    n_test = math.ceil(test_fraction * df.count())
+    size = df.count()
+    n_test = math.ceil(test_fraction * size)
     hashed = df.withColumn("__h", draw_hash(key, "holdout", seed))
-    ranked = hash_rank(hashed, "__h", (), key, "__rank")
+    ranked = hash_rank(hashed, "__h", (), key, "__rank", size)
     return ranked.withColumn("is_test", F.col("__rank") <= n_test).drop("__h", "__rank")
 
 
@@ -127,7 +128,7 @@ def stratified_sample(df: DataFrame, key: Sequence[str], label: str, n_rows: int
         .withColumn("__take", F.when(F.col("__size") <= n_rows, F.col("__n"))
                     .otherwise(F.col("__base") + F.when(F.row_number().over(order) <= F.col("__left"), 1).otherwise(0)))
     hashed = df.withColumn("__h", draw_hash(key, "strata", seed))
-    ranked = hash_rank(hashed, "__h", [label], key, "__rank")
+    ranked = hash_rank(hashed, "__h", [label], key, "__rank", df.count())
     return (
         ranked.join(quota.select(label, "__take"), label)
         .filter(F.col("__rank") <= F.col("__take"))

@@ -21,6 +21,12 @@ from softgrove.plans.frame import FuzzySetMap, ModelSpec, feature_arrays
 from softgrove.plans.route import Forest, leaf_values
 from softgrove.plans.tree import Coding, TreeSpec, fit_forest, leaf_label, leaf_mean, target_columns
 
+# Names of the comparison modes in result tables. The first one is
+# used with 3, 4 and 5 sets.
+FEATURE_MODE = "f{size}_ds_vs_orig_ds"
+SOFT_TREE_MODE = "fdt_vs_nfdt"
+BOOSTING_MODE = "fgbdt_vs_nfgbdt"
+
 TRIAL_SCHEMA = "model int, config int, repeat int, fold int"
 
 
@@ -177,9 +183,9 @@ def membership_modes(df: DataFrame, spec: TreeSpec, sizes: Sequence[int] = (3, 4
             wide = renamed.withColumnsRenamed({f"dm_{f}_{j}": f"ff{s}_{f}_{j}" for j in range(len(sets_of))})
             features += [f"ff{s}_{f}_{j}" for j in range(len(sets_of))]
         configs.append(Config(features=(*range(len(base)), *range(start, len(features)))))
-        modes.append((f"f{s}_ds_vs_orig_ds", len(configs) - 1))
+        modes.append((FEATURE_MODE.format(size=s), len(configs) - 1))
     configs.append(Config(variant=0, features=tuple(range(len(base)))))
-    modes.append(("fdt_vs_nfdt", len(configs) - 1))
+    modes.append((SOFT_TREE_MODE, len(configs) - 1))
     rows = [(m, fuzzy, c if fuzzy else 0) for m, c in modes for fuzzy in (True, False)]
     return wide, replace(spec, features=tuple(features), fuzzy_sets=None), [fitted[soft_size].sets], configs, rows
 
@@ -199,7 +205,7 @@ def compare_modes(df: DataFrame, spec: TreeSpec, key: Sequence[str], ds_name: st
     if boosting is not None:
         fits = cross_validate_boosted(df, boosting, key, [Config(variant=0), Config()], variants, n_folds, n_repeats, seed)
         out = out.unionByName(
-            fits.withColumn("comparison_mode", F.lit("fgbdt_vs_nfgbdt"))
+            fits.withColumn("comparison_mode", F.lit(BOOSTING_MODE))
             .withColumn("with_fuzzy_rules", F.col("config") == 0).drop("config"))
     return out.withColumnRenamed("repeat", "sn").withColumn("ds_name", F.lit(ds_name)).select(
         "comparison_mode", "ds_name", "with_fuzzy_rules", "sn", "fold", "acc_test", "acc_train", "elapsed_time")
