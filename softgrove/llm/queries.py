@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softgrove.llm import exact_dedup, mixing, packing
+from softgrove.llm import exact_dedup, mixing, packing, quality
 from softgrove.llm.common import read
 
 #: Folder of the public tokenizer files; a parameter of the installation.
@@ -29,6 +29,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    return quality.assess(docs, model).select(
+        "doc_id", *[F.col(f"__quality.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines",
+                                                               "n_repeat_words", "base_failed", "kept", "score")])
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
@@ -38,6 +46,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
+    "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
 }
 
