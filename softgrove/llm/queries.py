@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softgrove.llm import exact_dedup, mixing, packing, quality
+from softgrove.llm import exact_dedup, mixing, packing, quality, secret_scan
 from softgrove.llm.common import read
 
 #: Folder of the public tokenizer files; a parameter of the installation.
@@ -18,6 +18,14 @@ def tokenizer_file(name: str) -> str:
     return f"{TOKENIZERS}/{name}"
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secrets(read(spark, sf_dir, "documents"))
+    kinds = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
+             for k, name in enumerate(secret_scan.KINDS[:3])]
+    return found.select(F.col("id").alias("doc_id"), *kinds, F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"),
+                        secret_scan.listed(F.col("spans")).alias("spans"), "n_live", "n_examples")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.membership(read(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
@@ -44,6 +52,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
     "op9_quality_rules": op9_quality_rules,
