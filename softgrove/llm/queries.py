@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softgrove.llm import exact_dedup, mixing, packing, quality, secret_scan
+from softgrove.llm import exact_dedup, mixing, packing, quality, secret_scan, simhash_dedup
 from softgrove.llm.common import read
 
 #: Folder of the public tokenizer files; a parameter of the installation.
@@ -26,6 +26,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secret_scan.listed(F.col("spans")).alias("spans"), "n_live", "n_examples")
 
 
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                        F.col("keep_id").alias("component_id"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.membership(read(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
@@ -53,6 +59,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op5_simhash_dedup": op5_simhash_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
     "op9_quality_rules": op9_quality_rules,
