@@ -18,15 +18,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one that ``spark.checkpoint.dir`` names."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared checkpoint folder and read back.
+    """Write once to the shared folder and read back.
 
     Cuts lineage, survives lost executors, and gives the optimiser the true
     size, so it broadcasts the table only when that is below its threshold.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softgrove.llm import exact_dedup, mixing, packing, quality, secret_scan, simhash_dedup
-from softgrove.llm.common import read
+from softgrove.llm import exact_dedup, mixing, packing, quality, secret_scan, simhash_dedup, warc
+from softgrove.llm.common import read, scratch_path, written
 
 #: Folder of the public tokenizer files; a parameter of the installation.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -43,6 +43,20 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(warc.records(read(spark, sf_dir, "pages")), path)
+    taken = warc.captures(warc.read_archives(spark, path))
+    page_id = F.regexp_extract(F.decode("metadata.block", "utf-8"), r"page-id: (-?\d+)", 1)
+    taken = written(taken.select(
+        F.when(page_id != "", page_id.cast("long")).alias("page_id"), "response.payload_bytes",
+        "response.payload_digest", F.col("response.type").alias("record_type"), F.col("response.record_id").alias("own"),
+        F.col("response.refers_to").alias("target")), "captures")
+    first = taken.filter("record_type = 'response'").select(
+        F.col("own").alias("target"), F.col("page_id").alias("refers_to")).distinct()
+    return taken.join(first, "target", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality.fit(docs, read(spark, sf_dir, "labels"))
@@ -62,6 +76,7 @@ QUERIES = {
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
+    "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
 }
@@ -72,6 +87,16 @@ ORACLES = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op8_warc": """
+        WITH p AS (
+          SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+          FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to
+        FROM f
+    """,
     "op10_mixing": r"""
         WITH d AS (
           SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
