@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softgrove.llm import exact_dedup, mixing, packing, quality, secret_scan, simhash_dedup, warc
+from softgrove.llm import exact_dedup, language_id, mixing, packing, quality, secret_scan, simhash_dedup, warc
 from softgrove.llm.common import read, scratch_path, written
 
 #: Folder of the public tokenizer files; a parameter of the installation.
@@ -18,6 +18,13 @@ def tokenizer_file(name: str) -> str:
     return f"{TOKENIZERS}/{name}"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = language_id.fit(docs, ~held_out)
+    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "__language.*")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secrets(read(spark, sf_dir, "documents"))
     kinds = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
@@ -72,6 +79,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_exact_dedup": op6_exact_dedup,
