@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softgrove.llm import exact_dedup, language_id, mixing, packing, quality, secret_scan, simhash_dedup, warc
+from softgrove.llm import exact_dedup, language_id, line_dedup, mixing, packing, quality, secret_scan, simhash_dedup, token_counts, warc
 from softgrove.llm.common import read, scratch_path, written
 
 #: Folder of the public tokenizer files; a parameter of the installation.
@@ -33,6 +33,17 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secret_scan.listed(F.col("spans")).alias("spans"), "n_live", "n_examples")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_groups(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "line_no", "kept", F.col("first.id").alias("first_doc_id"),
+                        F.col("first.line_no").alias("first_line_no"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -81,6 +92,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_token_counts": op4_token_counts,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
