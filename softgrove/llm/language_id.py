@@ -173,10 +173,11 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
         top = part.limit(max_grams if order else max_words).collect()  # bounded by the parameters
         if not top:
             continue
-        n = np.array([[r["by"].get(k, 0) for k in languages] for r in top], float) + SMOOTHING
+        n = np.array([[r["by"].get(k, 0) for k in languages] for r in top], float)
         for r in top:
             index[("\0" if order else "") + r["gram"]] = len(index)
-        values.append(np.log(n / n.sum(0)))
+        size = np.maximum(n.sum(0), 1)  # an entry that a language lacks weighs the same for all languages
+        values.append(np.log(n / size + SMOOTHING / size.max()))
     scores = np.concatenate(values) if values else np.zeros((0, len(languages)))
     return LanguageModel(languages, index, scores, longest)
 

@@ -27,10 +27,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secrets(read(spark, sf_dir, "documents"))
-    kinds = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
-             for k, name in enumerate(secret_scan.KINDS[:3])]
-    return found.select(F.col("id").alias("doc_id"), *kinds, F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"),
-                        secret_scan.listed(F.col("spans")).alias("spans"), "n_live", "n_examples")
+    n = {name: secret_scan.n_of(F.col("base"), kind).alias(f"n_{name}")
+         for kind, name in enumerate(secret_scan.KINDS[:3])}
+    return found.select(
+        F.col("id").alias("doc_id"), n["assign"], n["access"], n["hex"],
+        F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"), "n_live", "n_examples")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,6 +101,10 @@ def ownership(spans: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
 
 
+def n_of(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     name = F.array(*[F.lit(k) for k in KINDS])

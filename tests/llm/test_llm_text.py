@@ -1,0 +1,312 @@
+"""Language, secrets, token counts, packing, quality, mixing and archives."""
+
+import hashlib
+import math
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from llm_cases import LONG, SF, awkward, documents, empty
+from softgrove.llm import language_id, mixing, packing, quality, secret_scan, token_counts, warc
+from softgrove.llm.common import scratch_path
+from softgrove.llm.queries import tokenizer_file
+
+SF001 = "/root/testdata/sf0.01"
+
+
+def test_op1_held_out_accuracy(spark):
+    got = {r["doc_id"]: r for r in entry.queries()["op1_language_id"](spark, SF001).collect()}
+    rows = documents(SF001)
+    assert len(got) == len(rows)
+    held = [(got[d]["lang_pred"], lang) for d, _, lang, _ in rows if got[d]["held_out"]]
+    assert len(held) > 150 and np.mean([a == b for a, b in held]) > 0.98
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_language_awkward(spark):
+    docs = awkward(spark)
+    got = language_id.identify(docs, language_id.fit(docs, F.lit(True), min_count=1))
+    assert got.columns == [*docs.columns, "__language"]
+    by = {r["doc_id"]: r["__language"]["lang_pred"] for r in got.filter("doc_id IS NOT NULL").collect()}
+    assert by[3] == by[4] == by[6] == by[13] == "und" and by[8] == "de" and by[1] == "en" and by[9] == "en"
+    nothing = language_id.identify(docs, language_id.fit(empty(spark), F.lit(True)))
+    assert {r[0] for r in nothing.select("__language.lang_pred").distinct().collect()} == {"und"}
+    assert language_id.identify(empty(spark), language_id.fit(docs, F.lit(True))).count() == 0
+
+
+def test_language_backoff():
+    model = language_id.LanguageModel(("x", "y"), {"known": 0, "\0unse": 1, "\0q": 2},
+                                      np.array([[-1.0, -5.0], [-6.0, -2.0], [-1.0, -9.0]]), 4)
+    scorer = language_id.Scorer(model)
+    assert scorer.predict("known")[0] == "x"
+    assert scorer.predict("unseen")[0] == "y"  # by its longest known n-gram
+    assert scorer.predict("qq")[0] == "x"  # by single characters
+    assert scorer.predict("known unseen unseen")[0] == "y"
+    assert scorer.predict(None) == scorer.predict("²³ 12") == ("und", 0.0)
+
+
+ASSIGN = re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A)
+
+
+def plain_spans(text):
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+def test_op2_base_spans(spark):
+    got = {r["doc_id"]: r for r in entry.queries()["op2_secret_scan"](spark, SF001).collect()}
+    rows = documents(SF001)
+    assert len(got) == len(rows)
+    for d, text, _, _ in rows:
+        want = plain_spans(text)
+        joined = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in want)
+        r = got[d]
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x for _, k, _ in want) for x in range(3))
+        assert set(joined.split(",")) - {""} <= set(r["spans"].split(","))
+    assert sum(r["n_assign"] for r in got.values())
+
+
+def test_secret_ownership(spark):
+    live, copied = "Zk3vQ9xLm2Rt7Wp4Bn8Yc1Df", "Ab1Cd2Ef3Gh4Ij5Kl6Mn7Op8"
+    rows = [(k, f"é use {copied} here", f"owner{k}") for k in range(4)]
+    rows += [(10, f"key {live}", "solo"), (11, f"again {live}", "solo"), (12, "password: password: abc", "solo"),
+             (13, "SECRET='aaaaaa' token=bbbbbb", "solo"), (14, None, None), (14, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = secret_scan.secrets(docs).collect()
+    assert len(out) == len(rows)
+    spans = {r["id"]: [(s["kind"], s["start"], s["end"], s["n_owners"], s["n_repos"], s["live"]) for s in r["spans"]] for r in out}
+    assert spans[0] == [] and spans[14] == []
+    assert spans[10] == [(3, 4, 28, 1, 2, True)] and spans[11] == [(3, 6, 30, 1, 2, True)]
+    assert spans[12] == [(0, 0, 18, 1, 1, True)]  # the first match takes the second key word as its value
+    assert [s[:3] for s in spans[13]] == [(0, 0, 14), (0, 16, 28)]
+    assert secret_scan.secrets(empty(spark)).count() == 0
+    assert secret_scan.secrets(awkward(spark)).count() == 18
+
+
+def plain_tokens(word, vocab):
+    best = [(0.0, 0)] + [(-math.inf, 0)] * len(word)
+    for end in range(1, len(word) + 1):
+        for start in range(end):
+            if word[start:end] in vocab.scores:
+                score, n = best[start][0] + vocab.scores[word[start:end]], best[start][1] + 1
+                if score > best[end][0] or score == best[end][0] and n < best[end][1]:
+                    best[end] = (score, n)
+    return best[-1][1]
+
+
+def test_op4_against_each_word_alone(spark):
+    vocab = token_counts.vocabulary(tokenizer_file("byte_bpe_50k.tiktoken"))
+    known = {}
+    for r in entry.queries()["op4_token_counts"](spark, SF).collect():
+        known[r["doc_id"]] = (r["n_pre_tokens"], r["n_tokens"])
+    rows = documents()
+    assert len(known) == len(rows)
+    memo = {}
+    for d, text, _, _ in rows[::4]:
+        words = [b" " + w for w in text.encode().split()]
+        assert known[d] == (len(words), sum(memo.setdefault(w, plain_tokens(w, vocab)) for w in words))
+
+
+def test_token_counts_share_prefixes(spark):
+    vocab = token_counts.Vocabulary({bytes([c]): -3.0 for c in b" abcd"} | {b"ab": -4.0, b"abc": -5.0, b" a": -2.0, b"bcd": -4.5})
+    words = [b" abcd", b" abc", b" a", b" abcdab", b"", b" " + b"ab" * 40]
+    assert token_counts.terminals(words, vocab) == {w: plain_tokens(w, vocab) for w in words}
+    assert token_counts.terminals([b" " + b"ab" * 50_000], vocab)
+    out = {r["id"]: r["n_tokens"] for r in token_counts.token_counts(awkward(spark), tokenizer_file("byte_bpe_50k.tiktoken")).collect()}
+    assert out[3] == out[4] == out[6] == 0 and out[9] == out[10] > 60_000 // 2
+    assert token_counts.token_counts(empty(spark), tokenizer_file("byte_bpe_50k.tiktoken")).count() == 0
+
+
+def whole_ids(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    return [e.ids + [1] for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+ODD = ["a  b", " lead", "trail ", "x\n\ny", "tab\tb", "a \nb", "it's 12,3 é b <|endoftext|> z", "don't  \n", "　x y",
+       "a\x1cb c", "x​y", "one.two, three.", "Ünï.", "nul\x00 word", "日本 語。", "\U0001f600 ok", "", "a"]
+
+
+def test_packing_round_trip(spark):
+    texts = [t for _, t, _, _ in documents()][:120] + ODD + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = packing.pack(docs, tokenizer_file("byte_bpe_50k.json")).collect()
+    by = {}
+    for r in out:
+        assert len(r["ids"]) == 4 * r["length"] and r["length"] == 1 << r["bucket"] <= 2048 and r["offset"] == 0
+        by.setdefault(r["id"], []).append((r["start"], r["length"], r["ids"], r["doc_tokens"]))
+    assert len({r["sequence_id"] for r in out}) == len(out)
+    for k, want in enumerate(whole_ids([t or "" for t in texts])):
+        ids = b"".join(p[2] for p in sorted(by[k]))
+        assert np.frombuffer(ids, "<u4").tolist() == want
+        assert {p[3] for p in by[k]} == {len(want)} and len(by[k]) <= len(want) // 2048 + 11
+
+
+def test_packing_awkward(spark, tmp_path):
+    path = tokenizer_file("byte_bpe_50k.json")
+    out = packing.pack(awkward(spark), path)
+    n = out.groupBy("id").agg(F.sum("length").alias("n")).filter("id IN (3, 4, 5)").collect()
+    assert [r["n"] for r in n] == [1, 1, 1]
+    assert packing.pack(empty(spark), path).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(awkward(spark), path, longest=100)
+    packing.write_buckets(out, f"{tmp_path}/packed")
+    again = spark.read.parquet(f"{tmp_path}/packed")
+    assert again.filter(F.pow(F.lit(2), F.col("bucket")) != F.col("length")).count() == 0
+    assert again.count() == out.count()
+
+
+def plain_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = [tuple(words[k:k + 8]) for k in range(len(words) - 7)]
+    times = {}
+    for w in windows:
+        times[w] = times.get(w, 0) + 1
+    covered = {k + x for k, w in enumerate(windows) if times[w] > 1 for x in range(8)}
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(covered)
+
+
+@pytest.mark.parametrize("text", [None, "", "a b a b a b a b a b a b", "x " * 9, "é b c d", "l m\nl m\n \nl m\r", LONG[:4000],
+                                  "# $ %%", "a b c d e f g h i a b c d e f g h", "\x0b\x0c \x1c y"])
+def test_quality_counts(text):
+    assert quality.counts(text)[:5] == plain_counts(text)
+
+
+def test_op9_against_brute_force(spark):
+    got = {r["doc_id"]: r for r in entry.queries()["op9_quality_rules"](spark, SF001).collect()}
+    rows = documents(SF001)
+    assert len(got) == len(rows)
+    for d, text, _, _ in rows:
+        n, chars, symbols, dup, repeat = plain_counts(text)
+        r = got[d]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, dup, repeat)
+        assert r["base_failed"] == (n < 20 or 100 * repeat > 30 * n)
+        assert not (r["kept"] and r["base_failed"])
+    labels = spark.read.parquet(f"{SF001}/labels.parquet").collect()
+    good = [got[r["doc_id"]] for r in labels if r["quality"] == 1]
+    bad = [got[r["doc_id"]] for r in labels if r["quality"] == 0]
+    assert np.mean([r["kept"] for r in good if not r["base_failed"]]) > 0.99
+    assert np.mean([r["kept"] for r in bad]) < 0.2
+
+
+def test_quality_without_labels(spark):
+    docs = awkward(spark)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    odd = spark.createDataFrame([(None, 1, 0), (1, None, 0), (1, 1, 0), (1, 0, 0), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    out = quality.assess(docs, quality.fit(docs, none))
+    assert out.columns == [*docs.columns, "__quality"]
+    rows = [r["__quality"] for r in out.collect()]
+    assert all(r["kept"] == (not r["base_failed"]) for r in rows)
+    quality.fit(docs, odd)
+    assert quality.assess(empty(spark), quality.fit(empty(spark), none)).count() == 0
+
+
+def test_calibration():
+    good, bad = np.array([0.1, 0.2, 0.3, 0.9]), np.array([0.5, 0.6, 0.95])
+    assert 0.3 <= quality.calibrate(good, bad, 0.25) < 0.5
+    assert quality.calibrate(good, bad, 0.0) >= 0.9
+    assert quality.calibrate(good, np.zeros(0), 0.1) == math.inf
+
+
+def plain_targets(sizes, weights, share, most):
+    """Fill, cut at the caps, share out again until none is above."""
+    budget, target, full = share * sum(sizes.values()), {}, set()
+    while True:
+        open_ = {s: weights[s] for s in sizes if s not in full}
+        left = budget - sum(most * sizes[s] for s in full)
+        target = {s: most * sizes[s] if s in full else left * w / sum(open_.values()) for s, w in {**weights, **open_}.items()}
+        over = {s for s in open_ if target[s] > most * sizes[s] + 1e-9}
+        if not over:
+            return target
+        full |= over
+
+
+def test_op10_targets_and_counts(spark):
+    got = entry.queries()["op10_mixing"](spark, SF001).collect()
+    rows = documents(SF001)
+    size = {d: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for d, t, _, _ in rows}
+    source = {d: s for d, _, _, s in rows}
+    totals = {}
+    for d, s in source.items():
+        totals[s] = totals.get(s, 0) + size[d]
+    want = plain_targets(totals, {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted(totals))}, 1.5, 2.0)
+    taken = dict.fromkeys(totals, 0)
+    assert len(got) == len(rows)
+    for r in got:
+        s = source[r["doc_id"]]
+        assert r["size"] == size[r["doc_id"]] and r["source_size"] == totals[s]
+        assert r["target"] == pytest.approx(want[s])
+        assert 0 <= r["taken"] <= 2 * r["size"] and (not r["size"] or r["taken"] % r["size"] == 0)
+        taken[s] += r["taken"]
+    largest = max(size.values())
+    assert all(abs(taken[s] - want[s]) <= max(largest, 0.02 * want[s]) for s in totals)
+
+
+@pytest.mark.parametrize("cell_rows", [1, 5, 20_000])
+def test_mixing_awkward(spark, cell_rows):
+    docs = awkward(spark)
+    mixed = mixing.mix(docs, cell_rows=cell_rows)
+    assert mixed.count() == docs.count()
+    out = mixing.emitted(mixed)
+    assert out.columns == docs.columns
+    assert out.count() == mixed.agg(F.sum("__copies")).first()[0]
+    assert mixed.filter("__copies > 2 OR __copies < 0").count() == 0
+    a, b = (sorted(map(repr, mixing.mix(docs, cell_rows=cell_rows).collect())) for _ in range(2))
+    assert a == b
+
+
+def test_mixing_without_words(spark):
+    docs = spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")
+    assert [r["__copies"] for r in mixing.mix(docs).collect()] == [0, 0]
+    assert mixing.mix(empty(spark)).count() == 0
+
+
+def test_archives_awkward(spark):
+    same = "x" * 200
+    odd = "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 5
+    rows = [(1, "u", same), (2, "u2", same), (2, "u2", same), (5, None, None), (6, "a\nb", odd), (None, "n", same),
+            (7, "é", "é" * 60), (8, "x", "é" * 60), (9, "y", "s"), (10, "z", "s"), (11, "long", LONG)]
+    pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, digest string")
+    path = scratch_path(spark, "warc-test")
+    warc.write_archives(warc.records(pages), path, records_per_file=4)
+    recs = warc.read_archives(spark, path)
+    assert recs.count() == 3 * len(rows)
+    out = warc.captures(recs).select(
+        "response.*", F.decode("metadata.block", "utf-8").alias("page"), F.decode("request.block", "utf-8").alias("asked")).collect()
+    assert len(out) == len(rows) and all(r["asked"].startswith("GET ") for r in out)
+    by = {r["page"].strip(): r for r in out}
+    first = by["page-id: 1"]
+    assert first["type"] == "response" and by["page-id: 2"]["refers_to"] == first["record_id"]
+    assert by["page-id: 2"]["payload_bytes"] == 200 and by["page-id: 2"]["payload_digest"] == first["payload_digest"]
+    assert by["page-id: 8"]["type"] == "revisit" and by["page-id: 10"]["type"] == "response"
+    assert by["page-id: 5"]["payload_bytes"] == 0 and by[""]["type"] == "revisit"
+    assert bytes(by["page-id: 6"]["block"]).endswith(odd.encode())
+    assert by["page-id: 6"]["payload_digest"] == hashlib.sha256(odd.encode()).hexdigest()
+    assert by["page-id: 11"]["payload_bytes"] == len(LONG)
+
+
+def test_archives_empty_and_gzip(spark, tmp_path):
+    import gzip
+
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    path = scratch_path(spark, "warc-none")
+    warc.write_archives(warc.records(none), path)
+    assert warc.captures(warc.read_archives(spark, path)).count() == 0
+    one = [r["value"].encode() + b"\r\n\r\n" for r in warc.records(
+        spark.createDataFrame([(1, "u", "<p>é</p>")], "page_id long, url string, html string")).collect()]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(map(gzip.compress, one)))
+    got = warc.captures(warc.read_archives(spark, str(tmp_path))).collect()
+    assert len(got) == 1 and got[0]["response"]["payload_bytes"] == 9
