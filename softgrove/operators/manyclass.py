@@ -3,7 +3,9 @@
 Gini and entropy depend on the class masses c of a side only through its total
 and the sum of f(c), with f(c) = c^2 or c log2 c. Going down the values, a row of
 class y changes one term of that sum, from f(C_y - c) to f(C_y). Two running sums
-(per class, then over all) replace one running sum per class.
+(per class, then over all) replace one running sum per class. With value buckets
+both are made in two steps, over buckets and inside them. A category is compared
+with the class totals of its node and needs no running sum.
 """
 
 from __future__ import annotations
@@ -34,38 +36,81 @@ SEPARABLE = {
 
 def applies(layout: Layout) -> bool:
     return (layout.task == "class" and layout.width > WIDE_CLASSES and layout.gain.gain is None
-            and layout.gain.criterion in SEPARABLE and not layout.categorical and not layout.bucketed)
-
-
-def _terms(mass: str, tag: str, layout: Layout) -> tuple[list[str], list[str], list[str]]:
-    """Expressions of the three steps for one kind of mass (rows or memberships)."""
+            and layout.gain.criterion in SEPARABLE)
+
+
+def _running(df: DataFrame, part: list[str], masses: dict[str, str], bucketed: bool) -> DataFrame:
+    """Adds, for each ``out: mass``, the sum of ``mass`` over all values down to the row's (``out``) and over all
+    (``all_out``), per group ``part``.
+
+    With buckets, the sums of whole buckets are added up first and joined, so that a
+    window holds one bucket; without, a group has few values.
+    """
+    every = ", ".join(part)
+    if not bucketed:
+        return df.selectExpr("*", *[
+            e for out, mass in masses.items() for e in (
+                f"sum({mass}) OVER (PARTITION BY {every} ORDER BY ord DESC NULLS LAST) AS {out}",
+                f"sum({mass}) OVER (PARTITION BY {every}) AS all_{out}")])
+    whole = df.groupBy(*part, "b").agg(*[F.expr(f"sum({mass}) AS in_{out}") for out, mass in masses.items()])
+    before = f"OVER (PARTITION BY {every} ORDER BY b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    whole = whole.selectExpr(*part, "b", *[
+        e for out in masses for e in (f"coalesce(sum(in_{out}) {before}, 0D) AS before_{out}",
+                                      f"sum(in_{out}) OVER (PARTITION BY {every}) AS all_{out}")])
+    inside = f"OVER (PARTITION BY {every}, b ORDER BY ord DESC NULLS LAST)"
+    return df.join(whole, [*part, "b"]).selectExpr(
+        "*", *[f"before_{out} + sum({mass}) {inside} AS {out}" for out, mass in masses.items()]) \
+        .drop(*[f"before_{out}" for out in masses])
+
+
+def _numeric(long: DataFrame, layout: Layout, tags: dict[str, str]) -> DataFrame:
+    """Candidates "value >= v": totals and sums of terms of the passing side and of the node, for each kind of mass."""
     f, _ = SEPARABLE[layout.gain.criterion]
-    part = f"PARTITION BY {', '.join(KEYS)}, fi"
-    down = f"OVER ({part}, yi ORDER BY ord DESC NULLS LAST ROWS UNBOUNDED PRECEDING)"
-    first = [f"sum({mass}) {down} AS run{tag}", f"sum({mass}) OVER ({part}, yi) AS all{tag}"]
-    left = f"greatest(0D, all{tag} - run{tag})"
-    second = [f"{f(f'run{tag}')} - {f(f'greatest(0D, run{tag} - {mass})')} AS up{tag}",
-              f"{f(left)} - {f(f'{left} + {mass}')} AS down{tag}"]
-    peers = f"OVER ({part} ORDER BY ord DESC NULLS LAST)"  # rows of equal value count together
-    third = [f"sum({mass}) {peers} AS h_{tag}", f"sum(up{tag}) {peers} AS hs_{tag}",
-             f"sum(down{tag}) {peers} AS ds_{tag}",
-             f"sum({mass}) OVER ({part}) AS a_{tag}", f"sum(up{tag}) OVER ({part}) AS as_{tag}"]
-    return first, second, third
-
-
-def best_splits_many(rows: DataFrame, layout: Layout) -> list:
-    """Best split per (model, node) with the totals (not the class sums) of both sides."""
-    _, mass_impurity = SEPARABLE[layout.gain.criterion]
-    hist = unroll(rows, layout).groupBy(*KEYS, "fi", F.col("num").alias("ord"), "yi").agg(F.expr("sum(w) AS c"))
-    steps = _terms("c", "n", layout)
-    if layout.soft:
+    bucket = "if(num IS NULL, -1, coalesce(bkt, 0))" if layout.bucketed else "0"
+    hist = long.groupBy(*KEYS, "fi", F.col("num").alias("ord"), F.expr(f"{bucket} AS b"), "yi").agg(F.expr("sum(w) AS c"))
+    if "g" in tags:
         hist = hist.withColumn("num", F.col("ord")).selectExpr("*", f"c * {layout.masses} AS g").drop("num")
-        steps = tuple(a + b for a, b in zip(steps, _terms("g", "g", layout)))
-    for added in steps:
-        hist = hist.selectExpr("*", *added)
-    tags = ["n", "g"] if layout.soft else ["n"]
-    rest = [f"if(a_{t} - h_{t} <= 1e-12D * a_{t}, 0D, a_{t} - h_{t}) AS r_{t}" for t in tags]
-    hist = hist.selectExpr("*", *rest, *[f"greatest(0D, as_{t} + ds_{t}) AS rs_{t}" for t in tags])
+    group = [*KEYS, "fi"]
+    hist = _running(hist, [*group, "yi"], {f"run_{t}": mass for t, mass in tags.items()}, bool(layout.bucketed))
+    changed = []
+    for t, mass in tags.items():
+        run, left = f"run_{t}", f"greatest(0D, all_run_{t} - run_{t})"
+        changed += [f"{f(run)} - {f(f'greatest(0D, {run} - {mass})')} AS up_{t}", f"{f(left)} - {f(f'{left} + {mass}')} AS down_{t}"]
+    hist = hist.selectExpr("*", *changed)
+    sums = {out: mass for t, own in tags.items()
+            for out, mass in ((f"h_{t}", own), (f"hs_{t}", f"up_{t}"), (f"ds_{t}", f"down_{t}"))}
+    hist = _running(hist, group, sums, bool(layout.bucketed))
+    return hist.selectExpr(*group, "ord AS vmin", "cast(NULL AS string) AS cat",
+                           *[f"{x}_{t}" for t in tags for x in ("h", "hs", "ds")],
+                           *[e for t in tags for e in (f"all_h_{t} AS a_{t}", f"all_hs_{t} AS as_{t}")])
+
+
+def _categories(long: DataFrame, layout: Layout, tags: dict[str, str]) -> DataFrame:
+    """Candidates "equals this category", by grouping and a join with the class totals; no window."""
+    f, _ = SEPARABLE[layout.gain.criterion]
+    group = [*KEYS, "fi"]
+    hist = long.groupBy(*group, "cat", "yi").agg(F.expr("sum(w) AS c"))
+    classes = hist.groupBy(*group, "yi").agg(F.sum("c").alias("all_c"))
+    whole = classes.groupBy(*group).agg(F.sum("all_c").alias("a_n"), F.expr(f"sum({f('all_c')}) AS as_n"))
+    values = hist.join(classes, [*group, "yi"]).groupBy(*group, "cat").agg(
+        F.sum("c").alias("h_n"), F.expr(f"sum({f('c')}) AS hs_n"),
+        F.expr(f"sum({f('greatest(0D, all_c - c)')} - {f('all_c')}) AS ds_n"))
+    none = [f"0D AS {x}_{t}" for t in tags if t != "n" for x in ("h", "hs", "ds", "a", "as")]  # texts have no membership
+    return values.join(whole, group).selectExpr("*", "cast(NULL AS double) AS vmin", *none)
+
+
+def many_candidates(rows: DataFrame, layout: Layout) -> DataFrame:
+    """Every candidate of every node: ``KEYS, fi, vmin, cat, a_n, h_n, r_n, gain`` (NULL where it is not valid)."""
+    _, mass_impurity = SEPARABLE[layout.gain.criterion]
+    tags = {"n": "c", "g": "g"} if layout.soft else {"n": "c"}
+    long = unroll(rows, layout)
+    if not layout.categorical:
+        found = _numeric(long, layout, tags)
+    else:
+        texts = F.col("fi").isin(sorted(layout.categorical))
+        found = _numeric(long.filter(~texts), layout, tags).unionByName(_categories(long.filter(texts), layout, tags))
+    found = found.selectExpr("*", *[f"if(a_{t} - h_{t} <= 1e-12D * a_{t}, 0D, a_{t} - h_{t}) AS r_{t}" for t in tags],
+                             *[f"greatest(0D, as_{t} + ds_{t}) AS rs_{t}" for t in tags])
 
     def children(t: str) -> str:
         return f"({mass_impurity(f'h_{t}', f'hs_{t}')} + {mass_impurity(f'r_{t}', f'rs_{t}')}) / a_{t}"
@@ -74,11 +119,16 @@ def best_splits_many(rows: DataFrame, layout: Layout) -> list:
     gain = f"{parent} - {children('n')}"
     if layout.soft:
         gain = f"if(a_g > 0, if(h_g > 0 AND r_g > 0, {parent} - {children('g')}, NULL), {gain})"
+    return found.selectExpr(*KEYS, "fi", "vmin", "cat", "a_n", "h_n", "r_n",
+                            f"if((vmin IS NOT NULL OR cat IS NOT NULL) AND r_n > 0, {gain}, NULL) AS gain")
+
+
+def best_splits_many(rows: DataFrame, layout: Layout) -> list:
+    """Best split per (model, node) with the totals (not the class sums) of both sides."""
     return (
-        hist.selectExpr(*KEYS, "fi", "ord AS vmin", "a_n", "h_n", "r_n",
-                        f"if(ord IS NOT NULL AND r_n > 0, {gain}, NULL) AS gain")
-        .selectExpr(*KEYS, "struct(gain, fi, vmin, cast(NULL AS string) AS cat, a_n, h_n, r_n) AS b",
-                    f"if(gain IS NULL, NULL, struct(-round(gain, {TIE_DIGITS}) AS k, fi, vmin)) AS k")
+        many_candidates(rows, layout)
+        .selectExpr(*KEYS, "struct(gain, fi, vmin, cat, a_n, h_n, r_n) AS b",
+                    f"if(gain IS NULL, NULL, struct(-round(gain, {TIE_DIGITS}) AS k, fi, vmin, cat)) AS k")
         .groupBy(*KEYS).agg(F.expr("min_by(b, k) AS b"), F.expr("min(k) AS k")).filter("k IS NOT NULL")
         .selectExpr(*KEYS, "b.*").collect()
     )

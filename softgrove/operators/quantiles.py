@@ -1,4 +1,4 @@
-"""Exact quantiles and summaries per group from distributed ranks."""
+"""Exact quantiles and summaries per group from counted values."""
 
 from __future__ import annotations
 
@@ -7,17 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from softgrove.operators.ranks import value_rank
+from softgrove.operators.joins import null_safe_join
+from softgrove.operators.ranks import running_total
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Linearly interpolated quantiles per group; no task holds a whole group."""
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = value_rank(df.where(F.col(value).isNotNull()).select(*keys, value), value, keys, "__rank")
-    joined = ranked.join(sizes, list(keys))
+    """Linearly interpolated quantiles per group that has a value.
+
+    Equal values are counted first, so a frequent value is one row; the running
+    counts are made in value buckets, so no task holds a whole group.
+    """
+    keys = list(keys)
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c")).persist()
+    try:
+        n_rows = counted.count()
+    finally:
+        counted.unpersist()
+    sizes = counted.groupBy(*keys).agg(F.sum("__c").alias("__n"))
+    joined = null_safe_join(running_total(counted, value, "__c", keys, "__upto", n_rows), sizes, keys)
 
     def at(position: Column) -> Column:
-        return F.max(F.when(F.col("__rank") == position, F.col(value)))
+        return F.max(F.when((F.col("__upto") - F.col("__c") < position) & (position <= F.col("__upto")), F.col(value)))
 
     aggs = []
     for name, p in probs.items():
@@ -31,8 +41,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
 
 
 def describe(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """count, mean, std (sample), min, quartiles, max per group."""
+    """count, mean, std (sample), min, quartiles, max per group; a group without values has NULL statistics."""
     v = F.col(value)
     plain = df.groupBy(*keys).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
                                   F.min(v).alias("min"), F.max(v).alias("max"))
-    return plain.join(exact_quantiles(df, keys, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75}), list(keys))
+    return null_safe_join(plain, exact_quantiles(df, keys, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75}), keys, "left")

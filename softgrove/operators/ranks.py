@@ -1,7 +1,9 @@
-"""Ranks and row numbers over whole tables without one task seeing them all.
+"""Ranks, running totals and hash thresholds over whole tables without one task seeing them all.
 
 Rows are counted per order bucket, the bucket counts are summed up to offsets,
-and rows are numbered inside their bucket only. The big side is shuffled once.
+and rows are numbered inside their bucket only. Where only the rows before a cut
+are wanted, just the buckets that hold a cut are ranked, and all other rows are
+compared with the hash found there, without any shuffle of the table.
 """
 
 from __future__ import annotations
@@ -12,17 +14,25 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from softgrove.operators.joins import null_safe_join
+
 BUCKET_ROWS = 65_536
-ORDER_BUCKETS = 256
-SINGLE_WINDOW_ROWS = 65_536
+MAX_CUTS = 9_999  # points of one sketch
+# Buckets with a cut up to which they are sent along with the scan; more are joined by shuffle.
+BROADCAST_CUTS = 200_000
+
+
+def _offsets(df: DataFrame, keys: Sequence[str], bucket: str, weight) -> DataFrame:
+    """Total ``weight`` of the buckets before each bucket (``__before``) and in it (``__n``)."""
+    sizes = df.groupBy(*keys, bucket).agg(F.sum(weight).alias("__n"))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
 
 
 def _number_in_buckets(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], out: str) -> DataFrame:
-    sizes = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, bucket, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     inside = Window.partitionBy(*keys, bucket).orderBy(*order)
-    numbered = df.join(offsets, [*keys, bucket]).withColumn(out, F.col("__before") + F.row_number().over(inside))
+    offsets = _offsets(df, keys, bucket, F.lit(1)).drop("__n")
+    numbered = null_safe_join(df, offsets, [*keys, bucket]).withColumn(out, F.col("__before") + F.row_number().over(inside))
     return numbered.drop("__before", bucket)
 
 
@@ -45,26 +55,58 @@ def hash_rank(df: DataFrame, hashed: str, keys: Sequence[str] = (), ties: Sequen
     even when one group holds most rows.
     """
     bucketed = df.withColumn("__bucket", F.substring(hashed, 1, hash_digits(size)))
-    group = list(keys) or ["__all"]
-    if not keys:
-        bucketed = bucketed.withColumn("__all", F.lit(1))
-    ranked = _number_in_buckets(bucketed, group, "__bucket", [hashed, *ties], out)
-    return ranked if keys else ranked.drop("__all")
+    return _number_in_buckets(bucketed, list(keys), "__bucket", [hashed, *ties], out)
+
+
+def hash_thresholds(df: DataFrame, hashed: str, cuts: DataFrame, keys: Sequence[str] = (), size: int = 0) -> DataFrame:
+    """``cuts`` (keys, position, ...) with ``threshold``, the hash at that 1-based position of the group.
+
+    Positions beyond the group are left out. ``hashed`` is distinct within a group.
+    Rows are counted per hash prefix; only those in a bucket with a cut are ranked.
+    """
+    keys = list(keys)
+    bucketed = df.select(*keys, hashed, F.substring(hashed, 1, hash_digits(size)).alias("__bucket"))
+    offsets = _offsets(bucketed, keys, "__bucket", F.lit(1))
+    wanted = null_safe_join(offsets, cuts, keys) if keys else offsets.join(F.broadcast(cuts))  # cuts: some literals
+    wanted = wanted.filter("__before < position AND position <= __before + __n").drop("__n").persist()
+    try:
+        n = wanted.count()
+        buckets = wanted.select(*keys, "__bucket").distinct()
+        inside = null_safe_join(bucketed, F.broadcast(buckets) if n <= BROADCAST_CUTS else buckets, [*keys, "__bucket"])
+        rank = F.row_number().over(Window.partitionBy(*keys, "__bucket").orderBy(hashed))
+        ranked = inside.withColumn("__rank", rank).withColumnRenamed(hashed, "threshold")
+        found = null_safe_join(wanted.withColumn("__rank", F.col("position") - F.col("__before")), ranked,
+                               [*keys, "__bucket", "__rank"])
+        found = found.drop("__bucket", "__rank", "__before")
+        if n <= BROADCAST_CUTS:
+            return df.sparkSession.createDataFrame(found.collect(), found.schema)  # at most BROADCAST_CUTS rows
+        return found
+    finally:
+        wanted.unpersist()
+
+
+def value_buckets(df: DataFrame, value: str, out: str, n_rows: int) -> DataFrame:
+    """Adds ``out``: buckets of about BUCKET_ROWS rows in the order of a number (NaN last). Edges come from a sketch."""
+    staged = df.withColumn("__v", F.col(value).cast("double"))
+    n_buckets = min(MAX_CUTS + 1, -(-n_rows // BUCKET_ROWS))
+    if n_buckets < 2:
+        return staged.withColumn(out, F.lit(0.0)).drop("__v")
+    cuts = staged.agg(F.percentile_approx("__v", [j / n_buckets for j in range(1, n_buckets)], 10 * n_buckets)
+                      .alias("c")).first()["c"]
+    inf = float("inf")
+    edges = [-inf, *sorted({float(c) for c in cuts or [] if -inf < c < inf}), inf]
+    return Bucketizer(splits=edges, inputCol="__v", outputCol=out, handleInvalid="keep").transform(staged).drop("__v")
 
 
 def value_rank(df: DataFrame, value: str, keys: Sequence[str] = (), out: str = "rank") -> DataFrame:
     """Position (1-based) in the order of a numeric column with distinct values."""
-    n = df.count()
-    if n <= SINGLE_WINDOW_ROWS:
-        group = [F.col(k) for k in keys] or [F.lit(1)]
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(value)))
-    cuts = df.agg(F.percentile_approx(value, [j / ORDER_BUCKETS for j in range(1, ORDER_BUCKETS)],
-                                      10 * ORDER_BUCKETS).alias("c")).first()["c"]
-    edges = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
-    staged = df.withColumn("__v", F.col(value).cast("double"))
-    bucketed = Bucketizer(splits=edges, inputCol="__v", outputCol="__bucket").transform(staged).drop("__v")
-    group = list(keys) or ["__all"]
-    if not keys:
-        bucketed = bucketed.withColumn("__all", F.lit(1))
-    ranked = _number_in_buckets(bucketed, group, "__bucket", [value], out)
-    return ranked if keys else ranked.drop("__all")
+    return _number_in_buckets(value_buckets(df, value, "__bucket", df.count()), list(keys), "__bucket", [value], out)
+
+
+def running_total(df: DataFrame, value: str, weight: str, keys: Sequence[str], out: str, n_rows: int) -> DataFrame:
+    """Adds ``out``, the total ``weight`` up to and with the row, in the order of a distinct numeric column per group."""
+    bucketed = value_buckets(df, value, "__bucket", n_rows)
+    upto = Window.partitionBy(*keys, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    offsets = _offsets(bucketed, list(keys), "__bucket", F.col(weight)).drop("__n")
+    added = null_safe_join(bucketed, offsets, [*keys, "__bucket"])
+    return added.withColumn(out, F.col("__before") + F.sum(weight).over(upto)).drop("__before", "__bucket")

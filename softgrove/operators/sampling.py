@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from softgrove.functions.draws import DRAW_DIGITS, draw_hash, draw_int, draw_unit, poisson_one
-from softgrove.operators.ranks import hash_rank
+from softgrove.operators.joins import null_safe_join
+from softgrove.operators.ranks import BROADCAST_CUTS, hash_rank, hash_thresholds
 
 
 def row_key(columns: Sequence[str]) -> Column:
@@ -18,16 +20,24 @@ def row_key(columns: Sequence[str]) -> Column:
     return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).cast("binary"))
 
 
+def _literal_cuts(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
 def sample_without_replacement(df: DataFrame, key: Sequence[str], n_subsets: int, n_rows: int,
                                seed: int = 0) -> DataFrame:
-    """``n_subsets`` independent samples of ``n_rows`` distinct rows, numbered ``subset``."""
+    """``n_subsets`` independent samples of ``n_rows`` distinct rows, numbered ``subset``.
+
+    A sample is the rows up to a threshold of its own hash; the table is not shuffled.
+    """
     size = df.count()
     if n_rows > size:
         raise ValueError(f"a sample of {n_rows} rows needs as many rows, the table has {size}")
     spread = df.withColumn("subset", F.explode(F.sequence(F.lit(0), F.lit(n_subsets - 1))))
     hashed = spread.withColumn("__h", draw_hash(key, F.col("subset"), seed))
-    ranked = hash_rank(hashed, "__h", ["subset"], key, "__rank", size)
-    return ranked.filter(F.col("__rank") <= n_rows).drop("__h", "__rank")
+    cuts = _literal_cuts(df, [(s, n_rows) for s in range(n_subsets)], "subset int, position bigint")
+    last = hash_thresholds(hashed, "__h", cuts, ["subset"], size).select("subset", "threshold")
+    return hashed.join(F.broadcast(last), "subset").filter("__h <= threshold").drop("__h", "threshold")  # a row per subset
 
 
 def bootstrap_weights(df: DataFrame, key: Sequence[str], n_subsets: int, n_rows: int | None = None,
@@ -68,40 +78,43 @@ def bootstrap_array(df: DataFrame, key: Sequence[str], n_subsets: int, seed: int
     drawn = bootstrap_weights(df, key, n_subsets, None, seed)
     per_row = drawn.groupBy(*key).agg(
         F.collect_list(F.struct(F.col("subset").cast("int").alias("model"), F.col("w").cast("bigint").alias("w"))).alias(out))
-    return df.join(per_row, list(key))
+    return null_safe_join(df, per_row, key)
 
 
 def kfold(df: DataFrame, key: Sequence[str], n_folds: int, n_repeats: int = 1, seed: int = 0,
           exact: bool = True) -> DataFrame:
     """Shuffled k-fold per repeat: columns ``repeat`` and ``fold``.
 
-    Exact folds differ in size by at most one row; otherwise folds come from the
-    hash alone, without any shuffle.
+    Exact folds differ in size by at most one row; they are cut at thresholds of
+    the hash. Otherwise folds come from the hash alone. The table is not shuffled.
     """
-    spread = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))))
-    hashed = spread.withColumn("__h", draw_hash(key, F.col("repeat"), seed))
-    if not exact:
-        return hashed.withColumn("fold", draw_int(F.col("__h"), n_folds).cast("int")).drop("__h")
-    size = df.count()
-    ranked = hash_rank(hashed, "__h", ["repeat"], key, "__rank", size)
-    return ranked.withColumn("fold", tile(F.col("__rank"), size, n_folds)).drop("__h", "__rank")
+    folds = fold_array(df, key, n_folds, n_repeats, seed, "__folds", exact)
+    return folds.select(*df.columns, F.posexplode("__folds").alias("repeat", "fold"))
 
 
-def tile(rank: Column, size: int, parts: int) -> Column:
-    """Part (0-based) of a 1-based rank when ``size`` rows fill ``parts`` equal runs, larger ones first."""
+def fold_sizes(size: int, parts: int) -> list[int]:
+    """Rows of ``parts`` equal runs that ``size`` rows fill, larger ones first."""
     small, extra = divmod(size, parts)
-    edge = extra * (small + 1)
-    head = F.floor((rank - 1) / (small + 1))
-    tail = extra + F.floor((rank - 1 - edge) / max(small, 1))
-    return F.when(rank <= edge, head).otherwise(tail).cast("int")
+    return [small + (k < extra) for k in range(parts)]
 
 
 def fold_array(df: DataFrame, key: Sequence[str], n_folds: int, n_repeats: int, seed: int = 0,
-               out: str = "folds") -> DataFrame:
-    """Add ``array<int>``: the row's fold in every repeat (hash folds, no shuffle)."""
-    return df.withColumn(out, F.transform(
-        F.sequence(F.lit(0), F.lit(n_repeats - 1)),
-        lambda r: draw_int(draw_hash(key, r, seed), n_folds).cast("int")))
+               out: str = "folds", exact: bool = False) -> DataFrame:
+    """Add ``array<int>``: the row's fold in every repeat, from hashes and without a shuffle of the table."""
+    repeats = F.sequence(F.lit(0), F.lit(n_repeats - 1))
+    if not exact:
+        return df.withColumn(out, F.transform(repeats, lambda r: draw_int(draw_hash(key, r, seed), n_folds).cast("int")))
+    size = df.count()
+    hashed = df.select(*key).withColumn("repeat", F.explode(repeats)).withColumn("__h", draw_hash(key, F.col("repeat"), seed))
+    edges = list(accumulate(fold_sizes(size, n_folds)))[:-1]
+    cuts = _literal_cuts(df, [(r, e) for r in range(n_repeats) for e in edges if e], "repeat int, position bigint")
+    found = hash_thresholds(hashed, "__h", cuts, ["repeat"], size).collect()  # a row per repeat and fold
+    by_repeat: list[list[str]] = [[] for _ in range(n_repeats)]
+    for r in found:
+        by_repeat[r["repeat"]].append(r["threshold"])
+    last = F.array(*[F.array(*[F.lit(t) for t in sorted(x)]).cast("array<string>") for x in by_repeat])
+    return df.withColumn(out, F.zip_with(repeats, last, lambda r, cut: F.size(
+        F.filter(cut, lambda t: t < draw_hash(key, r, seed))).cast("int")))
 
 
 def holdout(df: DataFrame, key: Sequence[str], test_fraction: float, seed: int = 0) -> DataFrame:
@@ -109,14 +122,15 @@ def holdout(df: DataFrame, key: Sequence[str], test_fraction: float, seed: int =
     size = df.count()
     n_test = math.ceil(test_fraction * size)
     hashed = df.withColumn("__h", draw_hash(key, "holdout", seed))
-    ranked = hash_rank(hashed, "__h", (), key, "__rank", size)
-    return ranked.withColumn("is_test", F.col("__rank") <= n_test).drop("__h", "__rank")
+    cuts = _literal_cuts(df, [(n_test,)] if n_test else [], "position bigint")
+    found = hash_thresholds(hashed, "__h", cuts, (), size).first() if n_test else None
+    return hashed.withColumn("is_test", F.col("__h") <= F.lit(found["threshold"] if found else "")).drop("__h")
 
 
 def stratified_sample(df: DataFrame, key: Sequence[str], label: str, n_rows: int, seed: int = 0) -> DataFrame:
     """``n_rows`` rows with the class shares of the table (largest remainders, then smaller label).
 
-    A table of at most ``n_rows`` rows is returned whole.
+    A table of at most ``n_rows`` rows is returned whole; NULL is a class like the others.
     """
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     whole = Window.partitionBy(F.lit(1))
@@ -127,13 +141,12 @@ def stratified_sample(df: DataFrame, key: Sequence[str], label: str, n_rows: int
     quota = quota.withColumn("__left", F.lit(n_rows) - F.sum("__base").over(whole)) \
         .withColumn("__take", F.when(F.col("__size") <= n_rows, F.col("__n"))
                     .otherwise(F.col("__base") + F.when(F.row_number().over(order) <= F.col("__left"), 1).otherwise(0)))
+    quota = quota.select(label, F.col("__take").cast("bigint").alias("position")).filter("position > 0")
     hashed = df.withColumn("__h", draw_hash(key, "strata", seed))
-    ranked = hash_rank(hashed, "__h", [label], key, "__rank", df.count())
-    return (
-        ranked.join(quota.select(label, "__take"), label)
-        .filter(F.col("__rank") <= F.col("__take"))
-        .drop("__h", "__rank", "__take")
-    )
+    last = hash_thresholds(hashed, "__h", quota, [label], df.count()).select(label, "threshold")
+    few = last.count() <= BROADCAST_CUTS
+    return null_safe_join(hashed, F.broadcast(last) if few else last, [label]) \
+        .filter("__h <= threshold").drop("__h", "threshold")
 
 
 def feature_subspace(n_trees: int, n_features: int, max_features: int | None = None,

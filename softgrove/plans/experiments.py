@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from softgrove.functions.sqltext import name
 from softgrove.operators.fuzzify import FuzzySets
-from softgrove.operators.sampling import fold_array, kfold
+from softgrove.operators.sampling import fold_array
 from softgrove.plans.boost import BoostSpec, fit_boosted_models
 from softgrove.plans.frame import FuzzySetMap, ModelSpec, feature_arrays
 from softgrove.plans.route import Forest, leaf_values
@@ -53,11 +53,7 @@ def trials(n_configs: int, n_repeats: int, n_folds: int) -> list[Trial]:
 
 def with_folds(df: DataFrame, key: Sequence[str], n_folds: int, n_repeats: int, seed: int, exact: bool) -> DataFrame:
     """Add ``__folds``, the fold of the row in each repeat."""
-    if not exact:
-        return fold_array(df, key, n_folds, n_repeats, seed, "__folds")
-    folds = kfold(df.select(*key), key, n_folds, n_repeats, seed).groupBy(*key).agg(
-        F.expr("transform(array_sort(collect_list(struct(repeat, fold))), s -> s.fold) AS __folds"))
-    return df.join(folds, list(key))
+    return fold_array(df, key, n_folds, n_repeats, seed, "__folds", exact)
 
 
 def trial_weights(todo: Sequence[Trial], n_repeats: int, n_folds: int, n_configs: int, test: bool) -> str:

@@ -89,7 +89,7 @@ def value_edges(df: DataFrame, features: Sequence[str], categorical: Sequence[st
         f"percentile_approx({clean_number(numeric[i])}, array({', '.join(num(j / b) for j in range(1, b))}), {10 * b}) AS v{i}"
         for i, b in n_buckets.items()]).first()
     inf = float("inf")
-    return {numeric[i]: [-inf, *sorted(set(sketch[f"v{i}"])), inf] for i in many}
+    return {numeric[i]: [-inf, *sorted({v for v in sketch[f"v{i}"] if -inf < v < inf}), inf] for i in many}
 
 
 def add_buckets(df: DataFrame, features: Sequence[str], edges: Mapping[str, list[float]]) -> DataFrame:
@@ -112,18 +112,28 @@ def training_rows(df: DataFrame, features: Sequence[str], categorical: Sequence[
     ``weights`` names an ``array<struct<model int, w bigint>>`` column giving the
     models each row takes part in; without it every row feeds model 0 once.
     """
-    # w is DOUBLE: class weights are squared later, which would overflow BIGINT on huge tables
+    return expand_models(base_rows(df, features, categorical, targets, weights, edges, keep), features, models)
+
+
+def base_rows(df: DataFrame, features: Sequence[str], categorical: Sequence[str], targets: Mapping[str, Column],
+              weights: str | None = None, edges: Mapping[str, list[float]] | None = None,
+              keep: Sequence[str] = ()) -> DataFrame:
+    """One row per input row: features, targets and the array ``mw`` of the models it takes part in, if any."""
     cols = {**feature_arrays(features, categorical), **targets}
-    base = df
-    if edges:
-        base = add_buckets(base, features, edges)
+    base = add_buckets(df, features, edges) if edges else df
     extra = (["xb"] if edges else []) + list(keep)
     picked = [c.alias(name) for name, c in cols.items()]
-    if weights is None:
-        base = base.select(*extra, *picked, F.lit(models[0].model).alias("model"), F.lit(1.0).alias("w"))
+    return base.select(*extra, *picked, *([F.col(weights).alias("mw")] if weights else []))
+
+
+def expand_models(base: DataFrame, features: Sequence[str], models: Sequence[ModelSpec]) -> DataFrame:
+    """A row per (row, model); done inside each job, so that a cached base holds every row once."""
+    # w is DOUBLE: class weights are squared later, which would overflow BIGINT on huge tables
+    if "mw" not in base.columns:
+        rows = base.withColumns({"model": F.lit(models[0].model), "w": F.lit(1.0)})
     else:
-        base = base.select(*extra, *picked, F.inline(F.filter(weights, lambda s: s["w"] > 0))) \
-            .withColumn("w", F.col("w").cast("double"))
+        rest = [c for c in base.columns if c != "mw"]
+        rows = base.select(*rest, F.inline(F.filter("mw", lambda s: s["w"] > 0))).withColumn("w", F.col("w").cast("double"))
     every = list(range(len(features)))
     sets = per_model(models, lambda m: f"array({', '.join(map(str, m.features or every))})")
-    return base.selectExpr("*", f"{sets} AS fs")
+    return rows.selectExpr("*", f"{sets} AS fs")

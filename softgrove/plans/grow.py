@@ -12,8 +12,6 @@ from softgrove.operators.manyclass import applies, best_splits_many
 from softgrove.operators.splits import Layout, best_splits
 from softgrove.plans.route import Forest, Node, to_open_nodes
 
-MAX_HEAP_DEPTH = 61
-
 
 @dataclass(frozen=True)
 class StopRules:
@@ -80,15 +78,14 @@ def grow(rows: DataFrame, layout: Layout, rules: StopRules, models: Sequence[int
         waiting = [n for t in forest.values() for n in t.values() if n.open]
         if not waiting:
             break
-        if depth > MAX_HEAP_DEPTH - 1:
-            raise ValueError(f"trees deeper than {MAX_HEAP_DEPTH} levels have no BIGINT node ids; set max_depth")
+        by_id = {(n.model, n.id): n for n in waiting}
         found = search(to_open_nodes(rows, forest), layout)
         for n in waiting:
             n.open = False
         born: list[Node] = []
         for r in found:
             tree = forest[r["model"]]
-            at = tree[r["node"]]
+            at = by_id[r["model"], r["node"]]
             if depth == 0 and not many:
                 at.stats = [r[f"a_{s}"] for s in layout.crisp_stats]
                 if not is_open(at.stats, 0):
@@ -99,12 +96,12 @@ def grow(rows: DataFrame, layout: Layout, rules: StopRules, models: Sequence[int
             for child, side in ((2 * at.node, "h"), (2 * at.node + 1, "r")):
                 stats = [] if many else [r[f"{side}_{s}"] for s in layout.crisp_stats]
                 tree[child] = Node(at.model, child, at.depth + 1, stats,
-                                   open=many or is_open(stats, at.depth + 1))
+                                   open=many or is_open(stats, at.depth + 1), seq=len(tree))
                 born.append(tree[child])
         if many and born:
             counted = class_counts(to_open_nodes(rows, forest), layout)
             for n in born:
-                n.stats = counted[(n.model, n.node)]
+                n.stats = counted[(n.model, n.id)]
                 n.open = is_open(n.stats, n.depth)
         depth += 1
     bare = [m for m, t in forest.items() if not t[1].stats]

@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from softgrove.functions.criteria import GainSpec, crisp_gain
+from softgrove.functions.criteria import GainSpec
 from softgrove.functions.sqltext import clean_number, name
 from softgrove.operators.impurity import majority_label
+from softgrove.operators.manyclass import many_candidates
 from softgrove.operators.multiway import discrete_counts, feature_scores
-from softgrove.operators.splits import Layout, candidate_sums, prefix_sums, score, unroll
+from softgrove.operators.splits import Layout
+from softgrove.plans.frame import add_buckets, value_edges
 from softgrove.session import cut_lineage
 
 BROADCAST_SPLITS = 200_000
@@ -51,10 +53,13 @@ class MultiwayModel:
     def transform(self, df: DataFrame, prediction: str = "prediction") -> DataFrame:
         """Label of the deepest node reached; a value never seen stays at its parent."""
         out = df.withColumns({"__path": F.lit(""), "__label": F.lit(None).cast(self.nodes.schema["label"].dataType)})
+        sizes = {r["depth"]: r["count"] for r in self.nodes.groupBy("depth").count().collect()}  # a row per level
         for d in range(self.depth + 1):
             level = self.nodes.filter(F.col("depth") == d).select(
                 F.col("path").alias("__path"), F.col("feature").alias("__feature"),
                 F.col("threshold").alias("__threshold"), F.col("label").alias("__l"))
+            if sizes.get(d, 0) <= BROADCAST_SPLITS:  # all rows have the root's path, so a shuffle would make one task
+                level = F.broadcast(level)
             out = out.join(level, "__path", "left").withColumn("__label", F.coalesce("__l", "__label"))
             out = out.withColumn("__path", F.expr(_child_sql(self.spec, "__path", "__feature", "__threshold"))) \
                 .drop("__feature", "__threshold", "__l")
@@ -70,22 +75,17 @@ def _child_sql(spec: MultiwaySpec, path: str, feature: str, threshold: str) -> s
     return f"if({feature} IS NULL, NULL, concat({path}, '/', {feature}, CASE {feature} {texts} END))" if every else "NULL"
 
 
-def _numeric_scores(rows: DataFrame, spec: MultiwaySpec, labels: Sequence) -> DataFrame:
-    """Best binary split by gain ratio of every numeric feature at every node."""
-    known = F.array(*[F.lit(v) for v in labels])
+def _numeric_scores(rows: DataFrame, spec: MultiwaySpec, bucketed: frozenset[int]) -> DataFrame:
+    """Best binary split by gain ratio of every numeric feature at every node; any number of labels."""
     base = rows.select(
-        F.lit(0).alias("model"), F.col("path").alias("node"), F.lit(1.0).alias("w"),
-        (F.array_position(known, F.col(spec.target)) - 1).cast("int").alias("yi"),
+        F.lit(0).alias("model"), F.col("path").alias("node"), F.lit(1.0).alias("w"), F.col(spec.target).alias("yi"),
         F.expr(f"array({', '.join(clean_number(f) for f in spec.numeric)})").alias("x"),
-        F.expr(f"array({', '.join(map(str, range(len(spec.numeric))))})").alias("fs"))
-
-    def ratio(node, hit, rest, criterion):
-        p, q = f"({hit.n} / {node.n})", f"({rest.n} / {node.n})"
-        return f"({crisp_gain(node, hit, rest, criterion)} / (-{p} * log2({p}) - {q} * log2({q})))"
-
-    layout = Layout(spec.numeric, "class", len(labels), GainSpec("entropy", gain=ratio))
-    scored = score(prefix_sums(candidate_sums(unroll(base, layout), layout), layout), layout)
-    return scored.filter("gain IS NOT NULL").selectExpr("node AS path", f"fi + {len(spec.features)} AS fi", "vmin AS threshold", "gain AS score")
+        F.expr(f"array({', '.join(map(str, range(len(spec.numeric))))})").alias("fs"),
+        *(["xb"] if bucketed else []))
+    layout = Layout(spec.numeric, "class", 0, GainSpec("entropy"), bucketed=bucketed)
+    found = many_candidates(base, layout).filter("gain IS NOT NULL").selectExpr("*", "h_n / a_n AS p", "r_n / a_n AS q")
+    return found.selectExpr("node AS path", f"fi + {len(spec.features)} AS fi", "vmin AS threshold",
+                            "gain / (-p * log2(p) - q * log2(q)) AS score")
 
 
 def fit_multiway(df: DataFrame, spec: MultiwaySpec) -> MultiwayModel:
@@ -94,8 +94,11 @@ def fit_multiway(df: DataFrame, spec: MultiwaySpec) -> MultiwayModel:
         raise ValueError("numeric features need algo='c45'")
     every = (*spec.features, *spec.numeric)
     measure = {"id3": "gain", "c45": "gain_ratio"}[spec.algo]
-    labels = sorted(r[0] for r in df.select(spec.target).distinct().limit(257).collect()) if spec.numeric else []
+    edges = value_edges(df, spec.numeric, ()) if spec.numeric else {}
+    bucketed = frozenset(i for i, f in enumerate(spec.numeric) if f in edges)
     rows = df.select(*every, spec.target).filter(F.col(spec.target).isNotNull())
+    if edges:
+        rows = add_buckets(rows, spec.numeric, edges)
     rows = rows.withColumns({"path": F.lit(""), "used": F.expr("cast(array() AS array<int>)")})
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     names = F.array(*[F.lit(f) for f in every])
@@ -112,7 +115,7 @@ def fit_multiway(df: DataFrame, spec: MultiwaySpec) -> MultiwayModel:
                 ranked = feature_scores(counts, ["path"]).filter("n_values > 1").selectExpr(
                     "path", "fi", "cast(NULL AS double) AS threshold", f"{measure} AS score")
                 if spec.numeric:
-                    ranked = ranked.unionByName(_numeric_scores(current, spec, labels))
+                    ranked = ranked.unionByName(_numeric_scores(current, spec, bucketed))
                 order = F.struct((-F.round("score", TIE_DIGITS)).alias("k"), "fi", "threshold")
                 best = (
                     ranked.join(stats.select("path", "used", "n"), "path")

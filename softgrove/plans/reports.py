@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from softgrove.operators.joins import null_safe_join
 from softgrove.operators.quantiles import describe
 
 RESULT_KEYS = ("comparison_mode", "ds_name", "with_fuzzy_rules")
@@ -20,7 +21,7 @@ def with_group_mean(df: DataFrame, measures: Sequence[str], keys: Sequence[str]
     """Each row with the mean of its group: aggregate, then join the few group rows back,
     so that one big group does not end up in one task."""
     means = df.groupBy(*keys).agg(*[F.avg(m).alias(f"mean_{m}") for m in measures])
-    return df.join(means, list(keys))
+    return null_safe_join(df, means, keys)
 
 
 def results_mean(df: DataFrame, measures: Sequence[str], keys: Sequence[str] = RESULT_KEYS) -> DataFrame:

@@ -15,9 +15,17 @@ INLINE_NODES = 256
 BROADCAST_NODES = 200_000
 
 
+# Depth up to which a heap id is a BIGINT.
+HEAP_DEPTH = 61
+
+
 @dataclass
 class Node:
-    """A node; heap ids: root 1, passing child 2*id, other child 2*id+1."""
+    """A node; ``node`` is its heap number: root 1, passing child 2n, other child 2n+1, of any length.
+
+    Tables know it by ``id``: the heap number, or for deeper nodes a negative
+    number in the order of creation within the tree.
+    """
 
     model: int
     node: int
@@ -28,11 +36,21 @@ class Node:
     cat: str | None = None
     gain: float | None = None
     open: bool = False  # may still be split
+    seq: int = 0
 
     @property
     def is_leaf(self) -> bool:
         return self.fi is None
 
+    @property
+    def id(self) -> int:
+        return self.node if self.depth <= HEAP_DEPTH else -1 - self.seq
+
+    @property
+    def path(self) -> str:
+        """A digit per level: 0 for the passing side, 1 for the other."""
+        return f"{self.node:b}"[1:]
+
 
 Tree = dict[int, Node]
 Forest = dict[int, Tree]
@@ -48,7 +66,7 @@ def passes(fi: int, number: float | None, cat: str | None) -> str:
 def _open_node(tree: Tree, node: int) -> str:
     at = tree[node]
     if at.is_leaf:
-        return f"{node}L" if at.open else "cast(NULL AS bigint)"
+        return f"{at.id}L" if at.open else "cast(NULL AS bigint)"
     return f"if({passes(at.fi, at.num, at.cat)}, {_open_node(tree, 2 * node)}, {_open_node(tree, 2 * node + 1)})"
 
 
@@ -75,29 +93,28 @@ def _advance(rows: DataFrame, splits: list[tuple], how: str) -> DataFrame:
     BROADCAST_NODES and otherwise joined by shuffle.
     """
     table = rows.sparkSession.createDataFrame(
-        splits, "model int, node bigint, __fi int, __num double, __cat string, __hit boolean, __rest boolean")
+        splits, "model int, node bigint, __fi int, __num double, __cat string, __hit bigint, __rest bigint")
     if len(splits) <= BROADCAST_NODES:
         table = F.broadcast(table)
     test = "get(x, __fi) >= __num"
     if "xc" in rows.columns:
         test = f"if(__cat IS NOT NULL, get(xc, __fi) = __cat, {test})"
-    moved = rows.join(table, ["model", "node"], how).selectExpr("*", f"coalesce({test}, false) AS __go")
+    moved = rows.join(table, ["model", "node"], how).withColumn(
+        "node", F.expr(f"if(__fi IS NULL, node, if(coalesce({test}, false), __hit, __rest))"))
     if how == "inner":
-        moved = moved.filter("if(__go, __hit, __rest)")
-    return (
-        moved.withColumn("node", F.expr("if(__fi IS NULL, node, node * 2 + if(__go, 0, 1))"))
-        .drop("__fi", "__num", "__cat", "__hit", "__rest", "__go")
-    )
+        moved = moved.filter("node IS NOT NULL")
+    return moved.drop("__fi", "__num", "__cat", "__hit", "__rest")
 
 
-def _level_splits(forest: Forest, depth: int) -> list[tuple]:
+def _level_splits(forest: Forest, depth: int, closed: bool) -> list[tuple]:
+    """Splits of a level with the ids of their children; without ``closed``, only those still to be split or passed."""
     out = []
     for m, tree in forest.items():
         for n in tree.values():
             if n.depth == depth and not n.is_leaf:
-                hit, rest = tree[2 * n.node], tree[2 * n.node + 1]
-                out.append((m, n.node, n.fi, None if n.num is None else float(n.num), n.cat,
-                            not hit.is_leaf or hit.open, not rest.is_leaf or rest.open))
+                hit, rest = [c.id if closed or not c.is_leaf or c.open else None
+                             for c in (tree[2 * n.node], tree[2 * n.node + 1])]
+                out.append((m, n.id, n.fi, None if n.num is None else float(n.num), n.cat, hit, rest))
     return out
 
 
@@ -111,7 +128,7 @@ def _join_open_nodes(rows: DataFrame, forest: Forest) -> DataFrame:
     roots = [m for m, t in forest.items() if not t[1].is_leaf or t[1].open]
     out = rows.filter(F.col("model").isin(roots)).withColumn("node", F.lit(1).cast("bigint"))
     for d in range(split_depth(forest)):
-        out = _advance(out, _level_splits(forest, d), "inner")
+        out = _advance(out, _level_splits(forest, d, False), "inner")
     return out
 
 
@@ -121,7 +138,7 @@ def to_leaves(rows: DataFrame, forest: Forest) -> DataFrame:
         def leaf(tree: Tree, node: int) -> str:
             at = tree[node]
             if at.is_leaf:
-                return f"{node}L"
+                return f"{at.id}L"
             return f"if({passes(at.fi, at.num, at.cat)}, {leaf(tree, 2 * node)}, {leaf(tree, 2 * node + 1)})"
 
         models = sorted(forest)
@@ -130,7 +147,7 @@ def to_leaves(rows: DataFrame, forest: Forest) -> DataFrame:
         return rows.selectExpr("*", f"{node} AS node")
     out = rows.withColumn("node", F.lit(1).cast("bigint"))
     for d in range(split_depth(forest)):
-        out = _advance(out, _level_splits(forest, d), "left")
+        out = _advance(out, _level_splits(forest, d, True), "left")
     return out
 
 
@@ -147,7 +164,7 @@ def leaf_values(rows: DataFrame, forest: Forest, values: Callable[[Node], Sequen
         cases = " ".join(f"WHEN {m} THEN {leaf(forest[m], 1)}" for m in models)
         return rows.selectExpr("*", (leaf(forest[models[0]], 1) if len(models) == 1 else f"CASE model {cases} END")
                                + f" AS {out}")
-    leaves = [(m, n.node, [float(v) for v in values(n)]) for m, t in forest.items() for n in t.values() if n.is_leaf]
+    leaves = [(m, n.id, [float(v) for v in values(n)]) for m, t in forest.items() for n in t.values() if n.is_leaf]
     table = rows.sparkSession.createDataFrame(leaves, f"model int, node bigint, {out} array<double>")
     if len(leaves) <= BROADCAST_NODES:
         table = F.broadcast(table)

@@ -9,15 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from softgrove.functions.sqltext import clean_number, name, num, text
-from softgrove.plans.frame import feature_arrays
 from softgrove.plans.route import INLINE_NODES, Node, Tree
 
+# Trees walked together; bounds the memory of a batch.
+TREES_AT_ONCE = 32
+
 
 def test_sql(feature: str, number: float | None, cat: str | None) -> str:
     """Test of one split on a named column; missing values fail."""
@@ -47,46 +48,68 @@ def is_small(trees: Sequence[Tree]) -> bool:
     return sum(len(t) for t in trees) <= INLINE_NODES
 
 
-def _pack(trees: Sequence[Tree], values: Callable[[Node], Sequence[float]], width: int) -> dict[str, np.ndarray]:
-    """All trees in flat arrays; a leaf points to itself."""
+def _pack(trees: Sequence[Tree], values: Callable[[Node], Sequence[float]], width: int) -> dict:
+    """All trees in flat arrays; a leaf points to itself. Categories are numbered per feature."""
     order = [(i, n) for i, t in enumerate(trees) for n in sorted(t)]
     place = {key: p for p, key in enumerate(order)}
     size = len(order)
+    codes: dict[int, dict[str, int]] = {}
     packed = {
-        "fi": np.zeros(size, np.int32), "num": np.full(size, np.nan), "leaf": np.ones(size, bool),
-        "cat": np.full(size, None, object), "hit": np.arange(size), "rest": np.arange(size),
+        "fi": np.zeros(size, np.int32), "num": np.full(size, np.nan), "cat": np.full(size, -1, np.int32),
+        "hit": np.arange(size), "rest": np.arange(size), "value": np.zeros((size, width)), "codes": codes,
+        "id": np.array([trees[i][n].id for i, n in order], np.int64),
         "root": np.array([place[(i, 1)] for i in range(len(trees))]),
-        "value": np.zeros((size, width)),
-        "depth": np.array(max(n.depth for t in trees for n in t.values())),
+        "depth": max(n.depth for t in trees for n in t.values()),
     }
     for (i, node), p in place.items():
         at = trees[i][node]
-        packed["value"][p] = values(at) if at.is_leaf else 0.0
-        if not at.is_leaf:
-            packed["leaf"][p] = False
-            packed["fi"][p], packed["cat"][p] = at.fi, at.cat
-            packed["num"][p] = np.nan if at.num is None else at.num
-            packed["hit"][p], packed["rest"][p] = place[(i, 2 * node)], place[(i, 2 * node + 1)]
+        if at.is_leaf:
+            packed["value"][p] = values(at)
+            continue
+        packed["fi"][p] = at.fi
+        if at.cat is not None:
+            known = codes.setdefault(at.fi, {})
+            packed["cat"][p] = known.setdefault(at.cat, len(known))
+        else:
+            packed["num"][p] = at.num
+        packed["hit"][p], packed["rest"][p] = place[(i, 2 * node)], place[(i, 2 * node + 1)]
     return packed
 
 
-def _walk(packed: dict[str, np.ndarray], x: np.ndarray, xc: np.ndarray | None, weights: np.ndarray) -> np.ndarray:
-    """Weighted sum over trees of the leaf values reached by each row."""
-    out = np.zeros((len(x), packed["value"].shape[1]))
-    rows = np.arange(len(x))
-    for root, weight in zip(packed["root"], weights):
-        at = np.full(len(x), root)
-        for _ in range(int(packed["depth"])):
-            fi = packed["fi"][at]
-            with np.errstate(invalid="ignore"):
-                go = x[rows, fi] >= packed["num"][at]
-            if xc is not None:
-                cat = packed["cat"][at]
-                textual = np.array([c is not None for c in cat])
-                go = np.where(textual, xc[rows, fi] == cat, go)
-            at = np.where(packed["leaf"][at], at, np.where(go, packed["hit"][at], packed["rest"][at]))
-        out += weight * packed["value"][at]
-    return out
+def _columns(batch: pa.StructArray, codes: dict[int, dict[str, int]]) -> tuple[np.ndarray, np.ndarray | None]:
+    """Numbers and category numbers of a batch, features in rows."""
+    n = batch.type.num_fields
+    x = np.full((n, len(batch)), np.nan)
+    xc = np.full((n, len(batch)), -2, np.int32) if codes else None
+    for i in range(n):
+        column = batch.field(i)
+        if not pa.types.is_string(column.type):
+            x[i] = column.to_numpy(zero_copy_only=False)
+        elif i in codes:
+            coded = column.dictionary_encode()
+            number = np.array([*[codes[i].get(v, -2) for v in coded.dictionary.to_pylist()], -2], np.int32)
+            xc[i] = number[coded.indices.fill_null(len(number) - 1).to_numpy(zero_copy_only=False)]
+    return x, xc
+
+
+def _leaves(packed: dict, roots: np.ndarray, x: np.ndarray, xc: np.ndarray | None) -> np.ndarray:
+    """Leaf of every tree (rows) that each row (columns) reaches."""
+    row = np.arange(x.shape[1])
+    at = np.repeat(roots[:, None], x.shape[1], axis=1)
+    for _ in range(packed["depth"]):
+        fi = packed["fi"][at]
+        with np.errstate(invalid="ignore"):
+            go = x[fi, row] >= packed["num"][at]
+        if xc is not None:
+            go |= xc[fi, row] == packed["cat"][at]
+        at = np.where(go, packed["hit"][at], packed["rest"][at])
+    return at
+
+
+def _features(features: Sequence[str], categorical: Sequence[str]) -> Column:
+    cats = set(categorical)
+    return F.struct(*[F.expr(f"cast({name(f)} AS string)" if f in cats else clean_number(f)).alias(f"f{i}")
+                      for i, f in enumerate(features)])
 
 
 def summed_leaves(trees: Sequence[Tree], features: Sequence[str], categorical: Sequence[str],
@@ -95,22 +118,27 @@ def summed_leaves(trees: Sequence[Tree], features: Sequence[str], categorical: S
     """``array<double>``: weighted sum over trees of per-leaf values, for models of any size."""
     scale = np.ones(len(trees)) if weights is None else np.asarray(weights, float)
     packed = _pack(trees, values, width)
-    arrays = feature_arrays(features, categorical)
 
-    def matrix(batch: pd.Series) -> np.ndarray:
-        return np.array([[np.nan if v is None else v for v in row] for row in batch], float) \
-            if any(v is None for row in batch for v in row) else np.stack(batch.to_numpy()).astype(float)
+    @F.arrow_udf("array<double>")
+    def run(batch: pa.Array) -> pa.Array:
+        x, xc = _columns(batch, packed["codes"])
+        out = np.zeros((len(batch), width))
+        for k in range(0, len(scale), TREES_AT_ONCE):
+            at = _leaves(packed, packed["root"][k:k + TREES_AT_ONCE], x, xc)
+            for weight, leaf in zip(scale[k:k + TREES_AT_ONCE], at):
+                out += weight * packed["value"][leaf]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * width, pa.int32()), pa.array(out.ravel()))
+
+    return run(_features(features, categorical))
 
-    if "xc" in arrays:
-        @pandas_udf("array<double>")
-        def run(x: pd.Series, xc: pd.Series) -> pd.Series:
-            texts = np.array([list(r) for r in xc], object)
-            return pd.Series(list(_walk(packed, matrix(x), texts, scale)))
 
-        return run(arrays["x"], arrays["xc"])
+def leaf_ids(tree: Tree, features: Sequence[str], categorical: Sequence[str]) -> Column:
+    """Id of the leaf of a big tree, as BIGINT."""
+    packed = _pack([tree], lambda n: (), 0)
 
-    @pandas_udf("array<double>")
-    def run(x: pd.Series) -> pd.Series:
-        return pd.Series(list(_walk(packed, matrix(x), None, scale)))
+    @F.arrow_udf("bigint")
+    def run(batch: pa.Array) -> pa.Array:
+        x, xc = _columns(batch, packed["codes"])
+        return pa.array(packed["id"][_leaves(packed, packed["root"], x, xc)[0]])
 
-    return run(arrays["x"])
+    return run(_features(features, categorical))

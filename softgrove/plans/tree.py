@@ -12,16 +12,15 @@ from pyspark.storagelevel import StorageLevel
 from softgrove.functions.criteria import GainSpec
 from softgrove.functions.sqltext import name, num, value
 from softgrove.operators.splits import DIRECT_LIMIT, Layout
-from softgrove.plans.frame import FuzzySetMap, ModelSpec, masses_sql, training_rows, value_edges
+from softgrove.plans.frame import FuzzySetMap, ModelSpec, base_rows, expand_models, masses_sql, value_edges
 from softgrove.plans.grow import StopRules, grow
 from softgrove.plans.route import Forest, Node, Tree
-from softgrove.plans.score import is_small, split_test, summed_leaves, tree_column
+from softgrove.plans.score import is_small, leaf_ids, split_test, summed_leaves, tree_column
 
-MAX_CLASSES = 256
 NODE_SCHEMA = (
     "model_id int, node_id bigint, depth int, is_leaf boolean, feature_idx int, feature string, split_kind string, "
     "split_num double, split_cat string, gain double, n double, leaf_value string, leaf_mean array<double>, "
-    "leaf_labels array<string>, leaf_proba array<double>, class_counts array<double>"
+    "leaf_labels array<string>, leaf_proba array<double>, class_counts array<double>, path string"
 )
 
 
@@ -60,10 +59,8 @@ class Coding:
 
 
 def label_coding(df: DataFrame, target: str) -> Coding:
-    """Sorted distinct labels; class masses are one column each, so their number is limited."""
-    found = df.select(F.col(target).alias("y")).where("y is not null").distinct().limit(MAX_CLASSES + 1).collect()
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} distinct labels in {target}")
+    """Sorted distinct labels; they are part of the model, like its leaves."""
+    found = df.select(F.col(target).alias("y")).where("y is not null").distinct().collect()
     return Coding(labels=tuple(sorted(r["y"] for r in found)))
 
 
@@ -109,17 +106,16 @@ def fit_forest(df: DataFrame, spec: TreeSpec, models: Sequence[ModelSpec], varia
     layout = Layout(tuple(spec.features), spec.task, coding.width, gain, cats,
                     frozenset(i for i, f in enumerate(spec.features) if f in edges),
                     masses_sql(spec.features, variants, models) if variants and gain.soft else "0D")
-    rows = training_rows(df, spec.features, spec.categorical, target_columns(coding, spec.targets), models,
-                         weights, edges)
+    base = base_rows(df, spec.features, spec.categorical, target_columns(coding, spec.targets), weights, edges)
     if spec.task == "class":
-        rows = rows.filter(F.col("yi") >= 0)
+        base = base.filter(F.col("yi") >= 0)
     if spec.cache:
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return grow(rows, layout, spec.rules, [m.model for m in models]), coding
+        return grow(expand_models(base, spec.features, models), layout, spec.rules, [m.model for m in models]), coding
     finally:
         if spec.cache:
-            rows.unpersist()
+            base.unpersist()
 
 
 @dataclass
@@ -145,9 +141,8 @@ class TreeModel:
 
     def leaf_id(self) -> Column:
         if is_small([self.tree]):
-            return tree_column(self.tree, self.spec.features, lambda n: f"{n.node}L")
-        return summed_leaves([self.tree], self.spec.features, self.spec.categorical,
-                             lambda n: [float(n.node)], 1)[0].cast("bigint")
+            return tree_column(self.tree, self.spec.features, lambda n: f"{n.id}L")
+        return leaf_ids(self.tree, self.spec.features, self.spec.categorical)
 
     def prediction(self) -> Column:
         if self.spec.task == "class":
@@ -193,9 +188,9 @@ class TreeModel:
                 mean = leaf_mean(n, self.coding)
                 value = str(mean[0])
             kind = None if n.is_leaf else ("==" if n.cat is not None else ">=")
-            out.append((model_id, n.node, n.depth, n.is_leaf, n.fi,
+            out.append((model_id, n.id, n.depth, n.is_leaf, n.fi,
                         None if n.is_leaf else self.spec.features[n.fi], kind, n.num, n.cat, n.gain, size,
-                        value, mean, labels, proba, counts))
+                        value, mean, labels, proba, counts, n.path))
         return out
 
     def nodes(self, spark: SparkSession) -> DataFrame:
@@ -206,20 +201,20 @@ class TreeModel:
         """One row per leaf with the condition that leads to it."""
         out: list[tuple] = []
 
-        def visit(node: int, path: list[str]) -> None:
+        todo: list[tuple[int, str]] = [(1, "")]
+        while todo:
+            node, path = todo.pop()
             at = self.tree[node]
             if at.is_leaf:
                 label = str(leaf_label(at, self.coding)) if self.spec.task == "class" else None
                 mean = None if self.spec.task == "class" else leaf_mean(at, self.coding)[0]
                 size = sum(at.stats[: self.coding.width]) if self.spec.task == "class" else at.stats[0]
-                out.append((node, " AND ".join(path) or "TRUE", float(size), label, mean))
-                return
+                out.append((at.id, path or "TRUE", float(size), label, mean))
+                continue
             name = self.spec.features[at.fi]
             test = f"{name} == {at.cat}" if at.cat is not None else f"{name} >= {at.num!r}"
-            visit(2 * node, [*path, test])
-            visit(2 * node + 1, [*path, f"NOT {test}"])
-
-        visit(1, [])
+            before = f"{path} AND " if path else ""
+            todo += [(2 * node + 1, f"{before}NOT {test}"), (2 * node, before + test)]
         return spark.createDataFrame(out, "leaf_id bigint, rule string, n double, label string, mean double")
 
     def save(self, spark: SparkSession, path: str) -> None:
@@ -252,8 +247,9 @@ class TreeModel:
             else:
                 mean = r["leaf_mean"] or [0.0] * coding.width
                 stats = [r["n"], *[(m - c) * r["n"] for m, c in zip(mean, coding.centres)]]
-            tree[r["node_id"]] = Node(0, r["node_id"], r["depth"], stats, r["feature_idx"], r["split_num"],
-                                      r["split_cat"], r["gain"])
+            node = int("1" + r["path"], 2)
+            tree[node] = Node(0, node, r["depth"], stats, r["feature_idx"], r["split_num"], r["split_cat"], r["gain"],
+                              seq=max(0, -1 - r["node_id"]))
         return TreeModel(spec, tree, coding)
 
     def split_columns(self) -> list[Column]:

@@ -81,7 +81,7 @@ def test_ranks_in_buckets(spark, monkeypatch):
     rng = random.Random(1)
     values = [(i % 2, v) for i, v in enumerate(rng.sample(range(10000), 700))]
     df = spark.createDataFrame(values, "g int, v int")
-    monkeypatch.setattr(ranks, "SINGLE_WINDOW_ROWS", 10)
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", 10)
     got = {(r["g"], r["v"]): r["rank"] for r in ranks.value_rank(df, "v", ["g"]).collect()}
     for g in (0, 1):
         for i, v in enumerate(sorted(v for h, v in values if h == g)):
