@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from softgrove.catalog.common import r, read
+from softgrove.operators.quantiles import describe
 from softgrove.plans import reports as R
 
 KEYS = list(R.RESULT_KEYS)
@@ -67,7 +68,35 @@ def param_grid(spark, sf):
     return R.param_grid(data, "event_type", (3, 6, 1), ("0.0", "1.0", "0.1"))
 
 
-QUERIES = {f.__name__: f for f in (results_sorted, results_with_group_mean, results_mean, results_describe,
+def _with_gaps(spark, sf) -> DataFrame:
+    """Customers beside their dearest orders: keys and values with gaps, groups without any value."""
+    orders = read(spark, sf, "orders", "o_custkey", "o_orderkey", "o_totalprice").filter("o_totalprice > 450000")
+    customers = read(spark, sf, "customer", "c_custkey", "c_mktsegment", "c_nationkey")
+    return customers.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").select(
+        "c_custkey", "o_orderkey", F.expr("nullif(c_mktsegment, 'BUILDING')").alias("segment"),
+        F.expr("nullif(c_nationkey, 7)").alias("nation"), F.floor(F.col("o_totalprice") / 1000).cast("double").alias("price"))
+
+
+def describe_nulls(spark, sf):
+    cols = ("mean", "std", "min", "q25", "q50", "q75", "max")
+    return describe(_with_gaps(spark, sf), ["segment", "nation"], "price").select(
+        "segment", "nation", "count", *[r(c).alias(c) for c in cols])
+
+
+def describe_hot_value(spark, sf):
+    """One value in most rows of every group."""
+    df = read(spark, sf, "lineitem", "l_returnflag", "l_discount", "l_tax").select(
+        "l_returnflag", F.expr("if(l_discount > 0.02, 0.5D, l_tax)").alias("x"))
+    return describe(df, ["l_returnflag"], "x").select("l_returnflag", "count", *[
+        r(c).alias(c) for c in ("mean", "min", "q25", "q50", "q75", "max")])
+
+
+def group_mean_nulls(spark, sf):
+    return R.with_group_mean(_with_gaps(spark, sf), ["price"], ["segment", "nation"]).select(
+        "c_custkey", "o_orderkey", "segment", "nation", r("mean_price").alias("mean_price"))
+
+
+QUERIES = {f.__name__: f for f in (describe_nulls, describe_hot_value, group_mean_nulls, results_sorted, results_with_group_mean, results_mean, results_describe,
                                    results_mean_error, curve_points, curve_extrema, param_grid)}
 
 _R = ("WITH r AS (SELECT event_type AS comparison_mode, CAST(user_id % 5 AS VARCHAR) AS ds_name, event_id % 2 = 1 AS "
@@ -76,7 +105,24 @@ _K = "comparison_mode, ds_name, with_fuzzy_rules"
 _C = ("WITH c AS (SELECT event_type AS ds_name, CAST(user_id % 3 + 3 AS INTEGER) AS n_conv, day(ts) / 31 AS fuzzy_reg, "
       "round(avg(value), 6) AS err_train_mean, round(max(value), 6) AS err_test_mean FROM events GROUP BY 1, 2, 3)")
 
+_G = ("WITH g AS (SELECT c_custkey, o_orderkey, nullif(c_mktsegment, 'BUILDING') AS segment, nullif(c_nationkey, 7) AS nation, "
+      "floor(o_totalprice / 1000) AS price FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 450000) "
+      "ON c_custkey = o_custkey)")
+
+
+def _describe_sql(x: str, std: bool = True) -> str:
+    parts = [f"count({x}) AS count", f"round(avg({x}), 6) AS mean", *([f"round(stddev_samp({x}), 6) AS std"] if std else []),
+             f"round(min({x}), 6) AS min", *[f"round(quantile_cont({x}, {q / 100}), 6) AS q{q}" for q in (25, 50, 75)],
+             f"round(max({x}), 6) AS max"]
+    return ", ".join(parts)
+
+
 ORACLES = {
+    "describe_nulls": f"{_G} SELECT segment, nation, {_describe_sql('price')} FROM g GROUP BY 1, 2",
+    "describe_hot_value": "SELECT l_returnflag, " + _describe_sql("x", std=False) + " FROM (SELECT l_returnflag, CASE WHEN "
+                          "l_discount > 0.02 THEN 0.5::DOUBLE ELSE l_tax END AS x FROM lineitem) GROUP BY 1",
+    "group_mean_nulls": f"{_G} SELECT c_custkey, o_orderkey, segment, nation, round(avg(price) OVER (PARTITION BY segment, "
+                        f"nation), 6) AS mean_price FROM g",
     "results_sorted": f"{_R} SELECT {_K}, sn, event_id, round(acc_test, 6) AS acc_test FROM r ORDER BY {_K}, sn",
     "results_with_group_mean": f"{_R} SELECT event_id, {_K}, round(avg(acc_test) OVER w, 6) AS mean_acc_test, "
                                f"round(avg(acc_train) OVER w, 6) AS mean_acc_train FROM r WINDOW w AS (PARTITION BY {_K})",

@@ -40,6 +40,13 @@ def stratified_sample(spark, sf):
                                "o_orderpriority", 1000, seed=7)
 
 
+def stratified_sample_nulls(spark, sf):
+    """A class without a name counts like the others."""
+    df = read(spark, sf, "customer", "c_custkey", "c_mktsegment").withColumn(
+        "c_mktsegment", F.expr("nullif(c_mktsegment, 'BUILDING')"))
+    return S.stratified_sample(df, ["c_custkey"], "c_mktsegment", 100, seed=7)
+
+
 def feature_subspace(spark, sf):
     """Mean of every feature a tree may use, over the whole table: one long table, semi-joined with the draws."""
     picks = S.feature_subspace(TREES, FEATURES, seed=3)
@@ -50,7 +57,7 @@ def feature_subspace(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (sample_wor, bootstrap_wr, bootstrap_poisson, kfold_assign, kfold_hash, holdout_split,
-                                   stratified_sample, feature_subspace)}
+                                   stratified_sample, stratified_sample_nulls, feature_subspace)}
 
 
 def _hash(key: str, salt: str, seed: int) -> str:
@@ -96,6 +103,15 @@ k AS (SELECT *, base + CASE WHEN row_number() OVER (ORDER BY frac DESC, o_orderp
 SELECT o_orderkey, o_orderpriority FROM (SELECT o.*, take, size, row_number() OVER (PARTITION BY o_orderpriority ORDER BY
   {_hash('o_orderkey', chr(39) + 'strata' + chr(39), 7)}) AS i FROM orders o JOIN k USING (o_orderpriority))
 WHERE i <= take OR size <= 1000""",
+    "stratified_sample_nulls": f"""
+WITH t AS (SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS y FROM customer),
+c AS (SELECT y, count(*) AS n, sum(count(*)) OVER () AS size FROM t GROUP BY 1),
+q AS (SELECT *, floor(100.0::DOUBLE * n / size) AS base, round(100.0::DOUBLE * n / size - floor(100.0::DOUBLE * n / size), 9) AS frac FROM c),
+k AS (SELECT *, base + CASE WHEN row_number() OVER (ORDER BY frac DESC, y NULLS FIRST) <= 100 - sum(base) OVER ()
+      THEN 1 ELSE 0 END AS take FROM q)
+SELECT c_custkey, c_mktsegment FROM (SELECT t.c_custkey, t.y AS c_mktsegment, take, size, row_number() OVER (PARTITION BY t.y ORDER BY
+  {_hash('c_custkey', chr(39) + 'strata' + chr(39), 7)}) AS i FROM t JOIN k ON t.y IS NOT DISTINCT FROM k.y)
+WHERE i <= take OR size <= 100""",
     "feature_subspace": f"""
 WITH d AS (SELECT DISTINCT CAST(t AS INTEGER) AS tree_id, CAST({sql_bits("md5(concat_ws('-', t, d, '3'))")} % {FEATURES} AS INTEGER) AS fi
            FROM range({TREES}) a(t), range(8) b(d)),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from softgrove.catalog.common import ORDERS_SQL, orders_tier, r, set_map, sql_mass
+from softgrove.catalog.common import ORDERS_SQL, orders_tier, r, read, set_map, sql_mass
 from softgrove.catalog.fuzzy import _theta, lloyd_sql
 from softgrove.catalog.impurity import MULTIWAY, orders_discrete
 from softgrove.catalog.sqlgen import TreeSql
@@ -120,7 +120,15 @@ def c45_tree_level1(spark, sf):
     return _multiway(spark, sf, "c45")
 
 
+def c45_numeric_many_labels(spark, sf):
+    """C4.5 on numbers only: the best threshold by gain ratio among hundreds of labels."""
+    df = read(spark, sf, "lineitem", "l_quantity", "l_extendedprice", "l_partkey")
+    nodes = fit_multiway(df, MultiwaySpec((), "l_partkey", "c45", max_depth=0, numeric=("l_quantity", "l_extendedprice"))).nodes
+    return nodes.filter("depth = 0").select("feature", "threshold", r("score", 9).alias("score"), "n", "label")
+
+
 QUERIES = {f.__name__: f for f in (
+    c45_numeric_many_labels,
     cart_classifier, cart_regressor, tree_nodes_depth1, tree_nodes_soft, tree_nodes_entropy, tree_predict,
     tree_predict_proba, tree_rules, tree_stop_rules, id3_tree_level1, c45_tree_level1)}
 
@@ -263,7 +271,25 @@ def _multiway_sql(score: str) -> str:
     return (f"WITH {', '.join(ctes)} {out} UNION ALL SELECT path, 2, NULL, NULL, CAST(n AS BIGINT), label FROM c_m")
 
 
+_C45_NUMERIC = """
+WITH f AS (SELECT 0 AS fi, 'l_quantity' AS feature, l_quantity AS v, l_partkey AS y FROM lineitem
+           UNION ALL SELECT 1, 'l_extendedprice', l_extendedprice, l_partkey FROM lineitem),
+c AS (SELECT fi, feature, v, y, count(*)::DOUBLE AS n FROM f GROUP BY ALL),
+w AS (SELECT *, sum(n) OVER (PARTITION BY fi, y ORDER BY v DESC) AS run, sum(n) OVER (PARTITION BY fi, y) AS total FROM c),
+d AS (SELECT *, {x('run')} - {x('run - n')} AS up, {x('total - run')} - {x('total - run + n')} AS down FROM w),
+v AS (SELECT fi, feature, v, sum(n) AS n, sum(up) AS up, sum(down) AS down FROM d GROUP BY ALL),
+s AS (SELECT fi, feature, v, sum(n) OVER k AS h, sum(up) OVER k AS hs, sum(down) OVER k AS ds, sum(n) OVER (PARTITION BY fi) AS a,
+             sum(up) OVER (PARTITION BY fi) AS t FROM v WINDOW k AS (PARTITION BY fi ORDER BY v DESC)),
+g AS (SELECT *, (({x('a')} - t) - ({x('h')} - hs) - ({x('a - h')} - (t + ds))) / a AS gain, h / a AS p, (a - h) / a AS q FROM s WHERE a > h),
+r AS (SELECT *, gain / (-p * log2(p) - q * log2(q)) AS score FROM g),
+m AS (SELECT arg_min(l_partkey, (-n, l_partkey)) AS label, CAST(sum(n) AS BIGINT) AS n FROM
+      (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1))
+SELECT feature, v AS threshold, round(score, 9) AS score, m.n, label FROM m, (SELECT * FROM r ORDER BY round(score, 12) DESC, fi, v LIMIT 1)"""
+for _part in ("run", "run - n", "total - run", "total - run + n", "a", "h", "a - h"):
+    _C45_NUMERIC = _C45_NUMERIC.replace("{x('" + _part + "')}", f"(CASE WHEN ({_part}) > 0 THEN ({_part}) * log2({_part}) ELSE 0 END)")
+
 ORACLES = {
+    "c45_numeric_many_labels": _C45_NUMERIC,
     "cart_classifier": _cart_classifier_sql(),
     "cart_regressor": _cart_regressor_sql(),
     "tree_nodes_depth1": _with(_orders_tree(), _nodes_sql(_orders_tree())),

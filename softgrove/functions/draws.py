@@ -17,11 +17,12 @@ DRAW_DIGITS = 15
 
 
 def draw_hash(keys: Sequence[str | Column], salt: Column | int | str, seed: int) -> Column:
-    """md5 hex of ``key-...-salt-seed``."""
-    parts = [F.col(k) if isinstance(k, str) else k for k in keys]
+    """md5 hex of ``key-salt-seed``; the parts of a longer key come with their lengths, so different keys differ."""
+    parts = [(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]
+    if len(parts) > 1:
+        parts = [F.when(p.isNull(), F.lit("N")).otherwise(F.concat(F.length(p).cast("string"), F.lit(":"), p)) for p in parts]
     salt_col = salt if isinstance(salt, Column) else F.lit(str(salt))
-    texts = [p.cast("string") for p in [*parts, salt_col]]
-    return F.md5(F.concat_ws("-", *texts, F.lit(str(seed))).cast("binary"))
+    return F.md5(F.concat_ws("-", *parts, salt_col.cast("string"), F.lit(str(seed))).cast("binary"))
 
 
 def draw_bits(hashed: Column) -> Column:

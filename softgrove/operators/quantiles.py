@@ -36,8 +36,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
         aggs += [at(low).alias(f"__lo_{name}"), at(F.least(low + 1, F.col("__n"))).alias(f"__hi_{name}"),
                  F.max(h - F.floor(h)).alias(f"__f_{name}")]
     out = joined.groupBy(*keys).agg(*aggs)
-    return out.select(*keys, *[
-        (F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__f_{n}")).alias(n) for n in probs])
+    between = {n: F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__f_{n}") for n in probs}
+    return out.select(*keys, *[F.when(F.col(f"__f_{n}") == 0, F.col(f"__lo_{n}")).otherwise(c).alias(n)
+                               for n, c in between.items()])
 
 
 def describe(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -16,8 +16,8 @@ from softgrove.operators.ranks import BROADCAST_CUTS, hash_rank, hash_thresholds
 
 
 def row_key(columns: Sequence[str]) -> Column:
-    """Key for tables without one: md5 over all columns."""
-    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).cast("binary"))
+    """Key for tables without one: md5 over all columns and their names; NULL differs from every text."""
+    return F.md5(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in columns])).cast("binary"))
 
 
 def _literal_cuts(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:

@@ -17,7 +17,7 @@ from softgrove.operators.splits import Layout
 from softgrove.plans.frame import FuzzySetMap, ModelSpec, masses_sql, training_rows, value_edges
 from softgrove.plans.grow import grow
 from softgrove.plans.route import Forest, Node, Tree, leaf_values
-from softgrove.plans.score import is_small, summed_leaves, tree_sql
+from softgrove.plans.score import is_small, running_leaves, summed_leaves, tree_sql
 from softgrove.plans.tree import Coding, TreeSpec, leaf_mean
 from softgrove.session import cut_lineage
 
@@ -61,7 +61,12 @@ def _outputs(df: DataFrame, spec: BoostSpec) -> tuple[dict[str, Column], int]:
 def fit_boosted_models(df: DataFrame, spec: BoostSpec, models: Sequence[ModelSpec],
                        variants: Sequence[FuzzySetMap] = (), weights: str | None = None,
                        ) -> tuple[list[tuple[Forest, Coding]], int]:
-    """One forest per round; trees of all models of a round grow in the same jobs."""
+    """One forest per round; trees of all models of a round grow in the same jobs.
+
+    The scores of a round are cached until the next round's are.
+    """
+    if spec.n_iter_no_change is not None and not spec.key:
+        raise ValueError("early stopping holds rows out by their key; name it in BoostSpec.key")
     tree = replace(spec.tree, task="value")
     gain = tree.gain_spec()
     if variants:
@@ -81,7 +86,7 @@ def fit_boosted_models(df: DataFrame, spec: BoostSpec, models: Sequence[ModelSpe
         keep = ["__held"]
     rows = training_rows(source, tree.features, tree.categorical, targets, models, weights, edges, keep)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    base = rows
+    base, older = rows, None
     loss = LOSSES[spec.loss_name]
     ys = [F.col(f"y{k}") for k in range(width)]
     rounds: list[tuple[Forest, Coding]] = []
@@ -99,6 +104,8 @@ def fit_boosted_models(df: DataFrame, spec: BoostSpec, models: Sequence[ModelSpe
                 train = train.withColumns({f"t{k}": g for k, g in enumerate(loss.gradient(ys, scores))})
             forest = grow(train, layout, tree.rules, [m.model for m in models])
             rounds.append((forest, coding))
+            if older is not None:
+                older.unpersist()
             if i + 1 == spec.n_estimators and not keep:
                 break
             moved = leaf_values(base, forest, lambda n, c=coding: leaf_mean(n, c), "__leaf")
@@ -106,9 +113,12 @@ def fit_boosted_models(df: DataFrame, spec: BoostSpec, models: Sequence[ModelSpe
             before = ["" if i == 0 else f"f{k} - " for k in range(width)]
             scores_sql = [f"{before[k]}get(__leaf, {k}){step} AS f{k}" for k in range(width)]
             kept = [c for c in base.columns if not (c[0] == "f" and c[1:].isdigit())]
-            base = moved.selectExpr(*kept, *scores_sql)
+            older, base = base, moved.selectExpr(*kept, *scores_sql).persist(StorageLevel.MEMORY_AND_DISK)
             if (i + 1) % spec.checkpoint_every == 0 and i + 1 < spec.n_estimators:
-                base = cut_lineage(base)
+                cached, base = base, cut_lineage(base)
+                for done in (older, cached):
+                    done.unpersist()
+                older = None
             if keep:
                 err = base.filter("__held").selectExpr(
                     "avg(" + " + ".join(f"(y{k} - f{k}) * (y{k} - f{k})" for k in range(width)) + ") AS e").first()["e"]
@@ -120,7 +130,9 @@ def fit_boosted_models(df: DataFrame, spec: BoostSpec, models: Sequence[ModelSpe
                     break
         return rounds, width
     finally:
-        rows.unpersist()
+        for cached in (older, base, rows):
+            if cached is not None:
+                cached.unpersist()
 
 
 @dataclass
@@ -158,28 +170,17 @@ class BoostedModel:
         return scored.withColumn("probability", encode.softmax(F.col("__scores"))) \
             .withColumn(prediction, encode.argmax_decode(F.col("__scores"))).drop("__scores")
 
-    def steps(self) -> Column:
-        """``array<double>``: what each tree adds to the (first) score of a row."""
+    def staged(self) -> Column:
+        """``array<double>``: the (first) score of a row after each tree."""
         rates = [1.0] + [-self.spec.learning_rate] * (len(self.trees) - 1)
-        features = self.spec.tree.features
-        if is_small(self.trees):
-            parts = [tree_sql(t, features, lambda n, w=w: num(w * self._leaf(n)[0])) for w, t in zip(rates, self.trees)]
-            return F.expr(f"array({', '.join(parts)})")
-        place = {id(n): i for i, t in enumerate(self.trees) for n in t.values()}
-
-        def at_own_place(n: Node) -> list[float]:
-            return [self._leaf(n)[0] if i == place[id(n)] else 0.0 for i in range(len(self.trees))]
-
-        return summed_leaves(self.trees, features, self.spec.tree.categorical, at_own_place, len(self.trees), rates)
+        return running_leaves(self.trees, self.spec.tree.features, self.spec.tree.categorical,
+                              lambda n: [self._leaf(n)[0]], rates)
 
     def loss_curve(self, df: DataFrame) -> DataFrame:
         """Mean squared-error loss on a table after each round: ``round, loss``."""
         y = F.expr(f"cast({name(self.spec.tree.targets[0])} AS double)").alias("y")
-        scores = (f"inline(transform(sequence(0, {len(self.trees) - 1}), i -> struct(i AS round, "
-                  "aggregate(slice(steps, 1, i + 1), 0D, (a, b) -> a + b) AS f)))")
         loss = LOSSES["least_squares"].value(F.col("y"), F.col("f"))
-        return df.select(y, self.steps().alias("steps")).selectExpr("y", scores).groupBy("round").agg(
-            F.avg(loss).alias("loss"))
+        return df.select(y, F.posexplode(self.staged()).alias("round", "f")).groupBy("round").agg(F.avg(loss).alias("loss"))
 
 
 def fit_boosted(df: DataFrame, spec: BoostSpec) -> BoostedModel:

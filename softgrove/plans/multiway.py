@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,11 +112,14 @@ def fit_multiway(df: DataFrame, spec: MultiwaySpec) -> MultiwayModel:
                 current.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("used").alias("used")), "path")
             best = None
             if depth <= spec.max_depth:
-                counts = discrete_counts(current, ["path"], spec.features, spec.target)
-                ranked = feature_scores(counts, ["path"]).filter("n_values > 1").selectExpr(
-                    "path", "fi", "cast(NULL AS double) AS threshold", f"{measure} AS score")
+                parts = []
+                if spec.features:
+                    counts = discrete_counts(current, ["path"], spec.features, spec.target)
+                    parts.append(feature_scores(counts, ["path"]).filter("n_values > 1").selectExpr(
+                        "path", "fi", "cast(NULL AS double) AS threshold", f"{measure} AS score"))
                 if spec.numeric:
-                    ranked = ranked.unionByName(_numeric_scores(current, spec, bucketed))
+                    parts.append(_numeric_scores(current, spec, bucketed))
+                ranked = reduce(DataFrame.unionByName, parts)
                 order = F.struct((-F.round("score", TIE_DIGITS)).alias("k"), "fi", "threshold")
                 best = (
                     ranked.join(stats.select("path", "used", "n"), "path")

@@ -132,6 +132,25 @@ def summed_leaves(trees: Sequence[Tree], features: Sequence[str], categorical: S
     return run(_features(features, categorical))
 
 
+def running_leaves(trees: Sequence[Tree], features: Sequence[str], categorical: Sequence[str],
+                   values: Callable[[Node], Sequence[float]], weights: Sequence[float]) -> Column:
+    """``array<double>``: the weighted sum of a single leaf value after each tree."""
+    scale = np.asarray(weights, float)[:, None]
+    packed = _pack(trees, values, 1)
+
+    @F.arrow_udf("array<double>")
+    def run(batch: pa.Array) -> pa.Array:
+        x, xc = _columns(batch, packed["codes"])
+        added = np.empty((len(scale), len(batch)))
+        for k in range(0, len(scale), TREES_AT_ONCE):
+            at = _leaves(packed, packed["root"][k:k + TREES_AT_ONCE], x, xc)
+            added[k:k + TREES_AT_ONCE] = scale[k:k + TREES_AT_ONCE] * packed["value"][at, 0]
+        out = np.cumsum(added, axis=0).T
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * len(scale), pa.int32()), pa.array(out.ravel()))
+
+    return run(_features(features, categorical))
+
+
 def leaf_ids(tree: Tree, features: Sequence[str], categorical: Sequence[str]) -> Column:
     """Id of the leaf of a big tree, as BIGINT."""
     packed = _pack([tree], lambda n: (), 0)

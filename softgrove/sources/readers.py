@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from softgrove.functions.encode import recode
@@ -16,6 +16,15 @@ from softgrove.functions.sqltext import name
 from softgrove.operators.prepare import encode_first_seen
 
 
+BROADCAST_BLOCKS = 200_000
+
+
+def _file_order() -> list:
+    """Place of a line: file, start of its block, and a number that rises within the block."""
+    return [F.expr("_metadata.file_path AS __file"), F.expr("_metadata.file_block_start AS __block"),
+            F.monotonically_increasing_id().alias("__line")]
+
+
 def target_last(df: DataFrame, target: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c != target], target)
 
@@ -62,13 +71,20 @@ def read_blank_separated(spark: SparkSession, paths: str | Sequence[str], column
 def read_arff(spark: SparkSession, path: str, recoding: Mapping[str, int] | None = None) -> DataFrame:
     """ARFF: attribute lines give names and types, the rest is CSV.
 
-    Only the header lines (a few per file) are looked at on the driver.
+    Only the header lines (a few per file) are looked at on the driver. Several
+    files must have the same attributes.
     """
-    lines = spark.read.text(path).withColumn("value", F.trim("value")).filter("value <> ''")
+    lines = spark.read.text(path).select(F.trim("value").alias("value"), *_file_order()).filter("value <> ''")
     head = lines.filter("lower(value) LIKE '@attribute%'").select(
-        F.monotonically_increasing_id().alias("i"),
+        "__file", "__block", "__line",
         F.regexp_extract("value", r"(?i)^@attribute\s+('[^']+'|\S+)\s+(.+)$", 1).alias("name"),
-        F.regexp_extract("value", r"(?i)^@attribute\s+('[^']+'|\S+)\s+(.+)$", 2).alias("kind")).orderBy("i").collect()
+        F.regexp_extract("value", r"(?i)^@attribute\s+('[^']+'|\S+)\s+(.+)$", 2).alias("kind")).orderBy("__file", "__block", "__line").collect()
+    by_file: dict[str, list] = {}
+    for r in head:
+        by_file.setdefault(r["__file"], []).append((r["name"], r["kind"].strip().lower()))
+    if len({tuple(x) for x in by_file.values()}) > 1:
+        raise ValueError("the files have different attributes")
+    head = [r for r in head if r["__file"] == head[0]["__file"]]
     numeric = ("real", "numeric", "integer")
     schema = ", ".join(f"{name(r['name'].strip(chr(39)))} "
                        f"{'double' if r['kind'].strip().lower() in numeric else 'string'}" for r in head)
@@ -86,6 +102,13 @@ def read_categorical_csv(spark: SparkSession, path: str, columns: Sequence[str],
     The order of appearance is the position in the file set (file name, then line).
     """
     schema = ", ".join(f"{name(c)} string" for c in columns)
-    df = spark.read.csv(path, schema=schema, header=False).withColumn("__at", F.monotonically_increasing_id())
+    df = spark.read.csv(path, schema=schema, header=False).select("*", *_file_order())
+    blocks = df.select("__file", "__block").distinct().withColumn(
+        "__number", F.row_number().over(Window.orderBy("__file", "__block")))  # a row per block of a file
+    blocks = F.broadcast(blocks) if blocks.count() <= BROADCAST_BLOCKS else blocks
+    # Spark packs blocks into tasks by size; inside a block the row numbers of a task rise with the lines
+    df = df.join(blocks, ["__file", "__block"]).withColumn(
+        "__at", F.shiftleft(F.col("__number").cast("bigint"), 33) + F.col("__line").bitwiseAND(F.lit((1 << 33) - 1)))
+    df = df.drop("__file", "__block", "__number", "__line")
     coded = encode_first_seen(df, list(columns), "__at").drop("__at")
     return target_last(coded, target)
