@@ -12,13 +12,14 @@ from softgrove.functions import encode
 from softgrove.functions.membership import widths
 from softgrove.operators.fuzzify import FuzzySets
 from softgrove.plans.baselines import compare_baselines as run_baselines
-from softgrove.plans.boost import BoostSpec, fit_boosted
+from softgrove.plans.boost import BoostedModel, BoostSpec, fit_boosted
 from softgrove.plans.experiments import (Config, compare_modes as run_modes, cross_validate, cross_validate_boosted,
                                          grid_search)
-from softgrove.plans.forest import ForestSpec, fit_bagged
+from softgrove.plans.forest import ForestModel, ForestSpec, fit_bagged
 from softgrove.plans.grow import StopRules
 from softgrove.plans.reports import mean_error
 from softgrove.plans.tree import TreeSpec
+from softgrove.session import scratch_path
 
 STUMP, TWO = StopRules(max_depth=0), StopRules(max_depth=1)
 
@@ -97,6 +98,36 @@ def forest_predict(spark, sf):
     return model.transform(df).select("vec_id", "prediction")
 
 
+def forest_big(spark, sf):
+    """More nodes than one nested condition holds: rows are routed by joins, scored by the batch walk."""
+    df = embeddings_wide(spark, sf)
+    rules = StopRules(max_depth=3)
+    model = fit_bagged(df, ForestSpec(TreeSpec(EMB, ("label",), rules=rules), ("vec_id",), EMB_TREES, seed=5))
+    return model.transform(df).select("vec_id", "prediction")
+
+
+def forest_saved(spark, sf):
+    """Train, save, load and score."""
+    df, path = _wide(spark, sf), scratch_path(spark, "forest")
+    fit_bagged(df, ForestSpec(TreeSpec(WIDE, ("tier",), rules=TWO), ("o_orderkey",), TREES, seed=5)).save(spark, path)
+    return ForestModel.load(spark, path).transform(df).select("o_orderkey", "prediction")
+
+
+def gbdt_saved(spark, sf):
+    """Train, save, load and score."""
+    df, path = _priced(spark, sf), scratch_path(spark, "boosting")
+    _boost(df, "class", 2, TWO, loss="softmax").save(spark, path)
+    return BoostedModel.load(spark, path).transform(df).select(
+        "o_orderkey", F.posexplode("probability").alias("k", "p")).select("o_orderkey", "k", r("p").alias("p"))
+
+
+def gbdt_rounds(spark, sf):
+    """Twelve rounds; the scores are checkpointed every five."""
+    df = _priced(spark, sf)
+    return _boost(df, "value", 12, STUMP, checkpoint_every=5).transform(df).select(
+        "o_orderkey", r("prediction", 3).alias("prediction"))
+
+
 def _stumps(spark, sf):
     q, d, t = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")
     return read(spark, sf, "lineitem", "l_quantity", "l_discount", "l_tax").select(
@@ -174,7 +205,7 @@ def compare_baselines(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    compare_baselines, gbdt_regressor, gbdt_regressor_soft, gbdt_loss_curve, gbdt_classifier, gbdt_predict, forest_classifier,
+    compare_baselines, forest_big, forest_saved, gbdt_saved, gbdt_rounds, gbdt_regressor, gbdt_regressor_soft, gbdt_loss_curve, gbdt_classifier, gbdt_predict, forest_classifier,
     forest_regressor, forest_predict, forest_vote, forest_mean, cv_stump_accuracy, cv_regressor_mse, grid_mean_error,
     compare_modes, compare_boosting)}
 
@@ -361,6 +392,10 @@ ORACLES = {
     "forest_predict": _forest_sql(EMB_TREES, 64, 8, "embeddings", "vec_id",
                                   "label AS y, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS f{i}" for i in range(64)),
                                   "class", 10, _VOTE.format(key="vec_id"), ""),
+    "forest_big": _forest_sql(EMB_TREES, 64, 8, "embeddings", "vec_id",
+                              "label AS y, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS f{i}" for i in range(64)),
+                              "class", 10, _VOTE.format(key="vec_id"), "", levels=4),
+    "gbdt_rounds": _boost_query("value", 12, 1, "SELECT rid AS o_orderkey, round(s0, 3) AS prediction FROM LAST"),
     "forest_vote": _STUMPS.replace("{e}", "CASE WHEN b = c THEN b WHEN a = b OR a = c THEN a ELSE least(a, b, c) END AS vote"),
     "forest_mean": _STUMPS.replace("{e}", "round((a + b + c) / 3.0, 6)::DOUBLE AS mean"),
     "cv_stump_accuracy": _cv_sql(5, 1, 1, f"tier AS y, {_TWO_F}", TreeSql(2), _HIT, _VIEW.replace("{m}", "acc")),
@@ -370,3 +405,5 @@ ORACLES = {
     "compare_modes": _modes_sql(),
     "compare_boosting": _compare_boosting_sql(),
 }
+ORACLES["forest_saved"] = ORACLES["forest_classifier"]
+ORACLES["gbdt_saved"] = ORACLES["gbdt_predict"]

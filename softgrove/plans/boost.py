@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -18,6 +18,7 @@ from softgrove.plans.frame import FuzzySetMap, ModelSpec, masses_sql, training_r
 from softgrove.plans.grow import grow
 from softgrove.plans.route import Forest, Node, Tree, leaf_values
 from softgrove.plans.score import is_small, running_leaves, summed_leaves, tree_sql
+from softgrove.plans.store import load_trees, node_table, save_trees
 from softgrove.plans.tree import Coding, TreeSpec, leaf_mean
 from softgrove.session import cut_lineage
 
@@ -183,6 +184,27 @@ class BoostedModel:
         return df.select(y, F.posexplode(self.staged()).alias("round", "f")).groupBy("round").agg(F.avg(loss).alias("loss"))
 
 
+    def nodes(self, spark: SparkSession) -> DataFrame:
+        return node_table(spark, self._stored_spec(), self.trees, self.codings)
+
+    def _stored_spec(self) -> TreeSpec:
+        """All trees are regressions, whatever the model predicts."""
+        return replace(self.spec.tree, task="value")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the model as tables; :meth:`load` scores with them again."""
+        options = {"task": self.spec.tree.task, "width": self.width, "learning_rate": self.spec.learning_rate,
+                   "loss": self.spec.loss, "n_classes": self.spec.n_classes, "seed": self.spec.seed}
+        save_trees(spark, path, self._stored_spec(), self.trees, self.codings, options)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> BoostedModel:
+        tree, trees, codings, options = load_trees(spark, path)
+        spec = BoostSpec(replace(tree, task=options["task"]), len(trees), options["learning_rate"], options["loss"],
+                         options["n_classes"], seed=options["seed"])
+        return BoostedModel(spec, trees, codings, options["width"])
+
+
 def fit_boosted(df: DataFrame, spec: BoostSpec) -> BoostedModel:
     sets = spec.tree.fuzzy_sets
     variants = [sets] if sets is not None else []

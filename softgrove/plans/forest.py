@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from softgrove.functions import encode
@@ -13,6 +13,7 @@ from softgrove.operators.sampling import bootstrap_array, feature_subspace
 from softgrove.plans.frame import ModelSpec
 from softgrove.plans.route import Tree
 from softgrove.plans.score import is_small, summed_leaves, tree_sql
+from softgrove.plans.store import load_trees, node_table, save_trees
 from softgrove.plans.tree import Coding, TreeSpec, fit_forest, leaf_label, leaf_mean
 
 
@@ -64,6 +65,23 @@ class ForestModel:
         return df.withColumn(prediction, total if self.coding.width > 1 else F.get(total, F.lit(0)))
 
 
+    def nodes(self, spark: SparkSession) -> DataFrame:
+        return node_table(spark, self.spec.tree, self.trees, [self.coding] * len(self.trees))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the model as tables; :meth:`load` scores with them again."""
+        options = {"key": self.spec.key, "max_features": self.spec.max_features, "bootstrap": self.spec.bootstrap,
+                   "seed": self.spec.seed}
+        save_trees(spark, path, self.spec.tree, self.trees, [self.coding] * len(self.trees), options)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> ForestModel:
+        tree, trees, codings, options = load_trees(spark, path)
+        spec = ForestSpec(tree, tuple(options["key"]), len(trees), options["max_features"], options["bootstrap"],
+                          options["seed"])
+        return ForestModel(spec, trees, codings[0])
+
+
 def fit_bagged(df: DataFrame, spec: ForestSpec) -> ForestModel:
     """Level-wise training of all trees in the same jobs, keyed by tree."""
     tree = spec.tree

@@ -7,11 +7,12 @@ which split in two at a threshold.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -67,6 +68,21 @@ class MultiwayModel:
         return out.withColumnRenamed("__label", prediction).drop("__path")
 
 
+    def save(self, path: str) -> None:
+        """Write the model as tables; :meth:`load` scores with them again."""
+        spark = self.nodes.sparkSession
+        self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+        spark.createDataFrame([(json.dumps({**asdict(self.spec), "depth": self.depth}),)], "options string") \
+            .write.mode("overwrite").parquet(f"{path}/options")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> MultiwayModel:
+        options = json.loads(spark.read.parquet(f"{path}/options").first()["options"])
+        depth = options.pop("depth")
+        spec = MultiwaySpec(**{k: tuple(v) if isinstance(v, list) else v for k, v in options.items()})
+        return MultiwayModel(spec, spark.read.parquet(f"{path}/nodes"), depth)
+
+
 def _child_sql(spec: MultiwaySpec, path: str, feature: str, threshold: str) -> str:
     """Path of the child a row goes to; NULL at a leaf."""
     every = (*spec.features, *spec.numeric)

@@ -118,6 +118,21 @@ def fit_forest(df: DataFrame, spec: TreeSpec, models: Sequence[ModelSpec], varia
             base.unpersist()
 
 
+def tree_of(rows: Sequence, coding: Coding, model: int = 0) -> Tree:
+    """A tree from the rows of its node table."""
+    tree: Tree = {}
+    for r in rows:
+        if r["class_counts"] is not None:
+            stats = list(r["class_counts"])
+        else:
+            mean = r["leaf_mean"] or [0.0] * coding.width
+            stats = [r["n"], *[(m - c) * r["n"] for m, c in zip(mean, coding.centres)]]
+        node = int("1" + r["path"], 2)
+        tree[node] = Node(model, node, r["depth"], stats, r["feature_idx"], r["split_num"], r["split_cat"], r["gain"],
+                          seq=max(0, -1 - r["node_id"]))
+    return tree
+
+
 @dataclass
 class TreeModel:
     """A fitted tree. ``transform`` is a projection and needs no fuzzification of new rows."""
@@ -232,25 +247,19 @@ class TreeModel:
             .coalesce(1).write.mode("overwrite").parquet(f"{path}/fuzzy_sets")
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> TreeModel:
+    def load_head(spark: SparkSession, path: str) -> tuple[TreeSpec, Coding]:
         head = spark.read.parquet(f"{path}/head").first()
         sets: dict[str, list] = {}
         for r in spark.read.parquet(f"{path}/fuzzy_sets").orderBy("feature", "set_id").collect():
             sets.setdefault(r["feature"], []).append((r["centroid"], r["theta"]))
         spec = TreeSpec(tuple(head["features"]), tuple(head["targets"]), head["task"], head["criterion"],
                         sets or None, tuple(head["categorical"]))
-        coding = Coding(tuple(head["labels"]), tuple(head["centres"]))
-        tree: Tree = {}
-        for r in spark.read.parquet(f"{path}/nodes").collect():
-            if r["class_counts"] is not None:
-                stats = list(r["class_counts"])
-            else:
-                mean = r["leaf_mean"] or [0.0] * coding.width
-                stats = [r["n"], *[(m - c) * r["n"] for m, c in zip(mean, coding.centres)]]
-            node = int("1" + r["path"], 2)
-            tree[node] = Node(0, node, r["depth"], stats, r["feature_idx"], r["split_num"], r["split_cat"], r["gain"],
-                              seq=max(0, -1 - r["node_id"]))
-        return TreeModel(spec, tree, coding)
+        return spec, Coding(tuple(head["labels"]), tuple(head["centres"]))
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> TreeModel:
+        spec, coding = TreeModel.load_head(spark, path)
+        return TreeModel(spec, tree_of(spark.read.parquet(f"{path}/nodes").collect(), coding), coding)
 
     def split_columns(self) -> list[Column]:
         """Tests of all inner nodes, for reports on how often each one passes."""
