@@ -77,7 +77,7 @@ def tree_stop_rules(spark, sf):
 
 def cart_classifier(spark, sf):
     """Soft and crisp tree end to end: fit fuzzy sets, hold out rows, train, score."""
-    df = holdout(orders_tier(spark, sf), ["o_orderkey"], 0.4, seed=22).persist()
+    df = holdout(orders_tier(spark, sf), ["o_orderkey"], 0.4, seed=22)
     sets = FuzzySets.fit(df, FEATURES, 5, max_iter=3, tol=-1.0)
     train = df.filter("NOT is_test")
     soft = fit_tree(train, TreeSpec(FEATURES, ("tier",), fuzzy_sets=sets.sets, rules=TWO_LEVELS))
@@ -94,7 +94,7 @@ def _priced(spark, sf):
 
 
 def cart_regressor(spark, sf):
-    df = holdout(_priced(spark, sf), ["o_orderkey"], 0.4, seed=22).persist()
+    df = holdout(_priced(spark, sf), ["o_orderkey"], 0.4, seed=22)
     train = df.filter("NOT is_test")
     sets = set_map(*FEATURES)
     soft = fit_tree(train, TreeSpec(FEATURES, ("amount",), "value", fuzzy_sets=sets, rules=TWO_LEVELS))

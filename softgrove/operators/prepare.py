@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from softgrove.operators.ranks import value_rank
+from softgrove.session import cut_lineage
 
-# Codes up to which an encoding is broadcast to the table it is applied to.
+# Codes of a column up to which its encoding is broadcast to the table it is applied to.
 BROADCAST_CODES = 200_000
 
 
@@ -38,12 +39,14 @@ def first_seen_codes(df: DataFrame, columns: Sequence[str], order: str) -> DataF
 
 def encode_first_seen(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
     """Replace every value by its first-appearance code."""
-    codes = first_seen_codes(df, columns, order).persist()
-    small = codes.count() <= BROADCAST_CODES
+    cached = first_seen_codes(df, columns, order).persist()
+    codes = cut_lineage(cached)
+    cached.unpersist()
+    sizes = {r["feature"]: r["count"] for r in codes.groupBy("feature").count().collect()}  # a row per column
     out = df
     for c in columns:
         mine = codes.filter(F.col("feature") == c).select(F.col("value").alias("__v"), F.col("code").alias("__code"))
-        mine = F.broadcast(mine) if small else mine
+        mine = F.broadcast(mine) if sizes.get(c, 0) <= BROADCAST_CODES else mine
         out = out.join(mine, F.col(c).cast("string").eqNullSafe(F.col("__v")), "left") \
             .withColumn(c, F.col("__code")).drop("__v", "__code")
     return out

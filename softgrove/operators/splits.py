@@ -25,6 +25,8 @@ DIRECT_LIMIT = 65_536
 # Up to this many buckets to scan, their few sums are sent along with the next job;
 # more stay a distributed table that is joined by shuffle.
 LISTED_BUCKETS = 20_000
+# Open nodes up to which the gains found so far are broadcast.
+BROADCAST_FOUND = 200_000
 TIE_DIGITS = 12
 KEYS = ("model", "node")
 
@@ -207,23 +209,24 @@ def alive_buckets(prefixed: DataFrame, found: DataFrame, layout: Layout) -> Data
             box += [f"h_{s} - {s} AS lo_{s}", f"h_{s} AS hi_{s}"]
     return (
         inside.selectExpr("*", *box).selectExpr("*", f"{bound} AS bound")
-        .join(F.broadcast(found), list(KEYS), "left")
+        .join(found, list(KEYS), "left")
         .filter("floor_gain IS NULL OR bound IS NULL OR bound >= floor_gain - 1e-9D * (1 + abs(floor_gain))")
         .selectExpr(*keys)
     )
 
 
 def scan_buckets(long: DataFrame, alive: DataFrame, listed: bool, layout: Layout) -> DataFrame:
-    """Every value inside the given buckets as a scored candidate."""
+    """Every value inside the given buckets as a scored candidate.
+
+    Listed buckets filter the rows before they are counted; a long table of buckets
+    is joined after the count, so that a frequent value is one row by then.
+    """
     keys = [*KEYS, "fi", "bkt"]
     wanted = alive.select(*keys)
     if listed:
         wanted, alive = F.broadcast(wanted), F.broadcast(alive)
-    values = (
-        long.join(wanted, keys, "left_semi")
-        .groupBy(*keys, F.col("num").alias("vmin"))
-        .agg(*layout.sums())
-    )
+    inside = long.join(wanted, keys, "left_semi") if listed else long.filter("bkt IS NOT NULL")
+    values = inside.groupBy(*keys, F.col("num").alias("vmin")).agg(*layout.sums())
     run = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY vmin DESC ROWS UNBOUNDED PRECEDING)"
     inner = values.selectExpr(*keys, "vmin", *[f"sum({s}) {run} AS i_{s}" for s in layout.stats])
     joined = inner.join(alive, keys).selectExpr(
@@ -244,7 +247,7 @@ def best_splits(rows: DataFrame, layout: Layout) -> list:
         best = {tuple(r[k] for k in KEYS): r for r in best_per_node(score(prefixed, layout), layout).collect()}
         found = spark.createDataFrame([(*key, float(r["gain"])) for key, r in best.items()],
                                       "model int, node bigint, floor_gain double")
-        alive = alive_buckets(prefixed, found, layout)
+        alive = alive_buckets(prefixed, F.broadcast(found) if len(best) <= BROADCAST_FOUND else found, layout)
         few = alive.limit(LISTED_BUCKETS + 1).collect()
         if few:
             listed = len(few) <= LISTED_BUCKETS
