@@ -64,11 +64,13 @@ def hash_thresholds(df: DataFrame, hashed: str, cuts: DataFrame, keys: Sequence[
     Positions beyond the group are left out. ``hashed`` is distinct within a group.
     Rows are counted per hash prefix; only those in a bucket with a cut are ranked.
     """
+    if not keys:
+        one = F.lit(0).alias("__all")
+        return hash_thresholds(df.select("*", one), hashed, cuts.select("*", one), ["__all"], size).drop("__all")
     keys = list(keys)
     bucketed = df.select(*keys, hashed, F.substring(hashed, 1, hash_digits(size)).alias("__bucket"))
     offsets = _offsets(bucketed, keys, "__bucket", F.lit(1))
-    wanted = null_safe_join(offsets, cuts, keys) if keys else offsets.join(F.broadcast(cuts))  # cuts: some literals
-    wanted = wanted.filter("__before < position AND position <= __before + __n").drop("__n").persist()
+    wanted = null_safe_join(offsets, cuts, keys).filter("__before < position AND position <= __before + __n").drop("__n").persist()
     try:
         n = wanted.count()
         buckets = wanted.select(*keys, "__bucket").distinct()
