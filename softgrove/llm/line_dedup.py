@@ -3,16 +3,17 @@
 Lines are normalised (lower case, digits to 0, white space to single blanks);
 those with at least ``min_words`` words take part, others always stay. Equal
 normalised lines are collapsed first, with map-side counting. Two different ones
-are linked if their 64-bit SimHash fingerprints (over words, repeats included)
-differ in at most ``radius`` bits and their edit similarity, 1 - distance / longer
+are linked if their 64-bit SimHash fingerprints (over distinct words, so that a
+separator that makes up half a line has no more weight than a word) differ in at
+most ``radius`` bits and their edit similarity, 1 - distance / longer
 length, is at least ``similarity``. Connected lines are a group, and of all its
 occurrences the first (smallest id, text hash and line number) stays.
 
 Candidates meet by the pigeonhole principle: of ``m`` blocks of a fingerprint,
 at least m - radius agree, so lines are joined on every choice of that many
 blocks. m follows the number of distinct lines, so that a key is rarely shared
-by chance; the result does not depend on it. Only lines with a shared key get
-their text fetched. A pair is verified under the first key that it shares and
+by chance; the result does not depend on it. Only lines with a partner within
+the radius get their text fetched. A pair is verified under the first key that it shares and
 only if it is not connected yet; a task returns spanning links, not all pairs.
 Keys with many lines are cut into chunks and compared chunk pair by chunk pair,
 so no key lands in one task.
@@ -25,6 +26,7 @@ an empty result.
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -42,6 +44,8 @@ RADIUS = 3
 SIMILARITY = 0.8
 CHUNK = 1024
 SLICE_WORDS = 100_000
+SLOTS = 1 << 20
+TASK_LINES = 4096
 DIGIT = re.compile(r"\d")
 
 
@@ -50,12 +54,12 @@ def normalise(line: str) -> str:
 
 
 def fingerprints(lines: list[str]) -> np.ndarray:
-    """Majority bits of the word hashes of each line (every line has a word)."""
+    """Majority bits of the hashes of the distinct words of each line (every line has a word)."""
     import xxhash
 
     words = [x.encode("utf-8", "surrogatepass").split(b" ") for x in lines]
     number: dict[bytes, int] = {}
-    ids = [[number.setdefault(w, len(number)) for w in line] for line in words]
+    ids = [[number.setdefault(w, len(number)) for w in dict.fromkeys(line)] for line in words]
     hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(w, 3) for w in number]), np.uint8).reshape(-1, 8)
     out = np.zeros((len(lines), 8), np.uint8)
     begin = 0
@@ -125,6 +129,18 @@ def similar(a: str, b: str, similarity: float) -> bool:
     return edit_distance(a, b) <= (1 - similarity) * longer + 1e-9
 
 
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """Counts of characters by code point modulo 64; a row per text."""
+    return np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64)
+                     for t in texts])
+
+
+def at_least(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """A lower bound of the edit distance: characters that one side has more of."""
+    more = others - one
+    return np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
+
+
 def place() -> Column:
     return F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "line_no")
 
@@ -159,9 +175,9 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
 
 
 def blocks_for(n: int, radius: int) -> int:
-    """Fewest blocks (beyond one more than the radius) whose keys are shared by chance by at most an eighth of the lines."""
+    """Fewest blocks with which a line shares a key by chance with at most one other line in two."""
     blocks = radius + 2
-    while blocks < 16 and n > 2 ** (64 * (blocks - radius) // blocks) / 8:
+    while blocks < 16 and n * math.comb(blocks, radius) > 2 ** (64 * (blocks - radius) / blocks) / 2:
         blocks += 1
     return blocks
 
@@ -177,61 +193,140 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _spanning(choice: int, fp: np.ndarray, text: list[str], letters: np.ndarray, n_left: int, must_agree: np.ndarray,
+              radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links (rows) that join what is alike under one key; with ``n_left`` < rows, only between left rows and others."""
+    n, whole = len(fp), n_left == len(fp)
+    length = letters.sum(1)
+    group = np.arange(n)
+    links: list[tuple[int, int]] = []
+    for a in range(n_left):
+        begin = a + 1 if whole else n_left
+        differ = fp[begin:] ^ fp[a]
+        near = np.flatnonzero((np.bitwise_count(differ) <= radius) & (group[begin:] != group[a]))
+        if not len(near):
+            continue
+        first = np.argmax((must_agree[:, None] & differ[near]) == 0, axis=0)
+        allowed = (1 - similarity) * np.maximum(length[begin + near], length[a]) + 1e-9
+        near = near[(first == choice) & (at_least(letters[a], letters[begin + near]) <= allowed)]
+        for k in (begin + near).tolist():
+            if group[k] != group[a] and similar(text[a], text[k], similarity):
+                group[group == group[k]] = group[a]
+                links.append((a, k))
+    return links
+
+
+def _sorted_groups(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, list[int]]:
+    """Columns of a task sorted by key and chunk pair, the order, and where groups begin."""
+    column = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "own", "choice", "fp")}
+    order = np.lexsort((column["own"], column["j"], column["i"], column["key"], column["choice"]))
+    column = {c: v[order] for c, v in column.items()}
+    new = np.zeros(len(order), bool)
+    for c in ("choice", "key", "i", "j"):
+        new[1:] |= column[c][1:] != column[c][:-1]
+    column["fp"] = column["fp"].view(np.uint64)
+    return column, order, [0, *np.flatnonzero(new).tolist(), len(order)]
+
+
+def _has_partner(column: dict[str, np.ndarray], edges: list[int], must_agree: np.ndarray, radius: int) -> np.ndarray:
+    """Rows within the radius of another row of their group, under the first key that the two share."""
+    fp, choice = column["fp"], column["choice"]
+    out = np.zeros(len(fp), bool)
+
+    def close(differ: np.ndarray, mine) -> np.ndarray:
+        near = np.bitwise_count(differ) <= radius
+        near[near] = np.argmax((must_agree[:, None] & differ[near]) == 0, axis=0) == (mine[near] if np.ndim(mine) else mine)
+        return near
+
+    begin, end = np.array(edges[:-1]), np.array(edges[1:])
+    pairs = begin[(end - begin == 2) & (column["i"][begin] == column["j"][begin])]
+    near = close(fp[pairs] ^ fp[pairs + 1], choice[pairs])
+    out[pairs[near]] = out[pairs[near] + 1] = True
+    for x, y in zip(begin[end - begin > 2].tolist(), end[end - begin > 2].tolist()):
+        whole = column["i"][x] == column["j"][x]
+        n_left = y - x if whole else int((column["own"][x:y] == column["i"][x]).sum())
+        for a in range(x, x + n_left):
+            first = a + 1 if whole else x + n_left
+            near = close(fp[first:y] ^ fp[a], choice[a])
+            if near.any():
+                out[a] = True
+                out[first:y][near] = True
+    lone = begin[(end - begin == 2) & (column["i"][begin] != column["j"][begin])]
+    near = close(fp[lone] ^ fp[lone + 1], choice[lone]) & (column["own"][lone] != column["own"][lone + 1])
+    out[lone[near]] = out[lone[near] + 1] = True
+    return out
+
+
+def _in_tasks(met: DataFrame) -> DataFrame:
+    """Rows of ``met`` dealt to tasks: small keys share one, each chunk pair of a large key has its own."""
+    tasks = max(1, -(-met.count() // TASK_LINES))
+    own = F.pmod(F.xxhash64("line_hash"), F.col("chunks")).cast("int")
+    rows = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    task = F.when(F.col("chunks") == 1, F.pmod("key", F.lit(tasks))).otherwise(F.xxhash64("key", "i", "j"))
+    return rows.withColumn("task", task).drop("other", "chunks")
+
+
+def _slot(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SLOTS)).cast("int")
+
+
+def _slots(rows: DataFrame, *columns: str) -> DataFrame:
+    """Hash slots of the rows' keys: at most SLOTS small rows, so it may be broadcast at any size of the input."""
+    return F.broadcast(rows.select(_slot(*columns).alias("slot")).distinct())
+
+
 def links(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, radius: int, similarity: float,
           chunk: int) -> DataFrame:
-    """Spanning links (a, b) between line hashes. ``distinct`` has line_hash, fp and first (a place)."""
+    """Spanning links (a, b) between line hashes. ``distinct`` has line_hash, fp and first (a place).
+
+    Lines that share a key are compared by fingerprint first; the texts of those
+    with a partner are then fetched and verified. Slot filters keep what shares no
+    key, or is not wanted, out of the shuffles.
+    """
     choice = masks(blocks_for(distinct.count(), radius), radius)
-    keys = F.array(*[F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits"))
-                     for k, m in enumerate(choice)])
-    each = distinct.select("line_hash", "fp", F.explode(keys).alias("key")).select("line_hash", "fp", "key.*")
-    shared = each.groupBy("choice", "bits").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = written(shared.select(F.col("choice").alias("c"), F.col("bits").alias("v"),
-                                   F.ceil(F.col("n") / chunk).cast("int").alias("chunks")), "shared-keys")
-    met = each.join(shared, (F.col("choice") == F.col("c")) & (F.col("bits") == F.col("v"))).drop("c", "v")
-    met = written(met, "candidates")
-    wanted = met.select("line_hash").distinct().join(distinct.select("line_hash", "first"), "line_hash")
-    wanted = written(wanted.select("line_hash", "first.*"), "wanted-lines")
+    must_agree = np.array(choice, np.uint64)
+    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(choice)])
+    each = distinct.select("line_hash", "fp", F.posexplode(keys).alias("choice", "key"))
+    shared = each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = written(shared.select(F.col("key").alias("shared"), F.ceil(F.col("n") / chunk).cast("int").alias("chunks")),
+                     "shared-keys")
+    each = each.withColumn("slot", _slot("key")).join(_slots(shared, "shared"), "slot", "left_semi").drop("slot")
+    met = written(each.join(shared, F.col("key") == F.col("shared")).drop("shared"), "met-lines")
+
+    def partners(table: pa.Table) -> pa.Table:
+        column, order, edges = _sorted_groups(table)
+        found = order[_has_partner(column, edges, must_agree, radius)]
+        return table.select(["line_hash"]).take(pa.array(np.sort(found))) if len(found) else table.select(["line_hash"]).slice(0, 0)
+
+    near = _in_tasks(met).groupBy("task").applyInArrow(partners, "line_hash binary").distinct()
+    wanted = written(near.join(distinct.select("line_hash", "first"), "line_hash").select("line_hash", "first.*"), "wanted-lines")
     texts = docs.select(docs[id_col].alias("__id"), F.xxhash64(docs[text_col]).alias("__hash"),
                         F.posexplode(F.split(docs[text_col], "\n")).alias("__line_no", "__line"))
+    texts = texts.withColumn("slot", _slot("__hash", "__line_no")).join(_slots(wanted, "text_hash", "line_no"), "slot", "left_semi")
     texts = texts.join(wanted, texts["__id"].eqNullSafe(wanted["id"]) & (texts["__hash"] == wanted["text_hash"])
                        & (texts["__line_no"] == wanted["line_no"]))
     texts = written(texts.select("line_hash", F.col("__line").alias("line")).dropDuplicates(["line_hash"]), "line-texts")
-    own = F.pmod(F.xxhash64("line_hash"), F.col("chunks")).cast("int")
-    rows = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.join(texts, "line_hash").select(
-        "choice", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
-        "line_hash", "fp", "line")
-    must_agree = np.array(choice, np.uint64)
+    met = written(met.join(texts.select("line_hash"), "line_hash", "left_semi"), "candidates")
+    rows = _in_tasks(met).join(texts, "line_hash")
 
-    def verify(key: tuple, table: pa.Table) -> pa.Table:
-        mine, i, j = key[0].as_py(), key[2].as_py(), key[3].as_py()
-        order = np.argsort(table.column("own").to_numpy(), kind="stable")
-        fp = table.column("fp").to_numpy()[order].view(np.uint64)
-        n_left = int((table.column("own").to_numpy() == i).sum()) if i != j else len(order)
-        hashes = table.column("line_hash").to_pylist()
-        raw = table.column("line").to_pylist()
+    def verify(table: pa.Table) -> pa.Table:
+        column, order, edges = _sorted_groups(table)
+        raw, hashes = table.column("line").to_pylist(), table.column("line_hash").to_pylist()
         text = [normalise(raw[k]) for k in order]
-        parent = list(range(len(order)))
-
-        def root(k: int) -> int:
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
-        for a in range(n_left):
-            begin = a + 1 if i == j else n_left
-            differ = fp[begin:] ^ fp[a]
-            for k in np.flatnonzero(np.bitwise_count(differ) <= radius).tolist():
-                first = int(np.argmax((must_agree & differ[k]) == 0))
-                x, y = root(a), root(begin + k)
-                if first == mine and x != y and similar(text[a], text[begin + k], similarity):
-                    parent[max(x, y)] = min(x, y)
-        moved = [k for k in range(len(order)) if parent[k] != k]
-        return pa.table({"a": pa.array([hashes[order[parent[k]]] for k in moved], pa.binary()),
-                         "b": pa.array([hashes[order[k]] for k in moved], pa.binary())})
-
-    return rows.groupBy("choice", "bits", "i", "j").applyInArrow(verify, "a binary, b binary")
+        letters = letter_counts(text)
+        found: list[tuple[int, int]] = []
+        for begin, end in zip(edges, edges[1:]):
+            if end - begin > 1:
+                i, j = column["i"][begin], column["j"][begin]
+                n_left = end - begin if i == j else int((column["own"][begin:end] == i).sum())
+                joined = _spanning(int(column["choice"][begin]), column["fp"][begin:end], text[begin:end],
+                                   letters[begin:end], n_left, must_agree, radius, similarity)
+                found += [(begin + a, begin + b) for a, b in joined]
+        return pa.table({"a": pa.array([hashes[order[a]] for a, _ in found], pa.binary()),
+                         "b": pa.array([hashes[order[b]] for _, b in found], pa.binary())})
+
+    return rows.groupBy("task").applyInArrow(verify, "a binary, b binary")
 
 
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,

@@ -112,7 +112,7 @@ def plain_lines(rows):
                 places[d, k] = line
     distinct = sorted(lines)
     fps = [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
-           for hs in ([xxhash.xxh64_intdigest(w, 3) for w in line.split(" ")] for line in distinct)]
+           for hs in ([xxhash.xxh64_intdigest(w, 3) for w in set(line.split(" "))] for line in distinct)]
     near = [(a, b) for a, b in itertools.combinations(range(len(distinct)), 2)
             if (fps[a] ^ fps[b]).bit_count() <= line_dedup.RADIUS and line_dedup.similar(distinct[a], distinct[b], 0.8)]
     root = dict(zip(distinct, groups(len(distinct), near)))
