@@ -44,6 +44,7 @@ RADIUS = 3
 SIMILARITY = 0.8
 CHUNK = 1024
 SLICE_WORDS = 100_000
+SEGMENT = 255  # a byte counts no further
 SLOTS = 1 << 20
 TASK_LINES = 4096
 DIGIT = re.compile(r"\d")
@@ -54,33 +55,29 @@ def normalise(line: str) -> str:
 
 
 def fingerprints(lines: list[str]) -> np.ndarray:
-    """Majority bits of the hashes of the distinct words of each line (every line has a word)."""
+    """Majority bits of the hashes of the distinct words of each line (every line has a word).
+
+    Ones are counted in bytes, eight bits of a hash to a 64-bit word, over segments of at most SEGMENT words.
+    """
     import xxhash
 
-    words = [x.encode("utf-8", "surrogatepass").split(b" ") for x in lines]
     number: dict[bytes, int] = {}
-    ids = [[number.setdefault(w, len(number)) for w in dict.fromkeys(line)] for line in words]
+    ids = [[number.setdefault(w, len(number)) for w in dict.fromkeys(x.encode("utf-8", "surrogatepass").split(b" "))]
+           for x in lines]
     hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(w, 3) for w in number]), np.uint8).reshape(-1, 8)
-    out = np.zeros((len(lines), 8), np.uint8)
-    begin = 0
-    while begin < len(ids):
-        size, end = len(ids[begin]), begin + 1
-        while end < len(ids) and size + len(ids[end]) <= SLICE_WORDS:
-            size += len(ids[end])
-            end += 1
-        part = ids[begin:end]
-        if end == begin + 1:  # perhaps one very long line
-            row = np.array(part[0])
-            ones = np.zeros((1, 64), np.int64)
-            for k in range(0, len(row), SLICE_WORDS):
-                ones += np.unpackbits(hashes[row[k:k + SLICE_WORDS]], axis=1).sum(0, dtype=np.int64)
-        else:
-            starts = np.cumsum([0] + [len(x) for x in part[:-1]])
-            bits = np.unpackbits(hashes[np.fromiter(itertools.chain.from_iterable(part), np.int64, size)], axis=1)
-            ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-        n = np.array([len(x) for x in part])[:, None]
-        out[begin:end] = np.packbits(2 * ones > n, axis=1)
-        begin = end
+    n = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(n.sum()))
+    segments = -(-n // SEGMENT)
+    first = np.cumsum(segments) - segments
+    start = np.repeat(np.cumsum(n) - n, segments) + (np.arange(segments.sum()) - np.repeat(first, segments)) * SEGMENT
+    counted = np.empty((len(start), 64), np.uint8)
+    step = max(1, SLICE_WORDS // SEGMENT)
+    for k in range(0, len(start), step):
+        begin, end = start[k], start[k + step] if k + step < len(start) else len(flat)
+        bits = np.unpackbits(hashes[flat[begin:end]], axis=1).view(np.uint64)
+        counted[k:k + step] = np.add.reduceat(bits, start[k:k + step] - begin, axis=0).view(np.uint8)
+    ones = np.add.reduceat(counted, first, axis=0, dtype=np.int64)
+    out = np.packbits(2 * ones > n[:, None], axis=1)
     return out.view(">u8").ravel().astype(np.uint64).view(np.int64)
 
 
@@ -175,9 +172,9 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
 
 
 def blocks_for(n: int, radius: int) -> int:
-    """Fewest blocks with which a line shares a key by chance with at most one other line in two."""
+    """Fewest blocks with which at most one line in 32 shares a key by chance."""
     blocks = radius + 2
-    while blocks < 16 and n * math.comb(blocks, radius) > 2 ** (64 * (blocks - radius) / blocks) / 2:
+    while blocks < 16 and n * math.comb(blocks, radius) > 2 ** (64 * (blocks - radius) / blocks) / 32:
         blocks += 1
     return blocks
 
