@@ -45,7 +45,7 @@ SIMILARITY = 0.8
 CHUNK = 1024
 SLICE_WORDS = 100_000
 SEGMENT = 255  # a byte counts no further
-SLOTS = 1 << 20
+SLOTS = 1 << 23
 TASK_LINES = 4096
 DIGIT = re.compile(r"\d")
 
