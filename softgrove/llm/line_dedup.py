@@ -1,8 +1,8 @@
 """Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, one occurrence per group.
 
 Lines are normalised (lower case, digits to 0, white space to single blanks);
-those with at least ``min_words`` words take part, others always stay. Equal
-normalised lines are collapsed first, with map-side counting. Two different ones
+every line that is not empty then takes part, or with ``min_words`` those with
+as many words, and others always stay. Equal normalised lines are collapsed first, with map-side counting. Two different ones
 are linked if their 64-bit SimHash fingerprints (over distinct words, so that a
 separator that makes up half a line has no more weight than a word) differ in at
 most ``radius`` bits and their edit similarity, 1 - distance / longer
@@ -39,7 +39,9 @@ from pyspark.sql import types as T
 from softgrove.llm.common import small_batches, written
 from softgrove.llm.components import components
 
-MIN_WORDS = 5
+MIN_WORDS = 1
+#: for taking lines out of texts, where short ones (list marks, brackets) carry the layout
+MIN_WORDS_OUT = 5
 RADIUS = 3
 SIMILARITY = 0.8
 CHUNK = 1024
@@ -344,9 +346,10 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       place().eqNullSafe(F.col("least")).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the lines that do not stay taken out of the text."""
-    dropped = line_groups(docs, id_col, text_col, **options).filter("NOT kept")
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS_OUT,
+                 **options) -> DataFrame:
+    """``docs`` with the lines of at least ``min_words`` words that do not stay taken out of the text."""
+    dropped = line_groups(docs, id_col, text_col, min_words, **options).filter("NOT kept")
     dropped = written(dropped.groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(
         F.collect_set("line_no").alias("__dropped")), "dropped-lines")
     same = docs[id_col].eqNullSafe(dropped["__id"]) & (F.xxhash64(docs[text_col]) == dropped["__hash"])
