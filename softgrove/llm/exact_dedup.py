@@ -5,9 +5,9 @@ dearer pass only if another row shares its key so far. Which keys are shared is
 handed to the next scan as a set of hash slots with a fixed upper size, so the
 texts themselves are never shuffled; a slot shared by chance only costs work.
 
-Null text counts as empty. Rows that repeat both id and text are one document:
-they come back as one row, and ``group_size`` counts each of them. A null id is
-an id of its own, and stays only if the whole group has none. Other columns are
+Null text counts as empty. Rows that repeat both id and text come back one by
+one from ``membership``, and ``group_size`` counts each of them; ``keep_one``
+keeps one of them. A null id is an id of its own, and stays only if the whole group has none. Other columns are
 not looked at. An empty table gives an empty result.
 """
 
@@ -56,7 +56,7 @@ def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, sha256, keep_id, group_size, kept, repeated.
+    """One row per row of ``docs``: id, sha256, keep_id, group_size, kept, repeated.
 
     The digest of every text is asked for here, so it is computed in the scan;
     the groups come from the refinement. They are joined by digest, whose hot
@@ -65,15 +65,12 @@ def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = written(equal_groups(docs, id_col, text_col), "equal-groups")
     rows = docs.select(docs[id_col].alias("id"), F.sha2(F.coalesce(docs[text_col], F.lit("")), 256).alias("sha256"))
     single = F.col("group_size").isNull()
-    out = rows.join(groups, "sha256", "left").select(
+    return rows.join(groups, "sha256", "left").select(
         "id", "sha256",
         F.when(single, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (single | F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.coalesce("repeated", F.lit(False)).alias("repeated"))
-    if groups.filter("repeated").isEmpty():
-        return out
-    return out.filter("NOT repeated").unionByName(out.filter("repeated").dropDuplicates(["id", "sha256"]))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
