@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softgrove.llm import exact_dedup, language_id, line_dedup, mixing, packing, quality, secret_scan, simhash_dedup, token_counts, warc
+from softgrove.llm import exact_dedup, language_id, line_dedup, mixing, packing, quality, secret_scan, simhash_dedup, token_counts, topk_search, warc
 from softgrove.llm.common import read, scratch_path, written
 
 #: Folder of the public tokenizer files; a parameter of the installation.
@@ -91,6 +91,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
@@ -102,6 +106,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
+    "op11_topk_search": op11_topk_search,
 }
 
 ORACLES = {
@@ -158,4 +163,17 @@ ORACLES = {
                (((start + k * step) // 16777216) - ((start + (k - 1) * step) // 16777216)) * size AS taken
         FROM r
     """,
+    "op11_topk_search": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+          FROM embeddings
+          WHERE embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+        s AS (
+          SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (
+          SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
 }
