@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softgrove.llm import exact_dedup, language_id, line_dedup, mixing, packing, quality, secret_scan, simhash_dedup, token_counts, topk_search, warc
+from softgrove.llm import conversation_repair, exact_dedup, language_id, line_dedup, mixing, packing, quality, secret_scan, simhash_dedup, token_counts, topk_search, warc
 from softgrove.llm.common import read, scratch_path, written
 
 #: Folder of the public tokenizer files; a parameter of the installation.
@@ -95,6 +95,11 @@ def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damage(read(spark, sf_dir, "conversations"))
+    return conversation_repair.audited(damaged)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
@@ -107,6 +112,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
     "op11_topk_search": op11_topk_search,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 ORACLES = {
