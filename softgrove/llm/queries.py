@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softgrove.llm import conversation_repair, exact_dedup, language_id, line_dedup, mixing, packing, quality, secret_scan, simhash_dedup, token_counts, topk_search, warc
+from softgrove.llm import conversation_repair, exact_dedup, language_id, line_dedup, mixing, packing, quality, secret_scan, simhash_dedup, token_counts, topk_search, warc, whitening
 from softgrove.llm.common import read, scratch_path, written
 
 #: Folder of the public tokenizer files; a parameter of the installation.
@@ -100,6 +100,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.audited(damaged)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
@@ -113,6 +117,7 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_topk_search": op11_topk_search,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES = {
