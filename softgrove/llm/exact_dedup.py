@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from softgrove.llm.common import written
+from softgrove.llm.keeping import stay
 
 SLOTS = 1 << 20
 PREFIX_CHARS = 256
@@ -37,22 +38,28 @@ def _refine(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.withColumn("slot", _slot([F.col(k) for k in key])).join(shared, "slot", "left_semi").drop("slot")
 
 
-def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """One row per text that several rows have: sha256, keep_id, group_size, repeated.
-
-    ``keep_id`` is the largest id; ``repeated`` says that rows of the group share an id.
-    """
-    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """(id, text_hash, sha256) of the rows that share length and prefix with another."""
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("own"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     rows = rows.withColumn("length", F.octet_length("text"))
     rows = _refine(rows, ["length"])
     rows = rows.withColumn("head", F.xxhash64(F.substring("text", 1, prefix_chars)))
     rows = _refine(rows, ["length", "head"])
-    rows = rows.select("id", F.sha2("text", 256).alias("sha256"))
-    per_id = rows.groupBy("sha256", "id").agg(F.count("*").alias("n"))
+    return rows.select("id", F.xxhash64("own").alias("text_hash"), F.sha2("text", 256).alias("sha256"))
+
+
+def equal_groups(rows: DataFrame) -> DataFrame:
+    """One row per text that several of the candidates have: sha256, keep_id, keep_hash, group_size, repeated.
+
+    ``keep_id`` is the largest id; ``repeated`` says that rows of the group share an id.
+    """
+    per_id = rows.groupBy("sha256", "id").agg(F.count("*").alias("n"), F.max("text_hash").alias("text_hash"))
+    keep = F.max(F.struct(F.col("id").isNotNull(), "id", "text_hash"))
     return per_id.groupBy("sha256").agg(
-        F.max("id").alias("keep_id"), F.sum("n").alias("group_size"),
-        (F.max("n") > 1).alias("repeated")).filter("group_size > 1")
+        keep.alias("keep"), F.sum("n").alias("group_size"), (F.max("n") > 1).alias("repeated")
+    ).filter("group_size > 1").select("sha256", F.col("keep.id").alias("keep_id"), F.col("keep.text_hash").alias("keep_hash"),
+                                      "group_size", "repeated")
 
 
 def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,7 +69,7 @@ def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     the groups come from the refinement. They are joined by digest, whose hot
     values the adaptive skew join splits.
     """
-    groups = written(equal_groups(docs, id_col, text_col), "equal-groups")
+    groups = written(equal_groups(candidates(docs, id_col, text_col)), "equal-groups")
     rows = docs.select(docs[id_col].alias("id"), F.sha2(F.coalesce(docs[text_col], F.lit("")), 256).alias("sha256"))
     single = F.col("group_size").isNull()
     return rows.join(groups, "sha256", "left").select(
@@ -74,14 +81,11 @@ def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns: one of each group of equal texts."""
-    groups = written(equal_groups(docs, id_col, text_col), "equal-groups")
-    keys = groups.select(F.col("sha256").alias("__sha"), F.col("keep_id").alias("__keep"),
-                         F.col("repeated").alias("__repeated"))
-    marked = docs.withColumn("__sha", F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
-    kept = marked.join(keys, "__sha", "left").filter(
-        F.col("__repeated").isNull() | docs[id_col].eqNullSafe(F.col("__keep")))
-    if not groups.filter("repeated").isEmpty():
-        twice = F.coalesce("__repeated", F.lit(False))
-        kept = kept.filter(~twice).unionByName(kept.filter(twice).dropDuplicates(["__sha"]))
-    return kept.select(*[kept[c] for c in docs.columns])
+    """The rows of ``docs`` that stay, with their columns: one of each group of equal texts.
+
+    Groups come from the refined rows alone; the rows to drop are taken out by id and hash of the text.
+    """
+    rows = written(candidates(docs, id_col, text_col), "equal-candidates")
+    groups = written(equal_groups(rows), "equal-groups")
+    member = rows.join(groups, "sha256").select("id", "text_hash", "keep_id", "keep_hash")
+    return stay(docs, written(member, "equal-members"), id_col, F.xxhash64(docs[text_col]))

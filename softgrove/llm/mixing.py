@@ -94,12 +94,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     order = Window.partitionBy("__source").orderBy("__class", "__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.withColumn("first", F.coalesce(F.sum("n").over(order), F.lit(0)))
     starts = starts.join(sources, "__source").select(
-        *cell, "first", "step", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"),
-        (draw(F.lit(f"{seed}"), F.lit("offset"), F.col("__source")) % UNIT).alias("offset"))
+        *cell, F.col("first").alias("__first"), F.col("step").alias("__step"), F.col("source_size").alias("__source_size"),
+        F.col("target").alias("__target"),
+        (draw(F.lit(f"{seed}"), F.lit("offset"), F.col("__source")) % UNIT).alias("__offset"))
     in_cell = Window.partitionBy(*cell).orderBy("__size", "__draw", docs[id_col])
     rows = rows.withColumn("__rank", F.row_number().over(in_cell)).join(starts, cell)
-    upto = F.col("offset") + (F.col("first") + F.col("__rank")) * F.col("step")
-    crossed = F.shiftright(upto, UNIT_BITS) - F.shiftright(upto - F.col("step"), UNIT_BITS)
+    upto = F.col("__offset") + (F.col("__first") + F.col("__rank")) * F.col("__step")
+    crossed = F.shiftright(upto, UNIT_BITS) - F.shiftright(upto - F.col("__step"), UNIT_BITS)
     return rows.select(*[rows[c] for c in docs.columns], "__size", "__source_size", "__target",
                        crossed.cast("int").alias("__copies"))
 

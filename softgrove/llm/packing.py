@@ -16,6 +16,7 @@ Repeated rows are documents of their own. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -49,7 +50,8 @@ class ChunkTokenizer:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.odd = "|".join([ODD, *[re.escape(t.content) for t in added if t.content]])
         self.model = self.tokenizer.model
         plain = ByteLevel(add_prefix_space=False, use_regex=False)
         # bytes of the visible alphabet, in the order of their values: a fixed rule of byte-level vocabularies
@@ -87,7 +89,7 @@ class ChunkTokenizer:
         if len(self.cache) > CACHE_CHUNKS:
             self.cache.clear()
         empty = pc.equal(pc.utf8_length(texts), 0)
-        odd = pc.or_(pc.match_substring_regex(texts, ODD), empty).to_numpy(zero_copy_only=False)
+        odd = pc.or_(pc.match_substring_regex(texts, self.odd), empty).to_numpy(zero_copy_only=False)
         out: list[bytes] = [b""] * len(texts)
         whole = np.flatnonzero(odd).tolist()
         for k, ids in zip(whole, self._whole(texts.take(pa.array(whole, pa.int64())).to_pylist())):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softgrove.llm import exact_dedup, mixing, packing, quality, shingle_dedup
+from softgrove.llm import exact_dedup, mixing, packing, quality, simhash_dedup
 from softgrove.llm.common import read
 from softgrove.llm.queries import tokenizer_file
 
@@ -22,8 +22,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of texts with a five-word shingle similarity of 0.8 or more: the smallest id."""
-    return shingle_dedup.keep_one(docs)
+    """One of each group of fingerprints of three-word shingles within two bits: the smallest id."""
+    return simhash_dedup.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from softgrove.llm.common import small_batches, written
 from softgrove.llm.components import components
+from softgrove.llm.keeping import stay
 
 SHINGLE = 3
 SEED = 42
@@ -191,22 +192,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(found, marked["fp"] == found["group_fp"]).drop("group_fp")
 
 
-def stay(docs: DataFrame, member: DataFrame, id_col: str, text_hash: Column) -> DataFrame:
-    """The rows of ``docs`` that stay by ``member`` (id, text_hash, keep_id, keep_hash), with their columns."""
-    stays = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("text_hash") == F.col("keep_hash"))
-    dropped = member.filter(~stays).select(F.col("id").alias("__id"), F.col("text_hash").alias("__drop")).distinct()
-    marked = docs.withColumn("__hash", text_hash)
-    kept = marked.join(dropped, marked[id_col].eqNullSafe(dropped["__id"]) & (marked["__hash"] == dropped["__drop"]),
-                       "left_anti")
-    again = member.filter(stays).groupBy("id", "text_hash").count().filter("count > 1")
-    if not again.isEmpty():
-        again = written(again.select(F.col("id").alias("__id"), F.col("text_hash").alias("__again")), "repeated")
-        same = kept[id_col].eqNullSafe(again["__id"]) & (kept["__hash"] == again["__again"])
-        kept = kept.join(again, same, "left_anti").unionByName(
-            kept.join(again, same, "left_semi").dropDuplicates([id_col, "__hash"]))
-    return kept.select(*[kept[c] for c in docs.columns])
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS,
              tile: int = TILE) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: the one with the smallest id of each group."""

@@ -6,8 +6,9 @@ import duckdb
 
 SF = "/root/testdata/sf0.001"
 #: names that the operators use inside
-CLASHING = ("id", "fp", "size", "n", "slot", "key", "kept", "length", "root", "start", "word")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
+CLASHING = ("id", "fp", "size", "n", "slot", "key", "kept", "length", "root", "start", "word", "first", "step", "offset",
+            "target", "cap", "weight", "source_size", "draw", "class", "bucket", "cell")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
 
 PROSE = "the quick brown fox jumps over the lazy dog while seven quiet people read long books about rivers and hills"
 LONG = " ".join(f"word{k % 977} stands" for k in range(30_000))

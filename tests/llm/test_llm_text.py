@@ -127,11 +127,10 @@ def whole_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [e.ids + [1] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
-ODD = ["a  b", " lead", "trail ", "x\n\ny", "tab\tb", "a \nb", "it's 12,3 é b <|endoftext|> z", "don't  \n", "　x y",
+ODD = ["a  b", " lead", "trail ", "x\n\ny", "tab\tb", "a \nb", "it's 12,3 é b <|endoftext|> z", "don't  \n", "　x y", "a <|endoftext|> b", "<|endoftext|>", "end<|endoftext|>\nnext. word",
        "a\x1cb c", "x​y", "one.two, three.", "Ünï.", "nul\x00 word", "日本 語。", "\U0001f600 ok", "", "a"]
 
 
