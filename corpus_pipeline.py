@@ -19,7 +19,7 @@ STAGES = [
     ("packing", pipeline.packing_stage),
 ]
 
-#: The isolation forest, the fingerprints and the tokenizer can't be expressed in SQL; see tests/llm/test_pipeline.py.
+#: The isolation forest, the fingerprints and the tokenizer can't be expressed in SQL; see tests/llm/test_llm_pipeline.py.
 ORACLE_SQL = None
 
 
