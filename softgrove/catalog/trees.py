@@ -13,7 +13,7 @@ from softgrove.operators.fuzzify import FuzzySets
 from softgrove.operators.sampling import holdout
 from softgrove.plans.grow import StopRules
 from softgrove.plans.multiway import MultiwaySpec, fit_multiway
-from softgrove.plans.tree import TreeSpec, fit_tree
+from softgrove.plans.tree import TreeSpec, fit_table_tree, fit_tree
 
 FEATURES = ("o_totalprice", "o_month")
 TWO_LEVELS = StopRules(max_depth=1)
@@ -112,6 +112,16 @@ def _multiway(spark, sf, algo):
     return nodes.select("path", "depth", "feature", r("score", 9).alias("score"), "n", "label")
 
 
+def tree_full_depth(spark, sf):
+    """A tree without any limit of depth, all its nodes in tables: it tells apart whatever the features tell apart."""
+    features = ("l_quantity", "l_discount")
+    df = read(spark, sf, "lineitem", *features, "l_extendedprice")
+    model = fit_table_tree(df, TreeSpec(features, ("l_extendedprice",), "value"), driver_nodes=30)
+    n = F.count(F.lit(1))
+    return model.transform(df).groupBy(*features).agg(
+        n.alias("n"), r(F.min("prediction") * n, 2).alias("lowest"), r(F.max("prediction") * n, 2).alias("highest"))
+
+
 def id3_tree_level1(spark, sf):
     return _multiway(spark, sf, "id3")
 
@@ -130,7 +140,7 @@ def c45_numeric_many_labels(spark, sf):
 QUERIES = {f.__name__: f for f in (
     c45_numeric_many_labels,
     cart_classifier, cart_regressor, tree_nodes_depth1, tree_nodes_soft, tree_nodes_entropy, tree_predict,
-    tree_predict_proba, tree_rules, tree_stop_rules, id3_tree_level1, c45_tree_level1)}
+    tree_predict_proba, tree_full_depth, tree_rules, tree_stop_rules, id3_tree_level1, c45_tree_level1)}
 
 
 # ---- SQL ----
@@ -299,6 +309,10 @@ ORACLES = {
                                                    "JOIN t_leaf l USING (model, node)"),
     "tree_predict_proba": _proba_sql(),
     "tree_rules": _rules_sql(),
+    "tree_full_depth": """
+        SELECT l_quantity, l_discount, count(*) AS n, round(sum(l_extendedprice), 2) AS lowest,
+               round(sum(l_extendedprice), 2) AS highest
+        FROM lineitem GROUP BY l_quantity, l_discount""",
     "tree_stop_rules": _with(_orders_tree(3, min_samples=4000, min_gain=0.01), _nodes_sql(_orders_tree(3))),
     "id3_tree_level1": _multiway_sql("(h - inside)"),
     "c45_tree_level1": _multiway_sql("((h - inside) / nullif(info, 0))"),

@@ -123,12 +123,16 @@ def many_candidates(rows: DataFrame, layout: Layout) -> DataFrame:
                             f"if((vmin IS NOT NULL OR cat IS NOT NULL) AND r_n > 0, {gain}, NULL) AS gain")
 
 
-def best_splits_many(rows: DataFrame, layout: Layout) -> list:
+def best_many_table(rows: DataFrame, layout: Layout) -> DataFrame:
     """Best split per (model, node) with the totals (not the class sums) of both sides."""
     return (
         many_candidates(rows, layout)
         .selectExpr(*KEYS, "struct(gain, fi, vmin, cat, a_n, h_n, r_n) AS b",
                     f"if(gain IS NULL, NULL, struct(-round(gain, {TIE_DIGITS}) AS k, fi, vmin, cat)) AS k")
         .groupBy(*KEYS).agg(F.expr("min_by(b, k) AS b"), F.expr("min(k) AS k")).filter("k IS NOT NULL")
-        .selectExpr(*KEYS, "b.*").collect()
+        .selectExpr(*KEYS, "b.*")
     )
+
+
+def best_splits_many(rows: DataFrame, layout: Layout) -> list:
+    return best_many_table(rows, layout).collect()

@@ -19,6 +19,7 @@ from pyspark.storagelevel import StorageLevel
 
 from softgrove.functions.bounds import gain_bound
 from softgrove.functions.criteria import GainSpec, Side, impurity, plus, rest_of
+from softgrove.session import stored
 
 # Distinct values per feature up to which every value is its own bucket.
 DIRECT_LIMIT = 65_536
@@ -235,6 +236,22 @@ def scan_buckets(long: DataFrame, alive: DataFrame, listed: bool, layout: Layout
     return score(_with_rest(joined, layout), layout)
 
 
+def best_table(rows: DataFrame, layout: Layout) -> DataFrame:
+    """Best split per (model, node) as a table; nothing about nodes comes to the driver but a count of buckets."""
+    long = unroll(rows, layout)
+    prefixed = prefix_sums(candidate_sums(long, layout), layout)
+    if not layout.bucketed:
+        return best_per_node(score(prefixed, layout), layout)
+    prefixed = stored(prefixed, "bucket-sums")
+    best = stored(best_per_node(score(prefixed, layout), layout), "bucket-best")
+    found = best.selectExpr(*KEYS, "gain AS floor_gain")
+    alive = stored(alive_buckets(prefixed, found, layout), "buckets")
+    listed = alive.limit(LISTED_BUCKETS + 1).count() <= LISTED_BUCKETS
+    both = best.unionByName(best_per_node(scan_buckets(long, alive, listed, layout), layout))
+    rest = [c for c in both.columns if c not in KEYS]
+    return both.groupBy(*KEYS).agg(F.expr(f"min_by(struct({', '.join(rest)}), k) AS b")).selectExpr(*KEYS, "b.*")
+
+
 def best_splits(rows: DataFrame, layout: Layout) -> list:
     """Best split per (model, node), collected: one row per node of the level."""
     spark = rows.sparkSession

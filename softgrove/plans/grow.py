@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from softgrove.operators.manyclass import applies, best_splits_many
 from softgrove.operators.splits import Layout, best_splits
-from softgrove.plans.route import Forest, Node, to_open_nodes
+from softgrove.plans.route import Forest, Node, size_of, to_open_nodes
 
 
 @dataclass(frozen=True)
@@ -54,9 +54,11 @@ def class_counts(rows: DataFrame, layout: Layout) -> dict[tuple[int, int], list[
 
 
 def grow(rows: DataFrame, layout: Layout, rules: StopRules, models: Sequence[int],
-         search: Callable[[DataFrame, Layout], list] | None = None) -> Forest:
+         search: Callable[[DataFrame, Layout], list] | None = None, limit: int | None = None) -> Forest:
     """Level-wise growth: every job scores all open nodes of all models at once.
 
+    With ``limit``, growth ends after the level that brings more nodes; those that may be split still are open.
+
     Rows carry no state between levels; their node follows from the splits found
     so far, so a lost executor costs one re-read and the plan does not lengthen.
     The sums of a node come with its parent's split, those of a root with its own;
@@ -76,7 +78,7 @@ def grow(rows: DataFrame, layout: Layout, rules: StopRules, models: Sequence[int
     depth = 0
     while True:
         waiting = [n for t in forest.values() for n in t.values() if n.open]
-        if not waiting:
+        if not waiting or (limit is not None and depth and size_of(forest) > limit):
             break
         by_id = {(n.model, n.id): n for n in waiting}
         found = search(to_open_nodes(rows, forest), layout)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,10 +14,14 @@ from softgrove.functions.criteria import GainSpec
 from softgrove.functions.sqltext import name, num, value
 from softgrove.operators.splits import DIRECT_LIMIT, Layout
 from softgrove.plans.frame import FuzzySetMap, ModelSpec, base_rows, expand_models, masses_sql, value_edges
+from softgrove.plans.frontier import TableTree, grow_tables
 from softgrove.plans.grow import StopRules, grow
 from softgrove.plans.route import Forest, Node, Tree
 from softgrove.plans.score import is_small, leaf_ids, split_test, summed_leaves, tree_column
 
+#: Nodes up to which a tree that may become a table is grown with its nodes on the driver.
+DRIVER_NODES = 20_000
+
 NODE_SCHEMA = (
     "model_id int, node_id bigint, depth int, is_leaf boolean, feature_idx int, feature string, split_kind string, "
     "split_num double, split_cat string, gain double, n double, leaf_value string, leaf_mean array<double>, "
@@ -96,6 +101,14 @@ def fit_forest(df: DataFrame, spec: TreeSpec, models: Sequence[ModelSpec], varia
     ``source`` is the table without ``weights``, if weighting it is costly: labels and
     value ranges are read from it.
     """
+    with training(df, spec, models, variants, weights, source) as (rows, layout, coding):
+        return grow(rows, layout, spec.rules, [m.model for m in models]), coding
+
+
+@contextmanager
+def training(df: DataFrame, spec: TreeSpec, models: Sequence[ModelSpec], variants: Sequence[FuzzySetMap] = (),
+             weights: str | None = None, source: DataFrame | None = None) -> Iterator[tuple[DataFrame, Layout, Coding]]:
+    """Rows of all models over a cached base, their layout and the coding of targets."""
     source = df if source is None else source
     coding = label_coding(source, spec.targets[0]) if spec.task == "class" else value_coding(source, spec.targets)
     edges = value_edges(source, spec.features, spec.categorical, spec.direct_limit)
@@ -112,7 +125,7 @@ def fit_forest(df: DataFrame, spec: TreeSpec, models: Sequence[ModelSpec], varia
     if spec.cache:
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return grow(expand_models(base, spec.features, models), layout, spec.rules, [m.model for m in models]), coding
+        yield expand_models(base, spec.features, models), layout, coding
     finally:
         if spec.cache:
             base.unpersist()
@@ -272,3 +285,12 @@ def fit_tree(df: DataFrame, spec: TreeSpec) -> TreeModel:
     variants = [spec.fuzzy_sets] if spec.fuzzy_sets is not None else []
     forest, coding = fit_forest(df, spec, [ModelSpec(0, 0 if variants else None)], variants)
     return TreeModel(spec, forest[0], coding)
+
+
+def fit_table_tree(df: DataFrame, spec: TreeSpec, driver_nodes: int = DRIVER_NODES) -> TableTree:
+    """Train a tree of any size: beyond ``driver_nodes`` nodes, all that is known of nodes is a table."""
+    variants = [spec.fuzzy_sets] if spec.fuzzy_sets is not None else []
+    with training(df, spec, [ModelSpec(0, 0 if variants else None)], variants) as (rows, layout, coding):
+        forest = grow(rows, layout, spec.rules, [0], limit=driver_nodes) if driver_nodes else None
+        table = grow_tables(rows, layout, spec.rules, forest)
+    return TableTree(tuple(spec.features), tuple(spec.categorical), spec.task, coding.labels, coding.centres, table)
