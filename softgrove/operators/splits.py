@@ -216,18 +216,33 @@ def alive_buckets(prefixed: DataFrame, found: DataFrame, layout: Layout) -> Data
     )
 
 
-def scan_buckets(long: DataFrame, alive: DataFrame, listed: bool, layout: Layout) -> DataFrame:
-    """Every value inside the given buckets as a scored candidate.
+class RowCounts:
+    """Sums of the training rows of every (model, node), counted from rows that have both."""
 
-    Listed buckets filter the rows before they are counted; a long table of buckets
-    is joined after the count, so that a frequent value is one row by then.
-    """
+    def __init__(self, rows: DataFrame, layout: Layout):
+        self.long, self.layout = unroll(rows, layout), layout
+
+    def sums(self) -> DataFrame:
+        """As :func:`candidate_sums`."""
+        return candidate_sums(self.long, self.layout)
+
+    def inside(self, alive: DataFrame, listed: bool) -> DataFrame:
+        """Sums of every value inside the given buckets: ``KEYS, fi, bkt, vmin`` and the sums.
+
+        Listed buckets filter the rows before they are counted; a long table of buckets
+        is joined after the count, so that a frequent value is one row by then.
+        """
+        keys = [*KEYS, "fi", "bkt"]
+        wanted = F.broadcast(alive.select(*keys)) if listed else None
+        inside = self.long.join(wanted, keys, "left_semi") if listed else self.long.filter("bkt IS NOT NULL")
+        return inside.groupBy(*keys, F.col("num").alias("vmin")).agg(*self.layout.sums())
+
+
+def scan_buckets(values: DataFrame, alive: DataFrame, listed: bool, layout: Layout) -> DataFrame:
+    """Every value inside the given buckets as a scored candidate."""
     keys = [*KEYS, "fi", "bkt"]
-    wanted = alive.select(*keys)
     if listed:
-        wanted, alive = F.broadcast(wanted), F.broadcast(alive)
-    inside = long.join(wanted, keys, "left_semi") if listed else long.filter("bkt IS NOT NULL")
-    values = inside.groupBy(*keys, F.col("num").alias("vmin")).agg(*layout.sums())
+        alive = F.broadcast(alive)
     run = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY vmin DESC ROWS UNBOUNDED PRECEDING)"
     inner = values.selectExpr(*keys, "vmin", *[f"sum({s}) {run} AS i_{s}" for s in layout.stats])
     joined = inner.join(alive, keys).selectExpr(
@@ -238,8 +253,8 @@ def scan_buckets(long: DataFrame, alive: DataFrame, listed: bool, layout: Layout
 
 def best_table(rows: DataFrame, layout: Layout) -> DataFrame:
     """Best split per (model, node) as a table; nothing about nodes comes to the driver but a count of buckets."""
-    long = unroll(rows, layout)
-    prefixed = prefix_sums(candidate_sums(long, layout), layout)
+    counts = RowCounts(rows, layout)
+    prefixed = prefix_sums(counts.sums(), layout)
     if not layout.bucketed:
         return best_per_node(score(prefixed, layout), layout)
     prefixed = stored(prefixed, "bucket-sums")
@@ -247,16 +262,21 @@ def best_table(rows: DataFrame, layout: Layout) -> DataFrame:
     found = best.selectExpr(*KEYS, "gain AS floor_gain")
     alive = stored(alive_buckets(prefixed, found, layout), "buckets")
     listed = alive.limit(LISTED_BUCKETS + 1).count() <= LISTED_BUCKETS
-    both = best.unionByName(best_per_node(scan_buckets(long, alive, listed, layout), layout))
+    scanned = scan_buckets(counts.inside(alive, listed), alive, listed, layout)
+    both = best.unionByName(best_per_node(scanned, layout))
     rest = [c for c in both.columns if c not in KEYS]
     return both.groupBy(*KEYS).agg(F.expr(f"min_by(struct({', '.join(rest)}), k) AS b")).selectExpr(*KEYS, "b.*")
 
 
 def best_splits(rows: DataFrame, layout: Layout) -> list:
     """Best split per (model, node), collected: one row per node of the level."""
-    spark = rows.sparkSession
-    long = unroll(rows, layout)
-    prefixed = prefix_sums(candidate_sums(long, layout), layout)
+    return best_of_counts(RowCounts(rows, layout), layout)
+
+
+def best_of_counts(counts, layout: Layout) -> list:
+    """Best split per (model, node) from a source of counts like :class:`RowCounts`."""
+    prefixed = prefix_sums(counts.sums(), layout)
+    spark = prefixed.sparkSession
     if not layout.bucketed:
         return best_per_node(score(prefixed, layout), layout).collect()
     prefixed = prefixed.persist(StorageLevel.MEMORY_AND_DISK)
@@ -270,7 +290,8 @@ def best_splits(rows: DataFrame, layout: Layout) -> list:
             listed = len(few) <= LISTED_BUCKETS
             if listed:
                 alive = spark.createDataFrame(few, alive.schema)
-            for r in best_per_node(scan_buckets(long, alive, listed, layout), layout).collect():
+            scanned = scan_buckets(counts.inside(alive, listed), alive, listed, layout)
+            for r in best_per_node(scanned, layout).collect():
                 key = tuple(r[k] for k in KEYS)
                 if key not in best or _order_of(r) < _order_of(best[key]):
                     best[key] = r

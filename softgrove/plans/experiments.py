@@ -64,16 +64,18 @@ def trial_weights(todo: Sequence[Trial], n_repeats: int, n_folds: int, n_configs
             f"if(get(__folds, cast((i % {per}) DIV {n_folds} AS int)) {op} i % {n_folds}, 1L, 0L) AS w)), s -> s.w > 0)")
 
 
+def trial_flags(todo: Sequence[Trial], n_repeats: int, n_folds: int) -> str:
+    """SQL of ``array<struct<model, is_test>>``: whether each model holds the row out."""
+    return (f"transform(sequence(0, {len(todo) - 1}), i -> struct(i AS model, "
+            f"get(__folds, cast((i % {n_repeats * n_folds}) DIV {n_folds} AS int)) = i % {n_folds} AS is_test))")
+
+
 def _score(df: DataFrame, spec: TreeSpec, forest: Forest, coding: Coding, todo: Sequence[Trial], n_repeats: int,
            n_folds: int, n_configs: int, values, target_sql: str, measure: str) -> DataFrame:
     """Measure of every model on its training and on its test rows."""
     rows = df.withColumns({**feature_arrays(spec.features, spec.categorical), "__y": F.expr(target_sql)})
-    parts = []
-    for test in (False, True):
-        part = rows.selectExpr(*[c for c in ("x", "xc") if c in rows.columns], "__y", f"{str(test).lower()} AS is_test",
-                               f"inline({trial_weights(todo, n_repeats, n_folds, n_configs, test)})").drop("w")
-        parts.append(part)
-    both = parts[0].unionByName(parts[1])
+    both = rows.selectExpr(*[c for c in ("x", "xc") if c in rows.columns], "__y",
+                           f"inline({trial_flags(todo, n_repeats, n_folds)})")
     predicted = leaf_values(both, forest, values, "__p")
     grouped = predicted.groupBy("model").agg(
         F.expr(f"avg(if(is_test, NULL, {measure})) AS train"), F.expr(f"avg(if(is_test, {measure}, NULL)) AS test"),
@@ -96,7 +98,7 @@ def cross_validate(df: DataFrame, spec: TreeSpec, key: Sequence[str], configs: S
     todo = trials(len(configs), n_repeats, n_folds)
     models = [ModelSpec(t.model, configs[t.config].variant, configs[t.config].features) for t in todo]
     weighted = folded.withColumn("mw", F.expr(trial_weights(todo, n_repeats, n_folds, len(configs), False)))
-    forest, coding = fit_forest(weighted, spec, models, variants, "mw", df)
+    forest, coding = fit_forest(weighted, spec, models, variants, "mw", df, "__folds", [(t.repeat, t.fold) for t in todo])
     elapsed = (time.time() - started) / len(todo)
     if spec.task == "class":
         target = "yi"
@@ -127,10 +129,7 @@ def cross_validate_boosted(df: DataFrame, spec: BoostSpec, key: Sequence[str], c
     target = name(spec.tree.targets[0])
     rows = folded.withColumns({**feature_arrays(spec.tree.features, spec.tree.categorical),
                                "__y": F.expr(f"cast({target} AS int)")})
-    parts = [rows.selectExpr(*[c for c in ("x", "xc") if c in rows.columns], "__y", f"{str(t).lower()} AS is_test",
-                             f"inline({trial_weights(todo, n_repeats, n_folds, len(configs), t)})").drop("w")
-             for t in (False, True)]
-    out = parts[0].unionByName(parts[1])
+    out = rows.selectExpr(*[c for c in ("x", "xc") if c in rows.columns], "__y", f"inline({trial_flags(todo, n_repeats, n_folds)})")
     for i, (forest, coding) in enumerate(rounds):
         out = leaf_values(out, forest, lambda n, c=coding: leaf_mean(n, c), "__p")
         add = "__p" if i == 0 else f"zip_with(__f, __p, (f, p) -> f - {spec.learning_rate!r}D * p)"

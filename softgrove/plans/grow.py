@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from softgrove.operators.manyclass import applies, best_splits_many
-from softgrove.operators.splits import Layout, best_splits
+from softgrove.operators.splits import Layout, best_of_counts, best_splits
 from softgrove.plans.route import Forest, Node, size_of, to_open_nodes
 
 
@@ -54,10 +54,11 @@ def class_counts(rows: DataFrame, layout: Layout) -> dict[tuple[int, int], list[
 
 
 def grow(rows: DataFrame, layout: Layout, rules: StopRules, models: Sequence[int],
-         search: Callable[[DataFrame, Layout], list] | None = None, limit: int | None = None) -> Forest:
+         search: Callable[[DataFrame, Layout], list] | None = None, limit: int | None = None, roots=None) -> Forest:
     """Level-wise growth: every job scores all open nodes of all models at once.
 
     With ``limit``, growth ends after the level that brings more nodes; those that may be split still are open.
+    ``roots`` is a source of counts for the roots of all models, if there is a cheaper one than the rows.
 
     Rows carry no state between levels; their node follows from the splits found
     so far, so a lost executor costs one re-read and the plan does not lengthen.
@@ -81,7 +82,10 @@ def grow(rows: DataFrame, layout: Layout, rules: StopRules, models: Sequence[int
         if not waiting or (limit is not None and depth and size_of(forest) > limit):
             break
         by_id = {(n.model, n.id): n for n in waiting}
-        found = search(to_open_nodes(rows, forest), layout)
+        if roots is not None and depth == 0 and not many:
+            found = best_of_counts(roots, layout)
+        else:
+            found = search(to_open_nodes(rows, forest), layout)
         for n in waiting:
             n.open = False
         born: list[Node] = []

@@ -12,6 +12,7 @@ from pyspark.storagelevel import StorageLevel
 
 from softgrove.functions.criteria import GainSpec
 from softgrove.functions.sqltext import name, num, value
+from softgrove.operators.folds import FoldCounts, FoldModel
 from softgrove.operators.splits import DIRECT_LIMIT, Layout
 from softgrove.plans.frame import FuzzySetMap, ModelSpec, base_rows, expand_models, masses_sql, value_edges
 from softgrove.plans.frontier import TableTree, grow_tables
@@ -95,20 +96,30 @@ def leaf_label(node: Node, coding: Coding):
 
 
 def fit_forest(df: DataFrame, spec: TreeSpec, models: Sequence[ModelSpec], variants: Sequence[FuzzySetMap] = (),
-               weights: str | None = None, source: DataFrame | None = None) -> tuple[Forest, Coding]:
+               weights: str | None = None, source: DataFrame | None = None, folds: str | None = None,
+               held_out: Sequence[tuple[int, int]] = ()) -> tuple[Forest, Coding]:
     """Train every model of ``models`` in the same level jobs.
 
     ``source`` is the table without ``weights``, if weighting it is costly: labels and
-    value ranges are read from it.
+    value ranges are read from it. If models train on all folds but one, ``folds`` names
+    the array of folds by repeat and ``held_out`` has (repeat, fold) of each model; roots
+    are then counted by fold.
     """
-    with training(df, spec, models, variants, weights, source) as (rows, layout, coding):
-        return grow(rows, layout, spec.rules, [m.model for m in models]), coding
+    with training(df, spec, models, variants, weights, source, [folds] if folds else []) as (rows, layout, coding, base):
+        roots = None
+        if folds:
+            every = tuple(range(len(spec.features)))
+            masses = [masses_sql(spec.features, [v], [ModelSpec(0, 0)]) for v in variants]
+            roots = FoldCounts(base, layout, [FoldModel(m.model, r, f, m.features or every, m.variant)
+                                              for m, (r, f) in zip(models, held_out)], folds, masses)
+        return grow(rows, layout, spec.rules, [m.model for m in models], roots=roots), coding
 
 
 @contextmanager
 def training(df: DataFrame, spec: TreeSpec, models: Sequence[ModelSpec], variants: Sequence[FuzzySetMap] = (),
-             weights: str | None = None, source: DataFrame | None = None) -> Iterator[tuple[DataFrame, Layout, Coding]]:
-    """Rows of all models over a cached base, their layout and the coding of targets."""
+             weights: str | None = None, source: DataFrame | None = None, keep: Sequence[str] = (),
+             ) -> Iterator[tuple[DataFrame, Layout, Coding, DataFrame]]:
+    """Rows of all models, their layout, the coding of targets, and the cached base with a row per input row."""
     source = df if source is None else source
     coding = label_coding(source, spec.targets[0]) if spec.task == "class" else value_coding(source, spec.targets)
     edges = value_edges(source, spec.features, spec.categorical, spec.direct_limit)
@@ -119,13 +130,13 @@ def training(df: DataFrame, spec: TreeSpec, models: Sequence[ModelSpec], variant
     layout = Layout(tuple(spec.features), spec.task, coding.width, gain, cats,
                     frozenset(i for i, f in enumerate(spec.features) if f in edges),
                     masses_sql(spec.features, variants, models) if variants and gain.soft else "0D")
-    base = base_rows(df, spec.features, spec.categorical, target_columns(coding, spec.targets), weights, edges)
+    base = base_rows(df, spec.features, spec.categorical, target_columns(coding, spec.targets), weights, edges, keep)
     if spec.task == "class":
         base = base.filter(F.col("yi") >= 0)
     if spec.cache:
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        yield expand_models(base, spec.features, models), layout, coding
+        yield expand_models(base.drop(*keep), spec.features, models), layout, coding, base
     finally:
         if spec.cache:
             base.unpersist()
@@ -290,7 +301,7 @@ def fit_tree(df: DataFrame, spec: TreeSpec) -> TreeModel:
 def fit_table_tree(df: DataFrame, spec: TreeSpec, driver_nodes: int = DRIVER_NODES) -> TableTree:
     """Train a tree of any size: beyond ``driver_nodes`` nodes, all that is known of nodes is a table."""
     variants = [spec.fuzzy_sets] if spec.fuzzy_sets is not None else []
-    with training(df, spec, [ModelSpec(0, 0 if variants else None)], variants) as (rows, layout, coding):
+    with training(df, spec, [ModelSpec(0, 0 if variants else None)], variants) as (rows, layout, coding, _):
         forest = grow(rows, layout, spec.rules, [0], limit=driver_nodes) if driver_nodes else None
         table = grow_tables(rows, layout, spec.rules, forest)
     return TableTree(tuple(spec.features), tuple(spec.categorical), spec.task, coding.labels, coding.centres, table)
