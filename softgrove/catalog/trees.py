@@ -130,6 +130,17 @@ def c45_tree_level1(spark, sf):
     return _multiway(spark, sf, "c45")
 
 
+def id3_null_text(spark, sf):
+    """Missing values and a real text NULL are children of their own; other marks of a path are escaped."""
+    orders = read(spark, sf, "orders", "o_custkey", "o_orderpriority", "o_orderstatus")
+    said = F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "NULL").when(
+        F.col("o_orderpriority") == "5-LOW", "a/b=c%").otherwise(F.col("o_orderpriority"))
+    df = read(spark, sf, "customer", "c_custkey", "c_mktsegment").join(
+        orders.withColumn("said", said), F.col("c_custkey") == F.col("o_custkey"), "left")
+    nodes = fit_multiway(df, MultiwaySpec(("said", "o_orderstatus"), "c_mktsegment", max_depth=0)).nodes
+    return nodes.select("path", "depth", "feature", r("score", 9).alias("score"), "n", "label")
+
+
 def c45_numeric_many_labels(spark, sf):
     """C4.5 on numbers only: the best threshold by gain ratio among hundreds of labels."""
     df = read(spark, sf, "lineitem", "l_quantity", "l_extendedprice", "l_partkey")
@@ -140,7 +151,7 @@ def c45_numeric_many_labels(spark, sf):
 QUERIES = {f.__name__: f for f in (
     c45_numeric_many_labels,
     cart_classifier, cart_regressor, tree_nodes_depth1, tree_nodes_soft, tree_nodes_entropy, tree_predict,
-    tree_predict_proba, tree_full_depth, tree_rules, tree_stop_rules, id3_tree_level1, c45_tree_level1)}
+    tree_predict_proba, tree_full_depth, tree_rules, tree_stop_rules, id3_tree_level1, c45_tree_level1, id3_null_text)}
 
 
 # ---- SQL ----
@@ -298,7 +309,25 @@ SELECT feature, v AS threshold, round(score, 9) AS score, m.n, label FROM m, (SE
 for _part in ("run", "run - n", "total - run", "total - run + n", "a", "h", "a - h"):
     _C45_NUMERIC = _C45_NUMERIC.replace("{x('" + _part + "')}", f"(CASE WHEN ({_part}) > 0 THEN ({_part}) * log2({_part}) ELSE 0 END)")
 
+_NULL_TEXT = """
+WITH d AS (SELECT c_mktsegment AS y, o_orderstatus, CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN 'NULL'
+             WHEN '5-LOW' THEN 'a/b=c%' ELSE o_orderpriority END AS said
+           FROM customer LEFT JOIN orders ON c_custkey = o_custkey),
+l AS (SELECT 0 AS fi, 'said' AS feature, said AS v, y FROM d UNION ALL SELECT 1, 'o_orderstatus', o_orderstatus, y FROM d),
+h AS (SELECT sum(-p * log2(p)) AS h FROM (SELECT count(*) / sum(count(*)) OVER () AS p FROM d GROUP BY y)),
+v AS (SELECT fi, feature, v, sum(c) AS n, sum(-c / t * log2(c / t)) AS e FROM
+      (SELECT *, sum(c) OVER (PARTITION BY fi, v) AS t FROM (SELECT fi, feature, v, y, count(*) AS c FROM l GROUP BY ALL)) GROUP BY ALL),
+g AS (SELECT fi, feature, (SELECT h FROM h) - sum(n * e) / sum(n) AS gain FROM v GROUP BY ALL),
+best AS (SELECT * FROM g ORDER BY round(gain, 12) DESC, fi LIMIT 1),
+m AS (SELECT v, arg_min(y, (-c, y)) AS label, CAST(sum(c) AS BIGINT) AS n FROM
+      (SELECT v, y, count(*) AS c FROM l JOIN best USING (fi) GROUP BY v, y) GROUP BY v)
+SELECT '' AS path, 0 AS depth, feature, round(gain, 9) AS score, (SELECT count(*) FROM d) AS n,
+       (SELECT arg_min(y, (-c, y)) FROM (SELECT y, count(*) AS c FROM d GROUP BY y)) AS label FROM best
+UNION ALL SELECT '/' || feature || coalesce('=' || replace(replace(replace(v, '%', '%25'), '/', '%2F'), '=', '%3D'), '?'),
+       1, NULL, NULL, n, label FROM m, best"""
+
 ORACLES = {
+    "id3_null_text": _NULL_TEXT,
     "c45_numeric_many_labels": _C45_NUMERIC,
     "cart_classifier": _cart_classifier_sql(),
     "cart_regressor": _cart_regressor_sql(),

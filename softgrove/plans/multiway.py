@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from softgrove.functions.criteria import GainSpec
-from softgrove.functions.sqltext import clean_number, name
+from softgrove.functions.sqltext import clean_number, name, text
 from softgrove.operators.impurity import majority_label
 from softgrove.operators.manyclass import many_candidates
 from softgrove.operators.multiway import discrete_counts, feature_scores
@@ -83,13 +83,23 @@ class MultiwayModel:
         return MultiwayModel(spec, spark.read.parquet(f"{path}/nodes"), depth)
 
 
+def _escaped(value: str) -> str:
+    """SQL of a text that cannot be taken for the marks of a path."""
+    return f"replace(replace(replace({value}, '%', '%25'), '/', '%2F'), '=', '%3D')"
+
+
 def _child_sql(spec: MultiwaySpec, path: str, feature: str, threshold: str) -> str:
-    """Path of the child a row goes to; NULL at a leaf."""
+    """Path of the child a row goes to; NULL at a leaf.
+
+    A step is feature=value, feature? for a missing value, or feature>=threshold and feature<threshold.
+    """
     every = (*spec.features, *spec.numeric)
-    texts = " ".join(f"WHEN '{f}' THEN concat('=', coalesce(cast({name(f)} AS string), 'NULL'))" for f in spec.features)
+    texts = " ".join(f"WHEN {text(f)} THEN coalesce(concat('=', {_escaped(f'cast({name(f)} AS string)')}), '?')"
+                     for f in spec.features)
     for f in spec.numeric:
-        texts += f" WHEN '{f}' THEN concat(if(coalesce({clean_number(f)} >= {threshold}, false), '>=', '<'), {threshold})"
-    return f"if({feature} IS NULL, NULL, concat({path}, '/', {feature}, CASE {feature} {texts} END))" if every else "NULL"
+        texts += f" WHEN {text(f)} THEN concat(if(coalesce({clean_number(f)} >= {threshold}, false), '>=', '<'), {threshold})"
+    return (f"if({feature} IS NULL, NULL, concat({path}, '/', {_escaped(feature)}, CASE {feature} {texts} END))"
+            if every else "NULL")
 
 
 def _numeric_scores(rows: DataFrame, spec: MultiwaySpec, bucketed: frozenset[int]) -> DataFrame:
