@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from softgrove.catalog.common import ORDERS_SQL, orders_tier, r, read, set_map, sql_mass
+from softgrove.catalog.common import LINE_TIER, ORDERS_SQL, lines_tier, orders_tier, r, read, set_map, sql_mass
 from softgrove.catalog.fuzzy import _theta, lloyd_sql
 from softgrove.catalog.impurity import MULTIWAY, orders_discrete
 from softgrove.catalog.sqlgen import TreeSql
@@ -13,7 +13,7 @@ from softgrove.operators.fuzzify import FuzzySets
 from softgrove.operators.sampling import holdout
 from softgrove.plans.grow import StopRules
 from softgrove.plans.multiway import MultiwaySpec, fit_multiway
-from softgrove.plans.tree import TreeSpec, fit_table_tree, fit_tree
+from softgrove.plans.tree import TreeSpec, fit_soft_and_crisp, fit_table_tree, fit_tree
 
 FEATURES = ("o_totalprice", "o_month")
 TWO_LEVELS = StopRules(max_depth=1)
@@ -80,8 +80,7 @@ def cart_classifier(spark, sf):
     df = holdout(orders_tier(spark, sf), ["o_orderkey"], 0.4, seed=22)
     sets = FuzzySets.fit(df, FEATURES, 5, max_iter=3, tol=-1.0)
     train = df.filter("NOT is_test")
-    soft = fit_tree(train, TreeSpec(FEATURES, ("tier",), fuzzy_sets=sets.sets, rules=TWO_LEVELS))
-    crisp = fit_tree(train, _spec())
+    soft, crisp = fit_soft_and_crisp(train, TreeSpec(FEATURES, ("tier",), fuzzy_sets=sets.sets, rules=TWO_LEVELS))
     scored = df.withColumns({"soft": soft.prediction(), "crisp": crisp.prediction()})
     pairs = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("p")) for m in ("soft", "crisp")])
     return scored.select("is_test", "tier", F.inline(pairs)).groupBy("model", "is_test").agg(
@@ -96,9 +95,8 @@ def _priced(spark, sf):
 def cart_regressor(spark, sf):
     df = holdout(_priced(spark, sf), ["o_orderkey"], 0.4, seed=22)
     train = df.filter("NOT is_test")
-    sets = set_map(*FEATURES)
-    soft = fit_tree(train, TreeSpec(FEATURES, ("amount",), "value", fuzzy_sets=sets, rules=TWO_LEVELS))
-    crisp = fit_tree(train, TreeSpec(FEATURES, ("amount",), "value", rules=TWO_LEVELS))
+    soft, crisp = fit_soft_and_crisp(
+        train, TreeSpec(FEATURES, ("amount",), "value", fuzzy_sets=set_map(*FEATURES), rules=TWO_LEVELS))
     scored = df.withColumns({"soft": soft.prediction(), "crisp": crisp.prediction()})
     pairs = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("p")) for m in ("soft", "crisp")])
     return scored.select("is_test", "amount", F.inline(pairs)).groupBy("model", "is_test").agg(
@@ -112,6 +110,17 @@ def _multiway(spark, sf, algo):
     return nodes.select("path", "depth", "feature", r("score", 9).alias("score"), "n", "label")
 
 
+LINE_FEATURES = ("l_quantity", "l_discount", "l_tax")
+
+
+def tree_by_subtraction(spark, sf):
+    """Four levels over few values: counts are kept, and the larger child's are parent minus sibling."""
+    spec = TreeSpec(LINE_FEATURES, ("tier",), rules=StopRules(max_depth=3), subtract_rows=0)
+    return fit_tree(lines_tier(spark, sf), spec).nodes(spark).select(
+        "node_id", "depth", "is_leaf", "feature", "split_num", r("gain").alias("gain"),
+        F.col("n").cast("bigint").alias("n"), "leaf_value")
+
+
 def tree_full_depth(spark, sf):
     """A tree without any limit of depth, all its nodes in tables: it tells apart whatever the features tell apart."""
     features = ("l_quantity", "l_discount")
@@ -151,7 +160,7 @@ def c45_numeric_many_labels(spark, sf):
 QUERIES = {f.__name__: f for f in (
     c45_numeric_many_labels,
     cart_classifier, cart_regressor, tree_nodes_depth1, tree_nodes_soft, tree_nodes_entropy, tree_predict,
-    tree_predict_proba, tree_full_depth, tree_rules, tree_stop_rules, id3_tree_level1, c45_tree_level1, id3_null_text)}
+    tree_predict_proba, tree_full_depth, tree_by_subtraction, tree_rules, tree_stop_rules, id3_tree_level1, c45_tree_level1, id3_null_text)}
 
 
 # ---- SQL ----
@@ -169,7 +178,20 @@ def _names(fi: str) -> str:
     return f"CASE {fi} WHEN 0 THEN 'o_totalprice' WHEN 1 THEN 'o_month' END"
 
 
-def _nodes_sql(tree: TreeSql) -> str:
+def _line_names(fi: str) -> str:
+    return f"CASE {fi} WHEN 0 THEN 'l_quantity' WHEN 1 THEN 'l_discount' WHEN 2 THEN 'l_tax' END"
+
+
+def _subtraction_sql() -> str:
+    tree = TreeSql(3)
+    for _ in range(4):
+        tree.level()
+    tree.leaves()
+    base = (f"SELECT 0 AS model, 1.0::DOUBLE AS w, {LINE_TIER} AS y, l_quantity AS f0, l_discount AS f1, l_tax AS f2 FROM lineitem")
+    return f"WITH base AS ({base}), {tree.text()} {_nodes_sql(tree, _line_names)}"
+
+
+def _nodes_sql(tree: TreeSql, _names=_names) -> str:
     n = " + ".join(f"a_c{k}" for k in range(tree.k))
     inner = [f"SELECT node AS node_id, {L} AS depth, FALSE AS is_leaf, {_names('fi')} AS feature, v AS split_num, "
              f"round(gain, 6) AS gain, CAST({n} AS BIGINT) AS n, NULL AS leaf_value FROM {tree.p}_best{L}"
@@ -338,6 +360,7 @@ ORACLES = {
                                                    "JOIN t_leaf l USING (model, node)"),
     "tree_predict_proba": _proba_sql(),
     "tree_rules": _rules_sql(),
+    "tree_by_subtraction": _subtraction_sql(),
     "tree_full_depth": """
         SELECT l_quantity, l_discount, count(*) AS n, round(sum(l_extendedprice), 2) AS lowest,
                round(sum(l_extendedprice), 2) AS highest

@@ -113,27 +113,35 @@ def unroll(rows: DataFrame, layout: Layout) -> DataFrame:
     return long.selectExpr("*", f"{layout.masses} AS m") if layout.soft and layout.bucketed else long
 
 
+def crisp_counts(long: DataFrame, layout: Layout) -> DataFrame:
+    """Crisp sums of the distinct values of every node and feature: ``KEYS, fi, ord [, cat]`` and the sums."""
+    cats = ["cat"] if layout.categorical else []
+    return long.groupBy(*KEYS, "fi", F.col("num").alias("ord"), *cats).agg(*layout.sums(soft=False))
+
+
+def weighed(counts: DataFrame, layout: Layout) -> DataFrame:
+    """Crisp counts as candidates; equal values have equal memberships, so the counts are weighed."""
+    extra = ["ord AS vmin", "ord AS vmax", *([] if layout.categorical else ["cast(NULL AS string) AS cat"])]
+    out = counts.selectExpr("*", *extra)
+    if not layout.soft:
+        return out
+    crisp = layout.crisp_stats if layout.task == "class" else ["n"]
+    return out.withColumn("num", F.col("ord")).selectExpr("*", f"{layout.masses} AS m").selectExpr(
+        "*", *[f"{c} * m AS g{c[1:]}" for c in crisp]).drop("m", "num")
+
+
 def candidate_sums(long: DataFrame, layout: Layout) -> DataFrame:
     """Distinct values (or buckets) per node and feature with their sums.
 
     ``vmin``/``vmax`` span the values of the row; ``ord`` is their order.
     """
-    order = "coalesce(cast(bkt AS double), num)" if layout.bucketed else "num"
+    if not layout.bucketed:
+        return weighed(crisp_counts(long, layout), layout)
     cats = ["cat"] if layout.categorical else []
-    span = [F.min("num").alias("vmin"), F.max("num").alias("vmax")] if layout.bucketed else []
-    negatives = bool(layout.bucketed) and layout.task == "value"
-    per_row = layout.soft and bool(layout.bucketed)
-    out = long.groupBy(*KEYS, "fi", F.expr(f"{order} AS ord"), *cats).agg(
-        *span, *layout.sums(soft=per_row, negatives=negatives))
-    extra = [] if layout.bucketed else ["ord AS vmin", "ord AS vmax"]
-    if not layout.categorical:
-        extra.append("cast(NULL AS string) AS cat")
-    out = out.selectExpr("*", *extra)
-    if layout.soft and not per_row:  # equal values have equal memberships: weigh the counts
-        counts = layout.crisp_stats if layout.task == "class" else ["n"]
-        out = out.withColumn("num", F.col("ord")).selectExpr("*", f"{layout.masses} AS m").selectExpr(
-            "*", *[f"{c} * m AS g{c[1:]}" for c in counts]).drop("m", "num")
-    return out
+    out = long.groupBy(*KEYS, "fi", F.expr("coalesce(cast(bkt AS double), num) AS ord"), *cats).agg(
+        F.min("num").alias("vmin"), F.max("num").alias("vmax"),
+        *layout.sums(soft=layout.soft, negatives=layout.task == "value"))
+    return out if cats else out.selectExpr("*", "cast(NULL AS string) AS cat")
 
 
 def _with_rest(df: DataFrame, layout: Layout) -> DataFrame:

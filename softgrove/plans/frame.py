@@ -68,28 +68,34 @@ def masses_sql(features: Sequence[str], variants: Sequence[FuzzySetMap], models:
     return f"if(num IS NULL OR {offset} IS NULL, 0D, {' + '.join(terms)})"
 
 
-def value_edges(df: DataFrame, features: Sequence[str], categorical: Sequence[str],
-                direct_limit: int = DIRECT_LIMIT) -> dict[str, list[float]]:
+def value_counts(df: DataFrame, features: Sequence[str], categorical: Sequence[str]) -> dict[str, tuple[int, int]]:
+    """Values and (nearly) distinct values of each feature."""
+    if not features:
+        return {}
+    numeric = [f for f in features if f not in set(categorical)]
+    values = ", ".join(clean_number(f) for f in numeric)
+    seen = df.selectExpr(f"posexplode(array({values})) AS (fi, v)").groupBy("fi").agg(
+        F.count("v").alias("n"), F.approx_count_distinct("v").alias("d")).collect() if numeric else []
+    return {numeric[r["fi"]]: (r["n"], r["d"]) for r in seen}
+
+
+def value_edges(df: DataFrame, features: Sequence[str], categorical: Sequence[str], direct_limit: int = DIRECT_LIMIT,
+                counts: Mapping[str, tuple[int, int]] | None = None) -> dict[str, list[float]]:
     """Bucket edges for features with more distinct values than ``direct_limit``.
 
     The edges only decide how work is grouped, never the result, so sketches are
     enough to find them.
     """
-    numeric = [f for f in features if f not in set(categorical)]
-    if not numeric:
-        return {}
-    values = ", ".join(clean_number(f) for f in numeric)
-    seen = df.selectExpr(f"posexplode(array({values})) AS (fi, v)").groupBy("fi").agg(
-        F.approx_count_distinct("v").alias("d")).collect()
-    many = {r["fi"]: r["d"] for r in seen if r["d"] > direct_limit}
-    if not many:
+    counts = value_counts(df, features, categorical) if counts is None else counts
+    n_buckets = {f: int(min(MAX_BUCKETS, max(MIN_BUCKETS, 4 * d // direct_limit)))
+                 for f, (_, d) in counts.items() if d > direct_limit}
+    if not n_buckets:
         return {}
-    n_buckets = {i: int(min(MAX_BUCKETS, max(MIN_BUCKETS, 4 * d // direct_limit))) for i, d in many.items()}
     sketch = df.selectExpr(*[
-        f"percentile_approx({clean_number(numeric[i])}, array({', '.join(num(j / b) for j in range(1, b))}), {10 * b}) AS v{i}"
-        for i, b in n_buckets.items()]).first()
+        f"percentile_approx({clean_number(f)}, array({', '.join(num(j / b) for j in range(1, b))}), {10 * b}) AS v{i}"
+        for i, (f, b) in enumerate(n_buckets.items())]).first()
     inf = float("inf")
-    return {numeric[i]: [-inf, *sorted({v for v in sketch[f"v{i}"] if -inf < v < inf}), inf] for i in many}
+    return {f: [-inf, *sorted({v for v in sketch[f"v{i}"] if -inf < v < inf}), inf] for i, f in enumerate(n_buckets)}
 
 
 def add_buckets(df: DataFrame, features: Sequence[str], edges: Mapping[str, list[float]]) -> DataFrame:

@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from softgrove.operators import siblings
 from softgrove.operators.manyclass import applies, best_splits_many
-from softgrove.operators.splits import Layout, best_of_counts, best_splits
-from softgrove.plans.route import Forest, Node, size_of, to_open_nodes
+from softgrove.operators.splits import Layout, RowCounts, best_of_counts, best_splits
+from softgrove.plans.route import Forest, Node, size_of, to_open_nodes, to_some_nodes
 
 
 @dataclass(frozen=True)
@@ -53,12 +54,27 @@ def class_counts(rows: DataFrame, layout: Layout) -> dict[tuple[int, int], list[
     return out
 
 
+def sibling_pairs(forest: Forest, depth: int) -> list[siblings.Pair]:
+    """Children at ``depth`` by pairs, of which one at least may be split."""
+    out = []
+    for m, tree in forest.items():
+        for n in tree.values():
+            if n.depth != depth - 1 or n.is_leaf:
+                continue
+            pair = sorted((tree[2 * n.node], tree[2 * n.node + 1]), key=lambda c: sum(c.stats))
+            if any(c.open for c in pair):
+                out.append(siblings.Pair(m, n.id, pair[0].id, pair[1].id, pair[0].open, pair[1].open))
+    return out
+
+
 def grow(rows: DataFrame, layout: Layout, rules: StopRules, models: Sequence[int],
-         search: Callable[[DataFrame, Layout], list] | None = None, limit: int | None = None, roots=None) -> Forest:
+         search: Callable[[DataFrame, Layout], list] | None = None, limit: int | None = None, roots=None,
+         subtract: bool = False) -> Forest:
     """Level-wise growth: every job scores all open nodes of all models at once.
 
     With ``limit``, growth ends after the level that brings more nodes; those that may be split still are open.
     ``roots`` is a source of counts for the roots of all models, if there is a cheaper one than the rows.
+    With ``subtract``, the counts of each level are kept and the larger child's are parent minus sibling.
 
     Rows carry no state between levels; their node follows from the splits found
     so far, so a lost executor costs one re-read and the plan does not lengthen.
@@ -66,6 +82,8 @@ def grow(rows: DataFrame, layout: Layout, rules: StopRules, models: Sequence[int
     with many classes they are counted by one more (narrow) job per level.
     """
     many = search is None and applies(layout)
+    subtract = subtract and search is None and not many and siblings.applies(layout)
+    kept = None
     search = search or (best_splits_many if many else best_splits)
 
     def is_open(stats: list[float], depth: int) -> bool:
@@ -82,7 +100,14 @@ def grow(rows: DataFrame, layout: Layout, rules: StopRules, models: Sequence[int
         if not waiting or (limit is not None and depth and size_of(forest) > limit):
             break
         by_id = {(n.model, n.id): n for n in waiting}
-        if roots is not None and depth == 0 and not many:
+        if subtract:
+            if kept is None:
+                kept = siblings.root_counts(roots or RowCounts(to_open_nodes(rows, forest), layout), layout)
+            else:
+                pairs = sibling_pairs(forest, depth)
+                kept = siblings.child_counts(kept, to_some_nodes(rows, forest, {(p.model, p.counted) for p in pairs}), pairs, layout)
+            found = best_of_counts(kept, layout)
+        elif roots is not None and depth == 0 and not many:
             found = best_of_counts(roots, layout)
         else:
             found = search(to_open_nodes(rows, forest), layout)

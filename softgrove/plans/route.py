@@ -86,6 +86,19 @@ def to_open_nodes(rows: DataFrame, forest: Forest) -> DataFrame:
     return _join_open_nodes(rows, forest)
 
 
+def to_some_nodes(rows: DataFrame, forest: Forest, wanted: set[tuple[int, int]]) -> DataFrame:
+    """Rows that sit in one of the leaves ``wanted`` (model, id), whether or not these may be split."""
+    leaves = [n for t in forest.values() for n in t.values() if n.is_leaf]
+    before = [n.open for n in leaves]
+    for n in leaves:
+        n.open = (n.model, n.id) in wanted
+    try:
+        return to_open_nodes(rows, forest)
+    finally:
+        for n, was in zip(leaves, before):
+            n.open = was
+
+
 def _advance(rows: DataFrame, splits: list[tuple], how: str) -> DataFrame:
     """One level down: join the splits of the level and move to the child.
 

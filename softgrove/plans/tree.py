@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +13,10 @@ from pyspark.storagelevel import StorageLevel
 
 from softgrove.functions.criteria import GainSpec
 from softgrove.functions.sqltext import name, num, value
+from softgrove.operators import scan
 from softgrove.operators.folds import FoldCounts, FoldModel
 from softgrove.operators.splits import DIRECT_LIMIT, Layout
-from softgrove.plans.frame import FuzzySetMap, ModelSpec, base_rows, expand_models, masses_sql, value_edges
+from softgrove.plans.frame import FuzzySetMap, ModelSpec, base_rows, expand_models, masses_sql, value_counts, value_edges
 from softgrove.plans.frontier import TableTree, grow_tables
 from softgrove.plans.grow import StopRules, grow
 from softgrove.plans.route import Forest, Node, Tree
@@ -44,6 +46,7 @@ class TreeSpec:
     direct_limit: int = DIRECT_LIMIT
     cache: bool = True
     gain: GainSpec | None = None  # overrides criterion and softness
+    subtract_rows: int = 4_000_000  # values from which counts are kept to get the larger child by subtraction
 
     def gain_spec(self) -> GainSpec:
         if self.gain is not None:
@@ -105,24 +108,47 @@ def fit_forest(df: DataFrame, spec: TreeSpec, models: Sequence[ModelSpec], varia
     the array of folds by repeat and ``held_out`` has (repeat, fold) of each model; roots
     are then counted by fold.
     """
-    with training(df, spec, models, variants, weights, source, [folds] if folds else []) as (rows, layout, coding, base):
+    with training(df, spec, models, variants, weights, source, [folds] if folds else []) as t:
         roots = None
         if folds:
             every = tuple(range(len(spec.features)))
             masses = [masses_sql(spec.features, [v], [ModelSpec(0, 0)]) for v in variants]
-            roots = FoldCounts(base, layout, [FoldModel(m.model, r, f, m.features or every, m.variant)
+            roots = FoldCounts(t.base, t.layout, [FoldModel(m.model, r, f, m.features or every, m.variant)
                                               for m, (r, f) in zip(models, held_out)], folds, masses)
-        return grow(rows, layout, spec.rules, [m.model for m in models], roots=roots), coding
+        search = None
+        if scan.applies(t.layout, t.counts):
+            search = partial(scan.best_splits_scanned, count_first=any(n > 2 * d for n, d in t.counts.values()))
+        return grow(t.rows, t.layout, spec.rules, [m.model for m in models], search, roots=roots, subtract=t.few_values), t.coding
+
+
+@dataclass(frozen=True)
+class Training:
+    """Rows of all models, their layout, the coding of targets, the base, (values, distinct values) by feature, and
+    whether counts are far fewer than rows."""
+
+    rows: DataFrame
+    layout: Layout
+    coding: Coding
+    base: DataFrame
+    counts: Mapping[str, tuple[int, int]]
+    few_values: bool
+
+
+def few_values(counts: Mapping[str, tuple[int, int]], spec: TreeSpec) -> bool:
+    """Counts pay for being kept if there are many rows and few distinct values; texts are taken to have few."""
+    rows, distinct = (sum(c[i] for c in counts.values()) for i in (0, 1))
+    return rows >= spec.subtract_rows and 8 * distinct <= rows and spec.rules.max_depth >= 1
 
 
 @contextmanager
 def training(df: DataFrame, spec: TreeSpec, models: Sequence[ModelSpec], variants: Sequence[FuzzySetMap] = (),
              weights: str | None = None, source: DataFrame | None = None, keep: Sequence[str] = (),
-             ) -> Iterator[tuple[DataFrame, Layout, Coding, DataFrame]]:
-    """Rows of all models, their layout, the coding of targets, and the cached base with a row per input row."""
+             ) -> Iterator[Training]:
+    """What growth needs, over a cached base with a row per input row."""
     source = df if source is None else source
     coding = label_coding(source, spec.targets[0]) if spec.task == "class" else value_coding(source, spec.targets)
-    edges = value_edges(source, spec.features, spec.categorical, spec.direct_limit)
+    counts = value_counts(source, spec.features, spec.categorical)
+    edges = value_edges(source, spec.features, spec.categorical, spec.direct_limit, counts)
     gain = spec.gain_spec()
     if variants and not gain.soft:
         gain = replace(gain, soft=True)
@@ -136,7 +162,8 @@ def training(df: DataFrame, spec: TreeSpec, models: Sequence[ModelSpec], variant
     if spec.cache:
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        yield expand_models(base.drop(*keep), spec.features, models), layout, coding, base
+        yield Training(expand_models(base.drop(*keep), spec.features, models), layout, coding, base, counts,
+                       few_values(counts, spec))
     finally:
         if spec.cache:
             base.unpersist()
@@ -291,6 +318,13 @@ class TreeModel:
                 for i, n in sorted(self.tree.items()) if not n.is_leaf]
 
 
+def fit_soft_and_crisp(df: DataFrame, spec: TreeSpec) -> tuple[TreeModel, TreeModel]:
+    """The soft tree of ``spec`` and the crisp one, grown in the same jobs."""
+    forest, coding = fit_forest(df.withColumn("__mw", F.expr("array(struct(0 AS model, 1L AS w), struct(1 AS model, 1L AS w))")),
+                                spec, [ModelSpec(0, 0), ModelSpec(1)], [spec.fuzzy_sets], "__mw", df)
+    return TreeModel(spec, forest[0], coding), TreeModel(replace(spec, fuzzy_sets=None), forest[1], coding)
+
+
 def fit_tree(df: DataFrame, spec: TreeSpec) -> TreeModel:
     """Train one classification or regression tree."""
     variants = [spec.fuzzy_sets] if spec.fuzzy_sets is not None else []
@@ -301,7 +335,7 @@ def fit_tree(df: DataFrame, spec: TreeSpec) -> TreeModel:
 def fit_table_tree(df: DataFrame, spec: TreeSpec, driver_nodes: int = DRIVER_NODES) -> TableTree:
     """Train a tree of any size: beyond ``driver_nodes`` nodes, all that is known of nodes is a table."""
     variants = [spec.fuzzy_sets] if spec.fuzzy_sets is not None else []
-    with training(df, spec, [ModelSpec(0, 0 if variants else None)], variants) as (rows, layout, coding, _):
-        forest = grow(rows, layout, spec.rules, [0], limit=driver_nodes) if driver_nodes else None
-        table = grow_tables(rows, layout, spec.rules, forest)
-    return TableTree(tuple(spec.features), tuple(spec.categorical), spec.task, coding.labels, coding.centres, table)
+    with training(df, spec, [ModelSpec(0, 0 if variants else None)], variants) as t:
+        forest = grow(t.rows, t.layout, spec.rules, [0], limit=driver_nodes, subtract=t.few_values) if driver_nodes else None
+        table = grow_tables(t.rows, t.layout, spec.rules, forest)
+    return TableTree(tuple(spec.features), tuple(spec.categorical), spec.task, t.coding.labels, t.coding.centres, table)
