@@ -8,7 +8,7 @@ compared with the hash found there, without any shuffle of the table.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
@@ -20,6 +20,8 @@ BUCKET_ROWS = 65_536
 MAX_CUTS = 9_999  # points of one sketch
 # Buckets with a cut up to which they are sent along with the scan; more are joined by shuffle.
 BROADCAST_CUTS = 200_000
+# Digit counts that a pass of radix selection may bring to the driver.
+RADIX_COUNTS = 1 << 17
 
 
 def _offsets(df: DataFrame, keys: Sequence[str], bucket: str, weight) -> DataFrame:
@@ -87,6 +89,48 @@ def hash_thresholds(df: DataFrame, hashed: str, cuts: DataFrame, keys: Sequence[
         wanted.unpersist()
 
 
+def radix_thresholds(df: DataFrame, hashed: str, group: str, positions: Mapping[int, Sequence[int]]) -> dict[tuple[int, int], str]:
+    """``{(group, position): hash at that 1-based position of the group}`` for a few groups and positions.
+
+    Radix selection: rows are counted by the next hex digits of their hash, only among those that agree with the
+    digits found so far; what comes to the driver are counts of digits, whose number does not depend on the rows.
+    Each pass is one aggregation without a window or a sort. Positions beyond the group are left out.
+    """
+    spark = df.sparkSession
+    todo = [(g, p, "", p) for g, ps in positions.items() for p in ps]
+    out: dict[tuple[int, int], str] = {}
+    while todo:
+        places = sorted({(g, prefix) for g, _, prefix, _ in todo})
+        length = len(todo[0][2])
+        more = 1
+        while more < 6 and len(places) * 16 ** (more + 1) <= RADIX_COUNTS:
+            more += 1
+        rows = df.select(F.col(group).cast("int").alias("g"), F.col(hashed).alias("h"))
+        if length:
+            wanted = spark.createDataFrame(places, "g int, prefix string")
+            rows = rows.withColumn("prefix", F.substring("h", 1, length)).join(F.broadcast(wanted), ["g", "prefix"], "left_semi")
+        counted = rows.groupBy("g", F.substring("h", 1, length + more).alias("p")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).collect()  # at most RADIX_COUNTS rows, or 16 by place
+        found: dict[tuple[int, str], list] = {}
+        for r in sorted(counted, key=lambda r: r["p"]):
+            found.setdefault((r["g"], r["p"][:length]), []).append(r)
+        left = []
+        for g, position, prefix, rest in todo:
+            for r in found.get((g, prefix), []):
+                if rest <= r["n"]:
+                    if r["n"] == 1:
+                        out[g, position] = r["least"]
+                    else:
+                        left.append((g, position, r["p"], rest))
+                    break
+                rest -= r["n"]
+        if left and length + more >= 32:
+            out.update({(g, position): prefix for g, position, prefix, _ in left})  # equal hashes
+            left = []
+        todo = left
+    return out
+
+
 def value_buckets(df: DataFrame, value: str, out: str, n_rows: int) -> DataFrame:
     """Adds ``out``: buckets of about BUCKET_ROWS rows in the order of a number (NaN last). Edges come from a sketch."""
     staged = df.withColumn("__v", F.col(value).cast("double"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from softgrove.functions.draws import DRAW_DIGITS, draw_hash, draw_int, draw_unit, poisson_one
 from softgrove.operators.joins import null_safe_join
-from softgrove.operators.ranks import BROADCAST_CUTS, hash_rank, hash_thresholds
+from softgrove.operators.ranks import BROADCAST_CUTS, hash_rank, hash_thresholds, radix_thresholds
 
 
 def row_key(columns: Sequence[str]) -> Column:
@@ -107,11 +107,10 @@ def fold_array(df: DataFrame, key: Sequence[str], n_folds: int, n_repeats: int,
     size = df.count()
     hashed = df.select(*key).withColumn("repeat", F.explode(repeats)).withColumn("__h", draw_hash(key, F.col("repeat"), seed))
     edges = list(accumulate(fold_sizes(size, n_folds)))[:-1]
-    cuts = _literal_cuts(df, [(r, e) for r in range(n_repeats) for e in edges if e], "repeat int, position bigint")
-    found = hash_thresholds(hashed, "__h", cuts, ["repeat"], size).collect()  # a row per repeat and fold
+    found = radix_thresholds(hashed, "__h", "repeat", {r: sorted({e for e in edges if e}) for r in range(n_repeats)})
     by_repeat: list[list[str]] = [[] for _ in range(n_repeats)]
-    for r in found:
-        by_repeat[r["repeat"]].append(r["threshold"])
+    for (r, position), threshold in found.items():
+        by_repeat[r] += [threshold] * edges.count(position)
     last = F.array(*[F.array(*[F.lit(t) for t in sorted(x)]).cast("array<string>") for x in by_repeat])
     return df.withColumn(out, F.zip_with(repeats, last, lambda r, cut: F.size(
         F.filter(cut, lambda t: t < draw_hash(key, r, seed))).cast("int")))
@@ -122,9 +121,9 @@ def holdout(df: DataFrame, key: Sequence[str], test_fraction: float, seed: int =
     size = df.count()
     n_test = math.ceil(test_fraction * size)
     hashed = df.withColumn("__h", draw_hash(key, "holdout", seed))
-    cuts = _literal_cuts(df, [(n_test,)] if n_test else [], "position bigint")
-    found = hash_thresholds(hashed, "__h", cuts, (), size).first() if n_test else None
-    return hashed.withColumn("is_test", F.col("__h") <= F.lit(found["threshold"] if found else "")).drop("__h")
+    narrow = df.select(draw_hash(key, "holdout", seed).alias("__h"), F.lit(0).alias("__all"))
+    found = radix_thresholds(narrow, "__h", "__all", {0: [n_test]}) if n_test else {}
+    return hashed.withColumn("is_test", F.col("__h") <= F.lit(found.get((0, n_test), ""))).drop("__h")
 
 
 def stratified_sample(df: DataFrame, key: Sequence[str], label: str, n_rows: int, seed: int = 0) -> DataFrame:
