@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from softgrove.catalog.common import CENTROIDS, r, read, set_map, sql_memberships, sql_mass
 from softgrove.functions import encode as E
 from softgrove.functions.membership import logit_slope, membership_array, membership_mass
+from softgrove.operators.clusters import optimal_clusters
 from softgrove.operators.fuzzify import FuzzySets, theta_table
 from softgrove.operators.prepare import encode_first_seen, global_minmax_scale
 
@@ -33,6 +34,18 @@ def fuzzy_centroids(spark, sf):
     return _fit(spark, sf).table(spark).select("feature", "set_id", r("centroid").alias("centroid"))
 
 
+OPTIMAL = ("l_quantity", "l_discount", "l_tax")
+
+
+def fuzzy_optimal(spark, sf):
+    """The best of all ways to cut a feature's values into three sets."""
+    df = read(spark, sf, "lineitem", *OPTIMAL)
+    names = F.array(*[F.lit(f) for f in OPTIMAL])
+    return optimal_clusters(df, OPTIMAL, 3).select(
+        F.get(names, F.col("fi")).alias("feature"), r("sse", 4).alias("sse"),
+        F.posexplode("centroids").alias("set_id", "c")).select("feature", "sse", "set_id", r("c").alias("centroid"))
+
+
 def fuzzy_theta(spark, sf):
     return theta_table(_fit(spark, sf).table(spark).drop("theta")).select("feature", "set_id", r("theta").alias("theta"))
 
@@ -137,7 +150,7 @@ def label_shift(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    scale_global_minmax, fuzzy_centroids, fuzzy_theta, fuzzy_membership, fuzzy_membership_logit, fuzzify_wide,
+    scale_global_minmax, fuzzy_centroids, fuzzy_optimal, fuzzy_theta, fuzzy_membership, fuzzy_membership_logit, fuzzify_wide,
     fuzzify_long, one_hot, argmax_decode, score_softmax, score_sigmoid, src_union_recode, src_dropna, label_shift)}
 QUERIES["encode_first_seen"] = encode_first
 
@@ -188,7 +201,33 @@ _LOGIT = [f"greatest(0.0, 1.0 - abs(o_totalprice - {c!r}) / t{i} * (ln(0.8) - ln
           for i, c in enumerate(CENTROIDS["o_totalprice"])]
 _WIDTHS = "(VALUES (9999.0, 9999.0, 9999.0, 9999.0, 9999.0)) w(t0, t1, t2, t3, t4)"
 
+def _optimal_sql() -> str:
+    """All pairs of cuts between the distinct values, each with the squares left in its three parts."""
+    union = " UNION ALL ".join(f"SELECT '{f}' AS feature, {f}::DOUBLE AS v FROM lineitem" for f in OPTIMAL)
+
+    def left(a: str, b: str) -> str:
+        n, s, q = (f"({b}.{x} - {a}.{x})" for x in ("n", "s", "q"))
+        return f"({q} - {s} * {s} / {n})"
+
+    def mean(a: str, b: str) -> str:
+        return f"({b}.s - {a}.s) / ({b}.n - {a}.n) + {b}.m"
+
+    return f"""
+WITH f AS ({union}), m AS (SELECT feature, avg(v) AS m FROM f GROUP BY 1),
+c AS (SELECT feature, v, m, count(*)::DOUBLE AS n, sum(v - m) AS s, sum((v - m) * (v - m)) AS q FROM f JOIN m USING (feature) GROUP BY ALL),
+p AS (SELECT feature, m, row_number() OVER w AS k, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(q) OVER w AS q FROM c
+      WINDOW w AS (PARTITION BY feature ORDER BY v)),
+z AS (SELECT feature, any_value(m) AS m, 0 AS k, 0.0::DOUBLE AS n, 0.0::DOUBLE AS s, 0.0::DOUBLE AS q FROM p GROUP BY 1),
+t AS (SELECT p.* FROM p WHERE (feature, k) IN (SELECT (feature, max(k)) FROM p GROUP BY feature)),
+tried AS (SELECT z.feature, {left('z', 'a')} + {left('a', 'b')} + {left('b', 't')} AS sse, a.k AS ka, b.k AS kb,
+                 [{mean('z', 'a')}, {mean('a', 'b')}, {mean('b', 't')}] AS c
+          FROM z JOIN p a USING (feature) JOIN p b ON b.feature = a.feature AND b.k > a.k JOIN t ON t.feature = a.feature AND t.k > b.k),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY round(sse, 6), kb, ka) AS rn FROM tried) WHERE rn = 1)
+SELECT feature, round(sse, 4) AS sse, CAST(j AS INTEGER) AS set_id, round(c[j + 1], 6) AS centroid FROM best, range(3) x(j)"""
+
+
 ORACLES = {
+    "fuzzy_optimal": _optimal_sql(),
     "scale_global_minmax": f"WITH o AS (SELECT o_orderkey, o_totalprice, {_T} AS o_month FROM orders), b AS (SELECT "
                            f"least(min(o_totalprice), min(o_month)) AS lo, greatest(max(o_totalprice), max(o_month)) AS hi FROM o) "
                            f"SELECT o_orderkey, round((o_totalprice - lo) / (hi - lo), 9) AS o_totalprice, "

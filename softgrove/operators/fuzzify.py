@@ -13,6 +13,7 @@ from pyspark.storagelevel import StorageLevel
 
 from softgrove.functions.membership import ZERO_DISTANCE, logit_slope, membership_array, membership_mass, widths
 from softgrove.functions.sqltext import clean_number, num
+from softgrove.operators.clusters import optimal_clusters, quantile_starts
 
 # Distinct values of a feature up to which its k-means runs on their counts in one task.
 COUNTED_VALUES = 65_536
@@ -112,9 +113,13 @@ class FuzzySets:
 
     @staticmethod
     def fit(df: DataFrame, features: Sequence[str], n_sets: int = 5, max_iter: int = 300, tol: float = 1e-4,
-            cache: bool = True) -> FuzzySets:
+            cache: bool = True, method: str = "lloyd") -> FuzzySets:
         """k-means of every feature by itself.
 
+        ``method`` "lloyd" starts from evenly spaced centroids. "optimal" gives the least sum of squares for
+        features with few distinct values (fewer sets than asked for if there are fewer values), and starts
+        the others from quantiles.
+
         Features with few distinct values are counted once and settled on the counts;
         the others take one scan of the table per step, all together.
 
@@ -129,9 +134,15 @@ class FuzzySets:
             centroids = {f: start_centroids(s[0], s[1], n_sets) for f, s in spread.items()}
             variances = {f: s[2] for f, s in spread.items()}
             few = [f for f in features if spread[f][3] <= COUNTED_VALUES]
-            if few:
+            wide = [f for f in features if f not in few]
+            if method == "optimal":
+                if wide:
+                    centroids.update(quantile_starts(data, wide, n_sets))
+                if few:
+                    centroids.update({few[r["fi"]]: list(r["centroids"]) for r in optimal_clusters(data, few, n_sets).collect()})
+            elif few:
                 centroids.update(lloyd_on_counts(data, {f: centroids[f] for f in few}, variances, max_iter, tol))
-            moving = [f for f in features if spread[f][3] > COUNTED_VALUES]
+            moving = wide
             for _ in range(max_iter):
                 if not moving:
                     break

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from softgrove.operators.joins import null_safe_join
 
 BUCKET_ROWS = 65_536
+BUCKET_GROUP = 128  # numbered buckets that are summed up together
 MAX_CUTS = 9_999  # points of one sketch
 # Buckets with a cut up to which they are sent along with the scan; more are joined by shuffle.
 BROADCAST_CUTS = 200_000
@@ -25,10 +26,26 @@ RADIX_COUNTS = 1 << 17
 
 
 def _offsets(df: DataFrame, keys: Sequence[str], bucket: str, weight) -> DataFrame:
-    """Total ``weight`` of the buckets before each bucket (``__before``) and in it (``__n``)."""
+    """Total ``weight`` of the buckets before each bucket (``__before``) and in it (``__n``).
+
+    Summed in two steps, over groups of buckets and inside them, so that no window holds all buckets of a group.
+    """
     sizes = df.groupBy(*keys, bucket).agg(F.sum(weight).alias("__n"))
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    if dict(sizes.dtypes)[bucket] == "string":
+        part = F.col(bucket).substr(F.lit(1), F.floor(F.length(bucket) / 2).cast("int"))
+    else:
+        part = F.floor(F.col(bucket) / BUCKET_GROUP)
+    sizes = sizes.withColumn("__part", part)
+
+    def before(name: str, group: Sequence[str], order: str):
+        window = Window.partitionBy(*(group or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(name).over(window), F.lit(0))
+
+    parts = sizes.groupBy(*keys, "__part").agg(F.sum("__n").alias("__sum"))
+    parts = parts.withColumn("__first", before("__sum", keys, "__part")).drop("__sum")
+    inside = sizes.withColumn("__inside", before("__n", [*keys, "__part"], bucket))
+    both = null_safe_join(inside, parts, [*keys, "__part"])
+    return both.withColumn("__before", F.col("__first") + F.col("__inside")).select(*keys, bucket, "__n", "__before")
 
 
 def _number_in_buckets(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], out: str) -> DataFrame:
@@ -147,12 +164,3 @@ def value_buckets(df: DataFrame, value: str, out: str, n_rows: int) -> DataFrame
 def value_rank(df: DataFrame, value: str, keys: Sequence[str] = (), out: str = "rank") -> DataFrame:
     """Position (1-based) in the order of a numeric column with distinct values."""
     return _number_in_buckets(value_buckets(df, value, "__bucket", df.count()), list(keys), "__bucket", [value], out)
-
-
-def running_total(df: DataFrame, value: str, weight: str, keys: Sequence[str], out: str, n_rows: int) -> DataFrame:
-    """Adds ``out``, the total ``weight`` up to and with the row, in the order of a distinct numeric column per group."""
-    bucketed = value_buckets(df, value, "__bucket", n_rows)
-    upto = Window.partitionBy(*keys, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    offsets = _offsets(bucketed, list(keys), "__bucket", F.col(weight)).drop("__n")
-    added = null_safe_join(bucketed, offsets, [*keys, "__bucket"])
-    return added.withColumn(out, F.col("__before") + F.sum(weight).over(upto)).drop("__before", "__bucket")
