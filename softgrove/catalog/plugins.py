@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from softgrove.catalog.common import ORDERS_SQL, r, read
-from softgrove.catalog.ensembles import STUMP, TWO, _boost_query
+from softgrove.catalog.ensembles import STUMP, TWO, _boost_query, boost_sql
 from softgrove.catalog.sqlgen import TreeSql
 from softgrove.catalog.trees import _AMOUNT, FEATURES, _priced, _with, orders_base
 from softgrove.functions.criteria import plus, register_class_criterion
@@ -120,6 +120,15 @@ def gbdt_custom_loss(spark, sf):
     return model.transform(df).select("o_orderkey", r("prediction").alias("prediction"))
 
 
+def gbdt_early_stop(spark, sf):
+    """Held-out losses until two rounds in a row bring no smaller one."""
+    tree = TreeSpec(FEATURES, ("tier",), "class", criterion="variance", rules=STUMP)
+    spec = BoostSpec(tree, n_estimators=8, n_classes=3, n_iter_no_change=2, key=("o_orderkey",), seed=3)
+    model = fit_boosted(_priced(spark, sf), spec)
+    rows = [(i, len(model.trees), e) for i, e in model.validation]
+    return spark.createDataFrame(rows, "round int, n_trees int, loss double").select("round", "n_trees", r("loss").alias("loss"))
+
+
 def tree_custom_leaf(spark, sf):
     """Leaves that predict the median, and a registered rule of one's own: the middle of the range."""
     register_leaf_rule("midrange", lambda rows: rows.groupBy("leaf").agg(((F.min("y") + F.max("y")) / 2).alias("value")))
@@ -132,7 +141,7 @@ def tree_custom_leaf(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     src_csv_plain, src_csv_header, src_blank_separated, src_arff, src_categorical_csv, src_registered, results_runs,
-    tree_custom_criterion, gbdt_custom_loss, tree_custom_leaf)}
+    tree_custom_criterion, gbdt_custom_loss, gbdt_early_stop, tree_custom_leaf)}
 
 
 # ---- SQL ----
@@ -156,6 +165,29 @@ def _leaf_sql() -> str:
             f"round(middle, 6) AS middle FROM t_rows2 JOIN l USING (node)")
 
 
+def _early_stop_sql(rounds: int = 4) -> str:
+    """Losses of the held-out rows after each of some rounds, cut where two in a row bring no smaller one."""
+    ys = ", ".join(f"CASE WHEN tier = {k} THEN 1.0::DOUBLE ELSE 0 END AS y{k}" for k in range(3))
+    text, _ = boost_sql("state", 3, rounds, 1, "{y} - {s}")
+    part = "0.5 * (" + " + ".join(f"(y{k} - s{k}) * (y{k} - s{k})" for k in range(3)) + ")"
+    losses = " UNION ALL ".join(f"SELECT {i} AS round, avg({part}) AS loss FROM st{i + 1} WHERE w = 0" for i in range(rounds))
+    return f"""
+WITH {ORDERS_SQL},
+q AS (SELECT *, floor(ideal) + CASE WHEN row_number() OVER (ORDER BY round(ideal - floor(ideal), 9) DESC, tier) <=
+        ceil(0.1 * size) - sum(floor(ideal)) OVER () THEN 1 ELSE 0 END AS take
+      FROM (SELECT tier, sum(count(*)) OVER () AS size, ceil(0.1 * sum(count(*)) OVER ()) * count(*) / sum(count(*)) OVER () AS ideal
+            FROM orders_t GROUP BY tier)),
+h AS (SELECT o.*, row_number() OVER (PARTITION BY o.tier ORDER BY md5(concat_ws('-', o_orderkey, 'validation', '3'))) <= take AS held
+      FROM orders_t o JOIN q USING (tier)),
+state AS (SELECT 0 AS model, o_orderkey AS rid, CASE WHEN held THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS w, {ys},
+                 o_totalprice AS f0, o_month AS f1 FROM h),
+{text}, l AS ({losses}),
+m AS (SELECT *, min(loss) OVER (ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS least FROM l),
+b AS (SELECT *, coalesce(loss >= least - 1e-12, FALSE) AS worse FROM m),
+e AS (SELECT min(b.round) AS last FROM b JOIN b c ON c.round = b.round - 1 WHERE b.worse AND c.worse)
+SELECT round, CAST(last + 1 AS INTEGER) AS n_trees, round(loss, 6) AS loss FROM l, e WHERE round <= last"""
+
+
 _RUNS = " UNION ALL ".join(
     f"SELECT '{fmt}' AS fmt, '{run}' AS run, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS keys FROM part WHERE {where}"
     for fmt in ("parquet", "csv") for run, where in (("latest", "p_size > 5"), ("first", "p_size <= 20")))
@@ -177,4 +209,5 @@ ORACLES = {
     "tree_custom_criterion": _criterion_sql(),
     "gbdt_custom_loss": _boost_query("value", 3, 1, "SELECT rid AS o_orderkey, round(s0, 6) AS prediction FROM LAST"),
     "tree_custom_leaf": _leaf_sql(),
+    "gbdt_early_stop": _early_stop_sql(),
 }

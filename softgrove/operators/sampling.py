@@ -126,11 +126,9 @@ def holdout(df: DataFrame, key: Sequence[str], test_fraction: float, seed: int =
     return hashed.withColumn("is_test", F.col("__h") <= F.lit(found.get((0, n_test), ""))).drop("__h")
 
 
-def stratified_sample(df: DataFrame, key: Sequence[str], label: str, n_rows: int, seed: int = 0) -> DataFrame:
-    """``n_rows`` rows with the class shares of the table (largest remainders, then smaller label).
-
-    A table of at most ``n_rows`` rows is returned whole; NULL is a class like the others.
-    """
+def strata_thresholds(df: DataFrame, key: Sequence[str], label: str, n_rows: int, salt: str, seed: int) -> DataFrame:
+    """(label, threshold): the last hash of each class in a sample of ``n_rows`` rows with the class shares of the
+    table (largest remainders, then smaller label); a table of at most ``n_rows`` rows is taken whole."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     whole = Window.partitionBy(F.lit(1))
     quota = sizes.withColumn("__size", F.sum("__n").over(whole))
@@ -141,11 +139,28 @@ def stratified_sample(df: DataFrame, key: Sequence[str], label: str, n_rows: int
         .withColumn("__take", F.when(F.col("__size") <= n_rows, F.col("__n"))
                     .otherwise(F.col("__base") + F.when(F.row_number().over(order) <= F.col("__left"), 1).otherwise(0)))
     quota = quota.select(label, F.col("__take").cast("bigint").alias("position")).filter("position > 0")
-    hashed = df.withColumn("__h", draw_hash(key, "strata", seed))
+    hashed = df.withColumn("__h", draw_hash(key, salt, seed))
     last = hash_thresholds(hashed, "__h", quota, [label], df.count()).select(label, "threshold")
-    few = last.count() <= BROADCAST_CUTS
-    return null_safe_join(hashed, F.broadcast(last) if few else last, [label]) \
-        .filter("__h <= threshold").drop("__h", "threshold")
+    return F.broadcast(last) if last.count() <= BROADCAST_CUTS else last
+
+
+def stratified_sample(df: DataFrame, key: Sequence[str], label: str, n_rows: int, seed: int = 0) -> DataFrame:
+    """``n_rows`` rows with the class shares of the table (largest remainders, then smaller label).
+
+    A table of at most ``n_rows`` rows is returned whole; NULL is a class like the others.
+    """
+    last = strata_thresholds(df, key, label, n_rows, "strata", seed)
+    hashed = df.withColumn("__h", draw_hash(key, "strata", seed))
+    return null_safe_join(hashed, last, [label]).filter("__h <= threshold").drop("__h", "threshold")
+
+
+def stratified_holdout(df: DataFrame, key: Sequence[str], label: str, fraction: float, salt: str = "validation",
+                       seed: int = 0, out: str = "is_test") -> DataFrame:
+    """Add ``out``: ceil(fraction * rows) rows are held out, with the class shares of the table."""
+    last = strata_thresholds(df, key, label, math.ceil(fraction * df.count()), salt, seed)
+    hashed = df.withColumn("__h", draw_hash(key, salt, seed))
+    return null_safe_join(hashed, last, [label], "left").withColumn(
+        out, F.coalesce(F.col("__h") <= F.col("threshold"), F.lit(False))).drop("__h", "threshold")
 
 
 def feature_subspace(n_trees: int, n_features: int, max_features: int | None = None,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from softgrove.functions import encode
 from softgrove.functions.draws import draw_hash, draw_unit
 from softgrove.functions.losses import LOSSES
 from softgrove.functions.sqltext import name, num
+from softgrove.operators.sampling import stratified_holdout
 from softgrove.operators.splits import Layout
 from softgrove.plans.frame import FuzzySetMap, ModelSpec, masses_sql, training_rows, value_edges
 from softgrove.plans.grow import grow
@@ -31,7 +32,8 @@ class BoostSpec:
     ``loss`` names an entry of :data:`softgrove.functions.losses.LOSSES`.
     Classification defaults to "residual" (target minus raw score, no softmax
     before the gradient); "softmax" descends on softmax(scores) - target.
-    ``n_iter_no_change`` stops early on a held-out ``validation_fraction``.
+    ``n_iter_no_change`` stops a model after so many rounds without a smaller loss on the held-out
+    ``validation_fraction`` of the rows (with the class shares of the table for classification).
     """
 
     tree: TreeSpec
@@ -61,10 +63,11 @@ def _outputs(df: DataFrame, spec: BoostSpec) -> tuple[dict[str, Column], int]:
 
 def fit_boosted_models(df: DataFrame, spec: BoostSpec, models: Sequence[ModelSpec],
                        variants: Sequence[FuzzySetMap] = (), weights: str | None = None,
-                       ) -> tuple[list[tuple[Forest, Coding]], int]:
+                       history: list[tuple[int, int, float]] | None = None) -> tuple[list[tuple[Forest, Coding]], int]:
     """One forest per round; trees of all models of a round grow in the same jobs.
 
-    The scores of a round are cached until the next round's are.
+    The scores of a round are cached until the next round's are. Models stop one by one: a forest has the trees of
+    the models that still go on. ``history`` collects (round, model, held-out loss).
     """
     if spec.n_iter_no_change is not None and not spec.key:
         raise ValueError("early stopping holds rows out by their key; name it in BoostSpec.key")
@@ -83,7 +86,11 @@ def fit_boosted_models(df: DataFrame, spec: BoostSpec, models: Sequence[ModelSpe
     source = df
     keep: list[str] = []
     if spec.n_iter_no_change is not None:
-        source = source.withColumn("__held", draw_unit(draw_hash(spec.key, "validation", spec.seed)) < spec.validation_fraction)
+        if spec.tree.task == "class":
+            source = stratified_holdout(source, spec.key, spec.tree.targets[0], spec.validation_fraction, "validation",
+                                        spec.seed, "__held")
+        else:
+            source = source.withColumn("__held", draw_unit(draw_hash(spec.key, "validation", spec.seed)) < spec.validation_fraction)
         keep = ["__held"]
     rows = training_rows(source, tree.features, tree.categorical, targets, models, weights, edges, keep)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
@@ -91,7 +98,7 @@ def fit_boosted_models(df: DataFrame, spec: BoostSpec, models: Sequence[ModelSpe
     loss = LOSSES[spec.loss_name]
     ys = [F.col(f"y{k}") for k in range(width)]
     rounds: list[tuple[Forest, Coding]] = []
-    best_loss, waited = float("inf"), 0
+    best = {m.model: (float("inf"), 0) for m in models}  # smallest loss, rounds since
     try:
         for i in range(spec.n_estimators):
             train = base.filter("NOT __held") if keep else base
@@ -103,7 +110,7 @@ def fit_boosted_models(df: DataFrame, spec: BoostSpec, models: Sequence[ModelSpe
                 coding = Coding(centres=(0.0,) * width)
                 scores = [F.col(f"f{k}") for k in range(width)]
                 train = train.withColumns({f"t{k}": g for k, g in enumerate(loss.gradient(ys, scores))})
-            forest = grow(train, layout, tree.rules, [m.model for m in models])
+            forest = grow(train, layout, tree.rules, sorted(best))
             rounds.append((forest, coding))
             if older is not None:
                 older.unpersist()
@@ -121,14 +128,22 @@ def fit_boosted_models(df: DataFrame, spec: BoostSpec, models: Sequence[ModelSpe
                     done.unpersist()
                 older = None
             if keep:
-                err = base.filter("__held").selectExpr(
-                    "avg(" + " + ".join(f"(y{k} - f{k}) * (y{k} - f{k})" for k in range(width)) + ") AS e").first()["e"]
-                if err is not None and err < best_loss - 1e-12:
-                    best_loss, waited = err, 0
-                else:
-                    waited += 1
-                if waited >= spec.n_iter_no_change:
+                held = base.filter("__held").groupBy("model").agg(
+                    F.avg(loss.of_row(ys, [F.col(f"f{k}") for k in range(width)])).alias("e")).collect()  # a row per model
+                errors = {r["model"]: r["e"] for r in held}
+                if history is not None:
+                    history += [(i, m, errors.get(m)) for m in sorted(best)]
+                going = {}
+                for m, (least, waited) in best.items():
+                    err = errors.get(m)
+                    least, waited = (err, 0) if err is not None and err < least - 1e-12 else (least, waited + 1)
+                    if waited < spec.n_iter_no_change:
+                        going[m] = (least, waited)
+                stopped, best = len(going) < len(best), going
+                if not best:
                     break
+                if stopped:
+                    base = base.filter(F.col("model").isin(sorted(best)))
         return rounds, width
     finally:
         for cached in (older, base, rows):
@@ -142,6 +157,7 @@ class BoostedModel:
     trees: list[Tree]
     codings: list[Coding]
     width: int
+    validation: list[tuple[int, float]] = field(default_factory=list)  # held-out loss after each round
 
     def __post_init__(self) -> None:
         # leaves carry final values from here on, so that trees of all rounds can be summed alike
@@ -208,7 +224,8 @@ class BoostedModel:
 def fit_boosted(df: DataFrame, spec: BoostSpec) -> BoostedModel:
     sets = spec.tree.fuzzy_sets
     variants = [sets] if sets is not None else []
-    rounds, width = fit_boosted_models(df, spec, [ModelSpec(0, 0 if variants else None)], variants)
-    return BoostedModel(spec, [f[0] for f, _ in rounds], [c for _, c in rounds], width)
+    history: list[tuple[int, int, float]] = []
+    rounds, width = fit_boosted_models(df, spec, [ModelSpec(0, 0 if variants else None)], variants, history=history)
+    return BoostedModel(spec, [f[0] for f, _ in rounds], [c for _, c in rounds], width, [(i, e) for i, _, e in history])
 
 

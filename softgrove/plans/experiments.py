@@ -132,7 +132,8 @@ def cross_validate_boosted(df: DataFrame, spec: BoostSpec, key: Sequence[str], c
     out = rows.selectExpr(*[c for c in ("x", "xc") if c in rows.columns], "__y", f"inline({trial_flags(todo, n_repeats, n_folds)})")
     for i, (forest, coding) in enumerate(rounds):
         out = leaf_values(out, forest, lambda n, c=coding: leaf_mean(n, c), "__p")
-        add = "__p" if i == 0 else f"zip_with(__f, __p, (f, p) -> f - {spec.learning_rate!r}D * p)"
+        grown = ", ".join(map(str, sorted(forest)))  # the others have stopped before this round
+        add = "__p" if i == 0 else f"if(model IN ({grown}), zip_with(__f, __p, (f, p) -> f - {spec.learning_rate!r}D * p), __f)"
         out = out.withColumn("__f", F.expr(add)).drop("__p")
     hit = "if(array_position(__f, array_max(__f)) - 1 = __y, 1D, 0D)"
     grouped = out.groupBy("model").agg(
