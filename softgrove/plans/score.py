@@ -18,6 +18,8 @@ from softgrove.plans.route import INLINE_NODES, Node, Tree
 
 # Trees walked together; bounds the memory of a batch.
 TREES_AT_ONCE = 32
+# Nodes of the trees that one function holds (about 50 bytes each, and their values).
+PART_NODES = 1_000_000
 
 
 def test_sql(feature: str, number: float | None, cat: str | None) -> str:
@@ -115,8 +117,28 @@ def _features(features: Sequence[str], categorical: Sequence[str]) -> Column:
 def summed_leaves(trees: Sequence[Tree], features: Sequence[str], categorical: Sequence[str],
                   values: Callable[[Node], Sequence[float]], width: int,
                   weights: Sequence[float] | None = None) -> Column:
-    """``array<double>``: weighted sum over trees of per-leaf values, for models of any size."""
+    """``array<double>``: weighted sum over trees of per-leaf values, for models of any size.
+
+    The trees go to the executors in parts of at most PART_NODES nodes (or one tree), each a function of its own
+    that adds up its trees; the sums of the parts are added per row.
+    """
     scale = np.ones(len(trees)) if weights is None else np.asarray(weights, float)
+    cuts, size = [0], 0
+    for k, tree in enumerate(trees):
+        if size and size + len(tree) > PART_NODES:
+            cuts.append(k)
+            size = 0
+        size += len(tree)
+    parts = [_summed_part(trees[a:b], features, categorical, values, width, scale[a:b])
+             for a, b in zip(cuts, [*cuts[1:], len(trees)])]
+    out = parts[0]
+    for part in parts[1:]:
+        out = F.zip_with(out, part, lambda a, b: a + b)
+    return out
+
+
+def _summed_part(trees: Sequence[Tree], features: Sequence[str], categorical: Sequence[str],
+                 values: Callable[[Node], Sequence[float]], width: int, scale: np.ndarray) -> Column:
     packed = _pack(trees, values, width)
 
     @F.arrow_udf("array<double>")

@@ -163,3 +163,17 @@ def test_arff_files_share_a_header(spark, tmp_path):
     (tmp_path / "3.arff").write_text(head.replace("x real", "z real") + "2.5,b\n")
     with pytest.raises(ValueError):
         readers.read_arff(spark, str(tmp_path / "*.arff"))
+
+
+def test_forest_scored_in_parts(spark, monkeypatch):
+    from softgrove.plans import score
+    from softgrove.plans.forest import ForestSpec, fit_bagged
+
+    df = random_rows(spark, 300, 4).withColumn("id", F.monotonically_increasing_id())
+    spec = TreeSpec(("a", "b", "c"), ("label",), categorical=("c",), rules=StopRules(max_depth=4))
+    model = fit_bagged(df, ForestSpec(spec, ("id",), 40, seed=2))
+    whole = model.transform(df.select("*", model.votes().alias("v"))).collect()
+    monkeypatch.setattr(score, "PART_NODES", max(map(len, model.trees)) + 1)
+    parts = model.transform(df.select("*", model.votes().alias("v"))).collect()
+    assert sum(map(len, model.trees)) > 3 * score.PART_NODES
+    assert {r["id"]: (r["v"], r["prediction"]) for r in whole} == {r["id"]: (r["v"], r["prediction"]) for r in parts}
