@@ -32,7 +32,8 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), n["assign"], n["access"], n["hex"],
         F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"),
-        secret_scan.listed(F.col("spans")).alias("spans"), "n_live", "n_examples")
+        secret_scan.listed(F.col("spans")).alias("spans"), "n_live", "n_examples",
+        secret_scan.verdicts(F.col("spans")).alias("verdicts"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Patterns find spans in every whole text. All spans the patterns find are kept;
-besides them, long mixed tokens are candidates. The hashes of all found values
-are then aggregated over the corpus by distinct repositories and owners: a value
-that many owners have is a copied example, one that belongs to a single owner
-looks live. Candidates that look live are added as spans of kind ``token``, and
-each span carries its verdict.
+besides them, long tokens of letters and digits are candidates. The hashes of all
+found values are then aggregated over the corpus by distinct repositories and
+owners: a value is a copied example if ``example_owners`` owners have it, or if it
+lies in ``example_repos`` repositories, be it of one owner; else it looks live.
+Candidates that look live are added as spans of kind ``token``, and each span
+carries both counts and its verdict. Without a column of repositories, each
+document is one.
 
 The texts are scanned once, into a narrow table of spans in the shared folder;
 hashes are counted with map-side aggregation, and joined back by hash, whose
@@ -37,9 +39,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 MIN_VALUE = 6
-MIN_ENTROPY = 3.5
-#: owners from which on a value is a copied example
+MIN_ENTROPY = 3.2
+#: owners, and repositories, from which on a value is a copied example
 EXAMPLE_OWNERS = 3
+EXAMPLE_REPOS = 12
 
 SPANS = T.ArrayType(T.StructType([
     T.StructField("kind", T.ByteType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
@@ -53,8 +56,8 @@ def entropy(value: str) -> float:
 
 
 def mixed(value: str) -> bool:
-    kinds = (any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value))
-    return all(kinds) and entropy(value) >= MIN_ENTROPY
+    """Letters and digits, without much repetition."""
+    return any(c.isalpha() for c in value) and any(c.isdigit() for c in value) and entropy(value) >= MIN_ENTROPY
 
 
 def find(text: str) -> list[tuple[int, int, int, str]]:
@@ -112,16 +115,22 @@ def listed(spans: Column) -> Column:
         ":", F.element_at(name, s["kind"].cast("int") + 1), s["start"], s["end"])), ",")
 
 
+def verdicts(spans: Column) -> Column:
+    """live or example for each span, comma-joined in their order."""
+    return F.array_join(F.transform(spans, lambda s: F.when(s["live"], "live").otherwise("example")), ",")
+
+
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-            repo_col: str | None = None, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """One row per document: id, base (pattern spans) and spans (all), each with kind, start, end, hash, live."""
+            repo_col: str | None = None, example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
+    """One row per document: id, base (pattern spans) and spans (all), each with kind, start, end, hash, n_owners,
+    n_repos and live, and the numbers of examples and of live spans."""
     found = scan(docs, id_col, text_col, owner_col, repo_col).withColumn("row", F.monotonically_increasing_id())
     found = written(found, "secret-spans")
     each = found.filter(F.size("found") > 0).select("row", "owner", "repo", F.explode("found").alias("s"))
     each = each.select("row", "owner", "repo", "s.*")
     counted = written(ownership(each).select(F.col("hash").alias("value"), "n_owners", "n_repos"), "secret-owners")
     joined = each.join(counted, each["hash"] == counted["value"])
-    joined = joined.withColumn("live", F.col("n_owners") == 1)
+    joined = joined.withColumn("live", (F.col("n_owners") < example_owners) & (F.col("n_repos") < example_repos))
     joined = joined.filter((F.col("kind") < KINDS.index("token")) | F.col("live"))
     per_row = joined.groupBy("row").agg(F.array_sort(F.collect_list(
         F.struct("start", "kind", "end", "hash", "n_owners", "n_repos", "live"))).alias("spans"))
@@ -129,5 +138,5 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own
     out = found.select("row", "id").join(per_row, "row", "left").select(
         "id", F.coalesce("spans", none).alias("spans"))
     return out.select("id", F.filter("spans", lambda s: s["kind"] < KINDS.index("token")).alias("base"), "spans",
-                      F.size(F.filter("spans", lambda s: s["n_owners"] >= example_owners)).alias("n_examples"),
+                      F.size(F.filter("spans", lambda s: ~s["live"])).alias("n_examples"),
                       F.size(F.filter("spans", lambda s: s["live"])).alias("n_live"))
