@@ -5,7 +5,8 @@ order of the numbers. Equal values are counted first. Then the position wanted i
 found 16 bits at a time: counts per group, bits found so far and next 16 bits are
 summed up in a window of at most 65,536 rows, and the digit that holds the
 position joins the bits found. So the work is the same for any distribution and
-any number of rows, and no task holds a group.
+any number of rows, and no task holds a group. Up to a million counted values in
+all, one window by group is as bounded and does without the passes.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from softgrove.session import stored
 
 DIGIT_BITS = 16
 #: Counted values up to which one window is small enough for any group.
-DIRECT_ROWS = 65_536
+DIRECT_ROWS = 1_000_000
 
 
 @F.arrow_udf(T.LongType())
@@ -61,11 +62,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     own = df if "__all" not in keys else df.withColumn("__all", F.lit(0))
     counted = own.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
     counted = stored(counted, "counted-values")
-    sizes = stored(counted.groupBy(*keys).agg(F.sum("c").alias("__n")), "sizes")
-    targets = _positions(sizes, keys, probs)
+    sizes = counted.groupBy(*keys).agg(F.sum("c").alias("__n"))
     if counted.count() <= direct_rows:
-        found = _found(counted, targets, keys, "v")
+        found = _found(counted, _positions(sizes, keys, probs), keys, "v")
     else:
+        sizes = stored(sizes, "sizes")
+        targets = _positions(sizes, keys, probs)
         coded = stored(counted.withColumn("b", ordered_bits(F.col("v").cast("double"))), "coded-values")
         targets = targets.withColumn("prefix", F.lit(0).cast("long"))
         for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):

@@ -12,7 +12,7 @@ from softgrove.operators.quantiles import describe, exact_quantiles, ordered_bit
 PROBS = {"low": 0.0, "q1": 0.25, "odd": 0.371, "q3": 0.75, "high": 1.0}
 
 
-@pytest.mark.parametrize("direct_rows", [0, 65_536])
+@pytest.mark.parametrize("direct_rows", [0, 1_000_000])
 def test_quantiles_of_any_distribution(spark, direct_rows):
     rng = random.Random(2)
     rows = [("a", rng.choice([1e300, -1e300, 5e-324, 0.0, -0.0, 1.5, -2.5])) for _ in range(200)]
