@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from softgrove.catalog.common import ORDERS_SQL, orders_tier, r, read, set_map
-from softgrove.catalog.sampling import sql_bits
+from softgrove.catalog.sampling import sql_bits, sql_bootstrap
 from softgrove.catalog.sqlgen import TreeSql
 from softgrove.catalog.trees import _AMOUNT, FEATURES, _priced, orders_base
 from softgrove.functions import encode
@@ -262,15 +262,12 @@ def _forest_sql(n_trees: int, n_features: int, draws: int, source: str, key: str
     tree.leaves().route("everyone", "every")
     return f"""
 WITH {prelude}
-pos AS (SELECT {key} AS rid, row_number() OVER (ORDER BY md5(concat_ws('-', {key}, 'row', '{seed}'))) AS pos FROM {source}),
-drawn AS (SELECT CAST(s AS INTEGER) AS model, {sql_bits(f"md5(concat_ws('-', i, s, '{seed}'))")} % (SELECT count(*) FROM {source}) + 1 AS pos
-          FROM range({n_trees}) t(s), range((SELECT count(*) FROM {source})) u(i)),
-wts AS (SELECT model, pos, count(*)::DOUBLE AS w FROM drawn GROUP BY 1, 2),
+{sql_bootstrap(source, key, n_trees, seed)},
 subset AS (SELECT DISTINCT CAST(t AS INTEGER) AS model,
            CAST({sql_bits(f"md5(concat_ws('-', t, d, '{seed}'))")} % {n_features} AS INTEGER) AS fi
            FROM range({n_trees}) a(t), range({draws}) b(d)),
 data AS (SELECT {key} AS rid, {base_cols} FROM {source}),
-base AS (SELECT model, w, data.* FROM wts JOIN pos USING (pos) JOIN data USING (rid)),
+base AS (SELECT model, w::DOUBLE AS w, data.* FROM wts JOIN data USING (rid)),
 everyone AS (SELECT CAST(s AS INTEGER) AS model, data.* FROM data, range({n_trees}) t(s)),
 {tree.text()} {body}"""
 

@@ -78,14 +78,22 @@ def _poisson_sql() -> str:
     return " + ".join(parts)
 
 
+def sql_bootstrap(source: str, key: str, n_subsets: int, seed: int) -> str:
+    """Table ``wts`` (rid, model, w): Poisson draws with a surplus, the copies with the smallest hashes taken out."""
+    return f"""
+size AS (SELECT count(*) AS n, (count(*) + 6 * sqrt(count(*)) + 12) / count(*) AS mean FROM {source}),
+upto AS (SELECT sum(exp(-mean) * pow(mean, k) / gamma(k + 1)) OVER (ORDER BY k) AS p FROM size, range(40) t(k)),
+units AS (SELECT {key} AS rid, s, {sql_bits(_hash(key, "'0.' || s", seed))} / {float(16**15)!r} AS u FROM {source}, range({n_subsets}) t(s)),
+counts AS (SELECT rid, s, (SELECT count(*) FROM upto WHERE p < 1 AND p <= u) AS c FROM units),
+copies AS (SELECT rid, s, row_number() OVER (PARTITION BY s ORDER BY {_hash('rid', "'0.' || s || '.' || j", seed)} DESC) AS place
+           FROM (SELECT rid, s, unnest(range(1, c + 1)) AS j FROM counts)),
+wts AS (SELECT rid, CAST(s AS INTEGER) AS model, count(*) AS w FROM copies WHERE place <= (SELECT n FROM size) GROUP BY 1, 2)"""
+
+
 ORACLES = {
     "sample_wor": f"SELECT c_custkey, subset FROM (SELECT c_custkey, CAST(s AS INTEGER) AS subset, row_number() OVER "
                   f"(PARTITION BY s ORDER BY {_hash('c_custkey', 's', 7)}) AS k FROM customer, range(3) t(s)) WHERE k <= 100",
-    "bootstrap_wr": f"""
-WITH n AS (SELECT count(*) AS n FROM customer),
-p AS (SELECT c_custkey, row_number() OVER (ORDER BY {_hash('c_custkey', "'row'", 7)}) AS pos FROM customer),
-d AS (SELECT s, {sql_bits(_hash('i', 's', 7))} % n + 1 AS pos FROM n, range(3) t(s), range((SELECT count(*) FROM customer)) u(i))
-SELECT c_custkey, CAST(s AS INTEGER) AS subset, count(*) AS w FROM d JOIN p USING (pos) GROUP BY 1, 2""",
+    "bootstrap_wr": f"WITH {sql_bootstrap('customer', 'c_custkey', 3, 7)} SELECT rid AS c_custkey, model AS subset, w FROM wts",
     "bootstrap_poisson": f"SELECT c_custkey, CAST(s AS INTEGER) AS model, CAST({_poisson_sql()} AS BIGINT) AS w FROM (SELECT "
                          f"c_custkey, s, {sql_bits(_hash('c_custkey', 's', 7))} / {float(16**15)!r} AS u FROM customer, "
                          f"range(3) t(s)) WHERE {_poisson_sql()} > 0",

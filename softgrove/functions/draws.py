@@ -41,11 +41,31 @@ def draw_unit(hashed: Column) -> Column:
     return draw_bits(hashed) / F.lit(float(16**DRAW_DIGITS))
 
 
+def poisson_steps(mean: float) -> list[float]:
+    """Distribution function of a Poisson count at 0, 1, ... as far as a double tells it from 1."""
+    term = total = math.exp(-mean)
+    steps = [total]
+    while term > 1e-17 or len(steps) <= mean:
+        term *= mean / len(steps)
+        total += term
+        steps.append(total)
+    return [s for s in steps if s < 1.0]
+
+
+def _steps_passed(unit: Column, steps: Sequence[float]) -> Column:
+    return sum((F.when(unit >= F.lit(s), 1).otherwise(0) for s in steps[1:]),
+               F.when(unit >= F.lit(steps[0]), 1).otherwise(0)).cast("bigint")
+
+
+def poisson(unit: Column, mean: float) -> Column:
+    """Poisson count by inversion; for means up to a few dozen."""
+    return _steps_passed(unit, poisson_steps(mean))
+
+
 def poisson_one(unit: Column) -> Column:
     """Poisson(1) count by inversion of the distribution function."""
     total, steps = 0.0, []
     for k in range(12):
         total += math.exp(-1.0) / math.factorial(k)
         steps.append(total)
-    return sum((F.when(unit >= F.lit(s), 1).otherwise(0) for s in steps[1:]),
-               F.when(unit >= F.lit(steps[0]), 1).otherwise(0)).cast("bigint")
+    return _steps_passed(unit, steps)

@@ -5,14 +5,17 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Sequence
-from itertools import accumulate
+from itertools import accumulate, count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from softgrove.functions.draws import DRAW_DIGITS, draw_hash, draw_int, draw_unit, poisson_one
+from softgrove.functions.draws import DRAW_DIGITS, draw_hash, draw_int, draw_unit, poisson, poisson_one
 from softgrove.operators.joins import null_safe_join
-from softgrove.operators.ranks import BROADCAST_CUTS, hash_rank, hash_thresholds, radix_thresholds
+from softgrove.operators.ranks import BROADCAST_CUTS, hash_thresholds, radix_thresholds
+
+# Mean of one Poisson draw; larger means are sums of several.
+MAX_POISSON = 8.0
 
 
 def row_key(columns: Sequence[str]) -> Column:
@@ -40,34 +43,38 @@ def sample_without_replacement(df: DataFrame, key: Sequence[str], n_subsets: int
     return hashed.join(F.broadcast(last), "subset").filter("__h <= threshold").drop("__h", "threshold")  # a row per subset
 
 
-def bootstrap_weights(df: DataFrame, key: Sequence[str], n_subsets: int, n_rows: int | None = None,
-                      seed: int = 0) -> DataFrame:
-    """Exact bootstrap: ``key, subset, w`` with ``sum(w) = n_rows`` per subset.
+def surplus_mean(n_rows: int, size: int) -> float:
+    """Poisson mean of a row with which a whole table of ``size`` rows almost never draws fewer than ``n_rows``."""
+    return (n_rows + 6 * math.sqrt(n_rows) + 12) / size
 
-    Draws are generated in parallel and counted per row position; rows are never
-    copied. Rows that a subset did not draw are absent.
-    """
-    spark = df.sparkSession
-    size = df.count()
-    n_rows = size if n_rows is None else n_rows
-    if size == 0:
-        return df.select(*key, F.lit(0).alias("subset"), F.lit(0).cast("bigint").alias("w"))
-    placed = hash_rank(df.select(*key).withColumn("__h", draw_hash(key, "row", seed)), "__h", (), key, "__pos", size)
-    draws = spark.range(n_rows * n_subsets).select(
-        F.expr(f"cast(id div {n_rows} as int)").alias("subset"),
-        (draw_int(draw_hash([F.expr(f"id % {n_rows}")], F.expr(f"cast(id div {n_rows} as int)"), seed), size) + 1)
-        .alias("__pos"))
-    counted = draws.groupBy("subset", "__pos").agg(F.count(F.lit(1)).alias("w"))
-    return counted.join(placed, "__pos").select(*key, "subset", "w")
+
+def _surplus_counts(key: Sequence[str], mean: float, n_subsets: int, seed: int, attempt: int) -> Column:
+    """``array<bigint>``: Poisson draws of the row by subset; a large mean is a sum of several draws."""
+    parts = max(1, math.ceil(mean / MAX_POISSON))
+    salts = F.sequence(F.lit(0), F.lit(n_subsets * parts - 1))
+    units = F.transform(salts, lambda i: draw_unit(draw_hash(key, F.concat(F.lit(f"{attempt}."), i.cast("string")), seed)))
+    counts = F.transform(units, lambda u: poisson(u, mean / parts))
+    if parts == 1:
+        return counts
+    return F.transform(F.sequence(F.lit(0), F.lit(n_subsets - 1)), lambda s: F.aggregate(
+        F.slice(counts, s * parts + 1, parts), F.lit(0).cast("bigint"), lambda total, x: total + x))
+
+
+def _copy_hash(key: Sequence[str], subset: Column, copy: Column, seed: int, attempt: int) -> Column:
+    return draw_hash(key, F.concat_ws(".", F.lit(attempt).cast("string"), subset.cast("string"), copy.cast("string")), seed)
 
 
 def bootstrap_array(df: DataFrame, key: Sequence[str], n_subsets: int, seed: int = 0,
-                    method: str = "exact", out: str = "mw") -> DataFrame:
+                    method: str = "exact", out: str = "mw", n_rows: int | None = None) -> DataFrame:
     """Add ``array<struct<model int, w bigint>>``: the weight of the row in each bootstrap subset.
 
-    "exact" draws the table's size with replacement (one shuffle of drawn
-    positions); "poisson" gives every row independent Poisson(1) weights, which
-    needs no shuffle and is the choice for very large tables.
+    "exact" draws ``n_rows`` rows (default: the table's size) with replacement; subsets that did not draw the row are
+    left out. "poisson" gives every row independent Poisson(1) weights. Neither shuffles the table or its draws.
+
+    Exact weights are Poisson weights with a surplus: given their total, such draws are that many independent uniform
+    ones, and they stay so when the surplus, a random set of drawn copies, is taken out. The copies with the smallest
+    hashes go; the threshold of each subset is found by radix selection, so only counts leave the tasks. Should a
+    subset draw too few (one time in a billion), all are drawn anew. Subsets differ only by their salt.
     """
     if method == "poisson":
         weights = F.transform(
@@ -75,10 +82,39 @@ def bootstrap_array(df: DataFrame, key: Sequence[str], n_subsets: int, seed: int
             lambda t: F.struct(t.cast("int").alias("model"),
                                poisson_one(draw_unit(draw_hash(key, t, seed))).alias("w")))
         return df.withColumn(out, weights)
-    drawn = bootstrap_weights(df, key, n_subsets, None, seed)
-    per_row = drawn.groupBy(*key).agg(
-        F.collect_list(F.struct(F.col("subset").cast("int").alias("model"), F.col("w").cast("bigint").alias("w"))).alias(out))
-    return null_safe_join(df, per_row, key)
+    size = df.count()
+    n_rows = size if n_rows is None else n_rows
+    if not size or not n_rows or not n_subsets:
+        return df.withColumn(out, F.expr("cast(array() AS array<struct<model: int, w: bigint>>)"))
+    mean = surplus_mean(n_rows, size)
+    for attempt in count():
+        counts = _surplus_counts(key, mean, n_subsets, seed, attempt)
+        totals = df.select(F.posexplode(counts).alias("subset", "w")).groupBy("subset").agg(F.sum("w").alias("w"))
+        surplus = {r["subset"]: int(r["w"]) - n_rows for r in totals.collect()}  # a row per subset
+        if min(surplus.values()) >= 0:
+            break
+    copies = df.select(*key, F.posexplode(counts).alias("__subset", "__w")) \
+        .select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__w"))).alias("__copy")).filter("__copy > 0") \
+        .select("__subset", _copy_hash(key, F.col("__subset"), F.col("__copy"), seed, attempt).alias("__h"))
+    found = radix_thresholds(copies, "__h", "__subset", {s: [e] for s, e in surplus.items() if e})
+    cuts = F.array(*[F.lit(found.get((s, surplus[s]), "")) for s in range(n_subsets)])
+
+    def left(s: Column, w: Column) -> Column:
+        return F.size(F.filter(F.sequence(F.lit(0).cast("bigint"), w),
+                               lambda j: (j > 0) & (_copy_hash(key, s, j, seed, attempt) > F.get(cuts, s)))).cast("bigint")
+
+    weights = F.transform(counts, lambda w, s: F.struct(s.cast("int").alias("model"), left(s, w).alias("w")))
+    return df.withColumn(out, F.filter(weights, lambda x: x["w"] > 0))
+
+
+def bootstrap_weights(df: DataFrame, key: Sequence[str], n_subsets: int, n_rows: int | None = None,
+                      seed: int = 0) -> DataFrame:
+    """Exact bootstrap: ``key, subset, w`` with ``sum(w) = n_rows`` per subset.
+
+    Rows that a subset did not draw are absent; rows are never copied.
+    """
+    drawn = bootstrap_array(df.select(*key), key, n_subsets, seed, "exact", "__mw", n_rows)
+    return drawn.select(*key, F.inline("__mw").alias("subset", "w"))
 
 
 def kfold(df: DataFrame, key: Sequence[str], n_folds: int, n_repeats: int = 1, seed: int = 0,
