@@ -15,10 +15,10 @@ from softgrove.functions.losses import LOSSES
 from softgrove.functions.sqltext import name, num
 from softgrove.operators.sampling import stratified_holdout
 from softgrove.operators.splits import Layout
-from softgrove.plans.frame import FuzzySetMap, ModelSpec, masses_sql, training_rows, value_edges
+from softgrove.plans.frame import FuzzySetMap, ModelSpec, base_rows, expand_models, masses_sql, value_edges
 from softgrove.plans.grow import grow
-from softgrove.plans.route import Forest, Node, Tree, leaf_values
-from softgrove.plans.score import is_small, running_leaves, summed_leaves, tree_sql
+from softgrove.plans.route import Forest, Node, Tree
+from softgrove.plans.score import is_small, leaves_by_model, running_leaves, summed_leaves, tree_sql
 from softgrove.plans.store import load_trees, node_table, save_trees
 from softgrove.plans.tree import Coding, TreeSpec, leaf_mean
 from softgrove.session import cut_lineage
@@ -66,8 +66,9 @@ def fit_boosted_models(df: DataFrame, spec: BoostSpec, models: Sequence[ModelSpe
                        history: list[tuple[int, int, float]] | None = None) -> tuple[list[tuple[Forest, Coding]], int]:
     """One forest per round; trees of all models of a round grow in the same jobs.
 
-    The scores of a round are cached until the next round's are. Models stop one by one: a forest has the trees of
-    the models that still go on. ``history`` collects (round, model, held-out loss).
+    A cached row is one row of the table: the scores of all models it takes part in are in its array ``mw``, kept
+    until the next round's are there; rows by model exist only inside a job. Models stop one by one: a forest has the
+    trees of the models that still go on. ``history`` collects (round, model, held-out loss).
     """
     if spec.n_iter_no_change is not None and not spec.key:
         raise ValueError("early stopping holds rows out by their key; name it in BoostSpec.key")
@@ -92,23 +93,31 @@ def fit_boosted_models(df: DataFrame, spec: BoostSpec, models: Sequence[ModelSpe
         else:
             source = source.withColumn("__held", draw_unit(draw_hash(spec.key, "validation", spec.seed)) < spec.validation_fraction)
         keep = ["__held"]
-    rows = training_rows(source, tree.features, tree.categorical, targets, models, weights, edges, keep)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    base, older = rows, None
+    base = base_rows(source, tree.features, tree.categorical, targets, weights, edges, keep)
+    alone = weights is None
+    if alone:
+        base = base.withColumn("mw", F.array(F.struct(F.lit(models[0].model).alias("model"), F.lit(1).cast("bigint").alias("w"))))
+    else:
+        base = base.withColumn("mw", F.filter("mw", lambda s: s["w"] > 0)).filter("size(mw) > 0")
+    base, older = base.persist(StorageLevel.MEMORY_AND_DISK), None
     loss = LOSSES[spec.loss_name]
     ys = [F.col(f"y{k}") for k in range(width)]
     rounds: list[tuple[Forest, Coding]] = []
     best = {m.model: (float("inf"), 0) for m in models}  # smallest loss, rounds since
     try:
         for i in range(spec.n_estimators):
-            train = base.filter("NOT __held") if keep else base
+            live = base
+            if len(best) < len(models):
+                live = base.withColumn("mw", F.filter("mw", lambda s: s["model"].isin(sorted(best)))).filter("size(mw) > 0")
+            part = live.filter("NOT __held") if keep else live
+            train = expand_models(part, tree.features, models)
             if i == 0:
-                means = train.selectExpr(*[f"avg(y{k}) AS m{k}" for k in range(width)]).first()
+                means = part.selectExpr(*[f"avg(y{k}) AS m{k}" for k in range(width)]).first()
                 coding = Coding(centres=tuple(float(m) for m in means))
                 train = train.selectExpr("*", *[f"y{k} - {num(c)} AS t{k}" for k, c in enumerate(coding.centres)])
             else:
                 coding = Coding(centres=(0.0,) * width)
-                scores = [F.col(f"f{k}") for k in range(width)]
+                scores = [F.get("f", F.lit(k)) for k in range(width)]
                 train = train.withColumns({f"t{k}": g for k, g in enumerate(loss.gradient(ys, scores))})
             forest = grow(train, layout, tree.rules, sorted(best))
             rounds.append((forest, coding))
@@ -116,20 +125,19 @@ def fit_boosted_models(df: DataFrame, spec: BoostSpec, models: Sequence[ModelSpe
                 older.unpersist()
             if i + 1 == spec.n_estimators and not keep:
                 break
-            moved = leaf_values(base, forest, lambda n, c=coding: leaf_mean(n, c), "__leaf")
-            step = "" if i == 0 else f" * {num(spec.learning_rate)}"
-            before = ["" if i == 0 else f"f{k} - " for k in range(width)]
-            scores_sql = [f"{before[k]}get(__leaf, {k}){step} AS f{k}" for k in range(width)]
-            kept = [c for c in base.columns if not (c[0] == "f" and c[1:].isdigit())]
-            older, base = base, moved.selectExpr(*kept, *scores_sql).persist(StorageLevel.MEMORY_AND_DISK)
+            leaves = leaves_by_model(forest, lambda n, c=coding: leaf_mean(n, c), width, bool(cats), alone)
+            score = f"zip_with(s.f, l, (f, p) -> f - p * {num(spec.learning_rate)})" if i else "l"
+            state = f"zip_with(mw, __leaves, (s, l) -> struct(s.model AS model, s.w AS w, {score} AS f))"
+            moved = live.withColumn("__leaves", leaves).withColumn("mw", F.expr(state)).drop("__leaves")
+            older, base = base, moved.persist(StorageLevel.MEMORY_AND_DISK)
             if (i + 1) % spec.checkpoint_every == 0 and i + 1 < spec.n_estimators:
                 cached, base = base, cut_lineage(base)
                 for done in (older, cached):
                     done.unpersist()
                 older = None
             if keep:
-                held = base.filter("__held").groupBy("model").agg(
-                    F.avg(loss.of_row(ys, [F.col(f"f{k}") for k in range(width)])).alias("e")).collect()  # a row per model
+                held = expand_models(base.filter("__held"), tree.features, models).groupBy("model").agg(
+                    F.avg(loss.of_row(ys, [F.get("f", F.lit(k)) for k in range(width)])).alias("e")).collect()  # a row per model
                 errors = {r["model"]: r["e"] for r in held}
                 if history is not None:
                     history += [(i, m, errors.get(m)) for m in sorted(best)]
@@ -139,14 +147,12 @@ def fit_boosted_models(df: DataFrame, spec: BoostSpec, models: Sequence[ModelSpe
                     least, waited = (err, 0) if err is not None and err < least - 1e-12 else (least, waited + 1)
                     if waited < spec.n_iter_no_change:
                         going[m] = (least, waited)
-                stopped, best = len(going) < len(best), going
+                best = going
                 if not best:
                     break
-                if stopped:
-                    base = base.filter(F.col("model").isin(sorted(best)))
         return rounds, width
     finally:
-        for cached in (older, base, rows):
+        for cached in (older, base):
             if cached is not None:
                 cached.unpersist()
 

@@ -14,12 +14,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from softgrove.functions.sqltext import clean_number, name, num, text
-from softgrove.plans.route import INLINE_NODES, Node, Tree
+from softgrove.plans.route import INLINE_NODES, Forest, Node, Tree, passes, size_of
 
 # Trees walked together; bounds the memory of a batch.
 TREES_AT_ONCE = 32
 # Nodes of the trees that one function holds (about 50 bytes each, and their values).
 PART_NODES = 1_000_000
+# Pairs of row and model walked together; bounds the memory of a batch.
+PAIRS_AT_ONCE = 1_000_000
 
 
 def test_sql(feature: str, number: float | None, cat: str | None) -> str:
@@ -183,3 +185,77 @@ def leaf_ids(tree: Tree, features: Sequence[str], categorical: Sequence[str]) ->
         return pa.array(packed["id"][_leaves(packed, packed["root"], x, xc)[0]])
 
     return run(_features(features, categorical))
+
+
+def leaves_by_model(forest: Forest, values: Callable[[Node], Sequence[float]], width: int, categorical: bool,
+                    alone: bool = False) -> Column:
+    """``array<array<double>>``: leaf values of a row in the tree of each entry of its array ``mw`` (NULL without a tree).
+
+    The row has ``x`` (and ``xc``) of :func:`softgrove.plans.frame.feature_arrays`; ``alone`` says that ``mw`` always
+    holds exactly the one model. Large forests are walked in parts of at most PART_NODES nodes (or one tree).
+    """
+    if size_of(forest) <= INLINE_NODES:
+        def leaf(tree: Tree, node: int) -> str:
+            at = tree[node]
+            if at.is_leaf:
+                return f"array({', '.join(num(v) for v in values(at))})"
+            return f"if({passes(at.fi, at.num, at.cat)}, {leaf(tree, 2 * node)}, {leaf(tree, 2 * node + 1)})"
+
+        if alone and len(forest) == 1:
+            return F.expr(f"array({leaf(next(iter(forest.values())), 1)})")
+        cases = " ".join(f"WHEN {m} THEN {leaf(t, 1)}" for m, t in sorted(forest.items()))
+        return F.expr(f"transform(mw, s -> CASE s.model {cases} END)")
+    parts: list[list[int]] = []
+    size = 0
+    for m in sorted(forest):
+        if not parts or size + len(forest[m]) > PART_NODES:
+            parts.append([])
+            size = 0
+        parts[-1].append(m)
+        size += len(forest[m])
+    out = None
+    for part in parts:
+        found = _leaves_part({m: forest[m] for m in part}, values, width, categorical)
+        out = found if out is None else F.zip_with(out, found, lambda a, b: F.coalesce(a, b))
+    return out
+
+
+def _leaves_part(forest: Forest, values: Callable[[Node], Sequence[float]], width: int, categorical: bool) -> Column:
+    models = np.array(sorted(forest))
+    packed = _pack([forest[m] for m in models], values, width)
+
+    def walk(at: np.ndarray, row: np.ndarray, x: np.ndarray, xc: np.ndarray | None) -> np.ndarray:
+        for _ in range(packed["depth"]):
+            fi = packed["fi"][at]
+            with np.errstate(invalid="ignore"):
+                go = x[row, fi] >= packed["num"][at]
+            if xc is not None:
+                go |= xc[row, fi] == packed["cat"][at]
+            at = np.where(go, packed["hit"][at], packed["rest"][at])
+        return at
+
+    @F.arrow_udf("array<array<double>>")
+    def run(batch: pa.Array) -> pa.Array:
+        n, held = len(batch), batch.field("m")
+        x = batch.field("x").flatten().to_numpy(zero_copy_only=False).reshape(n, -1 if n else 0)
+        model = held.flatten().to_numpy(zero_copy_only=False)
+        sizes = np.diff(held.offsets.to_numpy())
+        rows = np.repeat(np.arange(n), sizes)
+        place = np.minimum(np.searchsorted(models, model), len(models) - 1)
+        xc = None
+        if packed["codes"]:
+            flat, n_features = batch.field("xc").flatten(), x.shape[1]
+            xc = np.full(x.shape, -2, np.int32)
+            for i, known in packed["codes"].items():
+                column = flat.take(pa.array(np.arange(n) * n_features + i))
+                xc[:, i] = [known.get(v, -2) for v in column.to_pylist()]
+        at = packed["root"][place]
+        for k in range(0, len(at), PAIRS_AT_ONCE):
+            part = slice(k, k + PAIRS_AT_ONCE)
+            at[part] = walk(at[part], rows[part], x, xc)
+        leaves = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * width, pa.int32()),
+                                          pa.array(packed["value"][at].ravel()), mask=pa.array(models[place] != model))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), leaves)
+
+    fields = [F.col("x"), F.col("mw")["model"].alias("m"), *([F.col("xc")] if categorical else [])]
+    return run(F.struct(*fields))
