@@ -7,19 +7,22 @@ over the usual range: that of the labelled good rows but for a tail, the tails
 of all statistics together holding ``max_good_loss`` of them. So ordinary
 variety is no anomaly, and what is ordinary comes from the labelled rows.
 The fewer random splits isolate a document, the more anomalous it is. Splits are
-drawn from a range wider than the sample's, so a document that is far off in a
-statistic in which the whole sample is usual is isolated early too. Length in
-words is not judged: a long clean document is usual.
+drawn, evenly on a logarithmic scale, from all excesses that there can be, so a
+document that is far off in a statistic in which all others are usual is isolated
+early too. Length in words is not judged: a long clean document is usual.
 
 The limit on the anomaly score is calibrated on labelled rows: of the limits
 that reject at most ``max_good_loss`` of the good rows it is the one that best
 separates them from the bad ones; without rows of both kinds nothing more is
 rejected.
 
-Bounds of the fit (documented parameters): ``trees * sample`` rows for the
-forest, drawn by a hash of the id from the whole table, and ``max_labels``
-labelled rows, those with the smallest hash. Scoring covers every row in a pass
-without shuffle or join.
+The fit covers all rows. Ranges are exact quantiles of all labelled good rows,
+every tree counts every row of the table that passes the fixed rules at its
+nodes, and the limit follows from the scores of all labelled rows. Trees have
+ceil(log2(``sample``)) levels, the height that the published method gives trees
+of that many rows; rows that are still together there count by the mean path
+length of as many. Only the trees (``trees`` times twice ``sample`` nodes) are on
+the driver. Scoring covers every row in a pass without shuffle or join.
 
 Null text has no words and fails. Rows that repeat an id are judged alike; an
 id labelled twice counts as bad if one label does. An empty table gives an
@@ -29,20 +32,20 @@ empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from softgrove.llm.common import small_batches, written
+from softgrove.operators.quantiles import exact_quantiles
 
 TREES = 100
 SAMPLE = 256
-MAX_LABELS = 20_000
 MAX_GOOD_LOSS = 0.005
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -56,6 +59,8 @@ STATISTICS = ("symbols_per_word", "same_next_share", "caps_share", "dup_line_sha
 #: Least width of a usual range, and the largest excess, both in units that shares and lengths have.
 LEAST_WIDTH = 0.02
 MOST_EXCESS = 50.0
+#: Ranges of scores in which running sums are taken apart.
+SCORE_RANGES = 1 << 16
 
 SYMBOLS = b"#*$%&|<>"
 DIGITS = bytes(range(48, 58))
@@ -106,6 +111,13 @@ def statistics(c: np.ndarray) -> np.ndarray:
                             repeated / words, chars / words, -chars / words, -np.log(words / some_lines)])
 
 
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _statistics(c: pa.Array) -> pa.Array:
+    """STATISTICS of arrays of COUNTS."""
+    x = statistics(c.flatten().to_numpy().reshape(-1, len(COUNTS)))
+    return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
+
+
 @dataclass(frozen=True)
 class UsualRange:
     """Upper end and width (from the median) of the usual range of every statistic."""
@@ -117,9 +129,21 @@ class UsualRange:
     def of(good: np.ndarray, max_good_loss: float) -> UsualRange:
         """From COUNTS of good rows; without any, nothing is usual."""
         x = statistics(good)
-        if not len(x):
+        return UsualRange.between(*np.quantile(x, [0.5, 1 - max_good_loss / len(STATISTICS)], axis=0) if len(x) else ())
+
+    @staticmethod
+    def of_rows(good: DataFrame, max_good_loss: float) -> UsualRange:
+        """The same from rows with COUNTS in a table."""
+        values = F.posexplode(_statistics(F.array(*COUNTS))).alias("statistic", "value")
+        found = exact_quantiles(good.select(values), ["statistic"], "value",
+                                {"middle": 0.5, "high": 1 - max_good_loss / len(STATISTICS)})
+        found = sorted((r["statistic"], r["middle"], r["high"]) for r in found.collect())  # a row per statistic
+        return UsualRange.between(*np.array(found).T[1:] if found else ())
+
+    @staticmethod
+    def between(middle: np.ndarray | None = None, high: np.ndarray | None = None) -> UsualRange:
+        if high is None:
             return UsualRange(np.full(len(STATISTICS), -MOST_EXCESS), np.ones(len(STATISTICS)))
-        middle, high = np.quantile(x, [0.5, 1 - max_good_loss / len(STATISTICS)], axis=0)
         return UsualRange(high, np.maximum(high - middle, LEAST_WIDTH))
 
     def excess(self, c: np.ndarray) -> np.ndarray:
@@ -138,31 +162,56 @@ def average_depth(n) -> np.ndarray:
     return np.where(n > 2, 2 * h - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def grow(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple[int, float, int, int, float]]:
-    """Nodes of one random tree: feature (-1 at a leaf), split value, left, right, path length at a leaf.
+def draw(features: int, rng: np.random.Generator, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Feature and split value of the inner nodes of a random tree; below node k are 2k + 1 (up to the value) and 2k + 2.
 
-    Split values come from the box of the node, not from its rows: at the root from 0 to the largest excess of the
-    sample, or to 1 where that is smaller. A side without rows is a leaf, the place of documents unlike the sample.
+    Split values come from the box of the node, not from its rows: at the root from 0 to the most excess there is.
     """
-    nodes: list = []
-
-    def add(rows: np.ndarray, depth: int, low: np.ndarray, high: np.ndarray) -> int:
-        at = len(nodes)
-        nodes.append(None)
-        if depth >= max_depth or len(rows) < 2:
-            nodes[at] = (-1, 0.0, 0, 0, depth + float(average_depth(len(rows))))
-            return at
-        f = int(rng.integers(x.shape[1]))
-        cut = float(rng.uniform(low[f], high[f]))
-        below = x[rows, f] <= cut
-        edge = np.arange(x.shape[1]) == f
-        left = add(rows[below], depth + 1, low, np.where(edge, cut, high))
-        right = add(rows[~below], depth + 1, np.where(edge, cut, low), high)
-        nodes[at] = (f, cut, left, right, 0.0)
-        return at
-
-    add(np.arange(len(x)), 0, np.zeros(x.shape[1]), np.maximum(x.max(0, initial=0.0), 1.0))
-    return nodes
+    inner = (1 << levels) - 1
+    feature, cut = rng.integers(features, size=inner), np.zeros(inner)
+    low, high = np.zeros((2 * inner + 1, features)), np.full((2 * inner + 1, features), math.log1p(MOST_EXCESS))
+    for k, (f, u) in enumerate(zip(feature, rng.random(inner))):
+        middle = low[k, f] + u * (high[k, f] - low[k, f])
+        cut[k] = math.expm1(middle)
+        for below in (2 * k + 1, 2 * k + 2):
+            low[below], high[below] = low[k], high[k]
+        high[2 * k + 1, f] = low[2 * k + 2, f] = middle
+    return feature, cut
+
+
+def leaf_rows(feature: np.ndarray, cut: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Rows of x at the leaves (tree x leaf) of drawn trees (tree x inner node)."""
+    n_trees, inner = feature.shape
+    x, n = np.unique(x, axis=0, return_counts=True)  # most rows have no excess
+    tree, row = np.arange(n_trees)[:, None], np.arange(len(x))
+    at = np.zeros((n_trees, len(x)), np.int64)
+    for _ in range((inner + 1).bit_length() - 1):
+        at = 2 * at + 1 + (x[row, feature[tree, at]] > cut[tree, at])
+    at += tree * (inner + 1) - inner
+    return np.bincount(at.ravel(), np.tile(n, n_trees), n_trees * (inner + 1)).astype(np.int64).reshape(n_trees, -1)
+
+
+def settle(feature: np.ndarray, cut: np.ndarray, rows: np.ndarray, usual: float) -> Forest:
+    """The forest of drawn trees with so many rows at their leaves; a node with fewer than two rows is a leaf."""
+    n_trees, inner = feature.shape
+    held = np.concatenate([np.zeros((n_trees, inner), np.int64), rows], axis=1)
+    for k in range(inner - 1, -1, -1):
+        held[:, k] = held[:, 2 * k + 1] + held[:, 2 * k + 2]
+    number = np.arange(2 * inner + 1)
+    depth = np.floor(np.log2(number + 1))
+    split = (held >= 2) & (number < inner)
+    pad = ((0, 0), (0, inner + 1))
+    below = np.where(split, 2 * number + 1, 0)
+    return Forest(np.where(split, np.pad(feature, pad), -1), np.where(split, np.pad(cut, pad), 0.0), below,
+                  np.where(split, below + 1, 0), np.where(split, 0.0, depth + average_depth(held)), usual)
+
+
+def grow(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple[int, float, int, int, float]]:
+    """One tree of the rows of x: feature (-1 at a leaf), split value, left, right, path length at a leaf of its nodes."""
+    feature, cut = (v[None] for v in draw(x.shape[1], rng, max_depth))
+    tree = settle(feature, cut, leaf_rows(feature, cut, x), 1.0)
+    return [(int(f), float(c), int(i), int(j), float(p)) for f, c, i, j, p in
+            zip(tree.feature[0], tree.cut[0], tree.left[0], tree.right[0], tree.path[0])]
 
 
 @dataclass(frozen=True)
@@ -180,6 +229,7 @@ class Forest:
         """Anomaly in (0, 1]: two to the power of minus the mean path length over the usual one."""
         if not len(self.feature) or not len(x):
             return np.zeros(len(x))
+        x, own = np.unique(x, axis=0, return_inverse=True)  # most rows have no excess
         tree = np.arange(len(self.feature))[:, None]
         at = np.zeros((len(self.feature), len(x)), np.int64)
         row = np.arange(len(x))
@@ -190,7 +240,7 @@ class Forest:
                 break
             below = x[row, np.maximum(f, 0)] <= self.cut[tree, at]
             at = np.where(inner, np.where(below, self.left[tree, at], self.right[tree, at]), at)
-        return 2.0 ** (-self.path[tree, at].mean(0) / max(self.usual, 1e-9))
+        return (2.0 ** (-self.path[tree, at].mean(0) / max(self.usual, 1e-9)))[own.ravel()]
 
 
 @dataclass(frozen=True)
@@ -221,76 +271,86 @@ def judge(model: QualityModel | None = None):
     return run
 
 
-def _hash_share(column: Column, salt: str) -> Column:
-    """A number in [0, 1) from the id."""
-    return F.pmod(F.xxhash64(F.lit(salt), column.cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-
-
 def calibrate(good: np.ndarray, bad: np.ndarray, max_good_loss: float) -> float:
     """The limit on the score that rejects most bad rows less good ones, within the allowed loss of good ones."""
     if not len(good) or not len(bad):
         return math.inf
     limits = np.unique(np.concatenate([good, bad]))
-    loss = 1 - np.searchsorted(np.sort(good), limits, "right") / len(good)
-    caught = 1 - np.searchsorted(np.sort(bad), limits, "right") / len(bad)
-    allowed = loss <= max_good_loss
-    best = int(np.flatnonzero(allowed)[np.argmax((caught - loss)[allowed])])
+    lost = len(good) - np.searchsorted(np.sort(good), limits, "right")
+    caught = len(bad) - np.searchsorted(np.sort(bad), limits, "right")
+    allowed = lost <= max_good_loss * len(good)
+    best = int(np.flatnonzero(allowed)[np.argmax((caught * len(good) - lost * len(bad))[allowed])])
     if caught[best] <= 0:
         return math.inf
     above = limits[best + 1:best + 2]
     return float((limits[best] + above[0]) / 2) if len(above) else float(limits[best])
 
 
+def best_limit(scored: DataFrame, max_good_loss: float) -> float:
+    """``calibrate`` for a table of good (boolean) and score; equal scores are one row, summed up range by range."""
+    kinds = [F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")]
+    counted = written(scored.groupBy("score").agg(*kinds).withColumn("range", F.floor(F.col("score") * SCORE_RANGES)),
+                      "quality-scores")
+    n_good, n_bad = counted.agg(F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    if not n_good or not n_bad:
+        return math.inf
+
+    def above(kind: str, window) -> Column:
+        return F.coalesce(F.sum(kind).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    down = Window.orderBy(F.desc("range"))  # at most SCORE_RANGES rows
+    ranges = counted.groupBy("range").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    ranges = ranges.select("range", above("good", down).alias("more_good"), above("bad", down).alias("more_bad"))
+    inside = Window.partitionBy("range").orderBy(F.desc("score"))
+    limits = counted.join(ranges, "range").select("score", (above("good", inside) + F.col("more_good")).alias("lost"),
+                                                  (above("bad", inside) + F.col("more_bad")).alias("caught"))
+    gain = F.col("caught") * n_good - F.col("lost") * n_bad
+    best = limits.filter(F.col("lost") <= max_good_loss * n_good).agg(
+        F.max(F.struct(gain, -F.col("score"), "caught")).alias("best")).select("best.*").first()
+    if not best[2]:
+        return math.inf
+    limit = -best[1]
+    nearest = counted.filter(F.col("score") > limit).agg(F.min("score")).first()[0]
+    return limit if nearest is None else (limit + nearest) / 2
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-        trees: int = TREES, sample: int = SAMPLE, max_labels: int = MAX_LABELS,
-        max_good_loss: float = MAX_GOOD_LOSS, seed: int = 0) -> QualityModel:
-    """Forest and limit; ``labels`` has the id and 1 for a good, 0 for a bad document."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    n = max(1, docs.count())
-    per_row = min(trees, -(-trees * sample // n))
-    share = min(1.0, trees * sample / (n * per_row))
-    known = labels.select(labels["doc_id"].alias("id"), labels[label_col].alias("good"))
-    known = known.filter("id IS NOT NULL AND good IS NOT NULL")
-    known = known.orderBy(F.xxhash64("id"), "id", "good").limit(max_labels)
-    known = known.groupBy("id").agg(F.min("good").alias("good"))
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    rows = rows.join(F.broadcast(known), "id", "left")  # at most max_labels rows
-    rows = rows.withColumn("drawn", _hash_share(F.col("id"), f"sample{seed}") < share)
-    rows = rows.filter("drawn OR good IS NOT NULL").withColumn("s", judge()(F.col("text")))
-    rows = written(rows.select("id", "good", "drawn", "s.*"), "quality-sample")
-    tree = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(f"{seed}-{k}"), F.col("id").cast("string")), F.lit(trees))
-                               for k in range(per_row)]))
-    max_depth = math.ceil(math.log2(max(2, sample)))
-    held = rows.filter("good IS NOT NULL AND NOT base_failed").select("good", *COUNTS).toPandas()  # at most max_labels
-    good, held = held["good"].to_numpy(dtype=float) > 0, held[list(COUNTS)].to_numpy(np.int64).reshape(-1, len(COUNTS))
-    usual_range = UsualRange.of(held[good], max_good_loss)
-    drawn = rows.filter("drawn AND NOT base_failed").select(tree.alias("tree"), *COUNTS)
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        number = int(pdf["tree"].iloc[0])
-        x = usual_range.excess(pdf[list(COUNTS)].to_numpy())
-        x = x[np.lexsort(x.T)]
-        rng = np.random.default_rng((seed, number))
-        if len(x) > sample:
-            x = x[rng.choice(len(x), sample, replace=False)]
-        f, cut, left, right, path = zip(*grow(x, rng, max_depth))
-        return pd.DataFrame({"tree": [number], "rows": [len(x)], "feature": [list(f)], "cut": [list(cut)],
-                             "left": [list(left)], "right": [list(right)], "path": [list(path)]})
-
-    grown = drawn.groupBy("tree").applyInPandas(
-        build, "tree long, rows long, feature array<int>, cut array<double>, left array<int>, right array<int>, "
-               "path array<double>").orderBy("tree").collect()  # a row per tree
-    width = max((len(t["feature"]) for t in grown), default=0)
-
-    def table(name: str, fill, dtype) -> np.ndarray:
-        return np.array([t[name] + [fill] * (width - len(t[name])) for t in grown], dtype).reshape(len(grown), width)
-
-    usual = float(np.mean([average_depth(t["rows"]) for t in grown])) if grown else 1.0
-    forest = Forest(table("feature", -1, np.int64), table("cut", 0.0, float), table("left", 0, np.int64),
-                    table("right", 0, np.int64), table("path", 0.0, float), usual)
-    score = forest.score(usual_range.excess(held))
-    return QualityModel(forest, usual_range, calibrate(score[good], score[~good], max_good_loss))
+        trees: int = TREES, sample: int = SAMPLE, max_good_loss: float = MAX_GOOD_LOSS, seed: int = 0) -> QualityModel:
+    """Ranges, forest and limit from all rows; ``labels`` has the id and 1 for a good, 0 for a bad document."""
+    small_batches(docs.sparkSession)
+    known = labels.select(labels["doc_id"].alias("id"), (labels[label_col] > 0).alias("good"))
+    known = known.filter("id IS NOT NULL AND good IS NOT NULL").groupBy("id").agg(F.min("good").alias("good"))
+    rows = docs.select(docs[id_col].alias("id"), judge()(docs[text_col]).alias("s")).select("id", "s.base_failed", *[f"s.{c}" for c in COUNTS])
+    rows = written(rows, "quality-counts").filter("NOT base_failed").drop("base_failed")
+    held = written(rows.join(known, "id").select("good", *COUNTS), "quality-labelled")
+    usual = UsualRange.of_rows(held.filter("good"), max_good_loss)
+    drawn = [draw(len(STATISTICS), np.random.default_rng((seed, k)), math.ceil(math.log2(max(2, sample))))
+             for k in range(trees)]
+    feature, cut = np.array([f for f, _ in drawn]), np.array([c for _, c in drawn])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = 0
+        for batch in batches:
+            c = np.column_stack([batch.column(name).to_numpy() for name in COUNTS])
+            found = found + leaf_rows(feature, cut, usual.excess(c))
+        tree, leaf = np.nonzero(found) if np.ndim(found) else (np.zeros(0, int), np.zeros(0, int))
+        n = found[tree, leaf] if len(tree) else np.zeros(0, int)
+        yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(leaf, pa.int32()), pa.array(n, pa.int64())],
+                                         names=["tree", "leaf", "n"])
+
+    counted = rows.select(*COUNTS).mapInArrow(count, "tree int, leaf int, n long")
+    counted = counted.groupBy("tree", "leaf").agg(F.sum("n").alias("n")).collect()  # at most a row per leaf of the trees
+    at_leaves = np.zeros((trees, feature.shape[1] + 1), np.int64)
+    for r in counted:
+        at_leaves[r["tree"], r["leaf"]] = r["n"]
+    forest = settle(feature, cut, at_leaves, float(average_depth(at_leaves[0].sum())))
+
+    @F.arrow_udf(T.DoubleType())
+    def score(c: pa.Array) -> pa.Array:
+        return pa.array(forest.score(usual.excess(c.flatten().to_numpy().reshape(-1, len(COUNTS)))))
+
+    scored = held.select("good", score(F.array(*COUNTS)).alias("score"))
+    return QualityModel(forest, usual, best_limit(scored, max_good_loss))
 
 
 def assess(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:

@@ -98,3 +98,53 @@ def test_verdict_by_plain_paths(spark):
         score = 2 ** (-total / 5 / forest.usual)
         assert got["score"] == pytest.approx(score)
         assert got["kept"] == (not got["base_failed"] and got["score"] <= model.limit)
+
+
+def test_the_fit_counts_every_row(spark):
+    """Ranges, numbers of rows at the nodes and limit, from all rows of the tables in one process."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(docs, labels, trees=7)
+    known = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = [(known.get(r["doc_id"]), quality.counts(r["text"])) for r in docs.collect()]
+    rows = [(y, c) for y, c in rows if not quality.base_failed(c[0], c[4])]
+    every = np.array([c for _, c in rows])
+    good, bad = (every[[k for k, (y, _) in enumerate(rows) if y == label]] for label in (1, 0))
+    usual = quality.UsualRange.of(good, quality.MAX_GOOD_LOSS)
+    assert np.allclose(model.usual.high, usual.high) and np.allclose(model.usual.width, usual.width)
+    x, forest = model.usual.excess(every), model.forest
+    assert forest.usual == pytest.approx(float(quality.average_depth(len(x))))
+    for t in range(7):
+        todo, leaves = [(0, 0, np.arange(len(x)))], 0
+        while todo:
+            at, depth, here = todo.pop()
+            f = forest.feature[t][at]
+            if f < 0:
+                leaves += 1
+                assert forest.path[t][at] == pytest.approx(depth + float(quality.average_depth(len(here))))
+                continue
+            below = x[here, f] <= forest.cut[t][at]
+            todo += [(forest.left[t][at], depth + 1, here[below]), (forest.right[t][at], depth + 1, here[~below])]
+        assert leaves > 1
+    score = [forest.score(model.usual.excess(c)) for c in (good, bad)]
+    assert model.limit == pytest.approx(quality.calibrate(*score, quality.MAX_GOOD_LOSS))
+
+
+def test_ranges_of_more_than_twenty_thousand_labels(spark):
+    n = 20_500
+    words = " ".join(f"w{k}" for k in range(10, 40))
+    docs = spark.range(n).selectExpr("id AS doc_id", f"concat('{words}', repeat('x', cast(id AS int))) AS text")
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    model = quality.fit(docs, labels, trees=2)
+    wanted = np.quantile([(90 + k) / 30 for k in range(n)], 1 - quality.MAX_GOOD_LOSS / 9)
+    assert model.usual.high[quality.STATISTICS.index("long_words")] == pytest.approx(wanted)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_limit_by_plain_calibration(spark, monkeypatch, seed):
+    monkeypatch.setattr(quality, "SCORE_RANGES", 5)
+    rng = np.random.default_rng(seed)
+    good, bad = rng.integers(0, 60, 300) / 100, rng.integers(0, 100, 200) / 100
+    rows = spark.createDataFrame([(True, float(s)) for s in good] + [(False, float(s)) for s in bad], "good boolean, score double")
+    assert quality.best_limit(rows, 0.1) == pytest.approx(quality.calibrate(good, bad, 0.1))
+    assert quality.best_limit(rows.filter("good"), 0.1) == math.inf
