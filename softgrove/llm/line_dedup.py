@@ -13,8 +13,9 @@ Candidates meet by the pigeonhole principle: of ``m`` blocks of a fingerprint,
 at least m - radius agree, so lines are joined on every choice of that many
 blocks. m follows the number of distinct lines, so that a key is rarely shared
 by chance; the result does not depend on it. Only lines with a partner within
-the radius get their text fetched. A pair is verified under the first key that it shares and
-only if it is not connected yet; a task returns spanning links, not all pairs.
+the radius get their text fetched, and go on only under the keys at which they meet one. A pair is
+verified under the first key that it shares and only if it is not connected yet; a task returns
+spanning links, not all pairs.
 Keys with many lines are cut into chunks and compared chunk pair by chunk pair,
 so no key lands in one task.
 
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,10 +52,16 @@ SEGMENT = 255  # a byte counts no further
 SLOTS = 1 << 23
 TASK_LINES = 4096
 DIGIT = re.compile(r"\d")
+ASCII = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
+
+
+def folded(text: str) -> str:
+    """Lower case, digits to 0."""
+    return text.encode().translate(ASCII).decode() if text.isascii() else DIGIT.sub("0", text.lower())
 
 
 def normalise(line: str) -> str:
-    return " ".join(DIGIT.sub("0", line.lower()).split())
+    return " ".join(folded(line).split())
 
 
 def fingerprints(lines: list[str]) -> np.ndarray:
@@ -63,12 +71,14 @@ def fingerprints(lines: list[str]) -> np.ndarray:
     """
     import xxhash
 
-    number: dict[bytes, int] = {}
-    ids = [[number.setdefault(w, len(number)) for w in dict.fromkeys(x.encode("utf-8", "surrogatepass").split(b" "))]
-           for x in lines]
-    hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(w, 3) for w in number]), np.uint8).reshape(-1, 8)
-    n = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(n.sum()))
+    words = pc.split_pattern(pa.array(lines, pa.large_string()), " ")
+    number = words.flatten().dictionary_encode()
+    vocabulary = number.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, vocabulary, itertools.repeat(3))), np.uint8).reshape(-1, 8)
+    line = np.repeat(np.arange(len(lines)), words.value_lengths().to_numpy())
+    both = np.sort(line * len(vocabulary) + number.indices.to_numpy())
+    line, flat = np.divmod(both[np.diff(both, prepend=-1) > 0], len(vocabulary))
+    n = np.bincount(line)
     segments = -(-n // SEGMENT)
     first = np.cumsum(segments) - segments
     start = np.repeat(np.cumsum(n) - n, segments) + (np.arange(segments.sum()) - np.repeat(first, segments)) * SEGMENT
@@ -121,11 +131,23 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
+def at_most(a: str, b: str) -> int:
+    """An upper bound of the edit distance: words are replaced one by one, but for one run that only the longer line has."""
+    one, other = sorted((a.split(" "), b.split(" ")), key=len)
+    more = len(other) - len(one)
+    left = itertools.accumulate((0 if x == y else max(len(x), len(y)) for x, y in zip(one, other)), initial=0)
+    right = list(itertools.accumulate((0 if x == y else max(len(x), len(y)) for x, y in zip(reversed(one), reversed(other))),
+                                      initial=0))
+    size = list(itertools.accumulate((len(x) + 1 for x in other), initial=0))
+    return min(x + y + size[k + more] - size[k] for k, (x, y) in enumerate(zip(left, reversed(right))))
+
+
 def similar(a: str, b: str, similarity: float) -> bool:
     longer = max(len(a), len(b))
     if min(len(a), len(b)) < similarity * longer:
         return False
-    return edit_distance(a, b) <= (1 - similarity) * longer + 1e-9
+    allowed = (1 - similarity) * longer + 1e-9
+    return at_most(a, b) <= allowed or edit_distance(a, b) <= allowed
 
 
 def letter_counts(texts: list[str]) -> np.ndarray:
@@ -157,8 +179,8 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
         for batch in batches:
             row, number, found = [], [], []
             for k, text in enumerate(batch.column(2).to_pylist()):
-                for at, line in enumerate((text or "").split("\n")):
-                    line = normalise(line)
+                for at, line in enumerate(folded(text or "").split("\n")):
+                    line = " ".join(line.split())
                     if line.count(" ") + 1 >= min_words and line:
                         row.append(k)
                         number.append(at)
@@ -287,7 +309,8 @@ def links(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, radi
     must_agree = np.array(choice, np.uint64)
     keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(choice)])
     each = distinct.select("line_hash", "fp", F.posexplode(keys).alias("choice", "key"))
-    shared = each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = each.select("key").repartition("key")  # few keys repeat, so they are not counted before the shuffle
+    shared = shared.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = written(shared.select(F.col("key").alias("shared"), F.ceil(F.col("n") / chunk).cast("int").alias("chunks")),
                      "shared-keys")
     each = each.withColumn("slot", _slot("key")).join(_slots(shared, "shared"), "slot", "left_semi").drop("slot")
@@ -295,19 +318,19 @@ def links(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, radi
 
     def partners(table: pa.Table) -> pa.Table:
         column, order, edges = _sorted_groups(table)
-        found = order[_has_partner(column, edges, must_agree, radius)]
-        return table.select(["line_hash"]).take(pa.array(np.sort(found))) if len(found) else table.select(["line_hash"]).slice(0, 0)
+        return table.take(pa.array(order[_has_partner(column, edges, must_agree, radius)], pa.int64()))
 
-    near = _in_tasks(met).groupBy("task").applyInArrow(partners, "line_hash binary").distinct()
-    wanted = written(near.join(distinct.select("line_hash", "first"), "line_hash").select("line_hash", "first.*"), "wanted-lines")
+    met = _in_tasks(met)
+    near = written(met.groupBy("task").applyInArrow(partners, met.schema), "candidates")
+    wanted = near.select("line_hash").distinct().join(distinct.select("line_hash", "first"), "line_hash")
+    wanted = written(wanted.select("line_hash", "first.*"), "wanted-lines")
     texts = docs.select(docs[id_col].alias("__id"), F.xxhash64(docs[text_col]).alias("__hash"),
                         F.posexplode(F.split(docs[text_col], "\n")).alias("__line_no", "__line"))
     texts = texts.withColumn("slot", _slot("__hash", "__line_no")).join(_slots(wanted, "text_hash", "line_no"), "slot", "left_semi")
     texts = texts.join(wanted, texts["__id"].eqNullSafe(wanted["id"]) & (texts["__hash"] == wanted["text_hash"])
                        & (texts["__line_no"] == wanted["line_no"]))
     texts = written(texts.select("line_hash", F.col("__line").alias("line")).dropDuplicates(["line_hash"]), "line-texts")
-    met = written(met.join(texts.select("line_hash"), "line_hash", "left_semi"), "candidates")
-    rows = _in_tasks(met).join(texts, "line_hash")
+    rows = near.join(texts, "line_hash")
 
     def verify(table: pa.Table) -> pa.Table:
         column, order, edges = _sorted_groups(table)
