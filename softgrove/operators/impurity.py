@@ -90,11 +90,12 @@ def value_reduction(df: DataFrame, group: Sequence[str], targets: Sequence[str],
     return df.groupBy(*group).agg(gain.alias(out))
 
 
-def majority_label(df: DataFrame, group: Sequence[str], label: str, out: str = "label") -> DataFrame:
-    """Most frequent label per group, the smallest one on ties."""
+def majority_label(df: DataFrame, group: Sequence[str], label: str, out: str = "label", total: str | None = None) -> DataFrame:
+    """Most frequent label per group, the smallest one on ties; ``total`` names a column with the rows of the group."""
     counted = df.groupBy(*group, label).agg(F.count(F.lit(1)).alias("__n"))
+    sums = [F.sum("__n").alias(total)] if total else []
     return counted.groupBy(*group).agg(
-        F.min_by(F.col(label), F.struct((-F.col("__n")).alias("n"), F.col(label))).alias(out))
+        F.min_by(F.col(label), F.struct((-F.col("__n")).alias("n"), F.col(label))).alias(out), *sums)
 
 
 def label_shares(df: DataFrame, group: Sequence[str], label: str) -> DataFrame:

@@ -8,22 +8,22 @@ which split in two at a threshold.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from softgrove.functions.criteria import GainSpec
 from softgrove.functions.sqltext import clean_number, name, text
 from softgrove.operators.impurity import majority_label
-from softgrove.operators.manyclass import many_candidates
+from softgrove.operators.manyclass import cut_bits, many_candidates
 from softgrove.operators.multiway import discrete_counts, feature_scores
 from softgrove.operators.splits import Layout
 from softgrove.plans.frame import add_buckets, value_edges
-from softgrove.session import cut_lineage
+from softgrove.session import cut_lineage, stored
 
 BROADCAST_SPLITS = 200_000
 TIE_DIGITS = 12
@@ -59,12 +59,12 @@ class MultiwayModel:
         for d in range(self.depth + 1):
             level = self.nodes.filter(F.col("depth") == d).select(
                 F.col("path").alias("__path"), F.col("feature").alias("__feature"),
-                F.col("threshold").alias("__threshold"), F.col("label").alias("__l"))
+                F.col("threshold").alias("__threshold"), F.col("label").alias("__l"), *_marks("path"))
             if sizes.get(d, 0) <= BROADCAST_SPLITS:  # all rows have the root's path, so a shuffle would make one task
                 level = F.broadcast(level)
             out = out.join(level, "__path", "left").withColumn("__label", F.coalesce("__l", "__label"))
-            out = out.withColumn("__path", F.expr(_child_sql(self.spec, "__path", "__feature", "__threshold"))) \
-                .drop("__feature", "__threshold", "__l")
+            out = out.withColumn("__path", F.expr(_child_sql(self.spec, "__feature", "__threshold"))) \
+                .drop("__feature", "__threshold", "__l", "__stem", "__said")
         return out.withColumnRenamed("__label", prediction).drop("__path")
 
 
@@ -88,8 +88,14 @@ def _escaped(value: str) -> str:
     return f"replace(replace(replace({value}, '%', '%25'), '/', '%2F'), '=', '%3D')"
 
 
-def _child_sql(spec: MultiwaySpec, path: str, feature: str, threshold: str) -> str:
-    """Path of the child a row goes to; NULL at a leaf.
+def _marks(path: str) -> list[Column]:
+    """What the children of a split have in common in their paths, made once per split and not per row."""
+    return [F.expr(f"concat({path}, '/', {_escaped('feature')})").alias("__stem"),
+            F.col("threshold").cast("string").alias("__said")]
+
+
+def _child_sql(spec: MultiwaySpec, feature: str, threshold: str) -> str:
+    """Path of the child a row goes to, from the split's :func:`_marks`; NULL at a leaf.
 
     A step is feature=value, feature? for a missing value, or feature>=threshold and feature<threshold.
     """
@@ -97,22 +103,31 @@ def _child_sql(spec: MultiwaySpec, path: str, feature: str, threshold: str) -> s
     texts = " ".join(f"WHEN {text(f)} THEN coalesce(concat('=', {_escaped(f'cast({name(f)} AS string)')}), '?')"
                      for f in spec.features)
     for f in spec.numeric:
-        texts += f" WHEN {text(f)} THEN concat(if(coalesce({clean_number(f)} >= {threshold}, false), '>=', '<'), {threshold})"
-    return (f"if({feature} IS NULL, NULL, concat({path}, '/', {_escaped(feature)}, CASE {feature} {texts} END))"
-            if every else "NULL")
+        texts += f" WHEN {text(f)} THEN concat(if(coalesce({clean_number(f)} >= {threshold}, false), '>=', '<'), __said)"
+    return f"if({feature} IS NULL, NULL, concat(__stem, CASE {feature} {texts} END))" if every else "NULL"
+
+
+def _rank_order() -> Column:
+    """Higher score, then lower feature, then lower threshold."""
+    return F.struct((-F.round("score", TIE_DIGITS)).alias("k"), "fi", "threshold")
 
 
-def _numeric_scores(rows: DataFrame, spec: MultiwaySpec, bucketed: frozenset[int]) -> DataFrame:
+def _numeric_scores(rows: DataFrame, spec: MultiwaySpec, edges: Mapping[str, list[float]]) -> DataFrame:
     """Best binary split by gain ratio of every numeric feature at every node; any number of labels."""
+    bucketed = frozenset(i for i, f in enumerate(spec.numeric) if f in edges)
+    if bucketed:
+        rows = add_buckets(rows, spec.numeric, edges)
     base = rows.select(
         F.lit(0).alias("model"), F.col("path").alias("node"), F.lit(1.0).alias("w"), F.col(spec.target).alias("yi"),
         F.expr(f"array({', '.join(clean_number(f) for f in spec.numeric)})").alias("x"),
         F.expr(f"array({', '.join(map(str, range(len(spec.numeric))))})").alias("fs"),
         *(["xb"] if bucketed else []))
     layout = Layout(spec.numeric, "class", 0, GainSpec("entropy"), bucketed=bucketed)
-    found = many_candidates(base, layout).filter("gain IS NOT NULL").selectExpr("*", "h_n / a_n AS p", "r_n / a_n AS q")
-    return found.selectExpr("node AS path", f"fi + {len(spec.features)} AS fi", "vmin AS threshold",
-                            "gain / (-p * log2(p) - q * log2(q)) AS score")
+    found = many_candidates(base, layout).filter("gain IS NOT NULL").selectExpr(
+        "node AS path", f"fi + {len(spec.features)} AS fi", "vmin AS threshold",
+        f"gain / ({cut_bits('h_n', 'r_n')} / a_n) AS score")
+    best = found.groupBy("path", "fi").agg(F.min_by(F.struct("threshold", "score"), _rank_order()).alias("b"))
+    return best.select("path", "fi", "b.*")
 
 
 def fit_multiway(df: DataFrame, spec: MultiwaySpec) -> MultiwayModel:
@@ -121,21 +136,16 @@ def fit_multiway(df: DataFrame, spec: MultiwaySpec) -> MultiwayModel:
         raise ValueError("numeric features need algo='c45'")
     every = (*spec.features, *spec.numeric)
     measure = {"id3": "gain", "c45": "gain_ratio"}[spec.algo]
-    edges = value_edges(df, spec.numeric, ()) if spec.numeric else {}
-    bucketed = frozenset(i for i, f in enumerate(spec.numeric) if f in edges)
-    rows = df.select(*every, spec.target).filter(F.col(spec.target).isNotNull())
-    if edges:
-        rows = add_buckets(rows, spec.numeric, edges)
-    rows = rows.withColumns({"path": F.lit(""), "used": F.expr("cast(array() AS array<int>)")})
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = df.select(*every, spec.target).filter(F.col(spec.target).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
     names = F.array(*[F.lit(f) for f in every])
     levels: list[DataFrame] = []
     depth = 0
     try:
-        current = rows
+        edges = value_edges(rows, spec.numeric, ()) if spec.numeric else {}
+        current = rows.withColumns({"path": F.lit(""), "used": F.expr("cast(array() AS array<int>)")})
         while True:
-            stats = majority_label(current, ["path"], spec.target).join(
-                current.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("used").alias("used")), "path")
+            # all rows of a path have the same used features
+            stats = stored(majority_label(current, ["path", "used"], spec.target, total="n"), "node-stats")
             best = None
             if depth <= spec.max_depth:
                 parts = []
@@ -144,13 +154,12 @@ def fit_multiway(df: DataFrame, spec: MultiwaySpec) -> MultiwayModel:
                     parts.append(feature_scores(counts, ["path"]).filter("n_values > 1").selectExpr(
                         "path", "fi", "cast(NULL AS double) AS threshold", f"{measure} AS score"))
                 if spec.numeric:
-                    parts.append(_numeric_scores(current, spec, bucketed))
+                    parts.append(_numeric_scores(current, spec, edges))
                 ranked = reduce(DataFrame.unionByName, parts)
-                order = F.struct((-F.round("score", TIE_DIGITS)).alias("k"), "fi", "threshold")
                 best = (
                     ranked.join(stats.select("path", "used", "n"), "path")
                     .filter(~F.array_contains("used", F.col("fi")) & (F.col("n") >= spec.min_samples_split))
-                    .groupBy("path").agg(F.min_by(F.struct("fi", "threshold", "score"), order).alias("b"))
+                    .groupBy("path").agg(F.min_by(F.struct("fi", "threshold", "score"), _rank_order()).alias("b"))
                     .select("path", "b.*").filter(F.col("score") > spec.min_gain)
                 )
             level = stats.drop("used").withColumnRenamed("label", "label").withColumn("depth", F.lit(depth))
@@ -164,7 +173,8 @@ def fit_multiway(df: DataFrame, spec: MultiwaySpec) -> MultiwayModel:
             level = cut_lineage(level)
             levels.append(level)
             splits = level.filter("feature IS NOT NULL").select(
-                "path", F.col("fi").alias("__fi"), F.col("feature").alias("__feature"), F.col("threshold").alias("__threshold"))
+                "path", F.col("fi").alias("__fi"), F.col("feature").alias("__feature"), F.col("threshold").alias("__threshold"),
+                *_marks("path"))
             n_splits = splits.count()
             if n_splits == 0:
                 break
@@ -172,8 +182,8 @@ def fit_multiway(df: DataFrame, spec: MultiwaySpec) -> MultiwayModel:
             once = f"if(__fi < {len(spec.features)}, array_append(used, __fi), used)"
             current = (
                 current.join(splits, "path")
-                .withColumns({"path": F.expr(_child_sql(spec, "path", "__feature", "__threshold")), "used": F.expr(once)})
-                .drop("__fi", "__feature", "__threshold")
+                .withColumns({"path": F.expr(_child_sql(spec, "__feature", "__threshold")), "used": F.expr(once)})
+                .drop("__fi", "__feature", "__threshold", "__stem", "__said")
             )
             depth += 1
             if depth % spec.checkpoint_every == 0:
